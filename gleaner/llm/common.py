@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +39,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = scratch_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps, which Spark keeps until the driver collects their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Bits of the filter that :func:`with_ids` hands to every task: 8 MB, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key first, all columns kept) joined with ``ids`` on the long column ``key``.
+
+    A bitmap of fixed size drops rows whose key is in no row of ``ids`` before the join shuffles them; when very many
+    ids fill it, it lets more rows pass and the join alone decides.
+    """
+    spark = rows.sparkSession
+    slots = ids.select(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    words = slots.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect()
+    bitmap = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    if words:
+        bitmap[[r["word"] for r in words]] = [r["bits"] for r in words]
+    held = spark.sparkContext.broadcast(bitmap)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            slot = batch.column(batch.num_columns - 1).to_numpy()
+            good = (bits[slot >> 6] >> (slot & 63)) & 1
+            yield batch.filter(pa.array(good.astype(bool))).select(list(range(batch.num_columns - 1)))
+
+    likely = rows.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).mapInArrow(keep, rows.schema)
+    return likely.join(ids, key)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -91,3 +91,17 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         total = total * _STEP + words[k : k + n]
     return mix(total + np.uint64(width))
+
+
+def window_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The least value of each window of ``width`` values, by the place of its first."""
+    n = len(values)
+    if n < width:
+        return values[:0]
+    rows = -(-n // width)
+    padded = np.full(rows * width, np.iinfo(values.dtype).max, dtype=values.dtype)
+    padded[:n] = values
+    grid = padded.reshape(rows, width)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])

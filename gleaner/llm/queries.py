@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.decontamination import op4_bm25_leaks
 from gleaner.llm.jaccard import op9_count_vector_join
 from gleaner.llm.language import op8_language_mixture
 from gleaner.llm.neighbours import op10_graph_neighbours
 from gleaner.llm.packing import op2_pack_windows
+from gleaner.llm.passages import op3_block_anchors
 from gleaner.llm.privacy import op5_sanitise_terms
 from gleaner.llm.secrets import op7_guess_cost
 from gleaner.llm.sharding import op1_shuffle_shards
@@ -17,6 +19,8 @@ from gleaner.llm.sharding import op1_shuffle_shards
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shuffle_shards": op1_shuffle_shards,
     "op2_pack_windows": op2_pack_windows,
+    "op3_block_anchors": op3_block_anchors,
+    "op4_bm25_leaks": op4_bm25_leaks,
     "op5_sanitise_terms": op5_sanitise_terms,
     "op7_guess_cost": op7_guess_cost,
     "op8_language_mixture": op8_language_mixture,
