@@ -1,11 +1,55 @@
-"""The corpus pipeline: STAGES applied in turn to ``documents``."""
+"""The corpus pipeline: STAGES applied in turn to ``documents``.
+
+Every stage works on all that its predecessor kept and its decisions take effect; all but the last return the columns
+of ``documents``. Packing returns one row per piece of a document in its sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm.common import scratch_dir
+from gleaner.llm.common import materialize, table
+from gleaner.llm.decontamination import find_leaks
+from gleaner.llm.jaccard import join
+from gleaner.llm.language import UNKNOWN, fit, is_held_out, predict
 from gleaner.llm.packing import packed_digest
+from gleaner.llm.privacy import find, sanitise
+
+#: Documents whose trigrams their best language explains no better than chance are rejected.
+LEAST_GAIN = 0.0
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents but for those with a rejected doc_id; rows without an id stay."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold no learned language: no letters, or trigrams that no learned language explains."""
+    found = predict(docs, fit(docs.where(~is_held_out(F.col("doc_id")))))
+    return _without(docs, materialize(found.where((F.col("lang_pred") == UNKNOWN) | (F.col("gain") < LEAST_GAIN)), "rejected"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group that links of five-word shingle sets, similarity 0.8, join."""
+    grouped = join(docs, width=5, num=80, den=100)
+    return _without(docs, materialize(grouped.where(F.col("doc_id") != F.col("component_id")), "rejected"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    return _without(docs, materialize(find_leaks(docs, table(spark, sf_dir, "benchmark")), "rejected"))
+
+
+def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Generalise personal data and remove the terms that reveal it; n_chars follows the text."""
+    found = find(docs).where(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
+    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["text_key"] == found["text_key"])
+    clean = F.when(F.col("spans").isNotNull(), sanitise(keyed["text"], F.col("spans"))).otherwise(keyed["text"])
+    out = keyed.join(found, same, "left").select(*(keyed[c] for c in docs.columns if c not in ("text", "n_chars")), clean.alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +57,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_digest(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", privacy),
+    ("packing", packing),
+]
 
-#: Tokenisation and iterative grouping have no SQL form; tests hold the stages against brute-force versions.
+#: Mixture inference, grouping and tokenisation have no SQL form; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
@@ -24,9 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = scratch_dir(spark, f"stage-{name.replace(' ', '-')}")
-            out.write.option("compression", "zstd").parquet(path)
-            out = spark.read.parquet(path)
-        docs = out
+        docs = materialize(out, f"stage-{k}") if k + 1 < len(STAGES) else out
     return docs

@@ -58,28 +58,28 @@ def _valid(kind: str, value: Column) -> Column:
 def _spans(text: Column, pattern: Column, kind: str, order: int) -> Column:
     """All matches as an array of SPAN, by the lengths in code points of matches and of the gaps between them."""
     matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g"))
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.array_append(
-                acc["out"],
-                F.struct((acc["at"] + F.length(x["g"])).alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")),
-            ).cast(f"array<{SPAN}>").alias("out"),
-        ),
+    steps = F.zip_with(matches, gaps, lambda m, g: F.coalesce(F.length(m) + F.length(g), F.lit(0)))
+    none = F.array().cast("array<int>")
+    ends = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out")),
+    )["out"]
+    return F.zip_with(
+        matches, F.slice(ends, F.lit(1), F.size(matches)),
+        lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("value")),
     )
-    return placed["out"]
 
 
 def base_spans(text: Column) -> Column:
     """All valid base spans of a text, by start and then kind."""
     none = F.array().cast(f"array<{SPAN}>")
-    found = [
-        F.when(_holds(kind, text), F.filter(_spans(text, F.lit(PATTERNS[kind]), kind, k), lambda s, kind=kind: _valid(kind, s["value"]))).otherwise(none)
-        for k, kind in enumerate(KINDS)
-    ]
+
+    def of(kind: str, order: int) -> Column:
+        valid = F.filter(_spans(text, F.lit(PATTERNS[kind]), kind, order), lambda s: _valid(kind, s["value"]))
+        return F.when(_holds(kind, text), valid).otherwise(none)
+
+    found = [of(kind, k) for k, kind in enumerate(KINDS)]
     return F.array_sort(F.concat(*found))
 
 

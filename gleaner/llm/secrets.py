@@ -70,7 +70,7 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     brute = [math.inf] * (n + 1)  # up to here, inside a brute-force span
     run = turns = 0
     last: tuple[int, int] | None = None
-    same = 0
+    same, alike = 0, [0] * 9
     dates = {m.start(): m.end() for m in DATE.finditer(value)}
     for i in range(n):
         # Segments that begin at i.
@@ -94,9 +94,10 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
         last = move
         if run >= 4:
             best[i + 1] = min(best[i + 1], best[i + 1 - run] + SEGMENT + WALK + math.log10(run) + turns * math.log10(4))
-        for size in range(2, 9):  # a block that repeats
-            if i + 1 >= 2 * size and low[i + 1 - size : i + 1] == low[i + 1 - 2 * size : i + 1 - size]:
-                best[i + 1] = min(best[i + 1], best[i + 1 - size] + math.log10(2))
+        for size in range(2, 9):  # a block that repeats: its first copy, times the number of copies
+            alike[size] = alike[size] + 1 if i >= size and low[i] == low[i - size] else 0
+            if alike[size] >= size:
+                best[i + 1] = min(best[i + 1], best[i + 1 - alike[size]] + math.log10(1 + alike[size] / size))
         best[i + 1] = min(best[i + 1], brute[i + 1])
     return best[n]
 
