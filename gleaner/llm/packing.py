@@ -8,6 +8,7 @@ the documents at multiples of the window; a document over a boundary leaves a pi
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,61 +18,97 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import materialize, table
-
-#: A word of its own that no text of words holds: its one token marks the end of each word in a joined batch.
-SEPARATOR = "\x01"
+from gleaner.llm.hashing import prefix_sums, stretch_hashes
+
+#: Partition offsets of 16 bytes are broadcast up to this number; beyond it Spark chooses the join.
+BROADCAST_PARTS = 1_000_000
+#: Latin letters whose lower case is one letter that no normal form changes, ASCII and common white space.
+PLAIN = re.compile(r"[\t\n\r\x20-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+#: Class of each byte of such a text in lower case: white space, letter, digit or mark. The vocabulary splits between
+#: runs of one class, and each digit from the next; its contractions begin with an apostrophe.
+_SPACE, _LETTER, _DIGIT, _MARK = range(4)
+_CLASS = np.full(256, _LETTER, dtype=np.int8)
+_CLASS[:128] = [_SPACE if c <= 32 else _DIGIT if 48 <= c < 58 else _LETTER if 97 <= c < 123 else _MARK for c in range(128)]
+#: The printable characters that stand for bytes in a byte-level vocabulary; other bytes take those from 256 on. The
+#: space stays, to part the words of a batch.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE})) if b != 0x20}
+WORD_END = "</w>"
 
 
 class WordEncoder:
     """Token ids of whole texts from the ids of their words.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are its words' ids in order. Words
-    are encoded by the tokenizers library, many at a time; the most recent ones are kept, ``keep`` at most twice.
+    The vocabulary splits a text into words before it merges, so a text's ids are its words' ids in order. Plain texts
+    are split here and each new word is encoded once, together with others; ``keep`` words are kept at most twice.
+    Other texts go through the whole tokenizer.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        ids = self._ids(SEPARATOR)
-        self.mark = int(ids[0]) if len(ids) == 1 else None
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        joined = [w for w in words if SEPARATOR not in w] if self.mark is not None else []
-        for k in range(0, len(joined), 2000):
-            part = joined[k : k + 2000]
-            text = f" {SEPARATOR} ".join([*part, ""])
-            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(part):  # a word holds the mark's own token
-                self.young.update((w, self._ids(w).tobytes()) for w in part)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(part, (ends * 4).tolist()):
-                self.young[w] = raw[begin:end]
-                begin = end + 4
-        if len(joined) < len(words):
-            kept = set(joined)
-            self.young.update((w, self._ids(w).tobytes()) for w in words if w not in kept)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def _learn(self, keys: list[int], words: list[bytes]) -> None:
+        shown = b" ".join(words).decode("latin-1").translate(_BYTES)
+        ids = np.asarray(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype="<u4")
+        raw, begin = ids.tobytes(), 0
+        for key, end in zip(keys, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+            self.young[key] = raw[begin:end]
+            begin = end
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: words are found and told apart by 64-bit hashes, all at once."""
+        lower = [t.lower().encode() for t in texts]
+        joined = b" ".join([*lower, b""])
+        data = np.frombuffer(joined, dtype=np.uint8)
+        kind = _CLASS[data]
+        before = np.concatenate([[np.int8(_SPACE)], kind[:-1]])
+        edge = (kind != before) | (kind == _DIGIT)
+        starts = np.flatnonzero(edge & (kind != _SPACE))
+        ends = np.append(np.flatnonzero(edge[1:] & (before[1:] != _SPACE)) + 1, [])[: len(starts)].astype(np.int64)
+        hashes = stretch_hashes(prefix_sums(data), starts, ends)
+        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.young) > self.keep:
+            self.old, self.young = self.young, {}
+        own = keys.tolist()
+        missing = []
+        for k, key in enumerate(own):
+            if key not in self.young:
+                ids = self.old.get(key)
+                if ids is None:
+                    missing.append(k)
+                else:
+                    self.young[key] = ids
+        if missing:
+            at = first[missing]
+            self._learn([own[k] for k in missing], [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+        found = list(map(self.young.__getitem__, own))
+        sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
+        pool, begins = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        each = sizes[which]
+        to = np.cumsum(each)
+        out = pool[np.repeat(begins[which] - (to - each), each) + np.arange(int(to[-1]) if len(to) else 0)]
+        words = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in lower)]))
+        cuts = np.concatenate([[0], to])[words].tolist()
+        return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split(" ") for t in texts]
-        missing = set().union(*split) - self.young.keys()
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, {}
-            missing = set().union(*split)
-        known = missing & self.old.keys()
-        self.young.update((w, self.old[w]) for w in known)
-        self._learn(list(missing - known))
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        plain = [k for k, t in enumerate(texts) if "'" not in t and "<|" not in t and PLAIN.fullmatch(t)]
+        out: list[bytes | None] = [None] * len(texts)
+        for k, ids in zip(plain, self._plain([texts[k] for k in plain]) if plain else ()):
+            out[k] = ids
+        return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if ids is None else ids for t, ids in zip(texts, out)]
 
 
 def tokenize(docs: DataFrame, *, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,8 +122,8 @@ def tokenize(docs: DataFrame, *, tokenizer: str, end_id: int = 2, id_col: str =
         encoder, end = WordEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 1024):
+                some = batch.slice(k, 1024)
                 ids = [x + end for x in encoder.encode([t or "" for t in some.column(1).to_pylist()])]
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 begins = start + np.cumsum(sizes) - sizes
@@ -109,6 +146,7 @@ def pack(tokens: DataFrame, *, window: int = 4096) -> DataFrame:
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     # One row for each input partition, a few bytes each: the second pass of the prefix sum.
     bases = totals.select("part", F.expr("sum(total) over (order by part rows unbounded preceding) - total").alias("base"))
+    bases = F.broadcast(bases) if totals.count() <= BROADCAST_PARTS else bases
     placed = tokens.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("begin"), "n_tokens", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
