@@ -15,6 +15,7 @@ from gleaner.llm.passages import op3_block_anchors
 from gleaner.llm.privacy import op5_sanitise_terms
 from gleaner.llm.secrets import op7_guess_cost
 from gleaner.llm.sharding import op1_shuffle_shards
+from gleaner.llm.substrings import op6_sampled_names
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shuffle_shards": op1_shuffle_shards,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_block_anchors": op3_block_anchors,
     "op4_bm25_leaks": op4_bm25_leaks,
     "op5_sanitise_terms": op5_sanitise_terms,
+    "op6_sampled_names": op6_sampled_names,
     "op7_guess_cost": op7_guess_cost,
     "op8_language_mixture": op8_language_mixture,
     "op9_count_vector_join": op9_count_vector_join,
