@@ -10,7 +10,10 @@ from gleaner.operators import ordered as W
 from gleaner.plans.registry import query
 from gleaner.sources.tables import read
 
-MICROS = F.unix_micros(F.col("ts").cast("timestamp"))
+
+def micros():
+    """Event time as microseconds."""
+    return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
 def r6(c, name):
@@ -63,7 +66,7 @@ l as (select event_type, least(greatest(greatest(300.0, med + greatest(90.0, 6 *
 select g.event_id, cast(sum(case when gap > lim then 1 else 0 end) over (partition by g.event_type order by t, g.event_id rows unbounded preceding) as bigint) as episode
 from g left join l using (event_type)""")
 def w5(spark, d):
-    return W.adaptive_episodes(read(spark, d, "events"), micros=MICROS, by=["event_type"], order=["t", "event_id"]).select("event_id", "episode")
+    return W.adaptive_episodes(read(spark, d, "events"), micros=micros(), by=["event_type"], order=["t", "event_id"]).select("event_id", "episode")
 
 
 @query("w6_semantic_scenes", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import expressions as X
 from gleaner.operators import groups as G
 from gleaner.operators import pairs as J
-from gleaner.plans.ordered_queries import MICROS, r6
+from gleaner.plans.ordered_queries import micros, r6
 from gleaner.plans.registry import query
 from gleaner.sources.tables import materialize, read
 
@@ -32,7 +32,7 @@ def f0(spark, d):
 select a.event_type, least(a.event_id, b.event_id) as src, greatest(a.event_id, b.event_id) as dst, round((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6, 6) as seconds from events a join events b on a.event_type = b.event_type
  and epoch_us(b.ts) between epoch_us(a.ts) and epoch_us(a.ts) + 120000000 and (b.ts > a.ts or a.event_id < b.event_id)""")
 def j7(spark, d):
-    return J.interval_pairs(read(spark, d, "events"), key="event_id", micros=MICROS, within=120, by=["event_type"]).withColumn("seconds", F.round("seconds", 6))
+    return J.interval_pairs(read(spark, d, "events"), key="event_id", micros=micros(), within=120, by=["event_type"]).withColumn("seconds", F.round("seconds", 6))
 
 
 @query("j8_k_next_pairs", """
@@ -40,7 +40,7 @@ with r as (select event_id, event_type, epoch_us(ts) as t, row_number() over (pa
 select a.event_type, least(a.event_id, b.event_id) as src, greatest(a.event_id, b.event_id) as dst, round((b.t - a.t) / 1e6, 6) as seconds
 from r a join r b on a.event_type = b.event_type and b.rn between a.rn + 1 and a.rn + 12 and b.t - a.t <= 3600000000""")
 def j8(spark, d):
-    return J.k_next_pairs(read(spark, d, "events"), key="event_id", micros=MICROS, within=3600, by=["event_type"]).withColumn("seconds", F.round("seconds", 6))
+    return J.k_next_pairs(read(spark, d, "events"), key="event_id", micros=micros(), within=3600, by=["event_type"]).withColumn("seconds", F.round("seconds", 6))
 
 
 @query("j9_signature_pairs", f"with {_NEAR} select p as src, q as dst, cast(bit_count(xor(p, q)) as integer) as distance from near")
