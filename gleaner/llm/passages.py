@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +24,21 @@ from gleaner.llm.common import materialize, table, total_bytes, with_ids
 from gleaner.llm.hashing import window_hashes, word_hashes
 
 #: Bytes of text in a batch, and for each bucket of hashes.
-BATCH_BYTES = 8 << 20
-BUCKET_BYTES = 24 << 20
+BATCH_BYTES = 3 << 20
+BUCKET_BYTES = 8 << 20
 #: Positions are stored as two bytes within segments of so many words.
 SEGMENT = 1 << 16
-#: Rows with this bucket are answers already.
-ANSWERED = -1
 FIRST_ID = -(1 << 63)
 
+#: Values in two columns, then the heads of segments and the places in them. Without values: an answer on its way.
 PIECES = "bucket int, a binary, b binary, c binary, d binary"
+ANSWERS = "part int, c binary, d binary"
+
+
+def _split(bucket: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """What a bucket asks, and the answers that only pass through."""
+    asks = pc.is_valid(bucket.column("a"))
+    return bucket.filter(asks), bucket.filter(pc.invert(asks)).select(["c", "d"])
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[tuple]]:
@@ -74,22 +81,37 @@ def _segments(doc: np.ndarray, place: np.ndarray, uids: np.ndarray) -> tuple[byt
     return head.astype("<i8").tobytes(), (place % SEGMENT).astype("<u2").tobytes()
 
 
-def _unpacked(answers: DataFrame, name: str) -> DataFrame:
-    """Answer pieces as one row per uid: all its places as a list of little-endian 8-byte arrays."""
+def _places(heads: np.ndarray, low: np.ndarray, answered: pa.Table, groups: int) -> pa.Table:
+    """(part, c, d): these segments and the answers that pass through, in one row for each of ``groups`` of documents."""
+    more = [[np.frombuffer(x, kind) for x in answered.column(k).to_pylist()] for k, kind in ((0, "<i8"), (1, "<u2"))]
+    head = np.concatenate([heads, *(x.reshape(-1, 3) for x in more[0])]).astype("<i8")
+    place = np.concatenate([low, *more[1]]).astype("<u2")
+    part = head[:, 0] % groups
+    order = np.argsort(part, kind="stable")
+    begin, count = (np.cumsum(head[:, 2]) - head[:, 2])[order], head[order, 2]
+    place = place[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+    head, part = head[order], part[order]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, dtype=np.int64)
+    at = np.concatenate([[0], np.cumsum(count)])[cuts]
+    ranges = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), at[:-1].tolist(), at[1:].tolist()))
+    return pa.table({
+        "part": pa.array(part[cuts[:-1]].astype(np.int32)), "c": pa.array([head[i:j].tobytes() for i, j, _, _ in ranges], pa.binary()), "d": pa.array([place[x:y].tobytes() for _, _, x, y in ranges], pa.binary()),
+    })
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uids, places = [], []
-            for heads, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                head, low = np.frombuffer(heads, "<i8").reshape(-1, 3), np.frombuffer(rest, "<u2").astype("<i8")
-                ends = np.cumsum(head[:, 2])
-                for (uid, base, n), end in zip(head.tolist(), ends.tolist()):
-                    uids.append(uid)
-                    places.append((low[end - n : end] + base).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(places, pa.binary())], ["uid", "places"])
 
-    flat = answers.select("c", "d").mapInArrow(run, "uid long, places binary")
-    return materialize(flat.groupBy("uid").agg(F.collect_list("places").alias("places")), name)
+def _by_document(answers: DataFrame, name: str) -> DataFrame:
+    """(uid, places): one row per document, with all its places as little-endian 8-byte numbers in a list of one."""
+
+    def gather(part: pa.Table) -> pa.Table:
+        head = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 3) for x in part.column("c").to_pylist()])
+        place = np.concatenate([np.frombuffer(x, "<u2") for x in part.column("d").to_pylist()]).astype("<i8") + np.repeat(head[:, 1], head[:, 2])
+        uid = np.repeat(head[:, 0], head[:, 2])
+        order = np.lexsort((place, uid))
+        uid, place = uid[order], place[order]
+        cuts = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1], [True]])).tolist() if len(uid) else [0]
+        return pa.table({"uid": pa.array([int(uid[i]) for i in cuts[:-1]], pa.int64()), "places": pa.array([[place[i:j].tobytes()] for i, j in zip(cuts, cuts[1:])], pa.list_(pa.binary()))})
+
+    return materialize(answers.groupBy("part").applyInArrow(gather, "uid long, places array<binary>"), name)
 
 
 def probe_blocks(rows: DataFrame, *, block: int, buckets: int) -> DataFrame:
@@ -112,7 +134,7 @@ def probe_blocks(rows: DataFrame, *, block: int, buckets: int) -> DataFrame:
             head, group = _runs(order, runs)
             size = np.bincount(group, minlength=1)
             again = np.sort(order[size[group] > 1]) if len(order) else order
-            out = [(ANSWERED, None, None, *_segments(doc[again], place[again], uids))] if len(again) else []
+            out = [(int(uids[0] % buckets), None, None, *_segments(doc[again], place[again], uids))] if len(again) else []
             alone = np.sort(order[head])
             bucket = (runs[alone] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
@@ -126,6 +148,7 @@ def probe_blocks(rows: DataFrame, *, block: int, buckets: int) -> DataFrame:
                 yield _record(out)
 
     def answer(bucket: pa.Table) -> pa.Table:
+        bucket, answered = _split(bucket)
         low, high, heads, places = (bucket.column(k).to_pylist() for k in range(1, 5))
         values = np.frombuffer(b"".join(low), "<u4").astype(np.uint64) | np.frombuffer(b"".join(high), "u1").astype(np.uint64) << np.uint64(32)
         place = np.frombuffer(b"".join(places), "<u2")
@@ -138,11 +161,9 @@ def probe_blocks(rows: DataFrame, *, block: int, buckets: int) -> DataFrame:
         hit[order] = (indexed & (np.bincount(group, minlength=1) > 1))[group] if len(order) else False
         left = np.add.reduceat(hit.astype(np.int64), np.cumsum(head[:, 2]) - head[:, 2]) if len(head) else np.zeros(0, dtype=int)
         kept = np.stack([head[:, 0], head[:, 1], left], axis=1)[left > 0]
-        return pa.table({"bucket": pa.array([ANSWERED], pa.int32()), "a": pa.array([None], pa.binary()), "b": pa.array([None], pa.binary()), "c": pa.array([kept.astype("<i8").tobytes()], pa.binary()), "d": pa.array([place[hit].tobytes()], pa.binary())})
+        return _places(kept, place[hit], answered, buckets)
 
-    pieces = materialize(rows.mapInArrow(probe, PIECES), "probes")
-    asked = pieces.where(F.col("bucket") != ANSWERED).groupBy("bucket").applyInArrow(answer, PIECES)
-    return _unpacked(asked.unionByName(pieces.where(F.col("bucket") == ANSWERED)), "hits")
+    return _by_document(rows.mapInArrow(probe, PIECES).groupBy("bucket").applyInArrow(answer, ANSWERS), "hits")
 
 
 def later_windows(rows: DataFrame, hits: DataFrame, *, window: int, block: int, buckets: int) -> DataFrame:
@@ -172,7 +193,7 @@ def later_windows(rows: DataFrame, hits: DataFrame, *, window: int, block: int,
             first = order[head]
             own = first[group] if len(order) else order
             later = np.sort(order[(uids[doc[order]] != uids[doc[own]]) | (place[order] != place[own])])  # a repeated row repeats nothing
-            out = [(ANSWERED, None, None, *_segments(doc[later], place[later], uids))] if len(later) else []
+            out = [(int(uids[0] % buckets), None, None, *_segments(doc[later], place[later], uids))] if len(later) else []
             bucket = (values[first] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             ends = np.cumsum(np.bincount(bucket, minlength=buckets))
@@ -186,6 +207,7 @@ def later_windows(rows: DataFrame, hits: DataFrame, *, window: int, block: int,
                 yield _record(out)
 
     def first_places(bucket: pa.Table) -> pa.Table:
+        bucket, answered = _split(bucket)
         raw, ids, heads, places = (bucket.column(k).to_pylist() for k in range(1, 5))
         values, place = np.frombuffer(b"".join(raw), "<u8"), np.frombuffer(b"".join(places), "<u2")
         head, ids = np.frombuffer(b"".join(heads), "<i8").reshape(-1, 3), np.frombuffer(b"".join(ids), "<i8")
@@ -201,12 +223,10 @@ def later_windows(rows: DataFrame, hits: DataFrame, *, window: int, block: int,
             later[order] = (head[segment[order], 0] != head[segment[first], 0]) | (place[order] != place[first]) | (head[segment[order], 1] != head[segment[first], 1])
         left = np.add.reduceat(later.astype(np.int64), np.cumsum(head[:, 2]) - head[:, 2]) if len(head) else np.zeros(0, dtype=int)
         kept = np.stack([head[:, 0], head[:, 1], left], axis=1)[left > 0]
-        return pa.table({"bucket": pa.array([ANSWERED], pa.int32()), "a": pa.array([None], pa.binary()), "b": pa.array([None], pa.binary()), "c": pa.array([kept.astype("<i8").tobytes()], pa.binary()), "d": pa.array([place[later].tobytes()], pa.binary())})
+        return _places(kept, place[later], answered, buckets)
 
     near = with_ids(rows, hits, "uid").select("uid", "order_id", "text", "places")
-    pieces = materialize(near.mapInArrow(extend, PIECES), "windows")
-    asked = pieces.where(F.col("bucket") != ANSWERED).groupBy("bucket").applyInArrow(first_places, PIECES)
-    return _unpacked(asked.unionByName(pieces.where(F.col("bucket") == ANSWERED)), "repeats")
+    return _by_document(near.mapInArrow(extend, PIECES).groupBy("bucket").applyInArrow(first_places, ANSWERS), "repeats")
 
 
 def _changes(doc: np.ndarray, place: np.ndarray) -> np.ndarray:

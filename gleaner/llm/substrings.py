@@ -130,7 +130,7 @@ def _ask(rows: DataFrame, named: Callable[[tuple], tuple[np.ndarray, ...]], *, b
             hit[order] = (np.bincount(group, weights=flag[order]) > 0)[group]
             hit &= ~flag
         left = np.add.reduceat(hit.astype(np.int64), np.cumsum(head[:, 2]) - head[:, 2]) if len(head) else np.zeros(0, dtype=int)
-        return _places(np.stack([head[:, 0], head[:, 1], left], axis=1)[left > 0], place[hit], answered)
+        return _places(np.stack([head[:, 0], head[:, 1], left], axis=1)[left > 0], place[hit], answered, buckets)
 
     return _by_document(rows.mapInArrow(ask, PIECES).groupBy("bucket").applyInArrow(answer, ANSWERS), name)
 
