@@ -6,8 +6,9 @@ an R-tree bound all pairs of two leaves likewise. Pairs that survive are verifie
 
 Documents meet without a cross join: sets whose similarity reaches the threshold differ in at most d shingles, so of
 d + 1 + e parts, by ranges of the shingles' hashes, more than e are equal in both. Each document sends the keys of its
-parts, all but its up to e nearly empty ones; what shares a key is one bucket. In a bucket all are first compared with
-its first member; only buckets that the links found so far leave in several components are searched through the R-tree.
+parts, all but its up to e nearly empty ones; what shares a key is one bucket. A few rounds compare one member of every
+bucket with the others, which joins large groups of copies in linear time; only buckets that the links found so far
+leave in several components are then searched through the R-tree.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, table
+from gleaner.llm.common import materialize, table, with_ids
 from gleaner.llm.components import connected_components
 from gleaner.llm.hashing import mix, window_hashes, word_hashes
 
 GROUPS = 32
 LEAF = 64
+#: Rounds in which one member of every bucket is compared with the others, before the R-tree takes the rest.
+STAR_ROUNDS = 4
 #: Bands of set sizes grow by this factor.
 BAND_GROWTH = 1.4
 
@@ -148,7 +151,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, points: DataFrame, *, width: int,
             right = [k for k, s in enumerate(found) if len(s) and set_id(s) == part.column(2)[k].as_py()]  # an id may hold several texts
             yield pa.RecordBatch.from_arrays([pa.array([part.column(2)[k].as_py() for k in right], pa.int64()), pa.array([found[k].tobytes() for k in right], pa.binary())], ["sid", "shingles"])
 
-    held = rows.join(holders, "doc_id").select("doc_id", "text", "sid").mapInArrow(sets, "sid long, shingles binary").dropDuplicates(["sid"])
+    held = with_ids(rows, holders, "doc_id").select("doc_id", "text", "sid").mapInArrow(sets, "sid long, shingles binary").dropDuplicates(["sid"])
     held = materialize(held, "sets")
     both = pairs.join(held.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -165,9 +168,8 @@ def _verify(pairs: DataFrame, rows: DataFrame, points: DataFrame, *, width: int,
 
 
 def _leaf_pairs(members: DataFrame, points: DataFrame, *, num: int, den: int) -> DataFrame:
-    """Pairs of different components in one bucket that the R-tree's leaves and points leave, but for those with the
-    bucket's first member, compared before."""
-    rows = members.where("sid <> lo").join(points, "sid").select("key", "sid", "comp", "n", "counts")
+    """Pairs of different components in one bucket that the R-tree's leaves and points leave."""
+    rows = members.join(points, "sid").select("key", "sid", "comp", "n", "counts")
     packed = rows.withColumn("leaf", F.floor((F.expr("row_number() over (partition by key order by n, counts, sid)") - 1) / LEAF))
     leaves = packed.groupBy("key", "leaf").agg(F.collect_list(F.struct("sid", "comp", "n", "counts")).alias("own"))
     box = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.array_max(F.transform("own", lambda p: F.get(p["counts"], g))))
@@ -198,6 +200,19 @@ def _leaf_pairs(members: DataFrame, points: DataFrame, *, num: int, den: int) ->
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _placed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Members of buckets with their component so far."""
+    if parts is None:
+        return members.withColumn("comp", F.col("sid"))
+    return members.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
+
+
+def _likely(pairs: DataFrame, points: DataFrame, *, num: int, den: int) -> DataFrame:
+    """Of (a, b) pairs those whose points' summed minima would do."""
+    p, q = (points.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"c_{s}")) for s in "ab")
+    return pairs.join(p, "a").join(q, "b").where(_may_link(F.col("n_a") + F.col("n_b"), _minima(F.col("c_a"), F.col("c_b")), num, den)).select("a", "b")
+
+
 def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
@@ -209,19 +224,32 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
     sigs = materialize(signatures(rows, width=width), "signatures")
     points = materialize(sigs.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("any_doc"), F.first("n").alias("n"), F.first("counts").alias("counts")), "points")
     keys = _bucket_keys(rows, width=width, num=num, den=den)
-    shared = keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key", "lo")
-    members = materialize(keys.join(shared, "key").distinct(), "members")
-    star = members.where("sid <> lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct()
-    p, q = (points.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"c_{s}")) for s in "ab")
-    likely = star.join(p, "a").join(q, "b").where(_may_link(F.col("n_a") + F.col("n_b"), _minima(F.col("c_a"), F.col("c_b")), num, den)).select("a", "b")
-    links = _verify(materialize(likely, "pairs"), rows, points, width=width, num=num, den=den)
-    parts = materialize(connected_components(links), "components")
-    placed = members.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("key", "lo", "sid", F.coalesce("root", "sid").alias("comp"))
+    shared = keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
+    members = materialize(keys.join(shared.select("key"), "key").distinct(), "members")
+    links, parts, tested = None, None, None
+    for turn in range(STAR_ROUNDS):
+        # Every open bucket compares one more member with those of its other components; the first round opens all.
+        placed = _placed(members, parts)
+        leader = F.min_by(F.struct("sid", "comp"), F.xxhash64(F.lit(turn), "sid")).alias("lead")
+        leaders = placed.groupBy("key").agg(leader, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key", "lead")
+        star = placed.join(leaders, "key").where("comp <> lead.comp").select(F.least("sid", "lead.sid").alias("a"), F.greatest("sid", "lead.sid").alias("b")).distinct()
+        likely = _likely(star, points, num=num, den=den)
+        pairs = materialize(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.head(1):
+            break
+        tested = pairs if tested is None else tested.union(pairs)
+        found = _verify(pairs, rows, points, width=width, num=num, den=den)
+        links = found if links is None else links.union(found)
+        parts = materialize(connected_components(links), "components")
+    # Buckets of two are settled: their one pair was the first star.
+    placed = _placed(members, parts)
     open_keys = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("m > 2 and c0 < c1").select("key")
-    rest = materialize(_leaf_pairs(placed.join(open_keys, "key"), points, num=num, den=den), "pairs")
+    rest = _leaf_pairs(placed.join(open_keys, "key"), points, num=num, den=den)
+    rest = materialize(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti"), "pairs")
     if rest.head(1):
         more = _verify(rest, rows, points, width=width, num=num, den=den)
-        parts = materialize(connected_components(links.union(more)), "components")
+        parts = materialize(connected_components(more if links is None else links.union(more)), "components")
+    parts = parts if parts is not None else points.select(F.col("sid").alias("node"), F.col("sid").alias("root"))
     grouped = points.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "any_doc", F.coalesce("root", "sid").alias("comp"))
     first = grouped.groupBy("comp").agg(F.min("any_doc").alias("component_id"))
     named = grouped.join(first, "comp").select("sid", "component_id")
