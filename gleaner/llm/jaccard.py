@@ -225,7 +225,8 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
     points = materialize(sigs.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("any_doc"), F.first("n").alias("n"), F.first("counts").alias("counts")), "points")
     keys = _bucket_keys(rows, width=width, num=num, den=den)
     shared = keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
-    members = materialize(keys.join(shared.select("key"), "key").distinct(), "members")
+    shared = materialize(shared.select("key"), "shared")  # lets go of the first shuffle of keys before the second
+    members = materialize(keys.join(shared, "key").distinct(), "members")
     links, parts, tested = None, None, None
     for turn in range(STAR_ROUNDS):
         # Every open bucket compares one more member with those of its other components; the first round opens all.
