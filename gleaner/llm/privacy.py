@@ -3,7 +3,7 @@
 Base detectors find e-mail addresses, IP addresses, payment cards and telephone numbers. Each distinct value found is a
 protected entity. Corpus co-occurrence then tells how strongly a term reveals one: the share of the term's documents
 that hold the entity, and the information this gives over the entity's own frequency. In the documents that hold an
-entity, terms above both thresholds are further spans; sanitising generalises base spans to their kind and removes terms.
+entity, terms above both thresholds are further spans, however few documents that are; sanitising generalises base spans to their kind and removes terms.
 """
 
 from __future__ import annotations
@@ -92,11 +92,20 @@ def _words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(text, r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_texts: int = 5, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
+def _any_of(terms: Column) -> Column:
+    """A pattern of the terms as whole words; those with the same first two letters are tried together."""
+    heads = F.array_distinct(F.transform(terms, lambda t: F.substring(t, 1, 2)))
+    tails = lambda h: F.transform(F.filter(terms, lambda t: F.substring(t, 1, 2) == h), lambda t: F.substring(t, F.lit(3), F.length(t)))
+    return F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform(heads, lambda h: F.concat(h, F.lit("(?:"), F.array_join(tails(h), "|"), F.lit(")"))), "|"), F.lit(r")(?!\p{L})"))
+
+
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_texts: int = 1, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
     """One row per document: doc_id, base, spans (arrays of start, ord, kind, end, value) and text_key.
 
-    A term is flagged for an entity where both occur together in ``min_texts`` different texts, the entity is in
-    ``min_share`` of the term's documents, and that is ``min_bits`` more information than the entity's own share.
+    A term is flagged for an entity where the entity is in ``min_share`` of the term's documents and that is ``min_bits``
+    more information than the entity's own share. The share is smoothed by one more document of the term that holds the
+    entity as often as any document does: a term of one document passes only just, one stray use of it undoes that, and
+    more documents bear more strays. Callers may ask for ``min_texts`` different texts besides.
     Null texts count as empty; copies count as documents but not as different texts; repeated rows each get a row.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -110,20 +119,28 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
     entity = F.array_distinct(F.transform("x.base", lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"])))))
     holders = materialize(holders.select("text_key", "copies", F.col("x.text").alias("text"), entity.alias("entities")), "holders")
     each = holders.select("text_key", "copies", "text", F.explode("entities").alias("entity"))
-    often = each.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("entity_docs")).where(F.col("texts") >= min_texts)
-    # A term never lies in a base span: those are blanked first.
-    pairs = each.join(often, "entity").select("text_key", "copies", "entity", "entity_docs", F.explode(_words(F.col("text"))).alias("term"))
-    pairs = materialize(pairs, "pairs")
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("docs"), F.first("entity_docs").alias("entity_docs"))
-    both = both.where(F.col("texts") >= min_texts)
+    # Entities of the same texts reveal the same terms: one of them stands for all.
+    same = [F.bit_xor(F.xxhash64("text_key", F.lit(k))).alias(f"same{k}") for k in (1, 2)]
+    known = each.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("entity_docs"), *same).where(F.col("texts") >= min_texts)
+    known = known.groupBy("texts", "entity_docs", "same1", "same2").agg(F.min("entity").alias("entity"))
+    owners = each.join(known, "entity").groupBy("text_key").agg(F.max("entity_docs").alias("most"), F.collect_list(F.struct("entity", "entity_docs")).alias("owners"))
+    owners = materialize(owners, "owners")
     # Document frequencies over the whole corpus, summed in each task before the shuffle.
     seen = rows.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
+    # Terms of more documents than any entity of the text can have its share of are out before pairs are made.
+    words = holders.join(owners.select("text_key", "most"), "text_key").select("text_key", "copies", "most", F.explode(_words(F.col("text"))).alias("term"))
+    words = words.join(seen, "term").where(F.col("most") + 1 >= min_share * (F.col("term_docs") + 1)).drop("most")
+    pairs = words.join(owners, "text_key").select("text_key", "copies", "term", "term_docs", F.inline("owners"))
+    pairs = materialize(pairs, "pairs")
+    both = pairs.groupBy("entity", "term").agg(
+        F.count("*").alias("texts"), F.sum("copies").alias("docs"), F.first("entity_docs").alias("entity_docs"), F.first("term_docs").alias("term_docs"),
+    ).where(F.col("texts") >= min_texts)
     total = rows.agg(F.count("*").alias("all_docs"))
-    share = F.col("docs") / F.col("term_docs")
-    strong = both.join(seen, "term").crossJoin(F.broadcast(total)).where((share >= min_share) & (F.log2(share * F.col("all_docs") / F.col("entity_docs")) >= min_bits))
+    usual = F.col("entity_docs") / F.col("all_docs")
+    share = (F.col("docs") + usual) / (F.col("term_docs") + 1)
+    strong = both.crossJoin(F.broadcast(total)).where((share >= min_share) & (F.log2(share / usual) >= min_bits))
     terms = pairs.join(strong.select("entity", "term"), ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("terms"))
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    more = holders.join(terms, "text_key").select("text_key", _spans(F.col("text"), pattern, TERM, TERM_ORDER).alias("added"))
+    more = holders.join(terms, "text_key").select("text_key", _spans(F.col("text"), _any_of(F.col("terms")), TERM, TERM_ORDER).alias("added"))
     joined = found.drop("text").join(more, "text_key", "left")
     outside = F.filter("added", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return joined.select("doc_id", "text_key", "base", F.array_sort(F.concat("base", F.coalesce(outside, F.array().cast(f"array<{SPAN}>")))).alias("spans"))

@@ -4,6 +4,8 @@ import random
 import re
 import zlib
 
+from pyspark.sql import functions as F
+
 from gleaner.llm.decontamination import find_leaks, op4_bm25_leaks, terms_of
 from gleaner.llm.language import fit, op8_language_mixture, predict
 from gleaner.llm.privacy import find, op5_sanitise_terms, sanitise, span_text
@@ -78,6 +80,18 @@ def test_terms_that_reveal_an_entity_are_removed(spark):
     assert got[900] == "Zorblax alone" and got[101] == dict(rows)[101]
 
 
+def test_terms_of_rare_entities_are_removed(spark):
+    rows = [(0, "call Quillfeather under jo@corp.example.org now")]  # one document
+    rows += [(1 + k, "call Brindlemoss under al@corp.example.org now") for k in range(3)] + [(9, "Brindlemoss now")]  # copies, one stray
+    rows += [(10, "call Stonewhistle under bo@corp.example.org or cy@corp.example.org now"), (11, "Stonewhistle now")]  # a stray against one
+    rows += [(100 + k, f"call nobody under any address now q{k}x") for k in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in frame.join(find(frame).drop("text"), "doc_id").select("doc_id", sanitise(frame.text, F.col("spans")).alias("s")).collect()}
+    assert got[0] == "call  under <email> now" and got[1] == got[2] == got[3] == "call  under <email> now"
+    assert got[9] == "Brindlemoss now" and got[100] == dict(rows)[100]
+    assert got[10] == "call Stonewhistle under <email> or <email> now" and got[11] == "Stonewhistle now"
+
+
 def base_secrets(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
