@@ -1,16 +1,17 @@
 """Operator 4: benchmark decontamination with a BM25 inverted index and block-max bounds.
 
-Test items are indexed once: every term has its BM25 contribution to each item that holds it, and its largest one in
-each block of items. Every passage of every training text is a query. The sum of its terms' block maxima bounds the score
-of all items of a block; only blocks whose bound reaches the block's lowest threshold are scored. What scores above an
-item's threshold is retrieved, all of it, and verified: the passage must hold enough of the question and of the answer.
+Test items are indexed once: every term has a posting list, its BM25 contribution to each item that holds it, and the
+largest ones of each block of items. Every passage of every training text is a query. Its terms are taken from the least
+largest contribution up: WAND's pivot is the first at which their sum can reach any threshold, and only blocks in the lists
+from there on can hold an answer. The pivot is found once per passage, for many passages at a time, and not moved along
+the lists. The sum of all terms' block maxima then bounds the score of a block's items; only blocks whose bound reaches
+their lowest threshold are scored. What scores above an item's threshold is retrieved, all of it, and verified: the
+passage must hold enough of the question and of the answer.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table, total_bytes
+from gleaner.llm.common import materialize, table
 
 #: Items in a block of the index.
 BLOCK = 16
-#: UTF-8 bytes of items in one broadcast index; more items are indexed in several runs.
-INDEX_BYTES = 32 << 20
+#: Terms of all items in one broadcast index, and so at most its postings; more items are indexed in several runs.
+INDEX_TERMS = 1 << 20
+#: Block entries or lookups at a time.
+BATCH = 1 << 20
 K1, B = 1.2, 0.75
 TERM = re.compile(r"[^\W_]+")
 
@@ -41,68 +44,118 @@ def question_and_answer(terms: list[str]) -> tuple[list[str], list[str]]:
 
 @dataclass
 class Index:
-    """``weights[t, i]``: contribution of term t to item i; ``maxima[t, b]``: its largest in block b."""
+    """Postings as sorted keys term * (places for items) + item, block maxima as sorted keys term * blocks + block.
 
-    items: list[int]
-    parts: list[tuple[list[str], list[str]]]
+    ``ends[t]``: where the block entries of term t end; ``tops[t]``: its largest contribution. The term after the last
+    one stands for all that no item holds. ``tokens`` are the items' terms, one item after the other, cut at ``cuts``.
+    """
+
+    items: list[int | None]
+    tokens: np.ndarray
+    cuts: np.ndarray
     vocabulary: dict[str, int]
+    postings: np.ndarray
     weights: np.ndarray
+    entries: np.ndarray
     maxima: np.ndarray
+    ends: np.ndarray
+    tops: np.ndarray
     thresholds: np.ndarray
     lowest: np.ndarray
-    longest: int
+
+    def parts(self, item: int) -> tuple[list[int], list[int]]:
+        return question_and_answer(self.tokens[self.cuts[item] : self.cuts[item + 1]].tolist())
 
 
-def build_index(items: list[tuple[int, str]], *, share: float) -> Index | None:
-    """Index of the items that have terms; an item is retrieved from ``share`` of its score with itself on."""
-    split = sorted(((k, t) for k, t in ((k, terms_of(text or "")) for k, text in items) if t), key=lambda x: (len(x[1]), x[0]))
-    if not split:
+def build_index(items: list[tuple[int | None, list[str]]], frequency: dict[str, int], *, count: int, mean: float, share: float) -> Index | None:
+    """Index of items, each with one term at least; an item is retrieved from ``share`` of its score with itself on.
+    ``frequency`` of terms, ``count`` and ``mean`` length are those of all items, also of other indexes."""
+    if not items:
         return None
-    frequency = Counter(t for _, terms in split for t in set(terms))
-    vocabulary = {t: k for k, t in enumerate(sorted(frequency))}
-    mean = sum(len(t) for _, t in split) / len(split)
+    split = sorted(items, key=lambda x: (len(x[1]), x[0] is None, x[0] or 0))
+    vocabulary: dict[str, int] = {}
+    tokens = np.array([vocabulary.setdefault(t, len(vocabulary)) for _, terms in split for t in terms], dtype=np.int32)
+    lengths = np.array([len(t) for _, t in split])
     blocks = -(-len(split) // BLOCK)
-    weights = np.zeros((len(vocabulary) + 1, blocks * BLOCK), dtype=np.float32)  # the last row: terms of no item
-    for i, (_, terms) in enumerate(split):
-        for t, n in Counter(terms).items():
-            idf = math.log(1 + (len(split) - frequency[t] + 0.5) / (frequency[t] + 0.5))
-            weights[vocabulary[t], i] = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * len(terms) / mean))
-    thresholds = np.full(blocks * BLOCK, np.inf, dtype=np.float32)
-    thresholds[: len(split)] = share * weights[:, : len(split)].sum(axis=0)
+    places = blocks * BLOCK
+    postings, n = np.unique(tokens.astype(np.int64) * places + np.repeat(np.arange(len(split)), lengths), return_counts=True)
+    term, item = postings // places, postings % places
+    held = np.array([frequency[t] for t in vocabulary], dtype=np.float64)
+    idf = np.log(1 + (count - held + 0.5) / (held + 0.5))
+    weights = (idf[term] * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[item] / mean))).astype(np.float32)
+    entries, first = np.unique(term * blocks + item // BLOCK, return_index=True)
+    maxima = np.maximum.reduceat(weights, first)
+    tops = np.zeros(len(vocabulary) + 1, dtype=np.float32)
+    np.maximum.at(tops, term, weights)
+    thresholds = np.full(places, np.inf)
+    thresholds[: len(split)] = share * np.bincount(item, weights, len(split))
     return Index(
-        [k for k, _ in split], [question_and_answer(t) for _, t in split], vocabulary, weights, weights.reshape(len(weights), blocks, BLOCK).max(axis=2),
-        thresholds, thresholds.reshape(blocks, BLOCK).min(axis=1), max(len(t) for _, t in split),
+        [k for k, _ in split], tokens, np.concatenate([[0], np.cumsum(lengths)]), vocabulary, postings, weights, entries, maxima,
+        np.searchsorted(entries, np.arange(1, len(vocabulary) + 2) * blocks), tops, thresholds, thresholds.reshape(blocks, BLOCK).min(axis=1),
     )
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, place) of all places of ranges of ``n`` places each."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - (np.cumsum(n) - n)[which] + first[which]
+
+
+def _score(index: Index, rows: np.ndarray, which: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(row, item, score) of the items of some blocks that reach their thresholds."""
+    blocks = len(index.lowest)
+    keys = rows[which].astype(np.int64) * blocks + block[:, None]
+    at = np.minimum(np.searchsorted(index.entries, keys), len(index.entries) - 1)
+    bound = np.where(index.entries[at] == keys, index.maxima[at], 0).sum(axis=1, dtype=np.float64)
+    good = bound >= index.lowest[block] * 0.9999
+    which, block = which[good], block[good]
+    if not len(which):
+        return
+    keys = (rows[which].astype(np.int64) * (blocks * BLOCK) + block[:, None] * BLOCK).ravel()
+    first = np.searchsorted(index.postings, keys)
+    pair, at = _ranges(first, np.searchsorted(index.postings, keys + BLOCK) - first)
+    own = pair // rows.shape[1]
+    scores = np.bincount(own * BLOCK + index.postings[at] % BLOCK, index.weights[at], len(which) * BLOCK).reshape(-1, BLOCK)
+    for k, i in zip(*(x.tolist() for x in np.nonzero(scores >= index.thresholds.reshape(-1, BLOCK)[block] * 0.9999))):
+        yield int(which[k]), int(block[k]) * BLOCK + i, float(scores[k, i])
+
+
 def retrieve(index: Index, ids: np.ndarray, width: int) -> list[tuple[int, int, float]]:
     """(first term of a passage, item, score) of all passages of ``width`` terms, each beginning half a passage after the
-    one before, that reach an item's threshold. ``ids``: the text's terms as rows of the index."""
+    one before, that reach an item's threshold. ``ids``: the text's terms as terms of the index."""
     out: list[tuple[int, int, float]] = []
-    none = len(index.weights) - 1
+    none, blocks, least = len(index.tops) - 1, len(index.lowest), index.lowest.min() * 0.9999
     starts = np.arange(0, max(1, len(ids) - width // 2), width // 2)
-    for k in range(0, len(starts), 512):
-        own = starts[k : k + 512]
+    step = max(1, min(512, BATCH // width))
+    for k in range(0, len(starts), step):
+        own = starts[k : k + step]
         at = own[:, None] + np.arange(width)
         rows = np.where(at < len(ids), ids[np.minimum(at, len(ids) - 1)], none)
         rows.sort(axis=1)
         rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = none  # a term of a query counts once
-        bound = np.zeros((len(own), index.maxima.shape[1]), dtype=np.float32)
-        live = rows != none
-        which, column = np.nonzero(live)
-        if not len(which):
+        able = np.flatnonzero(index.tops[rows].sum(axis=1, dtype=np.float64) >= least)
+        if not len(able):
             continue
-        found, first = np.unique(which, return_index=True)
-        bound[found] = np.add.reduceat(index.maxima[rows[which, column]], first, axis=0)
-        for p, b in zip(*(x.tolist() for x in np.nonzero(bound >= index.lowest * np.float32(0.9999)))):
-            block = slice(b * BLOCK, (b + 1) * BLOCK)
-            scores = index.weights[rows[p][live[p]], block].sum(axis=0)
-            for i in np.flatnonzero(scores >= index.thresholds[block] * np.float32(0.9999)).tolist():
-                out.append((int(own[p]), b * BLOCK + i, float(scores[i])))
+        own, rows = own[able], rows[able]
+        rows = np.take_along_axis(rows, np.argsort(index.tops[rows], axis=1), axis=1)[:, -max(1, int((rows != none).sum(axis=1).max())) :]
+        tops = index.tops[rows]
+        which, column = np.nonzero((np.cumsum(tops, axis=1, dtype=np.float64) >= least) & (tops > 0))  # from the pivot on
+        term = rows[which, column]
+        first = np.where(term > 0, index.ends[term - 1], 0)
+        n = index.ends[term] - first
+        turn = np.cumsum(np.bincount(which, n, len(own))) // BATCH  # of each passage, whole ones together
+        for t in np.unique(turn):
+            here = turn[which] == t
+            pair, at = _ranges(first[here], n[here])
+            open_ = np.unique(which[here][pair] * blocks + index.entries[at] % blocks)
+            size = max(1, BATCH // rows.shape[1])
+            for j in range(0, len(open_), size):
+                some = open_[j : j + size]
+                out += [(int(own[p]), i, x) for p, i, x in _score(index, rows, some // blocks, some % blocks)]
     return out
 
 
-def overlap(part: list[str], passage: list[str], gram: int = 3) -> float:
+def overlap(part: list, passage: list, gram: int = 3) -> float:
     """Share of the part's runs of ``gram`` terms (fewer: of the whole part) that the passage holds."""
     n = min(gram, len(part))
     held = {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}
@@ -117,16 +170,31 @@ def find_leaks(
     """Verified leaks: doc_id, item_id, score, question_overlap, answer_overlap, the best passage of each pair.
 
     Passages are twice as long as the longest item, so one holds every copy of an item whole. Null and empty texts and
-    items leak nothing; repeated rows leak each. Items are broadcast in parts of at most ``INDEX_BYTES`` of text.
+    items leak nothing; repeated rows leak each. Items are broadcast in parts of about ``INDEX_TERMS`` terms each; lengths
+    and frequencies are those of all items, so the parts find what one index would.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tests = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    parts = max(1, -(-total_bytes(tests, "text") // INDEX_BYTES))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = pa.array([terms_of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), terms], ["item_id", "terms"])
+
+    tests = materialize(tests.mapInArrow(cut, "item_id long, terms array<string>").where(F.size("terms") > 0), "items")
+    held_by = lambda own: own.select(F.explode(F.array_distinct("terms")).alias("term"))
+    frequency = materialize(held_by(tests).groupBy("term").agg(F.count("*").alias("n")), "frequency")
+    of_all = tests.agg(F.count("*").alias("count"), F.avg(F.size("terms")).alias("mean"), F.max(F.size("terms")).alias("longest"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
+    parts, width = max(1, -(-of_all["terms"] // INDEX_TERMS)), 2 * (of_all["longest"] or 1)
     out = None
     for part in range(parts):
-        own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        held = docs.sparkSession.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in own], share=share))
+        own = tests.where(F.pmod(F.xxhash64("item_id", "terms"), F.lit(parts)) == part)
+        often = (frequency.join(held_by(own).distinct(), "term", "left_semi") if parts > 1 else frequency).select("term", "n").toArrow()
+        often = dict(zip(often["term"].to_pylist(), often["n"].to_pylist()))
+        own = own.toArrow()
+        own = list(zip(own["item_id"].to_pylist(), own["terms"].to_pylist()))
+        held = docs.sparkSession.sparkContext.broadcast(build_index(own, often, count=of_all["count"], mean=of_all["mean"], share=share))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
@@ -136,12 +204,12 @@ def find_leaks(
                     terms = terms_of(text or "")
                     if not terms:
                         continue
-                    get, none, width = index.vocabulary.get, len(index.vocabulary), 2 * index.longest
+                    get, none = index.vocabulary.get, len(index.vocabulary)
                     ids = np.fromiter((get(t, none) for t in terms), dtype=np.int64, count=len(terms))
                     best: dict[int, tuple] = {}
                     for at, item, score in retrieve(index, ids, width):
-                        passage = terms[at : at + width]
-                        asked, answered = (overlap(p, passage) for p in index.parts[item])
+                        passage = ids[at : at + width].tolist()
+                        asked, answered = (overlap(p, passage) for p in index.parts(item))
                         if asked >= question_overlap and answered >= answer_overlap:
                             best[item] = max(best.get(item, (0.0,)), (score, asked, answered))
                     found += [(doc, index.items[i], *x) for i, x in sorted(best.items())]

@@ -1,11 +1,15 @@
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from gleaner.llm import decontamination
 from gleaner.llm.decontamination import find_leaks, op4_bm25_leaks, terms_of
 from gleaner.llm.language import fit, op8_language_mixture, predict
 from gleaner.llm.privacy import find, op5_sanitise_terms, sanitise, span_text
@@ -137,3 +141,30 @@ def test_leaks_of_odd_tables(spark):
     got = sorted((r.doc_id, r.item_id) for r in find_leaks(docs, items).collect())
     assert got == [(1, 7), (1, 7), (1, 10), (1, 10)]
     assert find_leaks(docs, items.limit(0)).count() == 0 == find_leaks(docs.limit(0), items).count()
+
+
+def test_the_index_of_many_items_is_sparse_and_retrieves_all():
+    rng = random.Random(8)
+    items = [(k, [f"w{min(rng.randrange(1, 40_000), rng.randrange(1, 40_000))}" for _ in range(rng.randrange(5, 40))] + ["the"]) for k in range(3000)]
+    often = Counter(t for _, terms in items for t in set(terms))
+    mean = sum(len(t) for _, t in items) / len(items)
+    index = decontamination.build_index(items, often, count=len(items), mean=mean, share=0.6)
+    assert len(pickle.dumps(index)) < 8 << 20  # a dense one has 3,000 floats for each of its terms
+    text = [t for k in range(0, 60) for t in (*items[k * 7][1], *(rng.choice(items)[1][:6]), "zzz")]
+    ids = np.array([index.vocabulary.get(t, len(index.vocabulary)) for t in text])
+    width, want = 80, set()
+    for at in range(0, len(text) - width // 2, width // 2):
+        passage = set(text[at : at + width])
+        for k, terms in items:
+            part = {t: math.log(1 + (3000 - often[t] + 0.5) / (often[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(terms) / mean)) for t, n in Counter(terms).items()}
+            if sum(w for t, w in part.items() if t in passage) >= 0.6 * 0.9999 * sum(part.values()):
+                want.add((at, k))
+    assert {(at, index.items[i]) for at, i, _ in decontamination.retrieve(index, ids, width)} == want and len(want) > 50
+
+
+def test_items_in_several_indexes_leak_alike(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    rows = lambda: sorted((r.doc_id, r.item_id, round(r.score, 4)) for r in find_leaks(docs, items).collect())
+    want = rows()
+    monkeypatch.setattr(decontamination, "INDEX_TERMS", 500)
+    assert rows() == want
