@@ -92,24 +92,36 @@ def external_leaders(df: DataFrame, *, by: list[str], key: str, rank: str, confi
 
 
 def series_picks(df: DataFrame, *, by: list[str], key: str, vector: str, quality: str, most: int = 3, slack: float = 0.08, alike: float = 0.94) -> DataFrame:
-    """Up to ``most`` good and diverse members of each (bounded) group, best first: (by, key, pick)."""
-    import numpy as np
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([quality, key], ascending=[False, True])
-        v = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
-        chosen: list[int] = []
-        for i in range(len(pdf)):
-            if len(chosen) < most and pdf[quality].iloc[i] >= pdf[quality].iloc[0] - slack and (not chosen or (v[chosen] @ v[i]).max() < alike):
-                chosen.append(i)
-        out = pdf.iloc[chosen][[*by, key]].copy()
-        out["pick"] = np.arange(1, len(out) + 1, dtype=np.int32)
-        return out
+    """Up to ``most`` good and diverse members of each group of any size, best first: (by, key, pick).
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*by, key]), "pick int"])
-    return df.select(*by, key, vector, quality).groupBy(*by).applyInPandas(pick, schema)
+    Each round takes the best row left of every group and drops those like it. Rows meet their group's best or pick by
+    the group and one of 64 salts, so a large group is dealt over many tasks.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_salt")
+
+    def meet(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        names = [f"_by{k}" for k in range(len(by))]
+        small = groups.select(*(F.col(c).alias(n) for c, n in zip(by, names)), *(c for c in groups.columns if c not in by), salts).withColumnRenamed("_salt", "_turn")
+        on = F.col("_salt") == F.col("_turn")
+        for c, n in zip(by, names):
+            on = on & F.col(c).eqNullSafe(F.col(n))
+        return rows.join(small, on).drop(*names, "_turn")
+
+    length = F.greatest(X.norm(F.col(vector)), F.lit(1e-8))
+    unit = F.transform(vector, lambda x: x.cast("double") / length)
+    rows = df.select(*by, key, unit.alias("_unit"), F.col(quality).cast("double").alias("_quality"), F.monotonically_increasing_id().alias("_row"))
+    rows = materialize(rows.where(F.col("_quality").isNotNull() & ~F.isnan("_quality")).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(64)).cast("int")))
+    left = meet(rows, rows.groupBy(*by).agg(F.max("_quality").alias("_best"))).where(F.col("_quality") >= F.col("_best") - slack).drop("_best")
+    out = None
+    for k in range(1, most + 1):
+        left = materialize(left)
+        first = left.groupBy(*by).agg(F.min(F.struct((-F.col("_quality")).alias("q"), F.col(key).alias("key"), "_row")).alias("_first"))
+        picks = materialize(left.select("_row", F.col("_unit").alias("_like")).join(first.select(*by, F.col("_first.key").alias(key), F.col("_first._row").alias("_row")), "_row"))
+        one = picks.select(*by, key, F.lit(k).alias("pick"))
+        out = one if out is None else out.unionByName(one)
+        near = meet(left, picks.select(*by, "_like", F.col("_row").alias("_picked")))
+        left = near.where((F.col("_row") != F.col("_picked")) & (X.dot(F.col("_unit"), F.col("_like")) < alike)).drop("_like", "_picked")
+    return out
 
 
 def complete_link_stacks(df: DataFrame, *, by: list[str], key: str, vector: str, threshold: float) -> DataFrame:

@@ -58,6 +58,24 @@ def test_diversity_equals_the_sequential_rule(spark):
     assert sorted(r.n for r in out.collect()) == kept
 
 
+def test_series_picks_equal_the_sequential_rule_without_whole_groups(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, rng.choice([None, 1, 1, 1, 2, 3]), [rng.gauss(0, 1) for _ in range(4)] if k % 50 else [0.0] * 4, rng.choice([0.9, 0.95, 0.99, 1.0, 0.5, None])) for k in range(400)]
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", None)  # one task would hold a whole group
+    frame = spark.createDataFrame(rows, "id long, g int, v array<double>, q double").repartition(5)
+    got = {(r.g, r.id, r.pick) for r in G.series_picks(frame, by=["g"], key="id", vector="v", quality="q", most=4, alike=0.5).collect()}
+    want = set()
+    for g in (None, 1, 2, 3):
+        own = sorted((r for r in rows if r[1] == g and r[3] is not None), key=lambda r: (-r[3], r[0]))
+        chosen = []
+        for _, (k, _, v, q) in enumerate(own):
+            u = np.array(v) / max(np.linalg.norm(v), 1e-8)
+            if len(chosen) < 4 and q >= own[0][3] - 0.08 and all(c @ u < 0.5 for c in chosen):
+                chosen.append(u)
+                want.add((g, k, len(chosen)))
+    assert got == want and len(want) > 10
+
+
 @pytest.mark.parametrize("bands", [J.BANDS_64, J.BANDS_60])
 def test_signature_pairs_lose_no_flip_pattern(spark, bands):
     rng, rows = random.Random(3), []
