@@ -20,26 +20,43 @@ from gleaner.llm.privacy import find, sanitise
 LEAST_GAIN = 0.0
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a ``row_key``, equal for rows of the same id and text; null for rows without an id."""
+    return docs.withColumn("row_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", F.col("text").isNull())))
+
+
+def _by_key(docs: DataFrame) -> DataFrame:
+    """The texts with their row key for an id, for operators that tell documents apart by id."""
+    return _keyed(docs).select(F.col("row_key").alias("doc_id"), "text")
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents but for those with a rejected doc_id; rows without an id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The documents but for those whose row key is a rejected doc_id; rows without an id stay."""
+    return _keyed(docs).join(rejected.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold no learned language: no letters, or trigrams that no learned language explains."""
-    found = predict(docs, fit(docs.where(~is_held_out(F.col("doc_id")))))
+    found = predict(_by_key(docs), fit(docs.where(~is_held_out(F.col("doc_id")))))
     return _without(docs, materialize(found.where((F.col("lang_pred") == UNKNOWN) | (F.col("gain") < LEAST_GAIN)), "rejected"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group that links of five-word shingle sets, similarity 0.8, join."""
-    grouped = join(docs, width=5, num=80, den=100)
-    return _without(docs, materialize(grouped.where(F.col("doc_id") != F.col("component_id")), "rejected"))
+    """Keep the document with the smallest id of each group that links of five-word shingle sets, similarity 0.8, join,
+    and one row of those with the same id and text."""
+    grouped = join(_by_key(docs), width=5, num=80, den=100).where("doc_id is not null").select(F.col("doc_id").alias("row_key"), "component_id")
+    grouped = materialize(grouped.groupBy("row_key").agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "grouped")
+    ids = _keyed(docs).where("row_key is not null").groupBy("row_key").agg(F.min("doc_id").alias("doc_id"))
+    first = grouped.join(ids, "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    settled = materialize(grouped.join(first, "component_id").select("row_key", "copies", (F.col("row_key") == F.col("first.row_key")).alias("kept")), "settled")
+    once = _without(docs, settled.where(~F.col("kept") | (F.col("copies") > 1)).select(F.col("row_key").alias("doc_id")))
+    repeated = _keyed(docs).join(settled.where(F.col("kept") & (F.col("copies") > 1)).select("row_key"), "row_key", "left_semi")
+    return once.unionByName(repeated.dropDuplicates(["row_key"]).select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    return _without(docs, materialize(find_leaks(docs, table(spark, sf_dir, "benchmark")), "rejected"))
+    return _without(docs, materialize(find_leaks(_by_key(docs), table(spark, sf_dir, "benchmark")), "rejected"))
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

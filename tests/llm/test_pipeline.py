@@ -29,3 +29,17 @@ def test_odd_documents_pass_through(spark):
     out = {(r.doc_id, r.text) for r in corpus_pipeline.privacy(spark, docs, SF).collect()}
     assert out == {(1, None), (2, ""), (None, "mail <email>"), (3, "mail <email>")}
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} >= {1, 2, 3}
+
+
+def test_one_id_with_several_texts_and_repeated_rows(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    prose = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) between 300 and 600").orderBy("doc_id").limit(3).collect()]
+    rows = [(1, prose[0]), (1, None), (1, item), (2, prose[1]), (2, prose[1]), (3, prose[1]), (3, prose[2])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    unique = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert texts(unique) == sorted({(1, prose[0]), (1, None), (1, item), (2, prose[1]), (3, prose[2])}, key=str)
+    assert (1, prose[0]) in texts(corpus_pipeline.decontamination(spark, unique, SF)) and (1, item) not in texts(corpus_pipeline.decontamination(spark, unique, SF))
+    named = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "n_chars"))
+    known = [x for x in texts(corpus_pipeline.language(spark, named, SF)) if x[0] == 1]
+    assert (1, prose[0]) in known and (1, None) not in known
