@@ -40,7 +40,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -49,22 +58,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Bits of the filter that :func:`with_ids` hands to every task: 8 MB, whatever the number of ids.
+#: Bits of the filter that :func:`holding` hands to every task: 8 MB, whatever the number of ids.
 FILTER_BITS = 1 << 26
 
 
-def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``rows`` (key first, all columns kept) joined with ``ids`` on the long column ``key``.
-
-    A bitmap of fixed size drops rows whose key is in no row of ``ids`` before the join shuffles them; when very many
-    ids fill it, it lets more rows pass and the join alone decides.
-    """
+def holding(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose long column ``key`` may be in ``ids``: all that are, and few others unless very many ids fill
+    the bitmap of fixed size that decides."""
     spark = rows.sparkSession
     slots = ids.select(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
-    words = slots.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect()
+    words = slots.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    if words:
-        bitmap[[r["word"] for r in words]] = [r["bits"] for r in words]
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     held = spark.sparkContext.broadcast(bitmap)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +79,16 @@ def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
             good = (bits[slot >> 6] >> (slot & 63)) & 1
             yield batch.filter(pa.array(good.astype(bool))).select(list(range(batch.num_columns - 1)))
 
-    likely = rows.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).mapInArrow(keep, rows.schema)
-    return likely.join(ids, key)
+    return rows.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).mapInArrow(keep, rows.schema)
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` (all columns kept) joined with ``ids`` on the long column ``key``.
+
+    A bitmap drops rows whose key is in no row of ``ids`` before the join shuffles them; when very many ids fill it, it
+    lets more rows pass and the join alone decides.
+    """
+    return holding(rows, ids, key).join(ids, key)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,65 +1,47 @@
 """Operator 9: n-gram Jaccard join on count vectors.
 
 A document is the set of its word shingles. Shingles are hashed to groups; the counts of the groups are a point, and
-the summed coordinate minima of two points bound the overlap of two sets from above. Boxes of points in the leaves of
-an R-tree bound all pairs of two leaves likewise. Pairs that survive are verified on the sets.
-
-Documents meet without a cross join: sets whose similarity reaches the threshold differ in at most d shingles, so of
-d + 1 + e parts, by ranges of the shingles' hashes, more than e are equal in both. Each document sends the keys of its
-parts, all but its up to e nearly empty ones; what shares a key is one bucket. A few rounds compare one member of every
-bucket with the others, which joins large groups of copies in linear time; only buckets that the links found so far
-leave in several components are then searched through the R-tree.
+the summed coordinate minima of two points bound the overlap of two sets from above. An R-tree packs points into boxes
+whose tops bound all points below likewise; only pairs of nodes that may hold a link are searched. Pairs that survive are
+verified on the sets.
+
+Documents meet without a cross join: in one order of all shingles, two sets that link share one of their first shingles
+(n - threshold * n + 1 of n). Shingles of very many documents come last in that order, so passages that many
+documents share bring few of them together. What shares such a key is one bucket. A few rounds compare one member of
+every bucket with the others, which joins large groups of copies in linear time; the R-tree then searches the buckets
+that are still in several components. Buckets too large for one task are cut into blocks, and every two blocks meet.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, table, with_ids
+from gleaner.llm.common import discard, holding, materialize, table
 from gleaner.llm.components import connected_components
 from gleaner.llm.hashing import mix, window_hashes, word_hashes
+from gleaner.llm.passages import text_batches
 
-GROUPS = 32
-LEAF = 64
+#: A point has about so many groups for each shingle that two linked sets of its size may each have alone.
+GROUPS_FOR_EACH = 8
+LEAST_GROUPS, MOST_GROUPS = 16, 4096
+#: Points in a leaf of the R-tree, children of an inner node, and points of a block.
+LEAF, FANOUT, BLOCK = 32, 8, 2048
 #: Rounds in which one member of every bucket is compared with the others, before the R-tree takes the rest.
-STAR_ROUNDS = 4
-#: Bands of set sizes grow by this factor.
-BAND_GROWTH = 1.4
-
-
-@lru_cache(maxsize=100_000)
-def band_of(size: int) -> tuple[int, int]:
-    """(number, upper end, exclusive) of the band of sizes that holds ``size``."""
-    k, low = 0, 1
-    while True:
-        high = max(low + 1, int(low * BAND_GROWTH))
-        if size < high:
-            return k, high
-        k, low = k + 1, high
-
-
-@lru_cache(maxsize=100_000)
-def part_plan(size: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
-    """(band, parts, nearly empty parts that may be left out) for each band whose members a set of this size can link to
-    as the smaller or equal one."""
-    out, largest = [], size * den // num
-    k, high = band_of(size)
-    while True:
-        differ = 2 * (high - 1) * (den - num) // (den + num)
-        if differ:
-            mean = high / (1 + BAND_GROWTH) * 2 / (differ + 1)
-            spare = math.ceil(1.5 * math.exp(-mean) * (1 + mean) * (differ + 1) - 0.05)
-            out.append((k, differ + 1 + max(0, spare), max(0, spare)))
-        if largest < high:
-            return tuple(out)
-        k, high = band_of(high)
+STAR_ROUNDS = 3
+#: Frequent shingles are those of at least this share of the documents, and at most MOST_FREQUENT of them: fewer than
+#: the shingles of all documents divided by the least frequency. They only decide the order of shingles.
+FREQUENT_SHARE, MOST_FREQUENT = 0.0005, 1 << 20
+#: Shingles counted at a time before frequent ones are summed over all data.
+COUNTED = 1 << 21
+#: Members of a star that meet its centre in one place.
+STAR = 512
+
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -72,189 +54,341 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
 def set_id(shingles: np.ndarray) -> int:
     """A 63-bit hash of the set."""
     total = mix(shingles ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(shingles))
     return int(mix(total[None])[0] >> np.uint64(1))
 
 
-def part_keys(shingles: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """The keys under which a set meets others, for each of its bands."""
-    out = []
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(shingles ^ np.uint64(0x5C5C5C5C)), dtype=np.uint64)])
-    for band, parts, spare in part_plan(len(shingles), num, den):
-        which = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        ends = np.searchsorted(which, np.arange(1, parts + 1, dtype=np.uint64))
-        begins = np.concatenate([[0], ends[:-1]])
-        keys = mix(sums[ends] - sums[begins] + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band * 0xD1B54A32D192ED03 % (1 << 64)))
-        few = ends - begins <= 1
-        out.append(keys[~few] if few.sum() <= spare else keys)
-    return out
+def first_shingles(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The shingles of which two linked sets share one, in the common order: by hash, frequent ones last."""
+    n = len(shingles)
+    own = np.isin(shingles, frequent, assume_unique=True) if len(frequent) else np.zeros(n, dtype=bool)
+    return np.concatenate([shingles[~own], shingles[own]])[: n - -(-num * n // den) + 1]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, size):
-            part = batch.slice(k, size)
-            yield part, [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+def groups_of(n: int, num: int, den: int) -> int:
+    """The number of groups of a set's point, a power of two."""
+    wanted = GROUPS_FOR_EACH * n * (den - num) // (den + num)
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << max(0, wanted - 1).bit_length()))
 
 
-def signatures(rows: DataFrame, *, width: int) -> DataFrame:
-    """(doc_id, n, sid, counts): set size, hash of the set (null without shingles), and the point of GROUPS counts."""
+def point_of(shingles: np.ndarray, num: int, den: int) -> bytes:
+    """The counts of the groups, in as few bytes as the largest needs."""
+    groups = groups_of(len(shingles), num, den)
+    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    most = int(counts.max())
+    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def counts_of(point: bytes, n: int, num: int, den: int) -> np.ndarray:
+    groups = groups_of(n, num, den)
+    return np.frombuffer(point, dtype=f"<u{len(point) // groups}").astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches):
-            sets = shingle_sets(texts, width)
-            counts = [np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).tolist() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(counts, pa.list_(pa.int32()))],
-                ["doc_id", "n", "sid", "counts"],
-            )
 
-    return rows.mapInArrow(run, "doc_id long, n long, sid long, counts array<int>")
+def fold(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Points (rows) on fewer groups."""
+    return counts if counts.shape[-1] == groups else counts.reshape(len(counts), -1, groups).sum(axis=1, dtype=np.int32)
 
 
-def _bucket_keys(rows: DataFrame, *, width: int, num: int, den: int) -> DataFrame:
+class Tree:
+    """A bulk-loaded R-tree of points, ordered by set size; level 0 holds the leaves' boxes.
+
+    ``left``: how many shingles of each set stand from the common key on. ``places``: of the points in the order of the
+    leaves. A box has the largest count of each group, on as many groups as its least point has, and the range of sizes.
+    """
+
+    def __init__(self, n: np.ndarray, left: np.ndarray, comp: np.ndarray, counts: list[np.ndarray]):
+        self.places = np.argsort(n, kind="stable")
+        self.n, self.left, self.comp = n[self.places], left[self.places], comp[self.places]
+        own = [(k, min(k + LEAF, len(n))) for k in range(0, len(n), LEAF)]
+        self.points = [np.stack([fold(counts[k][None], len(counts[self.places[a]]))[0] for k in self.places[a:b]]) for a, b in own]
+        tops = [p.max(axis=0) for p in self.points]
+        self.levels = [(own, tops)]
+        while len(own) > 1:
+            groups = [(k, min(k + FANOUT, len(own))) for k in range(0, len(own), FANOUT)]
+            tops = [np.max([fold(t[None], len(tops[i]))[0] for t in tops[i:j]], axis=0) for i, j in groups]
+            own = [(own[i][0], own[j - 1][1]) for i, j in groups]
+            self.levels.append((own, tops))
+
+
+def minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The summed coordinate minima of points, row by row, on the groups that both have."""
+    groups = min(a.shape[1], b.shape[1])
+    return np.minimum(fold(a, groups), fold(b, groups)).sum(axis=1)
+
+
+def tree_pairs(p: Tree, q: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in p, places in q) of pairs from different components that may link; p may be q."""
+
+    def may(x: tuple[int, int], y: tuple[int, int]) -> bool:
+        (a, b), (c, d) = p.levels[x[0]][0][x[1]], q.levels[y[0]][0][y[1]]
+        if p.n[b - 1] * den < num * q.n[c] or q.n[d - 1] * den < num * p.n[a]:
+            return False
+        return minima(p.levels[x[0]][1][x[1]][None], q.levels[y[0]][1][y[1]][None])[0] * (num + den) >= num * (p.n[a] + q.n[c])
+
+    def below(tree: Tree, at: tuple[int, int]) -> list[tuple[int, int]]:
+        return [(at[0] - 1, k) for k in range(at[1] * FANOUT, min((at[1] + 1) * FANOUT, len(tree.levels[at[0] - 1][0])))] if at[0] else [at]
+
+    todo = [((len(p.levels) - 1, 0), (len(q.levels) - 1, 0))]
+    while todo:
+        x, y = todo.pop()
+        same = p is q and x == y
+        if p is q and x[0] == y[0] and x[1] > y[1] or not (same or may(x, y)):
+            continue
+        if x[0] or y[0]:
+            todo += [(i, j) for i in below(p, x) for j in below(q, y)]
+            continue
+        (a, b), (c, d) = p.levels[0][0][x[1]], q.levels[0][0][y[1]]
+        total = p.n[a:b, None] + q.n[None, c:d]
+        good = (p.comp[a:b, None] != q.comp[None, c:d]) & (np.minimum(p.left[a:b, None], q.left[None, c:d]) * (num + den) >= num * total)
+        i, j = np.nonzero(np.triu(good, 1) if same else good)
+        if len(i):
+            near = minima(p.points[x[1]][i], q.points[y[1]][j]) * (num + den) >= num * total[i, j]
+            yield p.places[a + i[near]], q.places[c + j[near]]
+
+
+def _signatures(rows: DataFrame, *, width: int) -> DataFrame:
+    """(doc_id, text_key, n, sid) of every row: set size and hash of the set (null without shingles); and rows of
+    (shingle, times) alone: shingles that are frequent in a stretch of the data."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches):
-            keys, sids = [], []
-            for s in shingle_sets(texts, width):
-                own = part_keys(s, num, den) if len(s) else []
-                keys += own
-                sids.append(np.full(sum(map(len, own)), set_id(s) if own else 0, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids))], ["key", "sid"])
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+
+        def often() -> pa.RecordBatch:
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            good = times >= max(2, int(FREQUENT_SHARE * len(held)))
+            none = pa.nulls(int(good.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[good].view(np.int64)), pa.array(times[good])], names)
+
+        names = ["doc_id", "text_key", "n", "sid", "shingle", "times"]
+        for some in text_batches(batches, 2):
+            sets = shingle_sets([r[2] for r in some], width)
+            sids = [set_id(s) if len(s) else None for s in sets]
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in some], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), none, none], names)
+            for sid, s in zip(sids, sets):
+                if sid is not None and sid not in seen:
+                    seen.add(sid)
+                    held.append(s)
+            if sum(map(len, held)) >= COUNTED:
+                yield often()
+                held, seen = [], set()
+        if held:
+            yield often()
+
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, sid long, shingle long, times long")
+
+
+def _sets(rows: DataFrame, frequent: np.ndarray, *, width: int, num: int, den: int) -> DataFrame:
+    """One row for each different set: sid, n, text_key of one of its texts, keys (its first shingles), point."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
-    return rows.mapInArrow(run, "key long, sid long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of this task: copies elsewhere are told apart below
+        for some in text_batches(batches, 1):
+            some = [r for r in some if not (r[0] in seen or seen.add(r[0]))]
+            sets = [(r[0], s) for r, s in zip(some, shingle_sets([r[1] for r in some], width)) if len(s)]
+            columns = [
+                pa.array([set_id(s) for _, s in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([k for k, _ in sets], pa.int64()),
+                pa.array([first_shingles(s, shared.value, num, den).view(np.int64) for _, s in sets], pa.list_(pa.int64())), pa.array([point_of(s, num, den) for _, s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "text_key", "keys", "point"])
 
+    return rows.select("text_key", "text").mapInArrow(run, "sid long, n long, text_key long, keys array<long>, point binary").dropDuplicates(["sid"])
 
-def _may_link(n: Column, overlap: Column, num: int, den: int) -> Column:
+
+def _needs(n: Column, overlap: Column, num: int, den: int) -> Column:
     """Whether an overlap of so many shingles could do for sets with ``n`` shingles together."""
     return overlap * (num + den) >= n * num
 
 
-def _minima(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+def _meet(n: Column, at: Column, m: Column, place: Column, num: int, den: int) -> Column:
+    """Whether sets of n and m shingles whose first common key stands at these places could link."""
+    return _needs(n + m, F.least(n - at, m - place), num, den)
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, *, num: int, den: int) -> DataFrame:
+    """(a, b, bound) of the (a, b) pairs whose points' summed minima would do."""
+    p, q = (sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("point").alias(f"point_{s}")) for s in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds = [int(minima(counts_of(x, n, num, den)[None], counts_of(y, m, num, den)[None])[0]) for n, x, m, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))]
+            good = [bound * (num + den) >= num * (n + m) for bound, n, m in zip(bounds, batch.column(2).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bounds, pa.int64())], ["a", "b", "bound"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(p, "a").join(q, "b").select("a", "b", "n_a", "point_a", "n_b", "point_b").mapInArrow(run, "a long, b long, bound long")
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, points: DataFrame, *, width: int, num: int, den: int) -> DataFrame:
-    """Of the distinct (a, b) pairs of set hashes, those whose sets link."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sid")
-    holders = points.join(wanted, "sid").select(F.col("any_doc").alias("doc_id"), "sid")
+def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, *, width: int, num: int, den: int) -> DataFrame:
+    """Of the distinct (a, b) pairs those whose sets link. A centre's set travels once for every STAR members."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    wanted = materialize(sets.select("sid", "text_key").join(wanted, "sid"), "wanted")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches):
-            found = shingle_sets(texts, width)
-            right = [k for k, s in enumerate(found) if len(s) and set_id(s) == part.column(2)[k].as_py()]  # an id may hold several texts
-            yield pa.RecordBatch.from_arrays([pa.array([part.column(2)[k].as_py() for k in right], pa.int64()), pa.array([found[k].tobytes() for k in right], pa.binary())], ["sid", "shingles"])
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for some in text_batches(batches, 1):
+            some = [r for r in some if not (r[0] in seen or seen.add(r[0]))]
+            found = [s for s in shingle_sets([r[1] for r in some], width) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "shingles"])
 
-    held = with_ids(rows, holders, "doc_id").select("doc_id", "text", "sid").mapInArrow(sets, "sid long, shingles binary").dropDuplicates(["sid"])
-    held = materialize(held, "sets")
-    both = pairs.join(held.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+    held = holding(rows.select("text_key", "text"), wanted, "text_key").mapInArrow(compute, "sid long, shingles binary")
+    held = materialize(held.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("cuts"))
+    spokes = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), "cuts").alias("cut"), "b").join(held.select(F.col("sid").alias("b"), "shingles"), "b").select("a", "cut", "b", "shingles")
+    centres = stars.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut")).join(held.select(F.col("sid").alias("a"), "shingles"), "a")
+    ordered = spokes.unionByName(centres.withColumn("b", F.lit(None).cast("long"))).repartition("a", "cut").sortWithinPartitions("a", "cut", F.col("b").asc_nulls_first())
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, dtype=np.uint64)
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(link, "a long, b long"), "links")
-
-
-def _leaf_pairs(members: DataFrame, points: DataFrame, *, num: int, den: int) -> DataFrame:
-    """Pairs of different components in one bucket that the R-tree's leaves and points leave."""
-    rows = members.join(points, "sid").select("key", "sid", "comp", "n", "counts")
-    packed = rows.withColumn("leaf", F.floor((F.expr("row_number() over (partition by key order by n, counts, sid)") - 1) / LEAF))
-    leaves = packed.groupBy("key", "leaf").agg(F.collect_list(F.struct("sid", "comp", "n", "counts")).alias("own"))
-    box = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.array_max(F.transform("own", lambda p: F.get(p["counts"], g))))
-    leaves = leaves.select(
-        "key", "leaf", "own", box.alias("top"), F.array_min("own.n").alias("least"), F.array_max("own.n").alias("most"), F.array_min("own.comp").alias("c0"), F.array_max("own.comp").alias("c1"),
-    )
-    leaves = materialize(leaves, "leaves")
-    x, y = leaves.alias("x"), leaves.alias("y")
-    near = (F.col("x.leaf") <= F.col("y.leaf")) & (F.col("y.least") * num <= F.col("x.most") * den)
-    mixed = ~((F.col("x.c0") == F.col("x.c1")) & (F.col("y.c0") == F.col("y.c1")) & (F.col("x.c0") == F.col("y.c0")))
-    bound = _may_link(F.col("x.least") + F.col("y.least"), _minima(F.col("x.top"), F.col("y.top")), num, den)
-    met = x.join(y, F.col("x.key") == F.col("y.key")).where(near & mixed & bound).select(F.col("x.own").alias("p"), F.col("y.own").alias("q"))
-
-    def points_of(column: pa.Array) -> tuple[np.ndarray, ...]:
-        own = column.values
-        return (*(own.field(k).to_numpy(zero_copy_only=False) for k in ("sid", "comp", "n")), own.field("counts").values.to_numpy().reshape(-1, GROUPS))
+            for b, raw in zip(batch.column(2).to_pylist(), batch.column(3)):
+                own = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+                if b is None:
+                    centre = own.copy()
+                both = len(np.intersect1d(centre, own, assume_unique=True)) if b is not None else 0
+                good.append(b is not None and den * both >= num * (len(centre) + len(own) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    links = materialize(ordered.select("a", "cut", "b", "shingles").mapInArrow(link, "a long, b long"), "links")
+    discard(wanted, held)
+    return links
+
+
+def _tree_pairs(members: DataFrame, sets: DataFrame, *, num: int, den: int) -> DataFrame:
+    """(a, b) pairs of different components in one bucket that the R-tree leaves. ``members``: key, sid, at, comp, blocks."""
+    block = F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = members.withColumn("block", block).select("key", "sid", "at", "comp", "block", other.alias("other")).join(sets.select("sid", "n", "point"), "sid")
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", "at", "point")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def search(unit: list[tuple]) -> set[tuple[int, int]]:
+        """The pairs of one unit of (key, lo, hi, block, sid, comp, n, at, point) rows: all of a block, or of two."""
+        lo, hi = unit[0][1:3]
+        parts = [part for b in ([lo] if lo == hi else [lo, hi]) if (part := [r for r in unit if r[3] == b])]
+        if lo != hi and len(parts) < 2:
+            return set()
+        columns = [[np.array(c) for c in list(zip(*part))[4:8]] for part in parts]
+        trees = [Tree(n, n - at, comp, [counts_of(r[8], r[6], num, den) for r in part]) for (_, comp, n, at), part in zip(columns, parts)]
+        found = [np.sort(np.stack([columns[0][0][i], columns[-1][0][j]], axis=1), axis=1) for i, j in tree_pairs(trees[0], trees[-1], num, den)]
+        return {pair for some in found for pair in map(tuple, some.tolist())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[int, int]] = set()  # a pair may meet in many buckets
+        unit: list[tuple] = []
+
+        def pairs() -> pa.RecordBatch:
+            new = search(unit) - known if len(unit) > 1 else set()
+            if len(known) > COUNTED:
+                known.clear()
+            known.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in new], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                p, q = (points_of(pa.concat_arrays([batch.column(c).slice(k, 1)])) for c in (0, 1))
-                least = np.minimum(p[3][:, None, :], q[3][None, :, :]).sum(axis=2)
-                good = (least * (num + den) >= num * (p[2][:, None] + q[2][None, :])) & (p[1][:, None] != q[1][None, :])
-                i, j = np.nonzero(good)
-                a, b = p[0][i], q[0][j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if unit and row[:3] != unit[0][:3]:
+                    yield pairs()
+                    unit = []
+                unit.append(row)
+        yield pairs()
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _placed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     """Members of buckets with their component so far."""
     if parts is None:
         return members.withColumn("comp", F.col("sid"))
-    return members.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
-
-
-def _likely(pairs: DataFrame, points: DataFrame, *, num: int, den: int) -> DataFrame:
-    """Of (a, b) pairs those whose points' summed minima would do."""
-    p, q = (points.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"c_{s}")) for s in "ab")
-    return pairs.join(p, "a").join(q, "b").where(_may_link(F.col("n_a") + F.col("n_b"), _minima(F.col("c_a"), F.col("c_b")), num, den)).select("a", "b")
-
+    return members.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
 
-def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
-    Two documents link when den * intersection >= num * union. Null texts and texts without words have no shingles and
-    link with nothing; copies link with each other; repeated rows each get a row. A row without an id keeps its row.
-    Sets are told apart by 64-bit hashes. Other columns are not read.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sigs = materialize(signatures(rows, width=width), "signatures")
-    points = materialize(sigs.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("any_doc"), F.first("n").alias("n"), F.first("counts").alias("counts")), "points")
-    keys = _bucket_keys(rows, width=width, num=num, den=den)
-    shared = keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
-    shared = materialize(shared.select("key"), "shared")  # lets go of the first shuffle of keys before the second
-    members = materialize(keys.join(shared, "key").distinct(), "members")
-    links, parts, tested = None, None, None
+def _apart(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are in different components so far."""
+    if parts is None:
+        return pairs
+    x, y = (parts.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+
+
+def _components(sigs: DataFrame, rows: DataFrame, *, width: int, num: int, den: int) -> DataFrame:
+    """(sid, comp): the component of every set, named by one of its sets."""
+    sure = {"width": width, "num": num, "den": den}
+    totals = sigs.agg(F.countDistinct("sid").alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    least = max(5, int(FREQUENT_SHARE * totals["sets"]), totals["shingles"] // MOST_FREQUENT)
+    often = sigs.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
+    frequent = np.sort(often.select("shingle").toArrow().column("shingle").to_numpy().view(np.uint64))
+    sets = materialize(_sets(rows, frequent, **sure), "sets")
+    shared = materialize(sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    placed = sets.select("sid", "n", F.posexplode("keys").alias("at", "key")).join(shared.select("key"), "key", "left_semi")
+    members = materialize(placed.select("key", "sid", "n", "at"), "members")
+    links = parts = waiting = seen = None
     for turn in range(STAR_ROUNDS):
-        # Every open bucket compares one more member with those of its other components; the first round opens all.
+        # Every open bucket compares one more member with those of its other components.
         placed = _placed(members, parts)
-        leader = F.min_by(F.struct("sid", "comp"), F.xxhash64(F.lit(turn), "sid")).alias("lead")
-        leaders = placed.groupBy("key").agg(leader, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key", "lead")
-        star = placed.join(leaders, "key").where("comp <> lead.comp").select(F.least("sid", "lead.sid").alias("a"), F.greatest("sid", "lead.sid").alias("b")).distinct()
-        likely = _likely(star, points, num=num, den=den)
-        pairs = materialize(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.head(1):
+        lead = F.min_by(F.struct("sid", "comp", "n", "at"), F.xxhash64(F.lit(turn), "sid")).alias("lead")
+        leaders = placed.groupBy("key").agg(lead, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key", "lead")
+        star = placed.join(leaders, "key").where("comp <> lead.comp").where(_meet(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"), num, den))
+        star = star.select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")).distinct()
+        if seen is not None:
+            star = star.join(seen, [F.least(star["a"], star["b"]) == seen["lo"], F.greatest(star["a"], star["b"]) == seen["hi"]], "left_anti")
+        star = materialize(_bounded(star, sets, num=num, den=den), "stars")
+        own = star.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+        seen = own if seen is None else seen.union(own)
+        open_ = star if waiting is None else star.union(waiting)
+        # One pair for each member, with its likeliest centre; the others wait, and most are joined by then.
+        best = open_.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a")).select("a", "b")
+        best = materialize(best, "pairs")
+        if not best.head(1):
             break
-        tested = pairs if tested is None else tested.union(pairs)
-        found = _verify(pairs, rows, points, width=width, num=num, den=den)
+        found = _verified(best, rows, sets, **sure)
         links = found if links is None else links.union(found)
         parts = materialize(connected_components(links), "components")
-    # Buckets of two are settled: their one pair was the first star.
+        waiting = materialize(_apart(open_.join(best, ["a", "b"], "left_anti"), parts), "waiting")
     placed = _placed(members, parts)
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("m > 2 and c0 < c1").select("key")
-    rest = _leaf_pairs(placed.join(open_keys, "key"), points, num=num, den=den)
-    rest = materialize(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti"), "pairs")
+    size = F.count("*").alias("m")
+    open_keys = placed.groupBy("key").agg(size, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("m > 2 and c0 < c1")  # the pair of a bucket of two was the first star
+    rest = placed.join(open_keys.select("key", F.ceil(F.col("m") / BLOCK).alias("blocks")), "key").select("key", "sid", "at", "comp", "blocks")
+    rest = _tree_pairs(rest, sets, num=num, den=den)
+    if seen is not None:
+        rest = rest.join(seen, [rest["a"] == seen["lo"], rest["b"] == seen["hi"]], "left_anti")
+    rest = rest if waiting is None else rest.union(waiting.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    rest = materialize(rest, "pairs")
     if rest.head(1):
-        more = _verify(rest, rows, points, width=width, num=num, den=den)
+        more = _verified(rest, rows, sets, **sure)
         parts = materialize(connected_components(more if links is None else links.union(more)), "components")
-    parts = parts if parts is not None else points.select(F.col("sid").alias("node"), F.col("sid").alias("root"))
-    grouped = points.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "any_doc", F.coalesce("root", "sid").alias("comp"))
-    first = grouped.groupBy("comp").agg(F.min("any_doc").alias("component_id"))
-    named = grouped.join(first, "comp").select("sid", "component_id")
-    return sigs.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = sets.select("sid")
+    out = named.withColumn("comp", F.col("sid")) if parts is None else named.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("comp"))
+    out = materialize(out, "named")
+    discard(sets, shared, members)
+    return out
+
+
+def grouped(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, text_key (hash of the text), n_shingles, comp: equal for the documents of one
+    component, null without shingles."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text, text.isNull()).alias("text_key"), text.alias("text"))
+    sigs = materialize(_signatures(rows, width=width), "signatures")
+    comps = _components(sigs, rows, width=width, num=num, den=den)
+    return sigs.where("n is not null").join(comps, "sid", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "comp")
+
+
+def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+
+    Two documents link when den * intersection >= num * union. Null texts and texts without words have no shingles and
+    link with nothing; copies link with each other; repeated rows each get a row. A row without an id keeps its row and
+    links like any other; its component_id is null only if no row of its component has an id. Sets are told apart by
+    64-bit hashes. Other columns are not read.
+    """
+    found = grouped(docs, width=width, num=num, den=den, id_col=id_col, text_col=text_col)
+    first = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return found.join(first, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op9_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:

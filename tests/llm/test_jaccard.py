@@ -6,7 +6,7 @@ import pytest
 
 from gleaner.llm.components import connected_components
 from gleaner.llm.hashing import word_hashes
-from gleaner.llm.jaccard import join, op9_count_vector_join, part_plan
+from gleaner.llm.jaccard import Tree, first_shingles, join, minima, op9_count_vector_join, tree_pairs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -67,17 +67,58 @@ def test_repeats_null_ids_and_an_empty_table(spark):
     assert join(frame.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_link(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (5, " ".join([*words, "z"])), (None, "p q r s"), (None, "p q r s")]
+    got = sorted((r.doc_id or 0, r.component_id) for r in join(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.component_id)
+    assert got == [(0, 5), (5, 5)]
+
+
+def test_blocks_of_a_large_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr("gleaner.llm.jaccard.BLOCK", 4)
+    monkeypatch.setattr("gleaner.llm.jaccard.STAR_ROUNDS", 1)
+    rng, docs = random.Random(3), {}
+    base = [f"w{k}" for k in range(80)]
+    for k in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            copy[rng.randrange(80)] = f"x{rng.randrange(9)}"
+        docs[k] = " ".join(copy)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in join(frame).collect()} == brute(docs, 3, 90, 100)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(500, 300)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {**{k: 0 for k in range(101)}, 300: 300, 500: 300}
 
 
-def test_plans_agree_between_sizes():
-    for a in range(1, 400):
-        for b in range(a, a * 10 // 9 + 1):
-            common = set(part_plan(a, 90, 100)) & set(part_plan(b, 90, 100))
-            assert common or (a + b) // 19 == 0
+def test_first_shingles_of_linked_sets_meet():
+    rng = np.random.default_rng(4)
+    for num, den in ((90, 100), (80, 100)):
+        for n in [*range(1, 60), 200, 777]:
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            frequent = np.sort(rng.choice(a, n // 3, replace=False))
+            alone = len(a) * (den - num) // (den + num)
+            b = np.unique(np.concatenate([rng.choice(a, len(a) - alone, replace=False), rng.integers(0, 1 << 63, alone, dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if den * both >= num * (len(a) + len(b) - both):
+                assert len(np.intersect1d(first_shingles(a, frequent, num, den), first_shingles(b, frequent, num, den)))
+
+
+def test_tree_finds_the_pairs_whose_minima_would_do():
+    rng = np.random.default_rng(5)
+    n = rng.integers(20, 400, 300)
+    groups = [64 if k < 150 else 256 for k in n]
+    counts = [np.bincount(rng.integers(0, g, k), minlength=g).astype(np.int32) for k, g in zip(n, groups)]
+    for k in range(0, 300, 3):  # near copies
+        n[k], counts[k] = n[k - 1] + 1, counts[k - 1] + (np.arange(len(counts[k - 1])) == 5)
+    comp = rng.integers(0, 250, 300)
+    tree = Tree(n, n, comp, counts)
+    found = {tuple(sorted(x)) for i, j in tree_pairs(tree, tree, 80, 100) for x in zip(i.tolist(), j.tolist())}
+    fine = {(i, j) for i in range(300) for j in range(i + 1, 300) if comp[i] != comp[j] and min(n[i], n[j]) * 180 >= 80 * (n[i] + n[j]) and minima(counts[i][None], counts[j][None])[0] * 180 >= 80 * (n[i] + n[j])}
+    assert fine <= found and len(found) < 3 * len(fine) and fine
 
 
 def test_word_hashes_do_not_depend_on_cuts():
