@@ -6,12 +6,12 @@ of ``documents``. Packing returns one row per piece of a document in its sequenc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import materialize, table
 from gleaner.llm.decontamination import find_leaks
-from gleaner.llm.jaccard import join
+from gleaner.llm.jaccard import grouped
 from gleaner.llm.language import UNKNOWN, fit, is_held_out, predict
 from gleaner.llm.packing import packed_digest
 from gleaner.llm.privacy import find, sanitise
@@ -20,9 +20,14 @@ from gleaner.llm.privacy import find, sanitise
 LEAST_GAIN = 0.0
 
 
+def _key(text_key: Column) -> Column:
+    """Equal for rows of the same id and text, and never null."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), text_key).alias("row_key")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with a ``row_key``, equal for rows of the same id and text; null for rows without an id."""
-    return docs.withColumn("row_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", F.col("text").isNull())))
+    """The documents with their ``row_key``."""
+    return docs.withColumn("row_key", _key(F.xxhash64("text", F.col("text").isNull())))
 
 
 def _by_key(docs: DataFrame) -> DataFrame:
@@ -31,7 +36,7 @@ def _by_key(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents but for those whose row key is a rejected doc_id; rows without an id stay."""
+    """The documents but for those whose row key is a rejected doc_id."""
     return _keyed(docs).join(rejected.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", "left_anti").select(docs.columns)
 
 
@@ -42,15 +47,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group that links of five-word shingle sets, similarity 0.8, join,
-    and one row of those with the same id and text."""
-    grouped = join(_by_key(docs), width=5, num=80, den=100).where("doc_id is not null").select(F.col("doc_id").alias("row_key"), "component_id")
-    grouped = materialize(grouped.groupBy("row_key").agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "grouped")
-    ids = _keyed(docs).where("row_key is not null").groupBy("row_key").agg(F.min("doc_id").alias("doc_id"))
-    first = grouped.join(ids, "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
-    settled = materialize(grouped.join(first, "component_id").select("row_key", "copies", (F.col("row_key") == F.col("first.row_key")).alias("kept")), "settled")
-    once = _without(docs, settled.where(~F.col("kept") | (F.col("copies") > 1)).select(F.col("row_key").alias("doc_id")))
-    repeated = _keyed(docs).join(settled.where(F.col("kept") & (F.col("copies") > 1)).select("row_key"), "row_key", "left_semi")
+    """Keep the document with the smallest id of each group that links of five-word shingle sets, similarity 0.8, join;
+    without any id, one of them. Of rows with the same id and text one stays; texts without words link with nothing."""
+    found = grouped(docs, width=5, num=80, den=100)
+    rows = materialize(found.groupBy("doc_id", "text_key").agg(F.max("comp").alias("comp"), F.count("*").alias("copies")), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(place).alias("first"))
+    settled = rows.join(first, "comp", "left").select(_key(F.col("text_key")), (F.col("first").isNull() | (F.col("first") == place)).alias("kept"), "copies")
+    settled = materialize(settled.where("not kept or copies > 1"), "settled")
+    once = _without(docs, settled.select(F.col("row_key").alias("doc_id")))
+    repeated = _keyed(docs).join(settled.where("kept").select("row_key"), "row_key", "left_semi")
     return once.unionByName(repeated.dropDuplicates(["row_key"]).select(docs.columns))
 
 
