@@ -6,10 +6,12 @@ whose tops bound all points below likewise; only pairs of nodes that may hold a
 verified on the sets.
 
 Documents meet without a cross join: in one order of all shingles, two sets that link share one of their first shingles
-(n - threshold * n + 1 of n). Shingles of very many documents come last in that order, so passages that many
-documents share bring few of them together. What shares such a key is one bucket. A few rounds compare one member of
-every bucket with the others, which joins large groups of copies in linear time; the R-tree then searches the buckets
-that are still in several components. Buckets too large for one task are cut into blocks, and every two blocks meet.
+(n - threshold * n + 1 of n). Rare shingles come first in that order, counted over the whole corpus, so a text of
+its own meets nobody and passages that many documents share bring few of them together. What shares such a key is one
+bucket. Two rounds compare one member of every bucket with the others, which joins large groups of copies in linear
+time; the R-tree then searches the buckets that are still in several components: first for the likeliest partner of each
+set, then, where that leaves components apart, for all that may link. Buckets too large for one task are cut into
+blocks, and every two blocks meet.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import discard, holding, materialize, table
@@ -32,12 +34,12 @@ LEAST_GROUPS, MOST_GROUPS = 16, 4096
 #: Points in a leaf of the R-tree, children of an inner node, and points of a block.
 LEAF, FANOUT, BLOCK = 32, 8, 2048
 #: Rounds in which one member of every bucket is compared with the others, before the R-tree takes the rest.
-STAR_ROUNDS = 3
-#: Frequent shingles are those of at least this share of the documents, and at most MOST_FREQUENT of them: fewer than
-#: the shingles of all documents divided by the least frequency. They only decide the order of shingles.
-FREQUENT_SHARE, MOST_FREQUENT = 0.0005, 1 << 20
-#: Shingles counted at a time before frequent ones are summed over all data.
-COUNTED = 1 << 21
+STAR_ROUNDS = 2
+#: Shingles are counted and ordered by their number of documents if their hash is in the lowest part of all hashes, of
+#: this many times the share of a set's shingles that must be looked at; the others come last, by hash.
+COUNTED_SHARE = 1.5
+#: Pairs that a task knows to have met before in another bucket.
+KNOWN = 1 << 17
 #: Members of a star that meet its centre in one place.
 STAR = 512
 
@@ -60,11 +62,16 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mix(total[None])[0] >> np.uint64(1))
 
 
-def first_shingles(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The shingles of which two linked sets share one, in the common order: by hash, frequent ones last."""
-    n = len(shingles)
-    own = np.isin(shingles, frequent, assume_unique=True) if len(frequent) else np.zeros(n, dtype=bool)
-    return np.concatenate([shingles[~own], shingles[own]])[: n - -(-num * n // den) + 1]
+def keys_of(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's counted shingles, and those after them that are needed to make up the first (n - threshold * n + 1)."""
+    n, share = len(shingles), min(1.0, COUNTED_SHARE * (den - num) / den)
+    counted = int(np.searchsorted(shingles, np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))))
+    return shingles[:counted], shingles[counted : first_of(n, num, den)]
+
+
+def first_of(n: int, num: int, den: int) -> int:
+    """How many of a set's first shingles two linked sets have one in common of."""
+    return n + (-num * n // den) + 1
 
 
 def groups_of(n: int, num: int, den: int) -> int:
@@ -118,8 +125,9 @@ def minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(fold(a, groups), fold(b, groups)).sum(axis=1)
 
 
-def tree_pairs(p: Tree, q: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in p, places in q) of pairs from different components that may link; p may be q."""
+def tree_pairs(p: Tree, q: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in p, places in q, bounds as shares of both sizes) of pairs from different components that may link; p may
+    be q."""
 
     def may(x: tuple[int, int], y: tuple[int, int]) -> bool:
         (a, b), (c, d) = p.levels[x[0]][0][x[1]], q.levels[y[0]][0][y[1]]
@@ -144,59 +152,57 @@ def tree_pairs(p: Tree, q: Tree, num: int, den: int) -> Iterator[tuple[np.ndarra
         good = (p.comp[a:b, None] != q.comp[None, c:d]) & (np.minimum(p.left[a:b, None], q.left[None, c:d]) * (num + den) >= num * total)
         i, j = np.nonzero(np.triu(good, 1) if same else good)
         if len(i):
-            near = minima(p.points[x[1]][i], q.points[y[1]][j]) * (num + den) >= num * total[i, j]
-            yield p.places[a + i[near]], q.places[c + j[near]]
+            bound, total = minima(p.points[x[1]][i], q.points[y[1]][j]), total[i, j]
+            near = bound * (num + den) >= num * total
+            yield p.places[a + i[near]], q.places[c + j[near]], (bound / total)[near]
 
 
 def _signatures(rows: DataFrame, *, width: int) -> DataFrame:
-    """(doc_id, text_key, n, sid) of every row: set size and hash of the set (null without shingles); and rows of
-    (shingle, times) alone: shingles that are frequent in a stretch of the data."""
+    """(doc_id, text_key, n, sid) of every row: set size and hash of the set (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
-
-        def often() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            good = times >= max(2, int(FREQUENT_SHARE * len(held)))
-            none = pa.nulls(int(good.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[good].view(np.int64)), pa.array(times[good])], names)
-
-        names = ["doc_id", "text_key", "n", "sid", "shingle", "times"]
         for some in text_batches(batches, 2):
             sets = shingle_sets([r[2] for r in some], width)
-            sids = [set_id(s) if len(s) else None for s in sets]
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in some], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), none, none], names)
-            for sid, s in zip(sids, sets):
-                if sid is not None and sid not in seen:
-                    seen.add(sid)
-                    held.append(s)
-            if sum(map(len, held)) >= COUNTED:
-                yield often()
-                held, seen = [], set()
-        if held:
-            yield often()
-
-    return rows.mapInArrow(run, "doc_id long, text_key long, n long, sid long, shingle long, times long")
-
-
-def _sets(rows: DataFrame, frequent: np.ndarray, *, width: int, num: int, den: int) -> DataFrame:
-    """One row for each different set: sid, n, text_key of one of its texts, keys (its first shingles), point."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+            columns = [[r[0] for r in some], [r[1] for r in some], [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "text_key", "n", "sid"])
+
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, sid long")
+
+
+def _sets(rows: DataFrame, *, width: int, num: int, den: int) -> DataFrame:
+    """One row for each different set: sid, n, text_key of one of its texts, counted (how many of the keys), keys, point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task: copies elsewhere are told apart below
         for some in text_batches(batches, 1):
             some = [r for r in some if not (r[0] in seen or seen.add(r[0]))]
-            sets = [(r[0], s) for r, s in zip(some, shingle_sets([r[1] for r in some], width)) if len(s)]
+            sets = [(r[0], s, keys_of(s, num, den)) for r, s in zip(some, shingle_sets([r[1] for r in some], width)) if len(s)]
             columns = [
-                pa.array([set_id(s) for _, s in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([k for k, _ in sets], pa.int64()),
-                pa.array([first_shingles(s, shared.value, num, den).view(np.int64) for _, s in sets], pa.list_(pa.int64())), pa.array([point_of(s, num, den) for _, s in sets], pa.binary()),
+                pa.array([set_id(s) for _, s, _ in sets], pa.int64()), pa.array([len(s) for _, s, _ in sets], pa.int64()), pa.array([k for k, _, _ in sets], pa.int64()),
+                pa.array([len(own) for _, _, (own, _) in sets], pa.int64()), pa.array([np.concatenate(keys).view(np.int64) for _, _, keys in sets], pa.list_(pa.int64())),
+                pa.array([point_of(s, num, den) for _, s, _ in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "text_key", "keys", "point"])
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "text_key", "counted", "keys", "point"])
+
+    return rows.select("text_key", "text").mapInArrow(run, "sid long, n long, text_key long, counted long, keys array<long>, point binary").dropDuplicates(["sid"])
+
 
-    return rows.select("text_key", "text").mapInArrow(run, "sid long, n long, text_key long, keys array<long>, point binary").dropDuplicates(["sid"])
+def _members(sets: DataFrame, *, num: int, den: int) -> DataFrame:
+    """(key, sid, n, at): the first shingles of each set that other sets have too, and their place in the common order.
+
+    The order: counted shingles by their number of sets, then the others by hash. A set's shingles that no other set has
+    stand at its beginning, so their number is all that is needed of them.
+    """
+    shared = materialize(sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    held = sets.select("sid", "n", "counted", F.posexplode("keys").alias("place", "key")).join(shared, "key")
+    own = F.col("place") < F.col("counted")
+    of_set = Window.partitionBy("sid")
+    rank = F.row_number().over(of_set.orderBy(~own, "m", "key"))
+    at = F.when(own, F.col("counted") - F.sum(own.cast("long")).over(of_set) + rank - 1).otherwise(F.col("place").cast("long"))
+    first = F.col("n") + F.floor(F.col("n") * -num / den) + 1
+    members = materialize(held.withColumn("at", at).where(F.col("at") < first).select("key", "sid", "n", "at"), "members")
+    discard(shared)
+    return members
 
 
 def _needs(n: Column, overlap: Column, num: int, den: int) -> Column:
@@ -258,8 +264,18 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, *, width: int,
     return links
 
 
-def _tree_pairs(members: DataFrame, sets: DataFrame, *, num: int, den: int) -> DataFrame:
-    """(a, b) pairs of different components in one bucket that the R-tree leaves. ``members``: key, sid, at, comp, blocks."""
+def _likeliest(pairs: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Of the (x, y) rows, for each x and each y the one with the largest share."""
+    both, twice = np.concatenate([pairs, pairs[:, ::-1]]), np.concatenate([share, share])
+    order = np.lexsort((both[:, 1], -twice, both[:, 0]))
+    return both[order[np.unique(both[order, 0], return_index=True)[1]]]
+
+
+def _tree_pairs(placed: DataFrame, sets: DataFrame, *, likeliest: bool, num: int, den: int) -> DataFrame:
+    """(a, b) pairs of different components in one bucket that the R-tree leaves; or one for each set and bucket.
+    ``placed``: key, sid, at, comp. Buckets of two are left out: their pair was the first star."""
+    open_keys = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("m > 2 and c0 < c1")
+    members = placed.join(open_keys.select("key", F.ceil(F.col("m") / BLOCK).alias("blocks")), "key").select("key", "sid", "at", "comp", "blocks")
     block = F.pmod(F.xxhash64("sid"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = members.withColumn("block", block).select("key", "sid", "at", "comp", "block", other.alias("other")).join(sets.select("sid", "n", "point"), "sid")
@@ -274,8 +290,13 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, *, num: int, den: int) -> D
             return set()
         columns = [[np.array(c) for c in list(zip(*part))[4:8]] for part in parts]
         trees = [Tree(n, n - at, comp, [counts_of(r[8], r[6], num, den) for r in part]) for (_, comp, n, at), part in zip(columns, parts)]
-        found = [np.sort(np.stack([columns[0][0][i], columns[-1][0][j]], axis=1), axis=1) for i, j in tree_pairs(trees[0], trees[-1], num, den)]
-        return {pair for some in found for pair in map(tuple, some.tolist())}
+        found = list(tree_pairs(trees[0], trees[-1], num, den))
+        if not found:
+            return set()
+        pairs = np.concatenate([np.stack([columns[0][0][i], columns[-1][0][j]], axis=1) for i, j, _ in found])
+        if likeliest and len(pairs):
+            pairs = _likeliest(pairs, np.concatenate([x[2] for x in found]))
+        return set(map(tuple, np.sort(pairs, axis=1).tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[int, int]] = set()  # a pair may meet in many buckets
@@ -283,7 +304,7 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, *, num: int, den: int) -> D
 
         def pairs() -> pa.RecordBatch:
             new = search(unit) - known if len(unit) > 1 else set()
-            if len(known) > COUNTED:
+            if len(known) > KNOWN:
                 known.clear()
             known.update(new)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in new], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -315,56 +336,49 @@ def _apart(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
     return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
 
-def _components(sigs: DataFrame, rows: DataFrame, *, width: int, num: int, den: int) -> DataFrame:
+def _components(rows: DataFrame, *, width: int, num: int, den: int) -> DataFrame:
     """(sid, comp): the component of every set, named by one of its sets."""
     sure = {"width": width, "num": num, "den": den}
-    totals = sigs.agg(F.countDistinct("sid").alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
-    least = max(5, int(FREQUENT_SHARE * totals["sets"]), totals["shingles"] // MOST_FREQUENT)
-    often = sigs.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
-    frequent = np.sort(often.select("shingle").toArrow().column("shingle").to_numpy().view(np.uint64))
-    sets = materialize(_sets(rows, frequent, **sure), "sets")
-    shared = materialize(sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    placed = sets.select("sid", "n", F.posexplode("keys").alias("at", "key")).join(shared.select("key"), "key", "left_semi")
-    members = materialize(placed.select("key", "sid", "n", "at"), "members")
+    sets = materialize(_sets(rows, **sure), "sets")
+    members = _members(sets, num=num, den=den)
     links = parts = waiting = seen = None
-    for turn in range(STAR_ROUNDS):
-        # Every open bucket compares one more member with those of its other components.
+
+    def unseen(pairs: DataFrame) -> DataFrame:
+        if seen is None:
+            return pairs
+        return pairs.join(seen, [F.least(pairs["a"], pairs["b"]) == seen["lo"], F.greatest(pairs["a"], pairs["b"]) == seen["hi"]], "left_anti")
+
+    # Every open bucket compares one more member with those of its other components: first the one with the fewest
+    # shingles before its key, then any that a set of its size could link to.
+    late = F.col("at") * (num + den) > F.col("n") * (den - num)
+    turns = [F.struct("at", "sid"), *(F.struct(late, F.xxhash64(F.lit(k), "sid")) for k in range(1, STAR_ROUNDS)), True, False]
+    for turn in turns:
         placed = _placed(members, parts)
-        lead = F.min_by(F.struct("sid", "comp", "n", "at"), F.xxhash64(F.lit(turn), "sid")).alias("lead")
-        leaders = placed.groupBy("key").agg(lead, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key", "lead")
-        star = placed.join(leaders, "key").where("comp <> lead.comp").where(_meet(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"), num, den))
-        star = star.select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")).distinct()
-        if seen is not None:
-            star = star.join(seen, [F.least(star["a"], star["b"]) == seen["lo"], F.greatest(star["a"], star["b"]) == seen["hi"]], "left_anti")
-        star = materialize(_bounded(star, sets, num=num, den=den), "stars")
+        if isinstance(turn, bool):
+            star = unseen(_tree_pairs(placed, sets, likeliest=turn, num=num, den=den)).withColumn("bound", F.lit(0).cast("long"))
+        else:
+            leaders = placed.groupBy("key").agg(F.min_by(F.struct("sid", "comp", "n", "at"), turn).alias("lead"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key", "lead")
+            star = placed.join(leaders, "key").where("comp <> lead.comp").where(_meet(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"), num, den))
+            star = _bounded(unseen(star.select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")).distinct()), sets, num=num, den=den)
+        star = materialize(star, "stars")
         own = star.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
         seen = own if seen is None else seen.union(own)
         open_ = star if waiting is None else star.union(waiting)
-        # One pair for each member, with its likeliest centre; the others wait, and most are joined by then.
-        best = open_.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a")).select("a", "b")
-        best = materialize(best, "pairs")
-        if not best.head(1):
-            break
-        found = _verified(best, rows, sets, **sure)
+        if isinstance(turn, bool):
+            pairs = materialize(open_.select("a", "b").distinct(), "pairs")
+        else:
+            # One pair for each member, with its likeliest centre; the others wait, and most are joined by then.
+            pairs = materialize(open_.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a")).select("a", "b"), "pairs")
+        if not pairs.head(1):
+            continue
+        found = _verified(pairs, rows, sets, **sure)
         links = found if links is None else links.union(found)
         parts = materialize(connected_components(links), "components")
-        waiting = materialize(_apart(open_.join(best, ["a", "b"], "left_anti"), parts), "waiting")
-    placed = _placed(members, parts)
-    size = F.count("*").alias("m")
-    open_keys = placed.groupBy("key").agg(size, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("m > 2 and c0 < c1")  # the pair of a bucket of two was the first star
-    rest = placed.join(open_keys.select("key", F.ceil(F.col("m") / BLOCK).alias("blocks")), "key").select("key", "sid", "at", "comp", "blocks")
-    rest = _tree_pairs(rest, sets, num=num, den=den)
-    if seen is not None:
-        rest = rest.join(seen, [rest["a"] == seen["lo"], rest["b"] == seen["hi"]], "left_anti")
-    rest = rest if waiting is None else rest.union(waiting.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
-    rest = materialize(rest, "pairs")
-    if rest.head(1):
-        more = _verified(rest, rows, sets, **sure)
-        parts = materialize(connected_components(more if links is None else links.union(more)), "components")
+        waiting = materialize(_apart(open_.join(pairs, ["a", "b"], "left_anti"), parts), "waiting")
     named = sets.select("sid")
     out = named.withColumn("comp", F.col("sid")) if parts is None else named.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("comp"))
     out = materialize(out, "named")
-    discard(sets, shared, members)
+    discard(sets, members)
     return out
 
 
@@ -374,8 +388,8 @@ def grouped(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, i
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text, text.isNull()).alias("text_key"), text.alias("text"))
     sigs = materialize(_signatures(rows, width=width), "signatures")
-    comps = _components(sigs, rows, width=width, num=num, den=den)
-    return sigs.where("n is not null").join(comps, "sid", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "comp")
+    comps = _components(rows, width=width, num=num, den=den)
+    return sigs.join(comps, "sid", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "comp")
 
 
 def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

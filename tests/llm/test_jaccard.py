@@ -6,7 +6,7 @@ import pytest
 
 from gleaner.llm.components import connected_components
 from gleaner.llm.hashing import word_hashes
-from gleaner.llm.jaccard import Tree, first_shingles, join, minima, op9_count_vector_join, tree_pairs
+from gleaner.llm.jaccard import Tree, first_of, join, keys_of, minima, op9_count_vector_join, tree_pairs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -98,13 +98,20 @@ def test_first_shingles_of_linked_sets_meet():
     rng = np.random.default_rng(4)
     for num, den in ((90, 100), (80, 100)):
         for n in [*range(1, 60), 200, 777]:
-            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-            frequent = np.sort(rng.choice(a, n // 3, replace=False))
+            a = np.unique(rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
             alone = len(a) * (den - num) // (den + num)
-            b = np.unique(np.concatenate([rng.choice(a, len(a) - alone, replace=False), rng.integers(0, 1 << 63, alone, dtype=np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if den * both >= num * (len(a) + len(b) - both):
-                assert len(np.intersect1d(first_shingles(a, frequent, num, den), first_shingles(b, frequent, num, den)))
+            b = np.unique(np.concatenate([rng.choice(a, len(a) - alone, replace=False), rng.integers(0, (1 << 64) - 1, alone, dtype=np.uint64)]))
+            both, order = np.intersect1d(a, b), {}
+            if den * len(both) >= num * (len(a) + len(b) - len(both)):
+                for s in (a, b):
+                    own, more = keys_of(s, num, den)
+                    assert len(own) + len(more) >= first_of(len(s), num, den)
+                    for k in own.tolist():
+                        order[k] = (0, int(k in both), k)
+                    for k in more.tolist():
+                        order[k] = (1, k)
+                firsts = [set(sorted((k for x in keys_of(s, num, den) for k in x.tolist()), key=order.get)[: first_of(len(s), num, den)]) for s in (a, b)]
+                assert firsts[0] & firsts[1]
 
 
 def test_tree_finds_the_pairs_whose_minima_would_do():
@@ -116,7 +123,7 @@ def test_tree_finds_the_pairs_whose_minima_would_do():
         n[k], counts[k] = n[k - 1] + 1, counts[k - 1] + (np.arange(len(counts[k - 1])) == 5)
     comp = rng.integers(0, 250, 300)
     tree = Tree(n, n, comp, counts)
-    found = {tuple(sorted(x)) for i, j in tree_pairs(tree, tree, 80, 100) for x in zip(i.tolist(), j.tolist())}
+    found = {tuple(sorted(x)) for i, j, _ in tree_pairs(tree, tree, 80, 100) for x in zip(i.tolist(), j.tolist())}
     fine = {(i, j) for i in range(300) for j in range(i + 1, 300) if comp[i] != comp[j] and min(n[i], n[j]) * 180 >= 80 * (n[i] + n[j]) and minima(counts[i][None], counts[j][None])[0] * 180 >= 80 * (n[i] + n[j])}
     assert fine <= found and len(found) < 3 * len(fine) and fine
 
