@@ -1,8 +1,9 @@
 """Operator 7: secret scans by password guess cost.
 
-Base detectors find assigned credentials, access keys and long hexadecimal strings. Beyond them, every value in a
-credential context is priced: dynamic programming finds its cheapest segmentation into words, dates, repeats, keyboard
-walks and brute-force spans, and a value that would take very many guesses is a further span.
+Base detectors find assigned credentials, access keys and long hexadecimal strings. Besides, every value in a
+credential context is priced, also those that a base span holds in part or whole: dynamic programming finds its cheapest
+segmentation into words, dates, repeats, keyboard walks and brute-force spans, and a value that would take very many
+guesses is a further span. Placeholders and dictionary passwords are priced low and get none.
 """
 
 from __future__ import annotations
@@ -17,20 +18,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import materialize, table
+from gleaner.llm.passages import text_batches
 
 KINDS = ("assign", "access", "hex")
 # Letters of the names stand in either case, as ASCII.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
+# Values in quotes may hold anything but line ends; others end at white space, quotes, angles, commas and semicolons.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|bearer|(?:private|access|client)[_-]?(?:key|secret))["']?\s*(?:[:=]|=>)\s*["']?([^\s"'<>,;]{8,})""",
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|bearer|(?:private|access|client)[_-]?(?:key|secret))["']?\s*(?:[:=]|=>)\s*(?:"([^"\r\n]{8,})"|'([^'\r\n]{8,})'|["']?([^\s"'<>,;]{8,}))""",
     re.IGNORECASE | re.ASCII,
 )
 NAMES = ("pass", "secret", "token", "api", "pwd", "auth", "credential", "bearer", "key")
 #: Rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
+DATES = (
+    re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d)"),
+    re.compile(r"(?:19|20)\d\d"),
+)
 #: Decimal logarithms of guesses: a brute-force character, a new segment, a date, the start of a walk, a change of case.
 CHARACTER, SEGMENT, DAY, WALK, CASE = 1.0, math.log10(2), math.log10(365 * 100), math.log10(47), math.log10(2)
 LONGEST_WORD = 24
@@ -53,7 +59,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def contexts(text: str) -> list[tuple[int, int]]:
     """Where the values of credential contexts stand."""
     low = text.lower()
-    return [m.span(1) for m in CONTEXT.finditer(text)] if any(x in low for x in NAMES) else []
+    return [m.span(m.lastindex) for m in CONTEXT.finditer(text)] if any(x in low for x in NAMES) else []
 
 
 def _step(a: str, b: str) -> tuple[int, int] | None:
@@ -63,15 +69,31 @@ def _step(a: str, b: str) -> tuple[int, int] | None:
     return move if move and move != (0, 0) and abs(move[0]) <= 1 and abs(move[1]) <= 1 else None
 
 
+def _extended(starts: list[tuple[int, float]], cost, new: tuple[int, float] | None) -> list[tuple[int, float]]:
+    """The (start, base cost) of runs that may still be the cheapest; ``cost`` gives a run's price as it stands.
+
+    An earlier start that is no dearer now will never be: the logarithm of its length grows more slowly.
+    """
+    kept: list[tuple[int, float]] = []
+    for own in [*starts, *([new] if new else [])]:
+        if not kept or cost(*own) < cost(*kept[-1]):
+            kept.append(own)
+    return kept
+
+
 def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes. Linear in its length."""
+    """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes.
+
+    Every stretch may be a brute-force span, a word, a date, a repeated character, a keyboard walk, or further copies of
+    the characters before it. Runs keep only starts that may still be the cheapest, so the time is about linear.
+    """
     n, low = len(value), value.lower()
     best = [0.0] + [math.inf] * n  # up to here, at the end of a segment
     brute = [math.inf] * (n + 1)  # up to here, inside a brute-force span
-    run = turns = 0
-    last: tuple[int, int] | None = None
-    same, alike = 0, [0] * 9
-    dates = {m.start(): m.end() for m in DATE.finditer(value)}
+    same: list[tuple[int, float]] = []
+    walks: list[tuple[int, float]] = []
+    copies: list[list[tuple[int, float]]] = [[] for _ in range(9)]
+    turns, last = 0, None  # changes of direction since the beginning; those before a start are taken off its base
     for i in range(n):
         # Segments that begin at i.
         brute[i + 1] = min(brute[i], best[i] + SEGMENT) + CHARACTER
@@ -80,63 +102,71 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
             if rank:
                 cost = math.log10(rank + 1) + CASE * (value[i:j] != low[i:j])
                 best[j] = min(best[j], best[i] + SEGMENT + cost)
-        if i in dates:
-            best[dates[i]] = min(best[dates[i]], best[i] + SEGMENT + DAY)
+        for date in DATES if value[i].isdigit() else ():
+            if m := date.match(value, i):
+                best[m.end()] = min(best[m.end()], best[i] + SEGMENT + DAY)
         # Runs that end with i.
-        same = same + 1 if i and value[i] == value[i - 1] else 1
-        if same >= 3:
-            best[i + 1] = min(best[i + 1], best[i + 1 - same] + SEGMENT + CHARACTER + math.log10(same))
+        price = lambda s, base, end=i + 1: base + math.log10(end - s)
+        same = _extended(same if i and value[i] == value[i - 1] else [], price, (i, best[i] + SEGMENT + CHARACTER))
         move = _step(low[i - 1], low[i]) if i else None
-        if move:
-            turns, run = (turns + (move != last), run + 1) if last else (1, 2)
-        else:
-            turns, run = 0, 1
+        turns += move is not None and last is not None and move != last
         last = move
-        if run >= 4:
-            best[i + 1] = min(best[i + 1], best[i + 1 - run] + SEGMENT + WALK + math.log10(run) + turns * math.log10(4))
-        for size in range(2, 9):  # a block that repeats: its first copy, times the number of copies
-            alike[size] = alike[size] + 1 if i >= size and low[i] == low[i - size] else 0
-            if alike[size] >= size:
-                best[i + 1] = min(best[i + 1], best[i + 1 - alike[size]] + math.log10(1 + alike[size] / size))
-        best[i + 1] = min(best[i + 1], brute[i + 1])
+        # The first move of a walk is no turn: its start's turns are those counted with that move.
+        fresh = (i - 1, best[i - 1] + SEGMENT + WALK - turns * math.log10(4)) if move else None
+        walks = _extended(walks if move else [], price, fresh)
+        best[i + 1] = min(
+            best[i + 1], brute[i + 1], *(price(*x) for x in same if i + 1 - x[0] >= 3), *(price(*x) + turns * math.log10(4) for x in walks if i + 1 - x[0] >= 4),
+        )
+        for size in range(2, 9):  # the block before the start, times the number of copies
+            times = lambda s, base, end=i + 1, size=size: base + math.log10(1 + (end - s) / size)
+            copies[size] = _extended(copies[size], times, (i, best[i])) if i >= size and low[i] == low[i - size] else []
+            best[i + 1] = min(best[i + 1], *(times(*x) for x in copies[size] if i + 1 - x[0] >= size), math.inf)
     return best[n]
 
 
-def common_words(docs: DataFrame, *, text_col: str = "text", least_share: float = 2e-5) -> dict[str, int]:
+def common_words(docs: DataFrame, *, text_col: str = "text", least_share: float = 2e-5, least_times: int = 5) -> dict[str, int]:
     """Rank of each word of three letters a to z or more that makes up at least this share of all such words of the
-    corpus. Their number is at most 1 / least_share, whatever the size of the corpus."""
+    corpus and stands there ``least_times``, so that a secret's own letters are no word. Their number is at most
+    1 / least_share, whatever the size of the corpus."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), "[^a-z]+")).alias("word")).where(F.length("word").between(3, LONGEST_WORD))
     counts = materialize(words.groupBy("word").agg(F.count("*").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") >= max(1.0, least_share * total)).collect()
+    kept = counts.where(F.col("n") >= max(least_times, least_share * total)).collect()
     return {r["word"]: k + 1 for k, r in enumerate(sorted(kept, key=lambda r: (-r["n"], r["word"])))}
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 12.0) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base and spans (kind:start:end, joined by commas).
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, joined by commas) and guesses.
 
-    A value in a credential context is added, as kind ``guess``, if it overlaps no base span and takes at least
-    10 ** ``threshold`` guesses. Null texts count as empty and have no spans; repeated rows each get a row.
+    A value in a credential context is added, as kind ``guess``, if it takes at least 10 ** ``threshold`` guesses, whether
+    or not a base span holds it. ``guesses`` has start:end:price of all these values, the price as a decimal logarithm
+    with two places. Null and empty texts and empty tables have no spans; repeated rows each get a row; texts of any
+    length are scanned whole, in batches by bytes.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(common_words(docs, text_col=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for some in text_batches(batches, 1):
             counts: list[list[int]] = []
-            base, spans = [], []
-            for text in batch.column(1).to_pylist():
-                found = base_spans(text or "")
+            base, spans, prices = [], [], []
+            for _, raw in some:
+                text = raw.decode("utf-8", "surrogatepass")
+                found = base_spans(text)
                 counts.append([sum(s[1] == k for s in found) for k in range(len(KINDS))])
-                said = [f"{KINDS[k]}:{a}:{b}" for a, k, b in found]
-                base.append(",".join(said))
-                more = [(a, len(KINDS), b) for a, b in contexts(text or "") if not any(x < b and a < y for x, _, y in found) and guess_cost(text[a:b], ranks.value) >= threshold]
+                base.append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found))
+                priced = [(a, b, guess_cost(text[a:b], ranks.value)) for a, b in contexts(text)]
+                more = [(a, len(KINDS), b) for a, b, price in priced if price >= threshold]
                 spans.append(",".join(f"{(*KINDS, UNKNOWN_WORD)[k]}:{a}:{b}" for a, k, b in sorted([*found, *more])) if more else base[-1])
+                prices.append(",".join(f"{a}:{b}:{price:.2f}" for a, b, price in priced))
             columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(KINDS))]
             digest = [hashlib.sha256(x.encode()).hexdigest() for x in base]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digest, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in some], pa.int64()), *columns, pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(prices, pa.string())],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "guesses"],
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, guesses string")
 
 
 def op7_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,45 @@ def test_guess_costs_and_odd_texts(spark):
     got = {r.doc_id: r.spans for r in scan(frame.where("text not like 'ſ%' or text is null")).collect()}
     assert got[1] == "guess:6:20" and got[5] == "assign:2:19" and got[3] == got[4] == "" and got[6] == "hex:0:50000"
     assert scan(frame.limit(0)).count() == 0
+    rows = [(1, "password = vR7kQ2zPw9uLmX"), (2, "secret: 'two words & 7Gq!zR'"), (3, "token=aaaaaaaaaaaa"), (3, "token=aaaaaaaaaaaa"), (4, "api_key=" + "a" * 300_000)]
+    got = sorted((r.doc_id, r.spans, r.guesses) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[0][1] == "assign:0:25,guess:11:25" and got[1][1] == "guess:9:27" and got[2] == got[3] and got[2][1] == "assign:0:18" and got[2][2].startswith("6:18:")
+    assert got[4][1] == "assign:0:300008,hex:8:300008"
+
+
+def all_prices(value, ranks):
+    """The cheapest segmentation by trying every segment between every two places."""
+    low, n = value.lower(), len(value)
+    dates = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
+    place = {c: (k, j) for k, row in enumerate(("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")) for j, c in enumerate(row)}
+    best = [0.0] + [math.inf] * n
+    for j in range(1, n + 1):
+        for i in range(j):
+            part, size = low[i:j], j - i
+            costs = [size * 1.0]
+            if part in ranks:
+                costs.append(math.log10(ranks[part] + 1) + math.log10(2) * (value[i:j] != part))
+            if dates.fullmatch(value[i:j]):
+                costs.append(math.log10(36500))
+            if size >= 3 and len(set(value[i:j])) == 1:
+                costs.append(1 + math.log10(size))
+            if size >= 4 and all(c in place for c in part):
+                moves = [(place[b][0] - place[a][0], place[b][1] - place[a][1]) for a, b in zip(part, part[1:])]
+                if all(m != (0, 0) and abs(m[0]) <= 1 and abs(m[1]) <= 1 for m in moves):
+                    costs.append(math.log10(47) + math.log10(size) + math.log10(4) * sum(a != b for a, b in zip(moves, moves[1:])))
+            best[j] = min(best[j], best[i] + math.log10(2) + min(costs))
+            for block in range(2, 9):
+                if i >= block and size >= block and all(low[k] == low[k - block] for k in range(i, j)):
+                    best[j] = min(best[j], best[i] + math.log10(1 + size / block))
+    return best[n]
+
+
+def test_guess_costs_equal_all_segmentations():
+    rng, ranks = random.Random(7), {"monkey": 40, "key": 90, "uio": 700, "aaa": 5, "was": 2, "mon": 9}
+    parts = ["monkey", "yuiop", "uiop", "aaa", "aaaaaa", "Key", "2024", "20240317", "17.03.2024", "asdf", "fdsa", "wasd", "abab", "xyzxyz", "q", "7", "!", "1234", "MON", "ytrewq"]
+    for _ in range(600):
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 6)))
+        assert math.isclose(guess_cost(value, ranks), all_prices(value, ranks), abs_tol=1e-9), value
 
 
 def test_planted_benchmark_items_are_found(spark):
