@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import materialize, table
 from gleaner.llm.hashing import prefix_sums, stretch_hashes
+from gleaner.llm.passages import text_batches
 
 #: Partition offsets of 16 bytes are broadcast up to this number; beyond it Spark chooses the join.
 BROADCAST_PARTS = 1_000_000
+#: Characters of plain text that are tokenised at a time.
+PIECE = 1 << 20
 #: Latin letters whose lower case is one letter that no normal form changes, ASCII and common white space.
 PLAIN = re.compile(r"[\t\n\r\x20-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
 #: Class of each byte of such a text in lower case: white space, letter, digit or mark. The vocabulary splits between
@@ -103,33 +106,61 @@ class WordEncoder:
         return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        plain = [k for k, t in enumerate(texts) if "'" not in t and "<|" not in t and PLAIN.fullmatch(t)]
-        out: list[bytes | None] = [None] * len(texts)
-        for k, ids in zip(plain, self._plain([texts[k] for k in plain]) if plain else ()):
-            out[k] = ids
-        return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if ids is None else ids for t, ids in zip(texts, out)]
+        """Little-endian unsigned 32-bit ids of each text. Plain texts are taken about PIECE characters at a time, longer
+        ones cut after a space."""
+        out: list[list[bytes] | None] = [None] * len(texts)
+        some: list[tuple[int, str]] = []
+        width = 0
+
+        def flush() -> None:
+            for (k, _), ids in zip(some, self._plain([t for _, t in some]) if some else ()):
+                out[k].append(ids)
+            some.clear()
+
+        for k, text in enumerate(texts):
+            if "'" in text or "<|" in text or not PLAIN.fullmatch(text):
+                continue
+            out[k] = []
+            for part in cut_after_spaces(text, PIECE):
+                some.append((k, part))
+                width += len(part)
+                if width >= PIECE:
+                    flush()
+                    width = 0
+        flush()
+        return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if parts is None else b"".join(parts) for t, parts in zip(texts, out)]
+
+
+def cut_after_spaces(text: str, size: int) -> Iterator[str]:
+    """Parts of about ``size`` characters, each but the last ending with a space."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(" ", at + size - 1) + 1
+        if not end:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
 
 def tokenize(docs: DataFrame, *, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: part, local_start (ids before it in its partition), n_tokens, doc_id, ids.
 
     ``ids`` holds little-endian unsigned 32-bit ids, closed by ``end_id``; a null text counts as empty and an empty
-    text is the closing id alone. Other columns are not read.
+    text is the closing id alone. Repeated rows are packed each; an empty table gives no row. Texts go through in batches
+    by bytes, very long ones in parts. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         part, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                some = batch.slice(k, 1024)
-                ids = [x + end for x in encoder.encode([t or "" for t in some.column(1).to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                begins = start + np.cumsum(sizes) - sizes
-                start += int(sizes.sum())
-                columns = [pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(begins), pa.array(sizes), some.column(0), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "local_start", "n_tokens", "doc_id", "ids"])
+        for some in text_batches(batches, 1):
+            ids = [x + end for x in encoder.encode([raw.decode("utf-8", "surrogatepass") for _, raw in some])]
+            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            begins = start + np.cumsum(sizes) - sizes
+            start += int(sizes.sum())
+            columns = [pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(begins), pa.array(sizes), pa.array([k for k, _ in some], pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "local_start", "n_tokens", "doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "part int, local_start long, n_tokens long, doc_id long, ids binary"

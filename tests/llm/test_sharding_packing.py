@@ -77,3 +77,14 @@ def test_odd_texts_round_trip(spark):
     assert [r.n_tokens for r in whole[:-1]] == [64] * (len(whole) - 1) and {len(r.ids) for r in whole} == {256}
     assert sum(r.n_tokens for r in whole) == sum(map(len, got.values()))
     assert pack(tokenize(docs.limit(0), tokenizer=tokenizer_path())).count() == 0
+
+
+def test_long_plain_texts_are_cut_between_words(monkeypatch):
+    from gleaner.llm import packing
+
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    texts = ["The 12 quick brown foxes, jumped " * 40, "x" * 500, "", "a b", "word " * 99 + "end"]
+    whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(packing, "PIECE", 64)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == whole
+    assert "".join(packing.cut_after_spaces(texts[0], 64)) == texts[0] and max(map(len, packing.cut_after_spaces(texts[0], 64))) < 80
