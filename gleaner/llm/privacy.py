@@ -8,6 +8,8 @@ entity, terms above both thresholds are further spans, however few documents tha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ PATTERNS = {
 }
 TERM = "term"
 TERM_ORDER = len(KINDS)
+#: Numbers whose running totals are taken at a time, and places that the copies of one text are dealt to.
+BLOCK, SALTS = 128, 16
 SPAN = "struct<start:int,ord:int,kind:string,end:int,value:string>"
 
 
@@ -55,16 +59,27 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(10, 15)
 
 
+def _running(numbers: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of numbers that aren't negative, in blocks: an array grows by copying, so one pass over
+    all would take the square of its length."""
+    none = F.array().cast("array<int>")
+
+    def within(block: Column) -> Column:
+        step = lambda acc, n: F.struct(combine(acc["at"], n).alias("at"), F.concat(acc["out"], F.array(combine(acc["at"], n))).alias("out"))
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+
+    last = F.floor((F.size(numbers) - 1) / BLOCK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(numbers, k * BLOCK + 1, F.lit(BLOCK)))
+    inner = F.transform(cut, within)
+    bases = F.concat(F.array(F.lit(0)), within(F.transform(inner, lambda b: F.coalesce(F.array_max(b), F.lit(0)))))
+    return F.flatten(F.zip_with(inner, F.slice(bases, F.lit(1), F.size(inner)), lambda b, base: F.transform(b, lambda x: combine(base, x))))
+
+
 def _spans(text: Column, pattern: Column, kind: str, order: int) -> Column:
     """All matches as an array of SPAN, by the lengths in code points of matches and of the gaps between them."""
     matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     steps = F.zip_with(matches, gaps, lambda m, g: F.coalesce(F.length(m) + F.length(g), F.lit(0)))
-    none = F.array().cast("array<int>")
-    ends = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out")),
-    )["out"]
+    ends = _running(steps, lambda x, y: x + y)
     return F.zip_with(
         matches, F.slice(ends, F.lit(1), F.size(matches)),
         lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("value")),
@@ -106,7 +121,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
     more information than the entity's own share. The share is smoothed by one more document of the term that holds the
     entity as often as any document does: a term of one document passes only just, one stray use of it undoes that, and
     more documents bear more strays. Callers may ask for ``min_texts`` different texts besides.
-    Null texts count as empty; copies count as documents but not as different texts; repeated rows each get a row.
+    Null and empty texts have no spans, an empty table gives no row; copies count as documents but not as different
+    texts; repeated rows each get a row. Very long texts are scanned whole, in time about linear in their matches.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
@@ -141,7 +157,12 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
     strong = both.crossJoin(F.broadcast(total)).where((share >= min_share) & (F.log2(share / usual) >= min_bits))
     terms = pairs.join(strong.select("entity", "term"), ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("terms"))
     more = holders.join(terms, "text_key").select("text_key", _spans(F.col("text"), _any_of(F.col("terms")), TERM, TERM_ORDER).alias("added"))
-    joined = found.drop("text").join(more, "text_key", "left")
+    # Only texts with an entity can have terms; the copies of one are dealt to several places.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    salted = more.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    held = F.size("base") > 0
+    joined = found.where(held).select("doc_id", "text_key", "base", salt).join(salted, ["text_key", "salt"], "left").drop("salt")
+    joined = joined.unionByName(found.where(~held).select("doc_id", "text_key", "base"), allowMissingColumns=True)
     outside = F.filter("added", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return joined.select("doc_id", "text_key", "base", F.array_sort(F.concat("base", F.coalesce(outside, F.array().cast(f"array<{SPAN}>")))).alias("spans"))
 
@@ -149,14 +170,11 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
 def sanitise(text: Column, spans: Column) -> Column:
     """The text with base spans generalised to their kind, like ``<email>``, and terms removed. Of spans that overlap
     the first stands for all of them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     mark = lambda s: F.when(s["kind"] == TERM, "").otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["at"],
-        F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark(s))).alias("out")),
-    ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-    kept = F.aggregate(spans, start, step)
-    whole = F.concat(F.array_join(kept["out"], ""), F.substring(text, kept["at"] + 1, F.length(text)))
+    ends = _running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))))
+    kept = F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), mark(s))).otherwise(""))
+    whole = F.concat(F.array_join(kept, ""), F.substring(text, F.coalesce(F.array_max(ends), F.lit(0)) + 1, F.length(text)))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
