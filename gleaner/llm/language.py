@@ -56,15 +56,22 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_documents: int = 20_000) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_documents: int = 5_000, most_languages: int = 256) -> tuple[list[str], np.ndarray]:
     """Learn smoothed log probabilities of trigram bins, (BINS, languages) as float32, and the languages in order.
 
-    ``fit_documents`` bounds the expected number of labelled documents used, whole; they are picked by a hash of the id.
-    Rows without text or language are left out; without any row no language is learned.
+    ``fit_documents`` bounds the expected number of labelled documents used for each language, whole; they are picked by a
+    hash of the id, so a rare language is learned at any size of the table. More than ``most_languages`` different
+    labels are an error: the model takes 256 kB for each, on the driver and in every task. Rows without text or language
+    are left out; without any row, and on an empty table, no language is learned.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, fit_documents / max(1, rows.select(lang_col).count()))
-    picked = rows.where(F.pmod(F.xxhash64(F.lit(8), F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    known = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
+    if len(known) > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn")
+    if not known:
+        return [], np.zeros((BINS, 0), dtype=np.float32)
+    bound = F.create_map(*(F.lit(x) for r in known for x in (r["lang"], int(min(1.0, fit_documents / r["n"]) * (1 << 20)))))
+    picked = rows.where(F.pmod(F.xxhash64(F.lit(8), F.col(id_col)), F.lit(1 << 20)) < F.element_at(bound, F.col(lang_col).cast("string")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
