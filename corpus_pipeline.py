@@ -68,10 +68,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Generalise personal data and remove the terms that reveal it; n_chars follows the text."""
     found = find(docs).where(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
-    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # Texts without a digit, @ or + hold no base span, and so no term either; they don't take part in the join.
+    bare = ~F.coalesce(F.col("text").rlike("[0-9@+]"), F.lit(False))
+    keyed = docs.where(~bare).withColumn("text_key", F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["text_key"] == found["text_key"])
     clean = F.when(F.col("spans").isNotNull(), sanitise(keyed["text"], F.col("spans"))).otherwise(keyed["text"])
     out = keyed.join(found, same, "left").select(*(keyed[c] for c in docs.columns if c not in ("text", "n_chars")), clean.alias("text"))
+    out = docs.where(bare).drop("n_chars").unionByName(out)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
