@@ -35,12 +35,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at once while a step is written: whole texts are large, and both sides hold them.
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    release(df.sparkSession)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, rows = scratch_dir(spark, name), spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(rows), BATCH_ROWS)))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
+    release(spark)
+    out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
 
