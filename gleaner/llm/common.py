@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +71,12 @@ def release(spark: SparkSession) -> None:
 FILTER_BITS = 1 << 26
 
 
-def holding(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+Batches = Iterator[pa.RecordBatch]
+
+
+def holding(rows: DataFrame, ids: DataFrame, key: str, then: Callable[[Batches], Batches] | None = None, schema: str | None = None) -> DataFrame:
     """The ``rows`` whose long column ``key`` may be in ``ids``: all that are, and few others unless very many ids fill
-    the bitmap of fixed size that decides."""
+    the bitmap of fixed size that decides. ``then`` turns them into rows of ``schema`` in the same worker."""
     spark = rows.sparkSession
     slots = ids.select(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
     words = slots.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
@@ -88,7 +91,8 @@ def holding(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
             good = (bits[slot >> 6] >> (slot & 63)) & 1
             yield batch.filter(pa.array(good.astype(bool))).select(list(range(batch.num_columns - 1)))
 
-    return rows.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).mapInArrow(keep, rows.schema)
+    run = (lambda batches: then(keep(batches))) if then else keep
+    return rows.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).mapInArrow(run, schema or rows.schema)
 
 
 def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -41,7 +41,7 @@ COUNTED_SHARE = 1.5
 #: Pairs that a task knows to have met before in another bucket.
 KNOWN = 1 << 17
 #: Members of a star that meet its centre in one place.
-STAR = 512
+STAR = 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -240,7 +240,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, *, width: int,
             found = [s for s in shingle_sets([r[1] for r in some], width) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "shingles"])
 
-    held = holding(rows.select("text_key", "text"), wanted, "text_key").mapInArrow(compute, "sid long, shingles binary")
+    held = holding(rows.select("text_key", "text"), wanted, "text_key", compute, "sid long, shingles binary")
     held = materialize(held.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
     stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("cuts"))
     spokes = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), "cuts").alias("cut"), "b").join(held.select(F.col("sid").alias("b"), "shingles"), "b").select("a", "cut", "b", "shingles")
