@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import expressions as X
+from gleaner.sources.tables import materialize
 
-BANDS_64 = (13, 13, 13, 13, 12)
-BANDS_60 = (12, 12, 12, 12, 12)
+BANDS_64 = (16, 16, 16, 16)
+BANDS_60 = (15, 15, 15, 15)
 
 
 def ordered_pair(df: DataFrame, a: str, b: str, *keep: str) -> DataFrame:
@@ -40,27 +41,44 @@ def k_next_pairs(df: DataFrame, *, key: str, micros: Column, within: int, by: li
 
 
 def text_signatures(df: DataFrame, *, key: str, text: str) -> DataFrame:
-    """(key, signature): the majority of the tokens' bits, as 60 bits. Texts without tokens have no row."""
+    """(key, signature): the majority of the tokens' bits, as 60 bits. Texts without tokens have no row.
+
+    One sum counts two bits, 30 apart: a text has fewer than 2^30 tokens, so the lower count never reaches the upper.
+    """
     tokens = df.select(key, F.explode(F.split(text, " ")).alias("token")).where("token <> ''").withColumn("h", X.token_bits(F.col("token")))
-    votes = [F.sum(F.when(F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)).alias(f"v{b}") for b in range(60)]
-    bits = sum((F.when(F.col(f"v{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(60)), F.lit(0).cast("bigint"))
-    return tokens.groupBy(key).agg(*votes).select(key, bits.alias("signature"))
+    both = F.lit((1 << 30) + 1)
+    counts = tokens.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(F.shiftright("h", b).bitwiseAND(both)).alias(f"c{b}") for b in range(30)])
+    bits = F.lit(0).cast("bigint")
+    for b in range(30):
+        low, high = F.col(f"c{b}").bitwiseAND(F.lit((1 << 30) - 1)), F.shiftright(f"c{b}", 30)
+        bits = bits + F.when(2 * low > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0)) + F.when(2 * high > F.col("n"), F.lit(1 << (b + 30))).otherwise(F.lit(0))
+    return counts.select(key, bits.alias("signature"))
 
 
 def signature_pairs(df: DataFrame, *, signature: str, most: int = 10, bands: tuple[int, ...] = BANDS_64) -> DataFrame:
     """All pairs of different signatures at most ``most`` bits apart: (src, dst, distance).
 
-    With ``most`` at twice the number of bands or less, one band differs by two bits at most, so the values one bit
-    from both sides' bands meet.
+    One of k bands differs by ``most // k`` bits at most. With that at most two, the values one bit from both sides'
+    bands meet; few and wide bands keep chance meetings rare. A pair counts only in its first such band, at one value
+    that both sides reach, so nothing needs to be made distinct. The signatures are written once for both sides.
     """
-    if most > 2 * len(bands) + 0:
-        raise ValueError("distance must not exceed twice the number of bands")
-    keyed = df.select(F.col(signature).alias("s")).where("s is not null").distinct().select("s", F.explode(X.band_keys(F.col("s"), bands)).alias("b"))
+    if most // len(bands) > 2:
+        raise ValueError("a band of the nearest pairs may differ by two bits at most: take more bands or a smaller distance")
+    own = materialize(df.select(F.col(signature).alias("s")).where("s is not null").distinct())
+    keyed = own.select("s", F.explode(X.band_keys(F.col("s"), bands)).alias("b"))
     width = F.get(F.array(*map(F.lit, bands)), F.col("b.band"))
     probes = keyed.select("s", F.col("b.band").alias("band"), F.explode(X.near_values(F.col("b.value"), width)).alias("value"))
     other = probes.select(F.col("s").alias("s2"), "band", "value")
-    met = probes.join(other, ["band", "value"]).where("s < s2").select(F.col("s").alias("src"), F.col("s2").alias("dst")).distinct()
-    return met.withColumn("distance", X.hamming(F.col("src"), F.col("dst"))).where(F.col("distance") <= most)
+    distance = X.hamming(F.col("s"), F.col("s2"))
+    first, earlier, at = F.lit(False), F.lit(True), 0
+    for k, w in enumerate(bands):
+        part = lambda c: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << w) - 1))  # noqa: B023, E731
+        gap = part(F.col("s").bitwiseXOR(F.col("s2")))
+        # Values two bits apart meet at two values; the one that differs from s in the lowest of those bits counts.
+        here = part(F.col("s")).bitwiseXOR(F.when(F.bit_count(gap) == 2, gap.bitwiseAND(-gap)).otherwise(F.lit(0).cast("bigint")))
+        first, earlier, at = first | (earlier & (F.col("band") == k) & (F.bit_count(gap) <= 2) & (F.col("value") == here)), earlier & (F.bit_count(gap) > 2), at + w
+    met = probes.join(other, ["band", "value"]).where((F.col("s") < F.col("s2")) & (distance <= most) & first)
+    return met.select(F.col("s").alias("src"), F.col("s2").alias("dst"), distance.alias("distance"))
 
 
 def equal_key_star(df: DataFrame, *, key: str, on: str, order: list[str]) -> DataFrame:

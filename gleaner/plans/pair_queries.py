@@ -56,37 +56,63 @@ def j11(spark, d):
     return J.equal_key_star(docs, key="doc_id", on="h", order=["n_chars"])
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Stars of equal content and of equal signatures, and pairs across near signatures."""
-    docs = read(spark, d, "documents").withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
-    sig = materialize(signatures(spark, d).join(docs.select("doc_id", "n_chars"), "doc_id"))
+def described(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their content digest, signature (null without words), letter histogram and size, written once."""
+    docs = read(spark, d, "documents")
+    letters = F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(x), F.lit("")))).alias(x) for x in LETTERS])
+    own = docs.select("doc_id", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("h"), letters.alias("letters"))
+    return materialize(own.join(signatures(spark, d), "doc_id", "left"))
+
+
+LETTERS = "aeinorst"
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """Rows near in time, stars of equal content and of equal signatures, and pairs across near signatures.
+
+    Documents arrive one a second, by id."""
+    sig = docs.where("signature is not null")
     near = J.signature_pairs(sig, signature="signature", bands=J.BANDS_60)
     star = J.equal_key_star(sig, key="doc_id", on="signature", order=["n_chars"])
     across = J.representative_pairs(sig, near, key="doc_id", signature="signature", order=["n_chars"])
-    return star.union(across).union(J.equal_key_star(docs, key="doc_id", on="h", order=["n_chars"])).distinct()
+    soon = J.interval_pairs(docs, key="doc_id", micros=F.col("doc_id") * 1_000_000, within=WINDOW, by=["source"]).select("src", "dst")
+    return soon.union(star).union(across).union(J.equal_key_star(docs, key="doc_id", on="h", order=["n_chars"])).distinct()
+
 
+WINDOW = 120
 
-_CAND = _NEAR + """, sd as (select sig.doc_id, s, n_chars, first_value(sig.doc_id) over (partition by s order by n_chars, sig.doc_id) as f from sig join documents d using (doc_id)),
+_CAND = _NEAR + f""", sd as (select sig.doc_id, s, n_chars, first_value(sig.doc_id) over (partition by s order by n_chars, sig.doc_id) as f from sig join documents d using (doc_id)),
 bp as (select p, q from near union all select q, p from near), cand as (
 select least(f, doc_id) as src, greatest(f, doc_id) as dst from sd where doc_id <> f
 union select least(x.f, y.doc_id), greatest(x.f, y.doc_id) from bp join (select distinct s, f from sd) x on x.s = bp.p join sd y on y.s = bp.q
-union select least(f, doc_id), greatest(f, doc_id) from (select doc_id, first_value(doc_id) over (partition by sha256(text) order by n_chars, doc_id) as f from documents) where doc_id <> f)"""
-_OK = """, ok as (select src, dst from cand join sig a on a.doc_id = src join sig b on b.doc_id = dst join documents x on x.doc_id = src join documents y on y.doc_id = dst
-where x.text = y.text or (bit_count(xor(a.s, b.s)) <= 10 and abs(x.n_chars - y.n_chars) / greatest(x.n_chars, y.n_chars, 0.001) <= 0.08))"""
+union select least(f, doc_id), greatest(f, doc_id) from (select doc_id, first_value(doc_id) over (partition by sha256(text) order by n_chars, doc_id) as f from documents) where doc_id <> f
+union select a.doc_id, b.doc_id from documents a join documents b on a.source = b.source and b.doc_id - a.doc_id between 1 and {WINDOW})"""
+_HIST = ", ".join(f"length(text) - length(replace(text, '{x}', ''))" for x in LETTERS)
+_OK = f""", ds2 as (select doc_id, source, n_chars, text, s, [{_HIST}]::double[] as v from documents left join sig using (doc_id)),
+ev as (select src, dst, x.text = y.text as same, bit_count(xor(x.s, y.s)) as ph, abs(x.n_chars - y.n_chars) / greatest(x.n_chars, y.n_chars, 0.001) as aspect, dst - src as dt, x.source = y.source and dst - src <= 8 as burst,
+ coalesce(list_dot_product(x.v, y.v) / nullif(sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v)), 0), 0) as hist from cand join ds2 x on x.doc_id = src join ds2 y on y.doc_id = dst),
+ok as (select src, dst from ev where same or (ph <= 4 and aspect <= 0.08 and hist >= 0.72 and dt <= {WINDOW}) or (ph <= 10 and dt <= {WINDOW} and aspect <= 0.08 and hist >= 0.84) or (burst and ph <= 24 and hist >= 0.60))"""
 
 
 @query("j12_candidate_pairs", f"with {_CAND} select src, dst from cand")
 def j12(spark, d):
-    return candidates(spark, d)
+    return candidates(described(spark, d))
 
 
 def confirmed(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").join(signatures(spark, d), "doc_id", "left")
-    own = materialize(docs.select("doc_id", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("h"), "signature"))
-    a, b = own.toDF("src", "n1", "h1", "s1"), own.toDF("dst", "n2", "h2", "s2")
-    both = candidates(spark, d).join(a, "src").join(b, "dst")
-    alike = (X.hamming(F.col("s1"), F.col("s2")) <= 10) & (X.aspect_delta(F.col("n1"), F.lit(1), F.col("n2"), F.lit(1)) <= 0.08)
-    return both.where((F.col("h1") == F.col("h2")) | alike).select("src", "dst")
+    """Candidates that the evidence at hand confirms: content, signature, size, letters, distance in time and bursts.
+
+    Texts have one signature, no pixels and no vectors: both distances are the same, the rest is unknown."""
+    own = described(spark, d)
+    a, b = own.toDF("src", "o1", "n1", "h1", "l1", "s1"), own.toDF("dst", "o2", "n2", "h2", "l2", "s2")
+    c, none = F.col, F.lit(None).cast("double")
+    gap, seconds = X.hamming(c("s1"), c("s2")), c("dst") - c("src")
+    cheap = candidates(own).join(a, "src").join(b, "dst").where((c("h1") == c("h2")) | (seconds <= WINDOW))
+    evidence = {
+        "same_hash": c("h1") == c("h2"), "phash": gap, "dhash": gap, "aspect": X.aspect_delta(c("n1"), F.lit(1), c("n2"), F.lit(1)), "hist": X.histogram_similarity(c("l1"), c("l2")),
+        "mae": none, "xmae": none, "cos": none, "dt": seconds, "burst": (c("o1") == c("o2")) & (seconds <= 8),
+    }
+    return cheap.where(X.confirm_pair(evidence)).select("src", "dst")
 
 
 @query("j15_confirmed_pairs", f"with {_CAND} {_OK} select src, dst from ok")
