@@ -230,3 +230,25 @@ def comparable_moment(p: dict[str, Column], threshold: float) -> Column:
 def visual_semantic_similarity(cos: Column, phash: Column, hist: Column) -> Column:
     """Cosine where both vectors are known, else signatures and histograms, else null."""
     return F.coalesce(cos, 0.65 * (1 - phash / 64.0) + 0.35 * hist)
+
+
+def marginal_novelty(vector: Column, chosen: Column, same_stack: Column) -> Column:
+    """1 beside nothing chosen, else 1 less the largest cosine, not below 0; without vectors .15 in a stack already
+    chosen from, .65 in another."""
+    near = F.filter(F.transform(chosen, lambda x: cosine(vector, x)), lambda x: x.isNotNull())
+    blind = F.when(F.coalesce(same_stack, F.lit(False)), F.lit(0.15)).otherwise(F.lit(0.65))
+    return F.when(F.size(chosen) == 0, F.lit(1.0)).when(F.size(near) > 0, F.greatest(F.lit(0.0), 1 - F.array_max(near))).otherwise(blind)
+
+
+def ranker_reliability(e: dict[str, Column]) -> Column:
+    """Trust in a ranker, 0..1: the weaker of its sample's and its evaluation's strength, times its skill.
+
+    ``e`` holds held_pairs, held_accuracy, held_items, held_contexts, own_pairs, own_accuracy, own_items, own_contexts.
+    From three held-out pairs on those count; before that the accuracy on the training pairs, at half trust at most.
+    """
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    held = (n(e["held_pairs"]) >= 3) & e["held_accuracy"].isNotNull()
+    accuracy = F.when(held, e["held_accuracy"]).otherwise(e["own_accuracy"])
+    shown = F.when(held, F.least(F.lit(1.0), n(e["held_items"]) / 24, n(e["held_contexts"]) / 3)).otherwise(F.least(F.lit(0.5), n(e["own_pairs"]) / 60))
+    sample = F.least(F.lit(1.0), n(e["own_items"]) / 24, n(e["own_contexts"]) / 3)
+    return F.coalesce(F.round(F.least(sample, shown) * clamp((accuracy - 0.5) / 0.5, 0.0, 1.0), 3), F.lit(0.0))

@@ -90,3 +90,67 @@ def frozen_universe(df: DataFrame, *, key: str, buckets: int = 256) -> DataFrame
     ids = df.select(F.col(key).cast("string").alias("id")).distinct().withColumn("bucket", F.substring(F.md5("id"), 1, 2))
     each = ids.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256).alias("digest"))
     return each.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), ","), 256).alias("digest"))
+
+
+#: Least values, but for the rate of false exclusions, which is a most.
+GATES = {"precision": 0.999, "recall": 0.95, "leaders": 0.85, "false_exclusion": 0.005, "preference": 0.65, "top_k": 0.60}
+
+
+def evaluate(metrics: DataFrame, gates: dict[str, float] = GATES) -> DataFrame:
+    """One row: the metrics, the gates they miss, whether the labels suffice for a release, and whether all passed.
+
+    ``metrics`` has one row with a column for every gate, and labels, truth_pairs, truth_groups, held_pairs and expected:
+    50 to 100 labels, a pair, a group, ten held-out preferences and five expected items make it eligible.
+    """
+    c = F.col
+    fails = [(name, c(name) > top if name == "false_exclusion" else c(name) < top) for name, top in gates.items()]
+    missed = F.array_compact(F.array(*[F.when(F.coalesce(f, F.lit(True)), F.lit(name)) for name, f in fails]))
+    fit = c("labels").between(50, 100) & (c("truth_pairs") > 0) & (c("truth_groups") > 0) & (c("held_pairs") >= 10) & (c("expected") >= 5)
+    return metrics.withColumns({"missed": missed, "eligible": F.coalesce(fit, F.lit(False))}).withColumn("passed", c("eligible") & (F.size("missed") == 0))
+
+
+def compare_scores(pairs: DataFrame, expected: DataFrame, scores: DataFrame, *, key: str, engine: str, score: str, k: int, candidate: str, baseline: str, least_pairs: float = 0.05, least_top: float = 0.10) -> DataFrame:
+    """One row: accuracy on (preferred, other) pairs and share of the expected among the top k of a candidate and a
+    baseline engine, scored on the same items, the uplifts, and whether both suffice."""
+    out = None
+    for name, which in (("candidate", candidate), ("baseline", baseline)):
+        own = scores.where(F.col(engine) == which)
+        right = preference_accuracy(pairs, own, key=key, score=score).select(F.col("accuracy").alias(f"{name}_accuracy"))
+        one = right.crossJoin(top_k_overlap(expected, own, key=key, score=score, k=k).withColumnRenamed("overlap", f"{name}_overlap"))
+        out = one if out is None else out.crossJoin(one)  # tables of one row
+    up = out.withColumns({"pair_uplift": F.col("candidate_accuracy") - F.col("baseline_accuracy"), "top_uplift": F.col("candidate_overlap") - F.col("baseline_overlap")})
+    return up.withColumn("passed", F.coalesce((F.col("pair_uplift") >= least_pairs) & (F.col("top_uplift") >= least_top), F.lit(False)))
+
+
+def build_truth(members: DataFrame, *, group: str, leader: Column, labelled: Column, provenance: str, unchanged: Column) -> DataFrame:
+    """Members of complete groups alone: two members or more, one leader, all labelled, of one known provenance and with
+    unchanged content."""
+    known = lambda c: F.coalesce(c, F.lit(False))
+    g = members.groupBy(group).agg(
+        F.count("*").alias("n"), F.count_if(known(leader)).alias("leaders"), F.min(known(labelled) & known(unchanged)).alias("whole"),
+        F.count_distinct(provenance).alias("sources"), F.count_if(F.col(provenance).isNull()).alias("unknown"),
+    )
+    return members.join(g.where("n >= 2 and leaders = 1 and whole and sources = 1 and unknown = 0").select(group), group, "left_semi")
+
+
+def check_series(series: DataFrame, *, key: str, codes: list[str]) -> DataFrame:
+    """Rules of a labelled series (members, leader, budget, essential, redundant, reasons) that it breaks."""
+    c, n = F.col, F.size(F.array_distinct("members"))
+    ess, red, why = (F.array_distinct(F.coalesce(x, F.array())) for x in ("essential", "redundant", "reasons"))
+    told = c("budget").isNotNull()
+    return violations(series, [
+        ("too small", n < 2), ("leader", ~F.array_contains("members", c("leader"))), ("budget", told & ~c("budget").between(1, n)),
+        ("leader not essential", told & ~F.array_contains(ess, c("leader"))), ("foreign", told & (F.size(F.array_except(F.array_union(ess, red), "members")) > 0)),
+        ("both", told & (F.size(F.array_intersect(ess, red)) > 0)), ("over budget", told & (F.size(ess) > c("budget"))), ("no reason", told & (F.size(why) == 0)),
+        ("unknown reason", told & (F.size(F.array_except(why, F.array(*map(F.lit, codes)))) > 0)), ("no budget", ~told & (F.size(ess) + F.size(red) + F.size(why) > 0)),
+    ], key=key)
+
+
+def check_corpus(rows: DataFrame, *, key: str, columns: list[str], context: str, split: str) -> DataFrame:
+    """Rows of a learning corpus not made by people or with a vector that isn't whole 32-bit numbers, contexts in two
+    splits, and columns that are missing or not expected."""
+    odd = sorted(set(rows.columns) ^ set(columns))
+    own = violations(rows, [("origin", ~F.col("human_origin").eqNullSafe(1)), ("vector", F.length("vector") % 4 != 0)], key=key)
+    torn = rows.groupBy(context).agg(F.count_distinct(split).alias("n")).where("n > 1").select(F.lit("context").alias("rule"), F.col(context).cast("string").alias("key"))
+    shape = rows.sparkSession.createDataFrame([("column", c) for c in odd], "rule string, key string")
+    return own.unionByName(torn).unionByName(shape)

@@ -199,3 +199,26 @@ def disjoint_pairs(pairs: DataFrame, *, most: int, spark: SparkSession | None =
     kept = diversity_demotions(keyed, clash, key="digest", rank="digest", cap=1).where("kept")
     chosen = keyed.join(kept, "digest").withColumn("turn", F.expr("row_number() over (partition by component order by digest)"))
     return chosen.orderBy("turn", "digest").limit(most).select("component", "turn", F.when(F.substring("digest", 1, 1) < "8", F.col("src")).otherwise(F.col("dst")).alias("left"), F.when(F.substring("digest", 1, 1) < "8", F.col("dst")).otherwise(F.col("src")).alias("right"))
+
+
+def member_digest(df: DataFrame, *, by: str, key: str) -> DataFrame:
+    """(by, n, digest) of each group's set of members, as a digest of bucket digests, so no task sees a whole group."""
+    ids = df.select(by, F.col(key).cast("string").alias("id")).distinct().withColumn("bucket", F.substring(F.md5("id"), 1, 2))
+    each = ids.groupBy(by, "bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256).alias("digest"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), ",")
+    return each.groupBy(by).agg(F.sum("n").alias("n"), F.sha2(whole, 256).alias("digest"))
+
+
+def rerank_groups(members: DataFrame, edges: DataFrame, previous: DataFrame, *, key: str, score: str) -> DataFrame:
+    """(group_id, key, leader, n) of new groups (key, grp, leader, score): a group whose members are those of a previous one
+    (key, group_id) keeps its id, others get one from their members. The best member linked to all others leads; where
+    there is none, the present leader stays. ``edges`` are (src, dst)."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF(key, "other").distinct()
+    inside = both.join(members.select(key, F.col("grp").alias("g1")), key).join(members.select(F.col(key).alias("other"), F.col("grp").alias("g2")), "other").where("g1 = g2")
+    degree = inside.groupBy(key).agg(F.count("*").alias("links"))
+    sets = member_digest(members, by="grp", key=key)
+    full = members.join(degree, key, "left").join(sets, "grp")
+    best = full.groupBy("grp").agg(F.min(F.when(F.coalesce("links", F.lit(0)) == F.col("n") - 1, F.struct((-F.col(score)).alias("s"), F.col(key).alias("k")))).alias("best"))
+    old = member_digest(previous, by="group_id", key=key).groupBy("digest").agg(F.min("group_id").alias("group_id"))
+    named = sets.join(old, "digest", "left").select("grp", "n", F.coalesce("group_id", F.concat(F.lit("series-"), F.substring("digest", 1, 12))).alias("group_id"))
+    return members.join(named, "grp").join(best, "grp").select("group_id", key, F.coalesce("best.k", "leader").alias("leader"), "n")

@@ -93,3 +93,23 @@ def context_conflicts(df: DataFrame, *, context: str, split: str, number: str) -
     """Contexts that carry more than one split, with the number their next round would get."""
     g = df.groupBy(context).agg(F.count_distinct(split).alias("splits"), (F.coalesce(F.max(number), F.lit(0)) + 1).cast("bigint").alias("next_round"))
     return g.where("splits <> 1")
+
+
+def compatible_models(models: DataFrame, features: DataFrame, *, by: str, version: str) -> DataFrame:
+    """The models (by, feature_schema, status, model_version) that may be applied: not paused, of this version or none,
+    and trained on the one schema that all present features of their profile have."""
+    seen = features.where("feature_schema is not null").groupBy(by).agg(F.min("feature_schema").alias("low"), F.max("feature_schema").alias("high"))
+    fit = (F.col("low") == F.col("high")) & (F.col("low") == F.col("feature_schema"))
+    usable = ~F.col("status").eqNullSafe("paused") & F.coalesce(F.col("model_version") == version, F.lit(True))
+    return models.join(seen, by).where(fit & usable).drop("low", "high")
+
+
+def sync_training_examples(pairs: DataFrame, vectors: DataFrame, *, exclusions: DataFrame, existing: DataFrame, key: str, vector: str) -> DataFrame:
+    """New training rows (pair_id, preferred, rejected, and both vectors): training-split pairs that are neither excluded,
+    in either order, nor there already, and whose items both have a vector."""
+    ends = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+    fresh = pairs.where("split = 'training'").select("pair_id", "preferred", "rejected", *ends("preferred", "rejected"))
+    fresh = fresh.join(exclusions.select(*ends("preferred", "rejected")).distinct(), ["x", "y"], "left_anti").join(existing.select("pair_id").distinct(), "pair_id", "left_anti")
+    for side in ("preferred", "rejected"):
+        fresh = fresh.join(vectors.select(F.col(key).alias(side), F.col(vector).alias(f"{side}_vector")), side)
+    return fresh.select("pair_id", "preferred", "rejected", "preferred_vector", "rejected_vector")

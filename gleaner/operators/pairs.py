@@ -154,3 +154,11 @@ def cosine_pairs(df: DataFrame, *, key: str, vector: str, threshold: float, by:
 def preference_products(df: DataFrame, *, by: list[str], key: str, label: str) -> DataFrame:
     """Each chosen item of a round against each rejected one: (by, preferred, other)."""
     return df.where(f"{label} = 1").select(*by, F.col(key).alias("preferred")).join(df.where(f"{label} = 0").select(*by, F.col(key).alias("other")), by)
+
+
+def scene_pairs(pairs: DataFrame, evidence: dict[str, Column]) -> DataFrame:
+    """Pairs of one moment that rest on what is seen in both: confirmed, alike in vector, pixels, histogram, shape and
+    signatures, and no exact copies. Missing evidence rejects a pair. ``evidence`` as for ``confirm_pair``."""
+    e = evidence
+    seen = (e["cos"] >= 0.96) & (e["mae"] <= 0.18) & (e["hist"] >= 0.80) & (e["aspect"] <= 0.08) & (e["phash"] <= 16) & (e["dhash"] <= 18)
+    return pairs.where(F.coalesce(seen & ~F.coalesce(e["same_hash"], F.lit(False)), F.lit(False)) & X.confirm_pair(e))

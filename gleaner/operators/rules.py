@@ -65,17 +65,44 @@ def threshold_confidence(score: Column, threshold: Column, signal: Column) -> Co
     return F.least(F.lit(0.95), 0.75 * (0.52 + F.least(F.lit(0.38), F.abs(score - threshold) / 35)) + 0.25 * signal)
 
 
-def decide(*, available: Column, protected: Column, loser: Column, leader: Column, defect: Column, score: Column, threshold: Column, signal: Column) -> Column:
-    """First match wins: (disposition, confidence, rule)."""
-    row = lambda d, c, r: F.struct(F.lit(d).alias("disposition"), c.alias("confidence"), F.lit(r).alias("rule"))
-    table = [
-        (~available, "keep", F.lit(0.5), "unavailable"), (protected, "keep", F.lit(0.9), "protected"), (loser & defect, "reject", F.lit(0.95), "defective copy"),
-        (loser, "keep", F.lit(0.6), "copy"), (leader, "keep", F.lit(0.9), "leader"),
-    ]
-    out = F.when(*[table[0][0], row(*table[0][1:])])
-    for c, *rest in table[1:]:
-        out = out.when(c, row(*rest))
-    return out.otherwise(row("keep", threshold_confidence(score, threshold, signal), "threshold"))
+def decide(
+    *, available: Column, protected: Column, loser: Column, leader: Column, exact: Column, confirmed: Column, confidence: Column, score: Column, threshold: Column,
+    signal: Column, model_reject: Column | None = None, model_confidence: Column | None = None, validated: bool = False,
+) -> Column:
+    """First match wins: (disposition, confidence, rule).
+
+    Exact copies go. Near copies with a confirmed defect, and what a model rejects with .90 or more, go only once such
+    rejects are ``validated``; before that, the former are kept for review. A low score alone rejects nothing.
+    """
+    row = lambda d, c, r: F.struct(F.lit(d).alias("disposition"), c.cast("double").alias("confidence"), F.lit(r).alias("rule"))
+    known = lambda c: F.coalesce(c, F.lit(False))
+    sure, held = F.coalesce(confidence, F.lit(0.0)), X.clamp(F.coalesce(confidence, F.lit(0.0)), 0.55, 0.9)
+    defect = known(confirmed) & F.lit(validated)
+    out = F.when(~known(available), row("keep", F.lit(0.5), "unavailable")).when(known(protected), row("keep", F.lit(0.9), "protected"))
+    out = out.when(known(loser) & (known(exact) | defect), row("reject", sure, "weaker copy"))
+    out = out.when(known(loser) & known(confirmed), row("keep", held, "copy for review")).when(known(loser), row("keep", held, "copy"))
+    out = out.when(known(leader), row("keep", F.lit(0.9), "leader"))
+    if validated and model_reject is not None:
+        out = out.when(known(model_reject & (model_confidence >= 0.9)), row("reject", model_confidence, "model defect"))
+    kept = threshold_confidence(score, threshold, signal)
+    return out.when(score < threshold, row("keep", kept, "no defect")).otherwise(row("keep", kept, "threshold"))
+
+
+def apply_diversity(components: Column, reasons: Column, versions: Column, *, value: Column, demoted: Column, method: Column, version: Column) -> Column:
+    """(components, reasons, versions) with the evidence of diversity: its value always, a reason if the item was demoted
+    or is an anchor or distant item of 65 or more, the model's version where there is one."""
+    put = lambda m, k, v: F.map_concat(F.map_filter(m, lambda name, _: name != k), F.create_map(F.lit(k), v))
+    varied = F.coalesce(method.isin("semantic_anchor", "semantic_distance") & (value >= 65), F.lit(False))
+    told = F.when(F.coalesce(demoted, F.lit(False)), F.array_append(reasons, "too_similar")).when(varied, F.array_append(reasons, "adds_variety")).otherwise(reasons)
+    return F.struct(
+        put(components, "diversity_value", value).alias("components"), told.alias("reasons"),
+        F.when(version.isNotNull(), put(versions, "diversity", version)).otherwise(versions).alias("versions"),
+    )
+
+
+def series_role(*, protected: Column, best: Column, selected: Column) -> Column:
+    known = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(known(protected), "protected").when(known(best), "best_in_stack").when(known(selected), "alternative").otherwise("redundant_but_good")
 
 
 def low_appeal(score: Column, confidence: Column, families: list[Column]) -> Column:

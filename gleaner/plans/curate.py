@@ -22,7 +22,7 @@ def curate(lines: DataFrame) -> DataFrame:
     def decide(rows: DataFrame, out: str) -> DataFrame:
         limits = W.selection_threshold(rows, by=["l_returnflag"], score="score", ratio=0.45, default=60.0)
         held = rows.join(limits, "l_returnflag")
-        pick = R.decide(available=F.lit(True), protected=F.lit(False), loser=F.lit(False), leader=F.lit(False), defect=F.lit(False), score=C("score"), threshold=C("threshold"), signal=F.lit(0.5))
+        pick = R.decide(available=F.lit(True), protected=F.lit(False), loser=F.lit(False), leader=F.lit(False), exact=F.lit(False), confirmed=F.lit(False), confidence=F.lit(0.0), score=C("score"), threshold=C("threshold"), signal=F.lit(0.5))
         return held.withColumn(out, R.selection_state(pick["disposition"], C("score"), C("threshold"), pick["confidence"], F.lit(False))).drop("threshold")
 
     first = decide(scored, "first_state")

@@ -159,10 +159,10 @@ def w17(spark, d):
 
 
 @query("w19_recent_sample", """
-select event_id from events where user_id not in (select user_id from events where event_type = 'error') order by ts desc, event_id limit 16""")
+select event_id from events where event_id not in (select event_id from events where event_type = 'error') order by ts desc, event_id limit 16""")
 def w19(spark, d):
     events = read(spark, d, "events")
-    out = events.join(events.where("event_type = 'error'").select("user_id").distinct(), "user_id", "left_anti")
+    out = events.join(events.where("event_type = 'error'").select("event_id"), "event_id", "left_anti")
     return out.orderBy(F.desc("ts"), "event_id").limit(16).select("event_id")
 
 

@@ -77,20 +77,36 @@ def r7(spark, d):
     return read(spark, d, "lineitem").select(*LINE, bad.alias("bad"))
 
 
-_DECIDE = _SCORED + """, z as (select *, case when l_quantity < 2 then 'unavailable' when l_linestatus = 'F' and l_tax = 0 then 'protected' when l_linenumber > 4 and l_discount > 0.08 then 'defective copy' when l_linenumber > 4 then 'copy' when l_linenumber = 1 then 'leader' else 'threshold' end as rule from y)"""
-_CONF = "case rule when 'unavailable' then 0.5 when 'protected' then 0.9 when 'defective copy' then 0.95 when 'copy' then 0.6 when 'leader' then 0.9 else least(0.95, 0.75 * (0.52 + least(0.38, abs(score - 40) / 35)) + 0.25 * (1 - l_discount)) end"
+def _decide_sql(validated):
+    gone, model = (" or l_tax > 0.05", "when l_quantity > 45 and 1 - l_tax >= 0.9 then 'model defect'") if validated else ("", "")
+    return _SCORED + f""", z as (select *, case when l_quantity < 2 then 'unavailable' when l_linestatus = 'F' and l_tax = 0 then 'protected' when l_linenumber > 4 and (l_discount > 0.08{gone}) then 'weaker copy'
+ when l_linenumber > 4 and l_tax > 0.05 then 'copy for review' when l_linenumber > 4 then 'copy' when l_linenumber = 1 then 'leader' {model} when score < 40 then 'no defect' else 'threshold' end as rule from y)"""
 
 
-def decided(spark, d):
-    pick = R.decide(available=C("l_quantity") >= 2, protected=(C("l_linestatus") == "F") & (C("l_tax") == 0), loser=C("l_linenumber") > 4, leader=C("l_linenumber") == 1, defect=C("l_discount") > 0.08, score=C("score"), threshold=F.lit(40.0), signal=1 - C("l_discount"))
+_DECIDE = _decide_sql(False)
+_CONF = """case rule when 'unavailable' then 0.5 when 'protected' then 0.9 when 'weaker copy' then 1 - l_discount when 'copy for review' then least(0.9, greatest(0.55, 1 - l_discount)) when 'copy' then least(0.9, greatest(0.55, 1 - l_discount))
+ when 'leader' then 0.9 when 'model defect' then 1 - l_tax else least(0.95, 0.75 * (0.52 + least(0.38, abs(score - 40) / 35)) + 0.25 * (1 - l_discount)) end"""
+_DECISION = f"select l_orderkey, l_linenumber, case when rule in ('weaker copy', 'model defect') then 'reject' else 'keep' end as disposition, round({_CONF}, 6) as confidence, rule from z"
+
+
+def decided(spark, d, validated=False):
+    pick = R.decide(
+        available=C("l_quantity") >= 2, protected=(C("l_linestatus") == "F") & (C("l_tax") == 0), loser=C("l_linenumber") > 4, leader=C("l_linenumber") == 1, exact=C("l_discount") > 0.08, confirmed=C("l_tax") > 0.05,
+        confidence=1 - C("l_discount"), score=C("score"), threshold=F.lit(40.0), signal=1 - C("l_discount"), model_reject=C("l_quantity") > 45, model_confidence=1 - C("l_tax"), validated=validated,
+    )
     return scored(spark, d).withColumn("decision", pick)
 
 
-@query("r8_r9_decide", f"{_DECIDE} select l_orderkey, l_linenumber, case when rule = 'defective copy' then 'reject' else 'keep' end as disposition, round({_CONF}, 6) as confidence, rule from z")
+@query("r8_r9_decide", f"{_DECIDE} {_DECISION}")
 def r8(spark, d):
     return decided(spark, d).select(*LINE, C("decision.disposition"), r6(C("decision.confidence"), "confidence"), C("decision.rule"))
 
 
+@query("r8_decide_validated", f"{_decide_sql(True)} {_DECISION}")
+def r8v(spark, d):
+    return decided(spark, d, True).select(*LINE, C("decision.disposition"), r6(C("decision.confidence"), "confidence"), C("decision.rule"))
+
+
 @query("r11_fallback_score", "select l_orderkey, l_linenumber, round((l_quantity * 0.4 + l_discount * 1000 * 0.35 + l_tax * 1000 * 0.25) / (0.4::double + 0.35::double + 0.25::double), 6) as score from lineitem")
 def r11(spark, d):
     return read(spark, d, "lineitem").select(*LINE, r6(X.weighted_mean([(C("l_quantity"), 0.4), (C("l_discount") * 1000, 0.35), (C("l_tax") * 1000, 0.25)]), "score"))
@@ -102,9 +118,9 @@ def r12(spark, d):
     return scored(spark, d).select(*LINE, low.alias("low"))
 
 
-@query("r13_selection_state", f"{_DECIDE} select l_orderkey, l_linenumber, case when rule = 'defective copy' then 'reject' when 1 - l_discount < 0.4 then 'review' when rule = 'copy' then 'alternative' when score >= 40 then 'pick' else 'review' end as state from z")
+@query("r13_selection_state", f"{_DECIDE} select l_orderkey, l_linenumber, case when rule = 'weaker copy' then 'reject' when 1 - l_discount < 0.4 then 'review' when rule in ('copy', 'copy for review') then 'alternative' when score >= 40 then 'pick' else 'review' end as state from z")
 def r13(spark, d):
-    return decided(spark, d).select(*LINE, R.selection_state(C("decision.disposition"), C("score"), F.lit(40.0), 1 - C("l_discount"), C("decision.rule") == "copy").alias("state"))
+    return decided(spark, d).select(*LINE, R.selection_state(C("decision.disposition"), C("score"), F.lit(40.0), 1 - C("l_discount"), C("decision.rule").startswith("copy")).alias("state"))
 
 
 @query("r14_culling_state", "select l_orderkey, l_linenumber, case when l_linestatus = 'F' and l_tax = 0 then 'keep:protected' when l_discount > 0.08 then 'reject:defect' when l_linenumber > 4 and 1 - l_tax >= 0.92 then 'reject:redundant' else 'keep:default' end as state from lineitem")

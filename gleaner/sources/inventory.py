@@ -103,3 +103,11 @@ def import_rows(spark: SparkSession, base: DataFrame, path: str, *, key: list[st
     if unknown_keys(rows, known, key=known_key).head(1):
         raise ValueError(f"unknown {known_key}")
     return rows.join(base.select(*key), key, "left_anti").dropDuplicates(key)
+
+
+def model_versions(signals: DataFrame, *, key: str) -> DataFrame:
+    """(key, versions): the map of kind to engine@version[/revision-r] of an item's signals; those without engine or
+    version don't count. One signal per kind."""
+    named = F.concat("engine_name", F.lit("@"), "engine_version", F.coalesce(F.concat(F.lit("/revision-"), F.col("request_revision").cast("string")), F.lit("")))
+    held = signals.where("engine_name <> '' and engine_version <> ''").groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal_kind", named.alias("version"))))).alias("versions"))
+    return signals.select(key).distinct().join(held, key, "left").select(key, F.coalesce("versions", F.create_map().cast("map<string,string>")).alias("versions"))
