@@ -154,7 +154,9 @@ def build_index(
         pdf = pdf.sort_values("ids", key=lambda c: c.map(lambda x: x[0]))
         exact = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         extra = np.sqrt(np.maximum(largest - (exact**2).sum(axis=1), 0))
-        lifted = np.concatenate([exact, extra[:, None]], axis=1).astype(np.float32)
+        lifted = np.concatenate([exact, extra[:, None]], axis=1)
+        # Moved to the middle before it is rounded: one far longer vector must not blur the distances of the others.
+        lifted = (lifted - np.median(lifted, axis=0)).astype(np.float32)
         graph, start = build_graph(lifted, degree=degree, beam=beam, alpha=alpha)
         ids = [np.asarray(x, dtype=np.int64) for x in pdf["ids"]]
         return pd.DataFrame({
@@ -192,13 +194,11 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = 20, beam: int = 256
                 counts, ids = np.frombuffer(row.counts, dtype=np.int64), np.frombuffer(row.ids, dtype=np.int64)
                 first = np.cumsum(counts) - counts
                 who, asked = np.frombuffer(row.query_ids, dtype=np.int64), np.frombuffer(row.query_vectors).reshape(-1, row.dim)
-                squares = (exact**2).sum(axis=1)
-                lifted = np.concatenate([exact, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]], axis=1).astype(np.float32)
-                wanted = np.concatenate([asked, np.zeros((len(asked), 1))], axis=1).astype(np.float32)
-                norms = (lifted**2).sum(axis=1)
+                # All lifted norms are equal, so the order by distance is that of the inner products alone.
+                points, wanted, norms = exact.astype(np.float32), asked.astype(np.float32), np.zeros(len(exact), dtype=np.float32)
                 start = np.frombuffer(row.start, dtype=np.int64)
                 for lo in range(0, len(who), 512):
-                    found, _ = beam_search(lifted, norms, graph, start, wanted[lo : lo + 512], beam)
+                    found, _ = beam_search(points, norms, graph, start, wanted[lo : lo + 512], beam)
                     found = found[:, : 2 * k + 2]
                     q, c = np.nonzero(found >= 0)
                     point = found[q, c]

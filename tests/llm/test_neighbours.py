@@ -47,3 +47,18 @@ def test_copies_bad_vectors_and_several_shards(spark):
     assert np.mean([len({*got[q]} & {x for x, _ in want[q]}) / 20 for q in want]) > 0.97
     none, empty = build_index(frame.limit(0))
     assert search(empty, none).count() == 0
+
+
+def test_recall_over_full_shards_with_uneven_norms(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(9000, 24)) * rng.lognormal(0, 0.3, size=(9000, 1))
+    m[77] *= 10_000 / np.linalg.norm(m[77])
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(m.astype(np.float32))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    good, index = build_index(frame, shard_rows=4096)
+    want, got = brute(rows, [r for r in rows if r[0] % 60 == 0], 20), {}
+    for r in search(index, good.where("vec_id % 60 = 0"), k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = np.mean([len(got[q] & {x for x, _ in want[q]}) / 20 for q in want])
+    print("recall", recall)
+    assert got.keys() == want.keys() and recall >= 0.95, recall
