@@ -76,6 +76,48 @@ def test_series_picks_equal_the_sequential_rule_without_whole_groups(spark, monk
     assert got == want and len(want) > 10
 
 
+def test_rankers_reach_the_least_loss_without_whole_profiles(spark, monkeypatch):
+    from gleaner.operators.learning import fit_pairwise_ranker
+
+    rng = np.random.default_rng(5)
+    truth, rows = rng.normal(size=6), []
+    for k in range(300):
+        a, b = rng.normal(size=6), rng.normal(size=6)
+        good = (a - b) @ truth + rng.normal() > 0
+        rows.append((k % 2, a.tolist() if good else b.tolist(), b.tolist() if good else a.tolist()))
+    rows += [(7, [1.0] * 6, [0.0] * 6), (0, None, [1.0] * 6), (0, [1.0], [2.0])]
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", None)  # one task would hold a whole profile
+    got = {r.p: (np.array(r.weights), r.n) for r in fit_pairwise_ranker(spark.createDataFrame(rows, "p long, preferred array<double>, rejected array<double>").repartition(5), by="p").collect()}
+    assert got.keys() == {0, 1} and got[1][1] == 150
+    for p in (0, 1):
+        x = np.array([np.array(a) - b for q, a, b in rows[:300] if q == p])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        w = np.zeros(6)
+        for _ in range(5000):
+            w += (1 / (1 + np.exp(x @ w))) @ x / len(x) - 0.015 * w
+            w *= min(1, 3 / np.linalg.norm(w))
+        assert np.abs(w - got[p][0]).max() < 0.02
+
+
+def test_reranked_groups_keep_ids_of_the_same_members(spark):
+    from gleaner.operators.groups import member_digest, rerank_groups
+
+    members = spark.createDataFrame([(1, 10, 1, 0.1), (2, 10, 1, 0.9), (3, 10, 1, 0.5), (4, 20, 4, 0.2), (5, 20, 4, 0.8), (6, 30, 6, 1.0)], "id long, grp long, leader long, s double")
+    edges = spark.createDataFrame([(1, 2), (1, 3), (4, 5), (5, 6)], "src long, dst long")
+    before = spark.createDataFrame([(1, "a"), (2, "a"), (4, "b"), (5, "b")], "id long, group_id string")
+    got = {r.id: (r.group_id, r.leader, r.n) for r in rerank_groups(members, edges, before, key="id", score="s").collect()}
+    digest = {r.grp: r.digest for r in member_digest(members, by="grp", key="id").collect()}
+    first = "series-" + digest[10][:12]
+    assert got == {1: (first, 1, 3), 2: (first, 1, 3), 3: (first, 1, 3), 4: ("b", 5, 2), 5: ("b", 5, 2), 6: ("series-" + digest[30][:12], 6, 1)}
+
+
+def test_reliability_trusts_training_accuracy_by_half(spark):
+    names = "held_pairs held_accuracy held_items held_contexts own_pairs own_accuracy own_items own_contexts".split()
+    rows = [(3, 1.0, 24, 3, 9, 0.5, 24, 3), (2, 1.0, 24, 3, 60, 1.0, 24, 3), (0, None, 0, 0, 9, None, 9, 9), (5, 0.4, 24, 3, 60, 1.0, 24, 3), (9, 0.75, 12, 3, 9, 1.0, 48, 2)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} double" if "accuracy" in n else f"{n} long" for n in names))
+    assert [r.x for r in frame.select(X.ranker_reliability({n: F.col(n) for n in names}).alias("x")).collect()] == [1.0, 0.5, 0.0, 0.0, 0.25]
+
+
 @pytest.mark.parametrize("bands", [J.BANDS_64, J.BANDS_60])
 def test_signature_pairs_lose_no_flip_pattern(spark, bands):
     rng, rows = random.Random(3), []
