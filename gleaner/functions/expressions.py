@@ -204,8 +204,9 @@ def pseudonym(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
 
 
-def confirm_pair(p: dict[str, Column]) -> Column:
-    """Whether a candidate pair is a duplicate: equal content, strict, relaxed, burst or semantic evidence.
+def pair_rules(p: dict[str, Column]) -> list[tuple[str, Column]]:
+    """The rules that make a candidate pair a duplicate, each true or false: equal content, strict, relaxed, burst and
+    semantic evidence.
 
     ``p`` holds same_hash, phash, dhash (distances), aspect, hist, mae, xmae, dt, cos, burst. Unknown evidence (null)
     fails a rule, but for ``mae``, which only counts where it is known.
@@ -216,7 +217,20 @@ def confirm_pair(p: dict[str, Column]) -> Column:
     relaxed = (p["phash"] <= 10) & (p["dt"] <= 120) & (p["aspect"] <= 0.08) & (p["hist"] >= 0.84) & (p["dhash"] <= 18) & mae(0.22)
     burst = p["burst"] & (p["dhash"] <= 24) & (p["hist"] >= 0.60)
     semantic = (p["cos"] >= 0.985) & (p["dt"] <= 15) & (known(p["xmae"] <= 0.20) | known((p["hist"] >= 0.78) & (p["dhash"] <= 28)))
-    return known(p["same_hash"]) | known(strict) | known(relaxed) | known(burst) | known(semantic)
+    return [(name, known(c)) for name, c in (("exact", p["same_hash"]), ("strict", strict), ("relaxed", relaxed), ("burst", burst), ("semantic", semantic))]
+
+
+def confirm_pair(p: dict[str, Column]) -> Column:
+    """Whether a candidate pair is a duplicate by any of the ``pair_rules``."""
+    out = F.lit(False)
+    for _, rule in pair_rules(p):
+        out = out | rule
+    return out
+
+
+def explain_pair(p: dict[str, Column]) -> Column:
+    """Generator: one row for each of the ``pair_rules`` that a pair satisfies."""
+    return F.explode(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in pair_rules(p)])))
 
 
 def comparable_moment(p: dict[str, Column], threshold: float) -> Column:

@@ -97,11 +97,19 @@ def top_k(df: DataFrame, *, by: list[str], order: str, k: int) -> DataFrame:
 
 
 def selection_threshold(df: DataFrame, *, by: list[str], score: str, ratio: float, default: float) -> DataFrame:
-    """(by, threshold): the score of the ceil(n * ratio)-th best, scores within 0..100."""
-    rows = df.where(F.col(score).isNotNull()).select(*by, X.clamp(F.col(score), 0.0, 100.0).alias("s"))
+    """(by, threshold): the score of the ceil(n * ratio)-th best, scores within 0..100.
+
+    Scores are first counted in 10,001 slices of a partition; then only the different scores of the slice that holds the
+    wanted one are put in order.
+    """
+    rows = df.where(F.col(score).isNotNull()).select(*by, X.clamp(F.col(score), 0.0, 100.0).alias("s")).withColumn("slice", F.floor(F.col("s") * 100))
     p = _part(by)
-    numbered = rows.withColumn("rn", F.expr(f"row_number() over (partition by {p} order by s desc)")).withColumn("n", F.expr(f"count(*) over (partition by {p})"))
-    found = numbered.where(F.col("rn") == F.greatest(F.ceil(F.col("n") * ratio), F.lit(1))).select(*by, F.col("s").alias("threshold"))
+    slices = rows.groupBy(*by, "slice").agg(F.count("*").alias("c"))
+    placed = slices.withColumn("upto", F.expr(f"sum(c) over (partition by {p} order by slice desc)")).withColumn("n", F.expr(f"sum(c) over (partition by {p})"))
+    placed = placed.withColumn("k", F.greatest(F.ceil(F.col("n") * ratio), F.lit(1)) - (F.col("upto") - F.col("c")))
+    held = placed.where((F.col("k") >= 1) & (F.col("k") <= F.col("c"))).select(*by, "slice", "k")
+    counts = rows.join(held, [*by, "slice"]).groupBy(*by, "s").agg(F.count("*").alias("c"), F.first("k").alias("k"))
+    found = counts.withColumn("upto", F.expr(f"sum(c) over (partition by {p} order by s desc)")).where("upto >= k").groupBy(*by).agg(F.max("s").alias("threshold"))
     return df.select(*by).distinct().join(found, by, "left").select(*by, F.coalesce("threshold", F.lit(default)).alias("threshold"))
 
 

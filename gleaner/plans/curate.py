@@ -9,6 +9,7 @@ from gleaner.functions import expressions as X
 from gleaner.operators import groups as G
 from gleaner.operators import ordered as W
 from gleaner.operators import rules as R
+from gleaner.sources.tables import materialize
 
 C = F.col
 
@@ -18,6 +19,7 @@ def curate(lines: DataFrame) -> DataFrame:
     ranked = W.normalize_metrics(lines, ["l_quantity", "l_extendedprice"], by=["l_orderkey"], quality_of=["l_quantity", "l_extendedprice"])
     parts = {"generic": C("quality") * 100, "content": C("l_discount") * 1000, "moment": C("l_tax") * 1000}
     scored = ranked.withColumn("score", R.composite_score(parts, penalty=R.technical_penalty(C("l_quantity") < 3, F.lit(False), F.lit(False)), utility=F.lit(False), delta=F.lit(0.0)))
+    scored = materialize(scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "score"))  # read again for both thresholds
 
     def decide(rows: DataFrame, out: str) -> DataFrame:
         limits = W.selection_threshold(rows, by=["l_returnflag"], score="score", ratio=0.45, default=60.0)
@@ -27,7 +29,7 @@ def curate(lines: DataFrame) -> DataFrame:
 
     first = decide(scored, "first_state")
     placed = first.withColumn("place", F.expr("row_number() over (partition by l_orderkey order by score desc, l_linenumber, l_partkey, l_suppkey)"))
-    demoted = placed.withColumn("score", F.when((C("place") > 3) & (C("first_state") == "pick"), C("score") - 10).otherwise(C("score")))
+    demoted = materialize(placed.withColumn("score", F.when((C("place") > 3) & (C("first_state") == "pick"), C("score") - 10).otherwise(C("score"))))
     return decide(demoted, "state").select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"), "first_state", "state")
 
 

@@ -42,8 +42,11 @@ ev as (select {keep}, a = b as same, cos, cos as hist, list_sum(list_transform(r
  least(list_sum(list_transform(list_zip(a, b), lambda x: abs(least(greatest((x[1] - ea) / sa, -4), 4) - least(greatest((x[2] - eb) / sb, -4), 4)))) / 64 / 4, 1) as xmae from z)"""
 
 
-_CONFIRM = """(same or (ph <= 4 and dh <= 12 and hist >= 0.72 and mae <= 0.18 and dt <= 120) or (ph <= 10 and dt <= 120 and hist >= 0.84 and dh <= 18 and mae <= 0.22)
- or (burst and dh <= 24 and hist >= 0.60) or (cos >= 0.985 and dt <= 15 and (xmae <= 0.20 or (hist >= 0.78 and dh <= 28))))"""
+_RULES = {
+    "exact": "same", "strict": "(ph <= 4 and dh <= 12 and hist >= 0.72 and mae <= 0.18 and dt <= 120)", "relaxed": "(ph <= 10 and dt <= 120 and hist >= 0.84 and dh <= 18 and mae <= 0.22)",
+    "burst": "(burst and dh <= 24 and hist >= 0.60)", "semantic": "(cos >= 0.985 and dt <= 15 and (xmae <= 0.20 or (hist >= 0.78 and dh <= 28)))",
+}
+_CONFIRM = f"({' or '.join(_RULES.values())})"
 _BLEND = """with n as (select vec_id, [0.0, 0.1, 0.3, 0.6][vec_id % 4 + 1]::double as t, embedding::double[] as a, lead(embedding::double[]) over (partition by label order by vec_id) as c from embeddings),
 p as (select vec_id, a, list_transform(list_zip(a, c), lambda x: (1 - t) * x[1] + t * x[2]) as b, vec_id % 40 as dt, vec_id % 9 = 0 as burst from n where c is not null)"""
 
@@ -68,6 +71,11 @@ def f20(spark, d):
     )
 
 
+@query("u6_explain_pair", f"{_BLEND}, {_evidence_sql('p', 'vec_id, dt, burst')} " + " union all ".join(f"select vec_id, '{name}' as rule from ev where {rule}" for name, rule in _RULES.items()))
+def u6(spark, d):
+    return blended(spark, d).select("vec_id", X.explain_pair(_evidence(C("vec_id") % 40, C("vec_id") % 9 == 0)).alias("rule"))
+
+
 @query("f14_time_delta", "select event_id, round(abs(epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 1e6, 6) as seconds from events")
 def f14(spark, d):
     rows = read(spark, d, "events").withColumn("before", F.expr("lag(ts) over (partition by user_id order by ts, event_id)"))

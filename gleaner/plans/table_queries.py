@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleaner.operators import relational as T
@@ -20,7 +22,7 @@ def s1(spark, d):
 
 @query("s2_manifest_round_trip", "select source as album, doc_id, lang from documents")
 def s2(spark, d):
-    path = f"{shared_folder(spark)}/manifests"
+    path = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
     S.write_manifests(read(spark, d, "documents").select("source", "doc_id", "lang"), path, album="source")
     return S.read_manifests(spark, path, "doc_id long, lang string")
 

@@ -118,6 +118,18 @@ def test_reliability_trusts_training_accuracy_by_half(spark):
     assert [r.x for r in frame.select(X.ranker_reliability({n: F.col(n) for n in names}).alias("x")).collect()] == [1.0, 0.5, 0.0, 0.0, 0.25]
 
 
+def test_thresholds_are_exact_at_every_ratio(spark):
+    rng = random.Random(4)
+    rows = [("a", rng.random() * 100) for _ in range(20000)] + [("b", float(rng.randrange(3))) for _ in range(5000)] + [("c", 7.0), ("d", None), ("e", -5.0), ("e", 250.0)]
+    frame = spark.createDataFrame(rows, "g string, s double").repartition(9)
+    for ratio in (0.0, 0.001, 0.45, 1.0):
+        want = {}
+        for g in "abcde":
+            v = sorted((min(max(s, 0.0), 100.0) for h, s in rows if h == g and s is not None), reverse=True)
+            want[g] = v[max(int(np.ceil(len(v) * ratio)), 1) - 1] if v else 60.0
+        assert {r.g: r.threshold for r in W.selection_threshold(frame, by=["g"], score="s", ratio=ratio, default=60.0).collect()} == want
+
+
 @pytest.mark.parametrize("bands", [J.BANDS_64, J.BANDS_60])
 def test_signature_pairs_lose_no_flip_pattern(spark, bands):
     rng, rows = random.Random(3), []
