@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,11 +80,32 @@ def describe_groups(df: DataFrame, *, by: list[str], content: str, confidence: s
 
 
 def group_batches(df: DataFrame, *, group: str, limit: int, by: list[str]) -> DataFrame:
-    """Whole groups packed in order into batches of about ``limit`` rows: the batch is the running size over the limit."""
-    part = ", ".join(by)
-    sizes = df.groupBy(*by, group).agg(F.count("*").alias("n"))
-    before = F.expr(f"sum(n) over (partition by {part} order by {group} rows unbounded preceding) - n")
-    return sizes.withColumn("batch", F.floor(before / limit))
+    """(by, group, piece, n, batch): groups packed in order into batches of at most ``limit`` rows; a group stays whole
+    but for one over the limit, which is cut into full pieces and a rest.
+
+    A batch closes where the next piece doesn't fit, so pieces are read in order, with the open batch's size as the only
+    state. Rows with a null in ``by`` or ``group`` form partitions and groups of their own.
+    """
+    sizes = df.groupBy(*by, group).agg(F.count("*").alias("rows"))
+    pieces = sizes.select(*by, group, "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / limit))).alias("piece"))
+    pieces = pieces.select(*by, group, "piece", F.least(F.lit(limit).cast("long"), F.col("rows") - F.col("piece") * limit).alias("n"))
+    ordered = pieces.repartition(*by).sortWithinPartitions(*by, group, "piece")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, fill, batch = None, 0, 0
+        for part in batches:
+            places = []
+            for *key, n in part[[*by, "n"]].astype(object).where(part[[*by, "n"]].notna(), None).itertuples(index=False):
+                if key != own:
+                    own, fill, batch = key, 0, 0
+                if fill + n > limit:
+                    fill, batch = 0, batch + 1
+                fill += n
+                places.append(batch)
+            yield part.assign(batch=places)
+
+    kinds = dict(pieces.dtypes)
+    return ordered.mapInPandas(pack, ", ".join(f"{c} {kinds[c]}" for c in [*by, group, "piece", "n"]) + ", batch long")
 
 
 def external_leaders(df: DataFrame, *, by: list[str], key: str, rank: str, confidence: str, least: float = 0.75) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import expressions as X
+from gleaner.operators.ordered import midrank_percentile
 from gleaner.sources.tables import materialize
 
 
@@ -90,6 +91,114 @@ def apply_ranker(vector: Column, weights: Column, reliability: Column) -> Column
     return F.when(F.size(vector) == F.size(weights), value).otherwise(F.lit(0.0))
 
 
+def simplex(w: np.ndarray) -> np.ndarray:
+    """The nearest point with parts of 0 or more that sum to 1."""
+    high = np.sort(w)[::-1]
+    over = (np.cumsum(high) - 1) / np.arange(1, len(w) + 1)
+    return np.maximum(w - over[np.nonzero(high > over)[0][-1]], 0)
+
+
+def _downhill(w: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
+    """The least point on the simplex of a quadratic given at ``w``; one weight per engine, so a handful of numbers."""
+    at, step = w, 1 / max(float(np.trace(bend)), 1e-12)
+    for _ in range(2000):
+        at = simplex(at - step * (slope + bend @ (at - w)))
+    return at
+
+
+def engine_gaps(pairs: DataFrame, *, key: str, context: str, engines: list[str]) -> DataFrame:
+    """(key, context, split, gap): per engine, how much higher the preferred side's mid-rank percentile within its context
+    is than the other's. ``pairs`` has ``<engine>_preferred`` and ``<engine>_other``; pairs with a null don't count."""
+    side = lambda s: F.struct(F.lit(s == "preferred").alias("won"), *(F.col(f"{e}_{s}").cast("double").alias(e) for e in engines))
+    rows = pairs.dropna(subset=[key, context, "split", *(f"{e}_{s}" for e in engines for s in ("preferred", "other"))])
+    rows = rows.select(key, context, "split", F.explode(F.array(side("preferred"), side("other"))).alias("side")).select(key, context, "split", "side.*")
+    for e in engines:
+        rows = midrank_percentile(rows, e, by=[context], out=f"{e}_rank")
+    gap = F.array(*(F.sum(F.when(F.col("won"), F.col(f"{e}_rank")).otherwise(-F.col(f"{e}_rank"))) for e in engines))
+    return rows.groupBy(key, context, "split").agg(gap.alias("gap"))
+
+
+def fit_ensemble_weights(pairs: DataFrame, *, key: str, context: str, engines: list[str], rounds: int = 25, scale: float = 12.0) -> DataFrame:
+    """One row: status, weights (0 or more, sum 1, in the order of ``engines``), numbers of pairs and contexts of both
+    splits, held-out accuracy, that of the first engine alone, and the uplift.
+
+    The weights have the least logistic loss of the calibration pairs' gaps, by steps on sums that all tasks add up: one
+    row of slopes and bends comes back for each step. ``unfit``, without weights: fewer than 50 calibration or 20
+    held-out pairs, fewer than two calibration contexts, or a context in both splits. ``validated``: an accuracy of 0.65
+    and an uplift of 0.02; else ``failed``.
+    """
+    gaps = materialize(engine_gaps(pairs, key=key, context=context, engines=engines))
+    k = len(engines)
+    splits = gaps.groupBy(context).agg(*(F.count_if(F.col("split") == s).alias(s) for s in ("calibration", "held_out")))
+    counts = splits.agg(
+        F.coalesce(F.sum("calibration"), F.lit(0)).alias("calibration_pairs"), F.coalesce(F.sum("held_out"), F.lit(0)).alias("held_out_pairs"),
+        F.count_if(F.col("calibration") > 0).alias("calibration_contexts"), F.count_if(F.col("held_out") > 0).alias("held_out_contexts"), F.count_if((F.col("calibration") > 0) & (F.col("held_out") > 0)).alias("shared"),
+    ).first()
+    fit = counts["calibration_pairs"] >= 50 and counts["held_out_pairs"] >= 20 and counts["calibration_contexts"] >= 2 and not counts["shared"]
+    train, held = gaps.where("split = 'calibration'"), gaps.where("split = 'held_out'")
+
+    def score(w: np.ndarray) -> Column:
+        return sum((F.lit(float(x)) * F.col("gap")[i] for i, x in enumerate(w)), F.lit(0.0))
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        g = [F.col("gap")[i] / scale for i in range(k)]
+        margin = score(w) / scale
+        p = 1 / (1 + F.exp(-margin))
+        loss = F.greatest(-margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin)))
+        row = train.agg(F.avg(loss), *(F.avg((p - 1) * x) for x in g), *(F.avg(p * (1 - p) * x * y) for x in g for y in g)).first()
+        return row[0], np.array(row[1 : k + 1]), np.array(row[k + 1 :]).reshape(k, k)
+
+    weights = accuracy = alone = None
+    if fit:
+        w, share = np.full(k, 1 / k), 1.0
+        loss, slope, bend = sums(w)
+        for _ in range(rounds):
+            there = w + share * (_downhill(w, slope, bend) - w)
+            new = sums(there)
+            if new[0] > loss:
+                share /= 4
+                continue
+            moved, share = float(np.abs(there - w).max()), 1.0
+            w, (loss, slope, bend) = there, new
+            if moved < 1e-8:
+                break
+        weights = [round(float(x), 6) for x in w]
+        first = np.eye(k)[0]
+        accuracy, alone = held.agg(*(F.avg((score(x) > 0).cast("double")) for x in (w, first))).first()
+    uplift = round(accuracy - alone, 6) if fit else None
+    status = "unfit" if not fit else "validated" if accuracy >= 0.65 and uplift >= 0.02 else "failed"
+    numbers = ["calibration_pairs", "held_out_pairs", "calibration_contexts", "held_out_contexts"]
+    row = (status, weights, *(counts[n] for n in numbers), round(accuracy, 6) if fit else None, round(alone, 6) if fit else None, uplift)
+    return pairs.sparkSession.createDataFrame([row], f"status string, weights array<double>, {', '.join(n + ' long' for n in numbers)}, accuracy double, first_engine_accuracy double, uplift double")
+
+
+def project_corpus(retained: DataFrame, snapshots: DataFrame, *, context: str, key: str, frozen: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(corpus, audit) of new snapshots (context, key, frozen columns as strings) over the rows retained so far.
+
+    The snapshots of a context replace what it had, unless a row that it had is there with other frozen columns: then the
+    whole context is refused and its retained rows stay. ``audit``: context, input_hash (of the snapshots in any order),
+    n_rows, n_changed, status ``completed`` or ``failed``. Contexts without snapshots keep their rows. Repeated rows count
+    once, rows without context or key not at all; the same input gives the same corpus again.
+    """
+    columns = [context, key, *frozen]
+    old, new = (materialize(x.select(*columns).dropna(subset=[context, key]).distinct()) for x in (retained, snapshots))
+    same = F.lit(True)
+    for c in frozen:
+        same = same & F.col(c).eqNullSafe(F.col(f"old_{c}"))
+    before = old.select(context, key, *(F.col(c).alias(f"old_{c}") for c in frozen))
+    changed = new.join(before, [context, key]).where(~same).groupBy(context).agg(F.count("*").alias("n_changed"))
+    text = F.concat_ws("\x1f", F.col(key).cast("string"), *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in frozen))
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    sizes = new.groupBy(context).agg(F.count("*").alias("n_rows"), F.sum(number).alias("total"))
+    audit = sizes.join(changed, context, "left").select(
+        context, F.sha2(F.concat_ws("|", "n_rows", F.col("total").cast("string")), 256).alias("input_hash"), "n_rows",
+        F.coalesce("n_changed", F.lit(0).cast("long")).alias("n_changed"), F.when(F.col("n_changed") > 0, "failed").otherwise("completed").alias("status"),
+    )
+    audit = materialize(audit)
+    done = audit.where("status = 'completed'").select(context)
+    return new.join(done, context, "left_semi").unionByName(old.join(done, context, "left_anti")), audit
+
+
 def fit_platt(df: DataFrame, *, probability: str, correct: str, rounds: int = 1000, rate: float = 0.5) -> DataFrame:
     """(intercept, slope, n) of a logistic calibration. Rows are first summed by probability, at most 1001 values."""
     counts = df.where(F.col(probability).between(0, 1)).groupBy(F.round(probability, 3).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("double")).alias("y"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import expressions as X
+from gleaner.operators import cells as G
 from gleaner.operators import ordered as W
 from gleaner.plans.registry import query
 from gleaner.sources.tables import read
@@ -209,6 +210,12 @@ def a7(spark, d):
     return bins.groupBy("vec_id", "bin").agg(r6(F.count("*") / F.first("n"), "share"))
 
 
+def grids(spark, d):
+    """The vectors as grids of 8 by 8 cells: vec_id, x, y, v."""
+    cells = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "f"))
+    return cells.select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).alias("y"), F.col("f").cast("double").alias("v"))
+
+
 @query("a8_grid_quality", """
 with c as (select vec_id, u.i - 1 as i, embedding[u.i]::double as v from embeddings, (select unnest(generate_series(1, 64)) as i) u),
 n as (select vec_id, v, (i % 8) as x, i // 8 as y, lead(v) over (partition by vec_id, i // 8 order by i % 8) as rt, lag(v) over (partition by vec_id, i // 8 order by i % 8) as lt,
@@ -216,14 +223,29 @@ n as (select vec_id, v, (i % 8) as x, i // 8 as y, lead(v) over (partition by ve
 select vec_id, round(var_pop(rt + lt + dn + up - 4 * v), 6) as laplacian_variance, round(avg(case when rt is not null and dn is not null then (rt - v) * (rt - v) + (dn - v) * (dn - v) end), 6) as gradient_energy,
  round(avg(v), 6) as mean, round(stddev_pop(v), 6) as spread, round(quantile_cont(v, 0.99) - quantile_cont(v, 0.01), 6) as dynamic_range from n group by 1""")
 def a8(spark, d):
-    cells = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "f")).select("vec_id", F.col("f").cast("double").alias("v"), (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).alias("y"))
-    near = cells.withColumns({
-        "rt": F.expr("lead(v) over (partition by vec_id, y order by x)"), "lt": F.expr("lag(v) over (partition by vec_id, y order by x)"),
-        "dn": F.expr("lead(v) over (partition by vec_id, x order by y)"), "up": F.expr("lag(v) over (partition by vec_id, x order by y)"),
-    })
-    q = F.percentile("v", F.array(F.lit(0.01), F.lit(0.99)))
-    grad = F.pow(F.col("rt") - F.col("v"), 2) + F.pow(F.col("dn") - F.col("v"), 2)
-    return near.groupBy("vec_id").agg(
-        r6(F.var_pop(F.col("rt") + F.col("lt") + F.col("dn") + F.col("up") - 4 * F.col("v")), "laplacian_variance"), r6(F.avg(grad), "gradient_energy"),
-        r6(F.avg("v"), "mean"), r6(F.stddev_pop("v"), "spread"), r6(q[1] - q[0], "dynamic_range"),
-    )
+    return G.cell_metrics(grids(spark, d), by=["vec_id"]).select("vec_id", *(r6(F.col(c), c) for c in G.METRICS))
+
+
+_MARKS = """with m as (select vec_id, u.r as region, abs(embedding[4 * u.r + 1]::double) * 4 as x0, abs(embedding[4 * u.r + 2]::double) * 4 as y0, abs(embedding[4 * u.r + 3]::double) * 5 as w0, abs(embedding[4 * u.r + 4]::double) * 5 as h0
+ from embeddings, (select unnest(generate_series(0, 11)) as r) u),
+c as (select vec_id, region, least(1.0, x0) as x, least(1.0, y0) as y, w0, h0 from m where region < 10),
+b as (select vec_id, region, x, y, least(1 - x, w0) as w, least(1 - y, h0) as h from c),
+e as (select *, w * h as area, greatest(0, round_even((x - w * 0.08::double) * 8, 0)::int) as le, least(8, round_even((x + w + w * 0.08::double) * 8, 0)::int) as ri,
+ greatest(0, round_even((1 - y - h - h * 0.08::double) * 8, 0)::int) as tp, least(8, round_even((1 - y + h * 0.08::double) * 8, 0)::int) as bo,
+ (x <= 0.012)::int + (y <= 0.012)::int + (x + w >= 0.988)::int + (y + h >= 0.988)::int as contacts from b where w * h >= 0.0025),
+k as (select * from e where ri - le >= 3 and bo - tp >= 3),
+g as (select vec_id, (u.i - 1) % 8 as x, (u.i - 1) // 8 as y, embedding[u.i]::double as v from embeddings, (select unnest(generate_series(1, 64)) as i) u),
+n as (select g.vec_id, region, area, contacts, v, lead(v) over (partition by g.vec_id, region, g.y order by g.x) as rt, lag(v) over (partition by g.vec_id, region, g.y order by g.x) as lt,
+ lead(v) over (partition by g.vec_id, region, g.x order by g.y) as dn, lag(v) over (partition by g.vec_id, region, g.x order by g.y) as up from g join k on g.vec_id = k.vec_id and g.x >= le and g.x < ri and g.y >= tp and g.y < bo),
+q as (select vec_id, region, any_value(area) as area, sqrt(any_value(area)) as wt, any_value(contacts) as contacts, var_pop(rt + lt + dn + up - 4 * v) as laplacian_variance, avg((rt - v) * (rt - v) + (dn - v) * (dn - v)) as gradient_energy,
+ avg(v) as mean, stddev_pop(v) as spread, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) as dynamic_range from n group by 1, 2)
+select vec_id, count(*) as region_count, round(least(1.0, sum(area)), 6) as coverage, round(least(1.0, sum(wt * least(1.0, contacts / 2)) / sum(wt)), 6) as boundary, """
+
+
+@query("a9_region_quality", _MARKS + ", ".join(f"round(sum(coalesce({c}, 0) * wt) / sum(wt), 6) as {c}" for c in G.METRICS) + " from q group by 1")
+def a9(spark, d):
+    share = lambda i, by: (F.abs(F.get("embedding", F.col("region") * 4 + i).cast("double")) * by)
+    marks = read(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("region"))
+    marks = marks.select("vec_id", "region", share(0, 4).alias("x"), share(1, 4).alias("y"), share(2, 5).alias("w"), share(3, 5).alias("h"))
+    out = G.region_metrics(grids(spark, d), marks, key="vec_id", cols=8, rows=8, least=3)
+    return out.select("vec_id", "region_count", *(r6(F.col(c), c) for c in ["coverage", "boundary", *G.METRICS]))

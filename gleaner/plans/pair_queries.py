@@ -165,10 +165,15 @@ def g8(spark, d):
 
 
 @query("g9_group_batches", """
-with s as (select l_suppkey, l_orderkey, count(*) as n from lineitem group by 1, 2)
-select l_suppkey, l_orderkey, n, cast(floor((sum(n) over (partition by l_suppkey order by l_orderkey rows unbounded preceding) - n) / 16) as bigint) as batch from s""")
+with recursive s as (select l_suppkey, year(l_shipdate) * 4 + quarter(l_shipdate) as season, count(*) as m from lineitem group by 1, 2),
+u as (select l_suppkey, season, p.i as piece, least(16, m - p.i * 16) as n from s, (select unnest(generate_series(0, 1000)) as i) p where p.i * 16 < m),
+k as (select *, row_number() over (partition by l_suppkey order by season, piece) as r from u),
+g as (select l_suppkey, season, piece, n, r, n as fill, 0::bigint as batch from k where r = 1
+ union all select k.l_suppkey, k.season, k.piece, k.n, k.r, case when fill + k.n > 16 then k.n else fill + k.n end, batch + (fill + k.n > 16)::int from g join k on k.l_suppkey = g.l_suppkey and k.r = g.r + 1)
+select l_suppkey, season, piece, n, batch from g""")
 def g9(spark, d):
-    return G.group_batches(read(spark, d, "lineitem"), group="l_orderkey", limit=16, by=["l_suppkey"]).select("l_suppkey", "l_orderkey", "n", F.col("batch").cast("bigint").alias("batch"))
+    lines = read(spark, d, "lineitem").withColumn("season", F.year("l_shipdate") * 4 + F.quarter("l_shipdate"))
+    return G.group_batches(lines, group="season", limit=16, by=["l_suppkey"]).select("l_suppkey", "season", "piece", "n", "batch")
 
 
 @query("g10_node_id", "select l_orderkey, 'scene-' || substr(sha256(string_agg(l_linenumber::varchar, '|' order by l_linenumber)), 1, 16) as node from lineitem group by 1")

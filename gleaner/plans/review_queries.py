@@ -194,6 +194,38 @@ def l8(spark, d):
     return L.compatible_models(models, features, by="source", version="m1").select("source")
 
 
+def ensemble_pairs(spark, d):
+    """First and second line of every order: preferred is the one of more value for its discount; three engines score both."""
+    line = lambda n: read(spark, d, "lineitem").where(C("l_linenumber") == n).groupBy("l_orderkey").agg(*(F.min(c).cast("double").alias(f"{c}_{n}") for c in ("l_quantity", "l_extendedprice", "l_discount")), F.min("l_suppkey").alias(f"l_suppkey_{n}"))
+    rows = line(1).join(line(2), "l_orderkey")
+    value = lambda n: C(f"l_extendedprice_{n}") - 300000 * C(f"l_discount_{n}")
+    first = value(1) > value(2)
+    engines = {"quantity": lambda n: C(f"l_quantity_{n}"), "price": lambda n: C(f"l_extendedprice_{n}"), "full": lambda n: -C(f"l_discount_{n}")}
+    sides = [F.when(first == won, f(1)).otherwise(f(2)).alias(f"{e}_{s}") for e, f in engines.items() for s, won in (("preferred", True), ("other", False))]
+    split = F.when(C("l_suppkey_1") % 4 == 0, "held_out").otherwise("calibration").alias("split")
+    return rows.where(value(1) != value(2)).select("l_orderkey", C("l_suppkey_1").alias("context"), split, *sides), list(engines)
+
+
+@query("l9_ensemble_weights")
+def l9(spark, d):
+    pairs, engines = ensemble_pairs(spark, d)
+    return L.fit_ensemble_weights(pairs, key="l_orderkey", context="context", engines=engines)
+
+
+@query("l12_project_corpus", """with e as (select label as round, sha256(vec_id::varchar) as asset_key, array_to_string(list_transform(embedding[1:8], lambda v: round(v::double * 1000000)::bigint), ',') as feature, 'v1' as feature_schema, vec_id from embeddings),
+o as (select round, asset_key, case when vec_id % 30 = 0 and round < 3 then feature || ',0' else feature end as feature, feature_schema from e where vec_id % 3 = 0), n as (select round, asset_key, feature, feature_schema from e where round <> 9 and vec_id % 5 <> 1),
+c as (select n.round, count(*) as m from n join o using (round, asset_key) where n.feature <> o.feature group by 1),
+a as (select round, sha256(count(*)::varchar || '|' || sum(('0x' || substr(md5(asset_key || chr(31) || '=' || feature || chr(31) || '=' || feature_schema), 1, 15))::bigint)::varchar) as input_hash, count(*) as n_rows, coalesce(any_value(m), 0) as n_changed, case when coalesce(any_value(m), 0) > 0 then 'failed' else 'completed' end as status from n left join c using (round) group by 1),
+r as (select n.* from n join a using (round) where status = 'completed' union all select * from o where round not in (select round from a where status = 'completed'))
+select r.round, asset_key, feature, input_hash, n_rows, n_changed, status from r left join a on a.round = r.round""")
+def l12(spark, d):
+    feature = F.array_join(F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ",")
+    rows = read(spark, d, "embeddings").select(C("label").alias("round"), F.sha2(C("vec_id").cast("string"), 256).alias("asset_key"), feature.alias("feature"), F.lit("v1").alias("feature_schema"), "vec_id")
+    old = rows.where("vec_id % 3 = 0").withColumn("feature", F.when(F.expr("vec_id % 30 = 0 and round < 3"), F.concat("feature", F.lit(",0"))).otherwise(C("feature")))
+    corpus, audit = L.project_corpus(old, rows.where("round <> 9 and vec_id % 5 <> 1"), context="round", key="asset_key", frozen=["feature", "feature_schema"])
+    return corpus.join(audit, "round", "left").select("round", "asset_key", "feature", "input_hash", "n_rows", "n_changed", "status")
+
+
 @query("l13_sync_training_examples", """with p as (select vec_id as pair_id, vec_id as preferred, vec_id + 1 as rejected, case when vec_id % 4 = 0 then 'held_out' else 'training' end as split from embeddings),
 x as (select vec_id + 1 as a, vec_id as b from embeddings where vec_id % 6 = 1)
 select pair_id, preferred, rejected, round(list_dot_product(v.embedding::double[], w.embedding::double[]), 6) as product from p join embeddings v on v.vec_id = preferred join embeddings w on w.vec_id = rejected

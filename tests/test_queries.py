@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import expressions as X
 from gleaner.operators import groups as G
+from gleaner.operators import learning as L
 from gleaner.operators import ordered as W
 from gleaner.operators import pairs as J
 from gleaner.plans import catalog
@@ -222,3 +223,69 @@ def test_failing_models_give_error_rows(spark):
 
     out = score_model(spark.range(5), lambda: lambda b: b["missing"], key="id", engine="e", version="1").collect()
     assert {r.status for r in out} == {"error"} and len(out) == 5
+
+
+def test_ensemble_weights_have_the_least_loss(spark):
+    from gleaner.plans.review_queries import ensemble_pairs
+
+    pairs, engines = ensemble_pairs(spark, SF)
+    got = L.fit_ensemble_weights(pairs, key="l_orderkey", context="context", engines=engines).first()
+    raw = [r.asDict() for r in pairs.collect()]
+
+    def percentile(pool, x):
+        below, equal = sum(v < x for v in pool), sum(v == x for v in pool)
+        return 50.0 if len(pool) < 2 else (below + (equal - 1) / 2) / (len(pool) - 1) * 100
+
+    pools = {}
+    for r in raw:
+        for e in engines:
+            pools.setdefault((r["context"], e), []).extend((r[f"{e}_preferred"], r[f"{e}_other"]))
+    gaps = {s: np.array([[percentile(pools[r["context"], e], r[f"{e}_preferred"]) - percentile(pools[r["context"], e], r[f"{e}_other"]) for e in engines] for r in raw if r["split"] == s]) for s in ("calibration", "held_out")}
+    loss = lambda w: np.logaddexp(0, -gaps["calibration"] @ np.asarray(w).T / 12).mean(axis=0)
+    grid = np.array([(a / 100, b / 100, (100 - a - b) / 100) for a in range(101) for b in range(101 - a)])
+    assert loss(got.weights) <= loss(grid).min() + 1e-9
+    assert abs(sum(got.weights) - 1) < 1e-5 and min(got.weights) >= 0
+    right = lambda w: (gaps["held_out"] @ np.asarray(w) > 0).mean()
+    assert got.accuracy == pytest.approx(right(got.weights), abs=0.01) and got.first_engine_accuracy == pytest.approx(right([1, 0, 0]), abs=1e-6)
+    assert (got.calibration_pairs, got.held_out_pairs) == tuple(len(gaps[s]) for s in ("calibration", "held_out")) and got.status == "validated"
+
+
+def test_ensemble_weights_need_pairs_and_disjoint_contexts(spark):
+    schema = "k long, c long, split string, a_preferred double, a_other double, b_preferred double, b_other double"
+    fit = lambda rows: L.fit_ensemble_weights(spark.createDataFrame(rows, schema), key="k", context="c", engines=["a", "b"]).first()
+    rows = [(k, k % 4, "held_out" if k % 4 == 3 else "calibration", 1.0 * (k % 5), 1.0, 2.0, 1.0 * (k % 3)) for k in range(120)]
+    assert fit(rows).status in ("failed", "validated")
+    shared = fit([*rows, (120, 3, "calibration", 1.0, 0.0, 1.0, 0.0)])
+    assert shared.status == "unfit" and shared.weights is None
+    assert fit([]).status == fit(rows[:40]).status == fit([(*r[:3], None, *r[4:]) for r in rows]).status == "unfit"
+
+
+def test_batches_keep_groups_whole_and_stay_within_the_limit(spark):
+    rng = random.Random(4)
+    sizes = {(p, g): rng.choice([1, 2, 3, 5, 9, 30]) for p in (None, 1, 2) for g in range(25)}
+    rows = [key for key, n in sizes.items() for _ in range(n)]
+    out = G.group_batches(spark.createDataFrame(rows, "p long, g long"), group="g", limit=8, by=["p"])
+    want = []
+    for p in (None, 1, 2):
+        fill = batch = 0
+        for g in range(25):
+            for piece, start in enumerate(range(0, sizes[p, g], 8)):
+                n = min(8, sizes[p, g] - start)
+                if fill + n > 8:
+                    fill, batch = 0, batch + 1
+                fill += n
+                want.append((p, g, piece, n, batch))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert G.group_batches(spark.createDataFrame([], "p long, g long"), group="g", limit=8, by=["p"]).count() == 0
+
+
+def test_changed_snapshots_are_refused_with_their_context(spark):
+    schema = "round string, k string, feature string"
+    old = spark.createDataFrame([("a", "x", "1"), ("a", "gone", "1"), ("b", "x", "1"), ("c", "x", None), ("d", "y", "9")], schema)
+    new = spark.createDataFrame([("a", "x", "1"), ("a", "x", "1"), ("a", "z", "2"), ("b", "x", "other"), ("b", "w", "1"), ("c", "x", "1"), (None, "x", "1"), ("a", None, "1")], schema)
+    corpus, audit = L.project_corpus(old, new, context="round", key="k", frozen=["feature"])
+    assert sorted(map(tuple, corpus.collect()), key=repr) == sorted([("a", "x", "1"), ("a", "z", "2"), ("b", "x", "1"), ("c", "x", None), ("d", "y", "9")], key=repr)
+    assert sorted((r["round"], r.n_rows, r.n_changed, r.status) for r in audit.collect()) == [("a", 2, 0, "completed"), ("b", 2, 1, "failed"), ("c", 1, 1, "failed")]
+    again, second = L.project_corpus(corpus, new, context="round", key="k", frozen=["feature"])
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, corpus.collect()), key=repr)
+    assert sorted(map(tuple, second.collect())) == sorted(map(tuple, audit.collect()))
