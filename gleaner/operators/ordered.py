@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import expressions as X
+from gleaner.sources.tables import materialize
 
 
 def _part(by: list[str]) -> str:
@@ -42,6 +43,45 @@ def named_score_ranks(df: DataFrame, names: list[str], *, key: list[str], by: li
     return ranked.groupBy(*dict.fromkeys([*key, *by])).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "rank")))).alias("ranks"))
 
 
+def quantiles(df: DataFrame, value: Column | str, *, by: list[str], shares: list[float], accuracy: int = 10000) -> DataFrame:
+    """(by, q): the exact quantiles of a value, interpolated between neighbours; null or NaN values and null keys don't count.
+
+    A sketch of known error gives bounds on both sides of each quantile; what lies outside is only counted, and the
+    different values between the bounds, some 4 / ``accuracy`` of all, are put in order.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    rows = df.select(*by, v.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    around = [min(1.0, max(0.0, s + side * 2 / accuracy)) for side in (-1, 1) for s in shares]
+    bounds = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", around, accuracy).alias("b"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("share"), F.col("b")[i].alias("low"), F.col("b")[len(shares) + i].alias("high")) for i, s in enumerate(shares))))
+    met = rows.join(bounds.select(*by, "n", each.alias("e")).select(*by, "n", "e.*"), by)
+    zone = F.when(F.col("v") < F.col("low"), 0).when(F.col("v") <= F.col("high"), 1).otherwise(2).alias("zone")
+    met = met.select(*by, "i", "n", "share", zone, "v").withColumn("own", F.when(F.col("zone") == 1, F.col("v")))
+    cells = met.groupBy(*by, "i", "n", "share", "zone", "own").agg(F.count("*").alias("c"), F.max("v").alias("most"), F.min("v").alias("least"))
+    # Below the bounds only the largest value is known, above them only the smallest; either may be a neighbour.
+    cells = cells.withColumn("upto", F.expr(f"sum(c) over (partition by {_part(by)}, i order by zone, own rows unbounded preceding)"))
+    at = F.col("share") * (F.col("n") - 1)
+    lower = F.floor(at)
+    upper = F.least(lower + 1, F.col("n") - 1)
+
+    def rank(r: Column) -> Column:
+        outside = ((F.col("zone") == 0) & (r != F.col("upto") - 1)) | ((F.col("zone") == 2) & (r != F.col("upto") - F.col("c")))
+        held = F.when(outside, F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")).when(F.col("zone") == 0, F.col("most")).otherwise(F.col("least"))
+        return F.max(F.when((r >= F.col("upto") - F.col("c")) & (r < F.col("upto")), held))
+
+    found = cells.groupBy(*by, "i").agg(rank(lower).alias("x"), rank(upper).alias("y"), F.first(at - lower).alias("part"))
+    found = found.select(*by, F.struct("i", (F.col("x") + (F.col("y") - F.col("x")) * F.col("part")).alias("q")).alias("e"))
+    return found.groupBy(*by).agg(F.array_sort(F.collect_list("e")).alias("e")).select(*by, F.transform("e", lambda e: e["q"]).alias("q"))
+
+
+def median_and_deviation(df: DataFrame, value: str, *, by: list[str]) -> DataFrame:
+    """(by, med, mad): the exact median of a column and the median distance from it."""
+    rows = materialize(df.select(*by, value))
+    middle = materialize(quantiles(rows, value, by=by, shares=[0.5]).select(*by, F.col("q")[0].alias("med")))
+    away = quantiles(rows.join(middle, by), F.abs(F.col(value) - F.col("med")), by=by, shares=[0.5])
+    return middle.join(away, by).select(*by, "med", F.col("q")[0].alias("mad"))
+
+
 def adaptive_episodes(df: DataFrame, *, micros: Column, by: list[str], order: list[str], low: float = 300, high: float = 1800, spread: float = 6, least: float = 90, moved: Column | None = None) -> DataFrame:
     """Rows with their ``episode``: a new one where the gap exceeds a threshold per partition, or the place changes.
 
@@ -51,9 +91,7 @@ def adaptive_episodes(df: DataFrame, *, micros: Column, by: list[str], order: li
     p, o = _part(by), ", ".join(order)
     rows = df.withColumn("t", micros)
     rows = rows.withColumn("gap", F.greatest(F.col("t") - F.expr(f"lag(t) over (partition by {p} order by {o})"), F.lit(0)) / 1e6)
-    gaps = rows.where("gap > 0")
-    middle = gaps.groupBy(*by).agg(F.percentile("gap", F.lit(0.5)).alias("med"))
-    mad = gaps.join(middle, by).groupBy(*by).agg(F.first("med").alias("med"), F.percentile(F.abs(F.col("gap") - F.col("med")), F.lit(0.5)).alias("mad"))
+    mad = median_and_deviation(rows.where("gap > 0"), "gap", by=by)
     limit = X.clamp(F.greatest(F.lit(float(low)), F.col("med") + F.greatest(F.lit(float(least)), spread * F.col("mad"))), low, high)
     limits = mad.select(*by, limit.alias("limit"))
     split = F.coalesce(F.col("gap") > F.col("limit"), F.lit(False)) | (moved if moved is not None else F.lit(False))
@@ -67,9 +105,7 @@ def semantic_scenes(df: DataFrame, *, vector: str, by: list[str], order: list[st
     p, o = _part(by), ", ".join(order)
     rows = df.withColumn("before", F.expr(f"lag({vector}) over (partition by {p} order by {o})"))
     rows = rows.withColumn("sim", X.cosine(F.col(vector), F.col("before"))).drop("before")
-    known = rows.where("sim is not null")
-    middle = known.groupBy(*by).agg(F.percentile("sim", F.lit(0.5)).alias("med"))
-    mad = known.join(middle, by).groupBy(*by).agg(F.first("med").alias("med"), F.percentile(F.abs(F.col("sim") - F.col("med")), F.lit(0.5)).alias("mad"))
+    mad = median_and_deviation(rows.where("sim is not null"), "sim", by=by)
     limits = mad.select(*by, X.clamp(F.col("med") - F.greatest(F.lit(least), spread * F.col("mad")), low, high).alias("limit"))
     flagged = rows.join(limits, by, "left").withColumn("new", F.coalesce(F.col("sim") < F.col("limit"), F.lit(False)).cast("int"))
     return flagged.withColumn("scene", F.expr(f"sum(new) over (partition by {p} order by {o} rows unbounded preceding)")).drop("new")
@@ -115,7 +151,7 @@ def selection_threshold(df: DataFrame, *, by: list[str], score: str, ratio: floa
 
 def center_deltas(df: DataFrame, *, by: list[str], delta: str, ready: Column, most: float = 12) -> DataFrame:
     """Deltas less their partition's median over ready rows, within bounds; 0 for the others."""
-    middle = df.where(ready).groupBy(*by).agg(F.percentile(delta, F.lit(0.5)).alias("middle"))
+    middle = quantiles(df.where(ready), delta, by=by, shares=[0.5]).select(*by, F.col("q")[0].alias("middle"))
     centered = X.clamp(F.col(delta) - F.col("middle"), -most, most)
     return df.join(middle, by, "left").withColumn("centered", F.when(ready, centered).otherwise(F.lit(0.0))).drop("middle")
 

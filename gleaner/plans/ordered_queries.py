@@ -185,11 +185,9 @@ with m as (select o_orderpriority, median(o_totalprice) as med from orders group
 select o_orderpriority, round(any_value(med), 6) as med, round(median(abs(o_totalprice - med)), 6) as mad, round(quantile_cont(o_totalprice, 0.05), 6) as p05, round(quantile_cont(o_totalprice, 0.95), 6) as p95
 from orders join m using (o_orderpriority) group by 1""")
 def a4(spark, d):
-    orders = read(spark, d, "orders")
-    middle = orders.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    mad = F.percentile(F.abs(F.col("o_totalprice") - F.col("q")[1]), F.lit(0.5))
-    out = orders.join(middle, "o_orderpriority").groupBy("o_orderpriority").agg(mad.alias("mad"), F.first("q").alias("q"))
-    return out.select("o_orderpriority", r6(F.col("q")[1], "med"), r6(F.col("mad"), "mad"), r6(F.col("q")[0], "p05"), r6(F.col("q")[2], "p95"))
+    orders, by = read(spark, d, "orders"), ["o_orderpriority"]
+    out = W.median_and_deviation(orders, "o_totalprice", by=by).join(W.quantiles(orders, "o_totalprice", by=by, shares=[0.05, 0.95]), by)
+    return out.select("o_orderpriority", r6(F.col("med"), "med"), r6(F.col("mad"), "mad"), r6(F.col("q")[0], "p05"), r6(F.col("q")[1], "p95"))
 
 
 @query("a5_null_aware_weighted_mean", """

@@ -33,7 +33,10 @@ def s4(spark, d):
     return read(spark, d, "pages").select("page_id", digest.alias("content_sha256"), F.sha2(F.concat_ws("|", digest, F.octet_length("html").cast("string"), F.lit("v1")).cast("binary"), 256).alias("fingerprint"))
 
 
-@query("s5_take_snapshot", "select o_orderpriority, count(*) as items, sha256(string_agg(sha256(o_orderkey::varchar || '|' || o_custkey::varchar || '|' || o_orderstatus), ',' order by o_orderkey)) as membership from orders group by 1")
+@query("s5_take_snapshot", """
+with r as (select o_orderpriority, substr(md5(o_orderkey::varchar), 1, 3) as bucket, sha256(concat_ws('|', o_orderkey, o_orderkey, o_custkey, o_orderstatus)) as item from orders),
+b as (select o_orderpriority, bucket, count(*) as n, sha256(string_agg(item, ',' order by item)) as digest from r group by 1, 2)
+select o_orderpriority, sum(n)::bigint as items, sha256(string_agg(bucket || ':' || digest, ',' order by bucket || ':' || digest)) as membership from b group by 1""")
 def s5(spark, d):
     return S.take_snapshot(read(spark, d, "orders"), by="o_orderpriority", order="o_orderkey", row=["o_orderkey", "o_custkey", "o_orderstatus"])
 

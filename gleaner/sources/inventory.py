@@ -37,11 +37,14 @@ def fingerprint_files(spark: SparkSession, path: str, *, settings: str) -> DataF
 def take_snapshot(df: DataFrame, *, by: str, order: str, row: list[str]) -> DataFrame:
     """(by, items, membership): an immutable digest of the ordered membership of each partition.
 
-    Rows are digested first, so a partition's list holds 64 characters a row.
+    Rows are digested with their place in the order, and met in 4,096 buckets by it; the digests of a partition's buckets
+    make its own, so no task holds a whole partition.
     """
-    item = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in row)), 256)
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("h"))))
-    return df.groupBy(by).agg(F.count("*").alias("items"), F.sha2(F.array_join(F.transform(listed, lambda x: x["h"]), ","), 256).alias("membership"))
+    item = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in [order, *row])), 256)
+    rows = df.select(by, F.substring(F.md5(F.col(order).cast("string")), 1, 3).alias("bucket"), item.alias("item"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    buckets = rows.groupBy(by, "bucket").agg(F.count("*").alias("n"), joined("item").alias("digest"))
+    return buckets.groupBy(by).agg(F.sum("n").alias("items"), joined(F.concat("bucket", F.lit(":"), "digest")).alias("membership"))
 
 
 def merge_inventory(current: DataFrame, incoming: DataFrame, *, key: str, fields: list[str]) -> DataFrame:

@@ -289,3 +289,16 @@ def test_changed_snapshots_are_refused_with_their_context(spark):
     again, second = L.project_corpus(corpus, new, context="round", key="k", frozen=["feature"])
     assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, corpus.collect()), key=repr)
     assert sorted(map(tuple, second.collect())) == sorted(map(tuple, audit.collect()))
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    values = {"few": [3.0, 1.0, 2.0], "one": [7.0], "two": [1.0, 5.0], "ties": [2.0] * 500 + [9.0] * 499, "wide": [*rng.normal(size=40000).tolist(), 1e12, -1e12], "none": [None]}
+    rows = [(k, v) for k, own in values.items() for v in own] + [("few", None), ("few", float("nan")), (None, 1.0)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.05, 0.5, 0.731, 0.95, 1.0]
+    for accuracy in (10000, 100):  # at 100 the sketch is coarser than the rows
+        got = {r.k: r.q for r in W.quantiles(frame, "v", by=["k"], shares=shares, accuracy=accuracy).collect()}
+        assert set(got) == {"few", "one", "two", "ties", "wide"}
+        for k, q in got.items():
+            assert q == pytest.approx(np.quantile(values[k], shares).tolist(), abs=1e-9)
