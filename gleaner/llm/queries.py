@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.alignment import op11_gallop_alignment
 from gleaner.llm.decontamination import op4_bm25_leaks
 from gleaner.llm.jaccard import op9_count_vector_join
 from gleaner.llm.language import op8_language_mixture
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_mixture": op8_language_mixture,
     "op9_count_vector_join": op9_count_vector_join,
     "op10_graph_neighbours": op10_graph_neighbours,
+    "op11_gallop_alignment": op11_gallop_alignment,
 }
 
 #: None of these can be expressed in SQL on whole tables; tests hold them against brute-force versions.
