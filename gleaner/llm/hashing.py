@@ -7,7 +7,7 @@ import numpy as np
 #: Bytes hashed at a time; longer stretches without white space are taken whole.
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(64).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
@@ -43,7 +43,7 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The hash of each stretch of bytes, wherever it stands."""
-    return mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64) * _STEP)
+    return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64) * _STEP)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

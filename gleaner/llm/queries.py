@@ -16,6 +16,7 @@ from gleaner.llm.passages import op3_block_anchors
 from gleaner.llm.privacy import op5_sanitise_terms
 from gleaner.llm.secrets import op7_guess_cost
 from gleaner.llm.sharding import op1_shuffle_shards
+from gleaner.llm.spelling import op12_variable_grams
 from gleaner.llm.substrings import op6_sampled_names
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_count_vector_join": op9_count_vector_join,
     "op10_graph_neighbours": op10_graph_neighbours,
     "op11_gallop_alignment": op11_gallop_alignment,
+    "op12_variable_grams": op12_variable_grams,
 }
 
 #: None of these can be expressed in SQL on whole tables; tests hold them against brute-force versions.
