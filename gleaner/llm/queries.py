@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.alignment import op11_gallop_alignment
 from gleaner.llm.decontamination import op4_bm25_leaks
+from gleaner.llm.fingerprints import op13_improbable_digest
 from gleaner.llm.jaccard import op9_count_vector_join
 from gleaner.llm.language import op8_language_mixture
 from gleaner.llm.neighbours import op10_graph_neighbours
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_graph_neighbours": op10_graph_neighbours,
     "op11_gallop_alignment": op11_gallop_alignment,
     "op12_variable_grams": op12_variable_grams,
+    "op13_improbable_digest": op13_improbable_digest,
 }
 
 #: None of these can be expressed in SQL on whole tables; tests hold them against brute-force versions.
