@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import expressions as X
+from gleaner.operators.segmented import finished, ranged, scan, value_counts
 from gleaner.sources.tables import materialize
 
 
@@ -13,25 +14,33 @@ def _part(by: list[str]) -> str:
     return ", ".join(by)
 
 
-def percentile_rank(df: DataFrame, col: str, *, by: list[str], out: str) -> DataFrame:
-    """(number of values <= v, less 1) over (n - 1); null stays null and isn't counted; one value gives 0.5."""
-    below = F.expr(f"count({col}) over (partition by {_part(by)} order by {col} range between unbounded preceding and current row)")
-    n = F.expr(f"count({col}) over (partition by {_part(by)})")
-    return df.withColumn(out, F.when(F.col(col).isNotNull(), F.when(n == 1, F.lit(0.5)).otherwise((below - 1) / (n - 1))))
+def percentile_rank(df: DataFrame, col: str, *, by: list[str], out: str, bounded: bool = False) -> DataFrame:
+    """(number of values <= v, less 1) over (n - 1); null stays null and isn't counted; one value gives 0.5.
+
+    Different values are counted and put in order by a segmented scan, whatever the size of a partition; where
+    partitions are known to be small (``bounded``) one window each does.
+    """
+    if bounded:
+        below = F.expr(f"count({col}) over (partition by {_part(by)} order by {col} range between unbounded preceding and current row)")
+        n = F.expr(f"count({col}) over (partition by {_part(by)})")
+        return df.withColumn(out, F.when(F.col(col).isNotNull(), F.when(n == 1, F.lit(0.5)).otherwise((below - 1) / (n - 1))))
+    ranks = value_counts(df.where(F.col(col).isNotNull()), col, by=by)
+    ranks = ranks.select("_by", "_v", F.when(F.col("n") == 1, F.lit(0.5)).otherwise((F.col("upto") - 1) / (F.col("n") - 1)).alias(out))
+    return df.withColumns({"_by": F.struct(*by), "_v": F.col(col)}).join(ranks, ["_by", "_v"], "left").select(*df.columns, out)
 
 
 def midrank_percentile(df: DataFrame, col: str, *, by: list[str], out: str) -> DataFrame:
-    """(values below + (equal - 1) / 2) over (n - 1), times 100; 50 for one value."""
-    p = _part(by)
-    below = F.expr(f"rank() over (partition by {p} order by {col})") - 1
-    equal, n = F.expr(f"count(*) over (partition by {p}, {col})"), F.expr(f"count(*) over (partition by {p})")
-    return df.withColumn(out, F.when(n <= 1, F.lit(50.0)).otherwise((below + (equal - 1) / 2) / (n - 1) * 100))
+    """(values below + (equal - 1) / 2) over (n - 1), times 100; 50 for one value. Nulls are equal and come first."""
+    ranks = value_counts(df, col, by=by)
+    middle = (F.col("upto") - F.col("c") + (F.col("c") - 1) / 2) / (F.col("n") - 1) * 100
+    ranks = ranks.select("_by", F.struct("_v").alias("_v"), F.when(F.col("n") <= 1, F.lit(50.0)).otherwise(middle).alias(out))
+    return df.withColumns({"_by": F.struct(*by), "_v": F.struct(F.col(col).alias("_v"))}).join(ranks, ["_by", "_v"]).select(*df.columns, out)
 
 
-def normalize_metrics(df: DataFrame, metrics: list[str], *, by: list[str], quality_of: list[str]) -> DataFrame:
+def normalize_metrics(df: DataFrame, metrics: list[str], *, by: list[str], quality_of: list[str], bounded: bool = False) -> DataFrame:
     """Relative ranks ``<metric>_rank`` of each metric and the mean of some of them as ``quality``."""
     for m in metrics:
-        df = percentile_rank(df, m, by=by, out=f"{m}_rank")
+        df = percentile_rank(df, m, by=by, out=f"{m}_rank", bounded=bounded)
     return df.withColumn("quality", X.weighted_mean([(F.col(f"{m}_rank"), 1.0) for m in quality_of], None))
 
 
@@ -88,27 +97,24 @@ def adaptive_episodes(df: DataFrame, *, micros: Column, by: list[str], order: li
     The threshold is median + max(least, spread * MAD) of the positive gaps, within bounds; unknown gaps never split.
     ``moved`` may use columns of the row and of the one before it (prefixed ``prev_``).
     """
-    p, o = _part(by), ", ".join(order)
-    rows = df.withColumn("t", micros)
-    rows = rows.withColumn("gap", F.greatest(F.col("t") - F.expr(f"lag(t) over (partition by {p} order by {o})"), F.lit(0)) / 1e6)
+    rows = scan(ranged(df.withColumn("t", micros), by=by, order=order), order=order, lags={"_t": "t"})
+    rows = materialize(rows.withColumn("gap", F.greatest(F.col("t") - F.col("_t"), F.lit(0)) / 1e6))
     mad = median_and_deviation(rows.where("gap > 0"), "gap", by=by)
     limit = X.clamp(F.greatest(F.lit(float(low)), F.col("med") + F.greatest(F.lit(float(least)), spread * F.col("mad"))), low, high)
-    limits = mad.select(*by, limit.alias("limit"))
-    split = F.coalesce(F.col("gap") > F.col("limit"), F.lit(False)) | (moved if moved is not None else F.lit(False))
-    flagged = rows.join(limits, by, "left").withColumn("new", split.cast("int"))
-    return flagged.withColumn("episode", F.expr(f"sum(new) over (partition by {p} order by {o} rows unbounded preceding)")).drop("t", "new")
+    split = F.coalesce(F.col("gap") > F.col("_limit"), F.lit(False)) | (moved if moved is not None else F.lit(False))
+    limited = rows.join(mad.select(F.struct(*by).alias("_by"), limit.alias("_limit")), "_by", "left")
+    return finished(scan(limited, order=order, sums={"episode": split.cast("int")})).withColumnRenamed("_limit", "limit").drop("t", "_t")
 
 
 def semantic_scenes(df: DataFrame, *, vector: str, by: list[str], order: list[str], low: float = 0.72, high: float = 0.93, spread: float = 2.5, least: float = 0.025) -> DataFrame:
     """Rows with their ``scene``: a break where the similarity to the row before falls below median - max(least,
     spread * MAD) of its partition, within bounds; unknown similarity never breaks."""
-    p, o = _part(by), ", ".join(order)
-    rows = df.withColumn("before", F.expr(f"lag({vector}) over (partition by {p} order by {o})"))
-    rows = rows.withColumn("sim", X.cosine(F.col(vector), F.col("before"))).drop("before")
+    rows = scan(ranged(df, by=by, order=order), order=order, lags={"_before": vector})
+    rows = materialize(rows.withColumn("sim", X.cosine(F.col(vector), F.col("_before"))).drop("_before"))
     mad = median_and_deviation(rows.where("sim is not null"), "sim", by=by)
-    limits = mad.select(*by, X.clamp(F.col("med") - F.greatest(F.lit(least), spread * F.col("mad")), low, high).alias("limit"))
-    flagged = rows.join(limits, by, "left").withColumn("new", F.coalesce(F.col("sim") < F.col("limit"), F.lit(False)).cast("int"))
-    return flagged.withColumn("scene", F.expr(f"sum(new) over (partition by {p} order by {o} rows unbounded preceding)")).drop("new")
+    limits = mad.select(F.struct(*by).alias("_by"), X.clamp(F.col("med") - F.greatest(F.lit(least), spread * F.col("mad")), low, high).alias("limit"))
+    limited = rows.join(limits, "_by", "left")
+    return finished(scan(limited, order=order, sums={"scene": F.coalesce(F.col("sim") < F.col("limit"), F.lit(False)).cast("int")}))
 
 
 def keyset_page(df: DataFrame, *, score: str, key: str, limit: int, cursor: tuple[float, object] | None = None, offset: int = 0) -> DataFrame:

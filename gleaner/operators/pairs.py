@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import expressions as X
+from gleaner.operators.segmented import ranged, scan
 from gleaner.sources.tables import materialize
 
 BANDS_64 = (16, 16, 16, 16)
@@ -30,13 +31,24 @@ def interval_pairs(df: DataFrame, *, key: str, micros: Column, within: int, by:
     return met.select(*by, F.least("k", "k2").alias("src"), F.greatest("k", "k2").alias("dst"), (gap / 1e6).alias("seconds"))
 
 
-def k_next_pairs(df: DataFrame, *, key: str, micros: Column, within: int, by: list[str], k: int = 12) -> DataFrame:
-    """Pairs of each row with at most ``k`` following rows of its partition, as far as the interval reaches."""
-    order = ", ".join(by)
-    rows = df.select(*by, F.col(key).alias("k"), micros.alias("t")).withColumn("rn", F.expr(f"row_number() over (partition by {order} order by t, k)"))
+def k_next_pairs(df: DataFrame, *, key: str, micros: Column, within: int, by: list[str], k: int = 12, zoned: Column | None = None) -> DataFrame:
+    """Pairs of each row with at most ``k`` following rows of its partition, as far as the interval reaches.
+
+    Times with and without a zone (``zoned``) can't be compared: a row's pairs end before the first follower of the other
+    kind. Rows are numbered by a segmented scan, so a partition may hold all of them.
+    """
+    zone = zoned if zoned is not None else F.lit(True)
+    rows = ranged(df.select(*by, F.col(key).alias("k"), micros.alias("t"), zone.alias("zoned")), by=by, order=["t", "k"])
+    rows = scan(rows, order=["t", "k"], lags={"before": "zoned"}, number="rn")
+    if zoned is not None:
+        # The number of changes so far is the same for rows with no change between them.
+        rows = scan(rows, order=["t", "k"], sums={"run": (~F.col("zoned").eqNullSafe(F.col("before"))).cast("int")})
+    else:
+        rows = rows.withColumn("run", F.lit(0))
+    rows = materialize(rows.select(*by, "_by", "rn", "run", "k", "t"))
     left = rows.withColumn("rn", F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.col("rn") + i)))
-    right = rows.select(*by, "rn", F.col("k").alias("k2"), F.col("t").alias("t2"))
-    met = left.join(right, [*by, "rn"]).where(F.col("t2") - F.col("t") <= within * 1_000_000)
+    right = rows.select("_by", "rn", "run", F.col("k").alias("k2"), F.col("t").alias("t2"))
+    met = left.join(right, ["_by", "rn", "run"]).where(F.col("t2") - F.col("t") <= within * 1_000_000)
     return met.select(*by, F.least("k", "k2").alias("src"), F.greatest("k", "k2").alias("dst"), ((F.col("t2") - F.col("t")) / 1e6).alias("seconds"))
 
 

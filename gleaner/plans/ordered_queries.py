@@ -44,7 +44,7 @@ _RANK = "case when count({c}) over (partition by l_orderkey) = 1 then 0.5 else (
 select l_orderkey, l_linenumber, round((a + b + c) / 3, 6) as quality, round(e, 6) as discount_rank from (
 select l_orderkey, l_linenumber, {_RANK.format(c='l_quantity')} as a, {_RANK.format(c='l_extendedprice')} as b, {_RANK.format(c='l_tax')} as c, {_RANK.format(c='l_discount')} as e from lineitem)""")
 def w3(spark, d):
-    out = W.normalize_metrics(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax", "l_discount"], by=["l_orderkey"], quality_of=["l_quantity", "l_extendedprice", "l_tax"])
+    out = W.normalize_metrics(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax", "l_discount"], by=["l_orderkey"], quality_of=["l_quantity", "l_extendedprice", "l_tax"], bounded=True)
     return out.select("l_orderkey", "l_linenumber", r6(F.col("quality"), "quality"), r6(F.col("l_discount_rank"), "discount_rank"))
 
 
@@ -107,7 +107,7 @@ select l_orderkey, l_linenumber, l_discount, case when count(*) over (partition
  (count(*) over (partition by l_orderkey order by ln(1 + l_extendedprice) range between unbounded preceding and current row) - 1) / (count(*) over (partition by l_orderkey) - 1) end as r from lineitem)""")
 def w10(spark, d):
     rows = read(spark, d, "lineitem").withColumn("m", F.log1p("l_extendedprice"))
-    ranked = W.percentile_rank(rows, "m", by=["l_orderkey"], out="r")
+    ranked = W.percentile_rank(rows, "m", by=["l_orderkey"], out="r", bounded=True)
     return ranked.select("l_orderkey", "l_linenumber", r6(75 * F.col("r") + 25 * F.coalesce(F.col("l_discount") * 10, F.col("r")), "quality"), r6(1 - F.col("r"), "blur"))
 
 

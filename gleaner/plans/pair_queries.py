@@ -43,6 +43,17 @@ def j8(spark, d):
     return J.k_next_pairs(read(spark, d, "events"), key="event_id", micros=micros(), within=3600, by=["event_type"]).withColumn("seconds", F.round("seconds", 6))
 
 
+@query("j8_zoned_pairs", """
+with r as (select event_id, event_type, epoch_us(ts) as t, user_id % 3 > 0 as z, row_number() over (partition by event_type order by ts, event_id) as rn from events),
+c as (select *, case when z is not distinct from lag(z) over (partition by event_type order by rn) and rn > 1 then 0 else 1 end as change from r), q as (select *, sum(change) over (partition by event_type order by rn) as run from c)
+select a.event_type, least(a.event_id, b.event_id) as src, greatest(a.event_id, b.event_id) as dst, round((b.t - a.t) / 1e6, 6) as seconds
+from q a join q b on a.event_type = b.event_type and a.run = b.run and b.rn between a.rn + 1 and a.rn + 12 and b.t - a.t <= 3600000000""")
+def j8_zoned(spark, d):
+    """As j8, where two thirds of the users' times count as zoned."""
+    out = J.k_next_pairs(read(spark, d, "events"), key="event_id", micros=micros(), within=3600, by=["event_type"], zoned=F.col("user_id") % 3 > 0)
+    return out.withColumn("seconds", F.round("seconds", 6))
+
+
 @query("j9_signature_pairs", f"with {_NEAR} select p as src, q as dst, cast(bit_count(xor(p, q)) as integer) as distance from near")
 def j9(spark, d):
     return J.signature_pairs(signatures(spark, d), signature="signature", bands=J.BANDS_60)
