@@ -26,22 +26,23 @@ def _key(text_key: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with their ``row_key``."""
-    return docs.withColumn("row_key", _key(F.xxhash64("text", F.col("text").isNull())))
+    """(row, row_key): each document as one value, so that no column of it can clash with one of ours."""
+    return docs.select(F.struct(*docs.columns).alias("row"), _key(F.xxhash64("text", F.col("text").isNull())))
 
 
 def _by_key(docs: DataFrame) -> DataFrame:
     """The texts with their row key for an id, for operators that tell documents apart by id."""
-    return _keyed(docs).select(F.col("row_key").alias("doc_id"), "text")
+    return docs.select(_key(F.xxhash64("text", F.col("text").isNull())).alias("doc_id"), "text")
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents but for those whose row key is a rejected doc_id."""
-    return _keyed(docs).join(rejected.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", "left_anti").select(docs.columns)
+    return _keyed(docs).join(rejected.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", "left_anti").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold no learned language: no letters, or trigrams that no learned language explains."""
+    """Drop documents that hold no learned language: no letters (null and empty texts too), or trigrams that no learned
+    language explains. Rows of the same id and text go or stay together; without labelled documents, or without any, no row stays."""
     found = predict(_by_key(docs), fit(docs.where(~is_held_out(F.col("doc_id")))))
     return _without(docs, materialize(found.where((F.col("lang_pred") == UNKNOWN) | (F.col("gain") < LEAST_GAIN)), "rejected"))
 
@@ -57,29 +58,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     settled = materialize(settled.where("not kept or copies > 1"), "settled")
     once = _without(docs, settled.select(F.col("row_key").alias("doc_id")))
     repeated = _keyed(docs).join(settled.where("kept").select("row_key"), "row_key", "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["row_key"]).select(docs.columns))
+    return once.unionByName(repeated.dropDuplicates(["row_key"]).select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item. Null and empty texts hold none; repeated rows go or stay together."""
     return _without(docs, materialize(find_leaks(_by_key(docs), table(spark, sf_dir, "benchmark")), "rejected"))
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Generalise personal data and remove the terms that reveal it; n_chars follows the text."""
-    found = find(docs).where(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
+    """Generalise personal data and remove the terms that reveal it; n_chars follows the text. Null and empty texts, and
+    all other columns whatever their names, stay as they are; repeated rows stay repeated."""
+    found = find(docs.select("doc_id", "text")).where(F.size("spans") > 0).select(F.struct("doc_id", "text_key").alias("own"), "spans").dropDuplicates(["own"])
     # Texts without a digit, @ or + hold no base span, and so no term either; they don't take part in the join.
     bare = ~F.coalesce(F.col("text").rlike("[0-9@+]"), F.lit(False))
-    keyed = docs.where(~bare).withColumn("text_key", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["text_key"] == found["text_key"])
-    clean = F.when(F.col("spans").isNotNull(), sanitise(keyed["text"], F.col("spans"))).otherwise(keyed["text"])
-    out = keyed.join(found, same, "left").select(*(keyed[c] for c in docs.columns if c not in ("text", "n_chars")), clean.alias("text"))
-    out = docs.where(bare).drop("n_chars").unionByName(out)
+    rows = docs.where(~bare).select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")).alias("own"))
+    met = rows.join(found, "own", "left")
+    clean = F.when(F.col("spans").isNotNull(), sanitise(F.col("row")["text"], F.col("spans"))).otherwise(F.col("row")["text"])
+    out = met.select(*(clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    out = docs.where(bare).unionByName(out)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into windows of 4096 tokens."""
+    """Pack what is left into windows of 4096 tokens: a null text counts as empty, repeated rows are packed each, other
+    columns are not read and no row gives no piece."""
     return packed_digest(docs)
 
 
