@@ -35,7 +35,7 @@ def test_odd_documents_pass_through(spark):
 
 def test_an_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
 
 
@@ -51,3 +51,17 @@ def test_one_id_with_several_texts_and_repeated_rows(spark):
     named = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "n_chars"))
     known = [x for x in texts(corpus_pipeline.language(spark, named, SF)) if x[0] == 1]
     assert (1, prose[0]) in known and (1, None) not in known
+
+
+def test_extra_columns_of_any_name_stay(spark):
+    names = ["row_key", "text_key", "spans", "slot", "own", "row", "comp", "first", "kept", "copies", "base", "sid", "batch"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    wide = docs.selectExpr("*", *(f"concat('{n}-', doc_id) as {n}" for n in names))
+    plain, extra = docs, wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, extra = stage(spark, plain, SF), stage(spark, extra, SF)
+        assert extra.columns == wide.columns, name
+        rows = extra.collect()
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names), name
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect()), name
+    assert corpus_pipeline.packing(spark, extra, SF).count() == corpus_pipeline.packing(spark, plain, SF).count()
