@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import materialize, shuffle_partitions, table
-from gleaner.llm.hashing import INVERSE, mix, prefix_sums
+from gleaner.llm.hashing import INVERSE, mix, powers, prefix_sums
 from gleaner.llm.passages import text_batches
 
 #: Runs of these letters are words once A-Z are in lower case.
@@ -32,6 +32,8 @@ HELD = 300_000
 SHORTEST, LONGEST, LIST, FREQUENT = 2, 5, 64, 1 << 17
 #: Members of an index list that are merged pair by pair.
 MERGED = 32
+#: Letters of such words that are hashed at a time.
+TOLD = 1 << 16
 BEGIN, END = "^", "$"
 
 
@@ -137,15 +139,16 @@ def index_keys(words: DataFrame, frequent: dict[str, int], *, longest: int = LON
                 for k in range(at, min(at + 512, len(ids))):
                     padded = BEGIN + names[k] + END
                     grams, lost = decompose(names[k], known, longest)
-                    # Equal grams stay in the order of their places.
-                    for begin, end in sorted(grams, key=lambda g: (known.get(padded[g[0] : g[1]], 0), padded[g[0] : g[1]]))[: lost + 1]:
-                        parts += [padded[:end], padded[begin:] + END]
-                        owner += [k, k]
+                    # Equal grams stay in the order of their places; several may end at one.
+                    rarest = sorted(grams, key=lambda g: (known.get(padded[g[0] : g[1]], 0), padded[g[0] : g[1]]))[: lost + 1]
+                    own = [*(padded[:end] for end in {end for _, end in rarest}), *(padded[begin:] + END for begin, _ in rarest)]
+                    parts += own
+                    owner += [k] * len(own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(parts, pa.string()), pa.array([ids[k] for k in owner], pa.int64()), pa.array([names[k] for k in owner], pa.string()), pa.array([counts[k] for k in owner], pa.int64())], ["part", "id", "word", "n"]
                 )
 
-    return words.select("id", "word", "n").mapInArrow(run, "part string, id long, word string, n long").select(F.xxhash64("part").alias("key"), "id", "word", "n").distinct()
+    return words.select("id", "word", "n").mapInArrow(run, "part string, id long, word string, n long").select(F.xxhash64("part").alias("key"), "id", "word", "n")
 
 
 def _twins(members: DataFrame) -> DataFrame:
@@ -155,22 +158,41 @@ def _twins(members: DataFrame) -> DataFrame:
     hash of a whole word is that of a word with one code point more.
     """
 
+    def tell(rows: list[tuple]) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8)
+        sizes = np.array([len(r[1]) for r in rows], dtype=np.int64)
+        begin, end = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+        of = np.repeat(np.arange(len(rows)), sizes)
+        place = np.arange(len(data))
+        # Without any one of a run of equal code points the same word is left: the first stands for all.
+        head = np.append(True, data[1:] != data[:-1]) | (place == begin[of])
+        length, at = sizes.astype(np.uint64), (place - begin[of]).astype(np.uint64)
+        columns = []
+        for own in (data, data ^ np.uint8(0x55)):
+            sums, shift = prefix_sums(own), powers(INVERSE, len(data))[begin]
+            left, right = (sums[place] - sums[begin][of]) * shift[of], (sums[end][of] - sums[place + 1]) * shift[of]
+            changed = mix(left + right + mix(at + (length[of] << np.uint64(32))))
+            deleted = mix(left + right * np.uint64(INVERSE) + length[of] - np.uint64(1))[head]
+            columns.append(pa.array(np.concatenate([changed, deleted, mix((sums[end] - sums[begin]) * shift + length)]).view(np.int64)))
+        who = np.concatenate([of, of[head], np.arange(len(rows))])
+        kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(of), int(head.sum()), len(rows)])
+        ids, counts = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 2))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(kind), pa.array(ids[who]), pa.array(counts[who])], ["x", "y", "kind", "id", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, width = [], 0
             for k, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(word.encode("latin-1"), dtype=np.uint8)
-                size, place = len(data), np.arange(len(data), dtype=np.uint64)
-                sums = [prefix_sums(data), prefix_sums(data ^ np.uint8(0x55))]
-                rest = [(s[-1] - s[1:], s[:-1]) for s in sums]
-                changed = [mix(left + right + mix(place + np.uint64(size << 32))) for right, left in rest]
-                deleted = [mix(left + right * np.uint64(INVERSE) + np.uint64(size - 1)) for right, left in rest]
-                whole = [mix(s[-1:] + np.uint64(size)) for s in sums]
-                a, b = (np.concatenate(x).view(np.int64) for x in zip(changed, deleted, whole))
-                kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [size, size, 1])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(kind), pa.array(np.full(len(a), k)), pa.array(np.full(len(a), n))], ["x", "y", "kind", "id", "n"])
-
-    # Equal code points next to each other leave the same word.
-    told = materialize(members.select("id", "word", "n").mapInArrow(run, "x long, y long, kind byte, id long, n long").distinct(), "told")
+                rows.append((k, word.encode("latin-1"), n))
+                width += len(word)
+                if width >= TOLD:
+                    yield tell(rows)
+                    rows, width = [], 0
+            if rows:
+                yield tell(rows)
+
+    told = materialize(members.select("id", "word", "n").mapInArrow(run, "x long, y long, kind byte, id long, n long"), "told")
+
     def side(kind: int, name: str) -> DataFrame:
         return told.where(F.col("kind") == kind).select("x", "y", F.col("id").alias(name), F.col("n").alias(f"{name}_n"))
 
@@ -213,9 +235,11 @@ def variants(words: DataFrame, *, ratio: int = 5, longest: int = LONGEST, list_s
         if not reach.where("moved").limit(1).count():
             break
         reach = reach.drop("moved")
+    # Words without a form take no part in these joins.
     names = words.select(F.col("id").alias("other"), F.col("word").alias("name"))
-    out = words.join(best, "id", "left").join(reach.select("id", "root"), "id", "left")
-    out = out.join(names.select(F.col("other").alias("form"), F.col("name").alias("form_word")), "form", "left").join(names.select(F.col("other").alias("root"), F.col("name").alias("root_word")), "root", "left")
+    led = best.where("form is not null").select("id", F.col("form").alias("other")).join(names, "other").select("id", F.col("name").alias("form_word"))
+    led = led.join(reach.select("id", F.col("root").alias("other")).join(names, "other").select("id", F.col("name").alias("root_word")), "id")
+    out = words.join(best.select("id", "n_near", "form_n"), "id", "left").join(led, "id", "left")
     return out.select("word", F.col("form_word").alias("form"), F.coalesce("root_word", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 
