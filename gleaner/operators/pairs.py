@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import expressions as X
+from gleaner.operators.pivots import angle_pairs
 from gleaner.operators.segmented import ranged, scan
 from gleaner.sources.tables import materialize
 
@@ -130,37 +131,8 @@ def pair_provenance(pairs: DataFrame, members: DataFrame, *, key: str, group: st
 
 
 def cosine_pairs(df: DataFrame, *, key: str, vector: str, threshold: float, by: list[str], block: int = 512) -> DataFrame:
-    """Pairs of a partition whose cosine reaches ``threshold``: (by, src, dst, cosine).
-
-    Rows go in blocks; pairs of blocks are multiplied as matrices, so no task holds more than two blocks.
-    """
-    import numpy as np
-    import pandas as pd
-
-    part = ", ".join(by)
-    unit = df.select(*by, F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where(X.norm(F.col("v")) > 1e-8)
-    numbered = unit.withColumn("blk", F.floor((F.expr(f"row_number() over (partition by {part} order by k)") - 1) / block))
-    packed = numbered.groupBy(*by, "blk").agg(F.collect_list(F.struct("k", "v")).alias("rows"))
-    met = packed.join(packed.select(*by, F.col("blk").alias("blk2"), F.col("rows").alias("rows2")), by).where("blk <= blk2")
-    kinds = dict(df.dtypes)
-
-    def unitized(rows):
-        m = np.array([np.asarray(r["v"], dtype=np.float64) for r in rows])
-        return np.array([r["k"] for r in rows]), m / np.linalg.norm(m, axis=1, keepdims=True)
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                (ka, a), (kb, b) = unitized(row.rows), unitized(row.rows2)
-                c = a @ b.T
-                i, j = np.nonzero((c >= threshold) & (ka[:, None] != kb[None, :]))
-                out = pd.DataFrame({"src": np.minimum(ka[i], kb[j]), "dst": np.maximum(ka[i], kb[j]), "cosine": np.clip(c[i, j], -1, 1)}).drop_duplicates(["src", "dst"])
-                for name in reversed(by):
-                    out.insert(0, name, getattr(row, name))
-                yield out
-
-    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), f"src {kinds[key]}", f"dst {kinds[key]}", "cosine double"])
-    return met.select(*by, "rows", "rows2").mapInPandas(run, schema)
+    """Pairs of a partition whose cosine reaches ``threshold``: (by, src, dst, cosine). See :mod:`gleaner.operators.pivots`."""
+    return angle_pairs(df, key=key, vector=vector, threshold=threshold, by=by, block=block)
 
 
 def preference_products(df: DataFrame, *, by: list[str], key: str, label: str) -> DataFrame:
