@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import shuffle_partitions, table
+from gleaner.llm.common import materialize, shuffle_partitions, table
 from gleaner.llm.hashing import mix, prefix_sums, stretch_hashes, window_minima
 from gleaner.llm.passages import text_batches
 
@@ -30,7 +30,7 @@ BITS, HASHES, FEATURES = 2048, 5, 160
 #: The share of the way from chance to equality that counts as nothing.
 CUTOFF = 0.3
 #: Bytes whose entropies are summed at a time (they stay in a core's cache), those of a text taken at a time, and those of a block of documents.
-STRIP, PIECE, BLOCK = 1 << 16, 1 << 20, 8 << 20
+STRIP, PIECE, BLOCK = 1 << 16, 1 << 18, 8 << 20
 _SCALE = 1 << 20
 
 
@@ -289,7 +289,8 @@ def edited_pairs(docs: DataFrame, *, share: int = 4, id_col: str = "doc_id", tex
                 yield done
             before = rows[-1:]
 
-    return in_order(docs, blocks=blocks, id_col=id_col, text_col=text_col).mapInArrow(run, EDITED)
+    # Written here, as whole texts go to the workers in small batches only while a step is written.
+    return materialize(in_order(docs, blocks=blocks, id_col=id_col, text_col=text_col).mapInArrow(run, EDITED), "edited")
 
 
 def op13_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
