@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import materialize, shuffle_partitions, table
 from gleaner.llm.hashing import mix, prefix_sums, stretch_hashes, window_minima
-from gleaner.llm.passages import text_batches
+from gleaner.llm.passages import BATCH_BYTES, text_batches
 
 #: Bytes of a window; windows that compete (no more than its bytes, so that texts laid end to end never do); how many
 #: of these contests a feature wins at least.
@@ -211,7 +212,8 @@ def compare(pairs: DataFrame, one: str, other: str, name: str = "likeness") -> D
 
 
 def in_order(docs: DataFrame, *, blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(block, guest, doc_id, text, key): the documents in blocks of neighbouring ids, each sorted within its partition.
+    """(block, guest, doc_id, packed, key): the documents in blocks of neighbouring ids, each sorted within its partition, their
+    texts as :func:`unpacked` reads them.
 
     Null ids come first; rows of one id are ordered by ``key``, a hash of their texts, and lie in one block. Each block ends with
     a ``guest``, the first document of the next block (of the first one, after the last).
@@ -224,6 +226,7 @@ def in_order(docs: DataFrame, *, blocks: int, id_col: str = "doc_id", text_col:
     bounds = bounds[bounds > first["doc_id"]] if first and first["doc_id"] is not None else bounds
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress  # whole texts go through the shuffle
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy()
             named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -234,13 +237,33 @@ def in_order(docs: DataFrame, *, blocks: int, id_col: str = "doc_id", text_col:
             take = np.concatenate([np.arange(len(ids)), at_bound, leading])
             where = np.concatenate([block, block[at_bound] - 1, np.full(len(leading), len(bounds))])
             guest = np.arange(len(take)) >= len(ids)
-            out = batch.take(pa.array(take))
-            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(guest), *out.columns], ["block", "guest", "doc_id", "text", "key"])
-
-    dealt = rows.withColumn("key", F.xxhash64("text")).mapInArrow(deal, "block int, guest boolean, doc_id long, text string, key long")
+            for at in range(0, len(take), 512):
+                some = slice(at, at + 512)
+                out = batch.take(pa.array(take[some]))
+                packed = [press((t or "").encode("utf-8", "surrogatepass")) for t in out.column(1).to_pylist()]
+                columns = [pa.array(where[some].astype(np.int32)), pa.array(guest[some]), out.column(0), pa.array(packed, pa.binary()), out.column(2)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "guest", "doc_id", "packed", "key"])
+
+    dealt = rows.withColumn("key", F.xxhash64("text")).mapInArrow(deal, "block int, guest boolean, doc_id long, packed binary, key long")
     return dealt.repartition(max(blocks, shuffle_partitions(docs.sparkSession)), "block").sortWithinPartitions("block", "guest", "doc_id", "key")
 
 
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of :func:`in_order` as (block, guest, doc_id, UTF-8 bytes of the text), gathered to about BATCH_BYTES."""
+    read = zstandard.ZstdDecompressor().decompress
+    rows, width = [], 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            for block, guest, doc, packed, _ in zip(*(c.to_pylist() for c in batch.slice(k, 512).columns)):
+                rows.append((block, guest, doc, read(packed)))
+                width += len(rows[-1][3])
+                if width >= BATCH_BYTES:
+                    yield rows
+                    rows, width = [], 0
+    if rows:
+        yield rows
+
+
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -282,7 +305,7 @@ def edited_pairs(docs: DataFrame, *, share: int = 4, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: list[tuple] = []
-        for rows in text_batches(batches, 3):
+        for rows in unpacked(batches):
             # The last row waits for its successor; of the guests of a block only the first counts, as the one after its last row.
             rows = before + rows
             if done := results(rows) if len(rows) > 1 else None:
