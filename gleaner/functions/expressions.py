@@ -41,8 +41,8 @@ def token_bits(token: Column) -> Column:
 
 
 def bits_to_bigint(bits: Column) -> Column:
-    """An array of 0/1, most significant first, as a number."""
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, b: s * 2 + b)
+    """An array of up to 64 0/1, most significant first, as a number; the first of 64 is its sign."""
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
 
 
 def gradient_bits(cells: Column, width: int, rows: int) -> Column:
@@ -61,6 +61,27 @@ def median_bits(values: Column) -> Column:
     return F.zip_with(values, F.array_repeat(middle, F.size(values)), lambda x, m: F.when(x > m, 1).otherwise(0).cast("bigint"))
 
 
+def cosine_transform(cells: Column, size: int) -> Column:
+    """The coefficients of a square grid of cells (row by row) in the orthonormal cosine basis, row by row.
+
+    The transform is separable: first down the columns, then along the rows.
+    """
+    import math
+
+    basis = [[math.sqrt((1 if k == 0 else 2) / size) * math.cos((2 * i + 1) * k * math.pi / (2 * size)) for i in range(size)] for k in range(size)]
+    table = F.array(*(F.array(*(F.lit(x) for x in row)) for row in basis))
+    along = F.sequence(F.lit(0), F.lit(size - 1))
+    cell = lambda c, k: F.get(c, k).cast("double")
+    total = lambda terms: F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    half = F.transform(table, lambda row: F.transform(along, lambda x: total(F.zip_with(row, along, lambda f, y: f * cell(cells, y * size + x)))))
+    return F.flatten(F.transform(half, lambda line: F.transform(table, lambda row: total(F.zip_with(row, line, lambda f, v: f * v)))))
+
+
+def cosine_bits(cells: Column, size: int) -> Column:
+    """Cosine signature: whether each coefficient lies above the median of all but the constant one."""
+    return median_bits(cosine_transform(cells, size))
+
+
 def band_keys(signature: Column, widths: tuple[int, ...]) -> Column:
     """Array of (band, value): the signature's slices, from its lowest bits."""
     out, at = [], 0

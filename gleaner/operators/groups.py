@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import expressions as X
@@ -30,26 +30,77 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(roots)
 
 
-def leader_split(nodes: DataFrame, edges: DataFrame, *, key: str, rank: str) -> DataFrame:
+def first_independent(ranks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(n, leads) of every node (n, r) with an edge (n, m): the first maximal independent set by ascending unique rank.
+
+    A node leads unless an earlier neighbour does. Each round settles the nodes without an open earlier neighbour and
+    those beside a leader; they and their edges leave. What has a single open earlier neighbour is its opposite: such
+    chains are followed by doubled pointers, so that a chain takes as many steps as its length has digits.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("n", "m").where("n <> m").distinct()
+    nodes = materialize(both.select("n").distinct())
+    # Only edges to earlier neighbours decide.
+    e = materialize(both.join(ranks, "n").join(ranks.select(F.col("n").alias("m"), F.col("r").alias("rm")), "m").where("rm < r").select("n", "m"))
+    left, parts = nodes, []
+
+    def settle(known: DataFrame) -> None:
+        """Settle the ``known`` and what stands beside a leader among them; all of these and their edges leave."""
+        nonlocal left, e
+        led = known.where("leads").select(F.col("n").alias("m"))
+        beside = e.join(led, "m", "left_semi").select("n").distinct().join(known, "n", "left_anti").withColumn("leads", F.lit(False))
+        new = materialize(known.unionByName(beside))
+        parts.append(new)
+        gone = new.select("n")
+        left = materialize(left.join(gone, "n", "left_anti"))
+        e = materialize(e.join(gone, "n", "left_anti").join(gone.withColumnRenamed("n", "m"), "m", "left_anti").select("n", "m"))
+
+    while left.head(1):
+        settle(left.join(e.select("n").distinct(), "n", "left_anti").withColumn("leads", F.lit(True)))
+        single = materialize(e.groupBy("n").agg(F.count("*").alias("c"), F.min("m").alias("m")).where("c = 1").select("n", "m", F.lit(True).alias("opposite")))
+        if not single.head(1):
+            continue
+        while True:
+            on = single.select(F.col("n").alias("m"), F.col("m").alias("m2"), F.col("opposite").alias("o2"))
+            further = single.join(on, "m", "left")
+            moved = further.select("n", F.coalesce("m2", "m").alias("m"), (F.col("opposite") != F.coalesce("o2", F.lit(False))).alias("opposite"), F.col("m2").isNotNull().alias("moved"))
+            single = materialize(moved)
+            if not single.where("moved").head(1):
+                break
+            single = single.drop("moved")
+        # A chain that begins at a settled node would have been settled; one that begins at a node without open earlier
+        # neighbours follows it: that node leads.
+        free = left.join(e.select("n").distinct(), "n", "left_anti").select(F.col("n").alias("m"))
+        ends = materialize(single.join(free, "m", "left_semi").select("n", (~F.col("opposite")).alias("leads")).unionByName(free.select(F.col("m").alias("n"), F.lit(True).alias("leads"))))
+        if ends.head(1):
+            settle(ends)
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out if parts else nodes.withColumn("leads", F.lit(True))
+
+
+def leader_split(nodes: DataFrame, edges: DataFrame, *, key: str, rank: str, exact: str | None = None) -> DataFrame:
     """(key, leader): groups of a leader and its direct neighbours, so no chain joins what isn't alike.
 
-    Leaders are the first maximal independent set by ascending ``rank`` (unique): a node leads unless an earlier
-    neighbour does. A member goes to its best adjacent leader; leaders without members are left out. Each round settles
-    every node whose earlier neighbours are settled.
+    Leaders are the first maximal independent set by ascending ``rank`` (unique). A member goes to its best adjacent
+    leader; leaders without members are left out. With ``exact``, rows that share its value are peeled off first: they form a
+    group of their own, led by the best, and neither they nor their edges take part in the rest.
     """
     ranks = nodes.select(F.col(key).alias("n"), F.col(rank).alias("r"))
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("n", "m").distinct()
-    e = materialize(both.join(ranks, "n").join(ranks.select(F.col("n").alias("m"), F.col("r").alias("rm")), "m"))
-    state = materialize(e.select("n").distinct().withColumn("leads", F.lit(None).cast("boolean")))
-    while state.where("leads is null").head(1):
-        known = e.where("rm < r").join(state.select(F.col("n").alias("m"), F.col("leads").alias("lm")), "m")
-        above = known.groupBy("n").agg(F.max(F.coalesce("lm", F.lit(False))).alias("any"), F.count_if(F.col("lm").isNull()).alias("open"))
-        new = F.when(F.col("any"), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
-        state = materialize(state.join(above, "n", "left").select("n", F.coalesce("leads", new).alias("leads")))
-    best = e.join(state.where("leads").select(F.col("n").alias("m")), "m").join(state.where("not leads").select("n"), "n")
+    peeled = None
+    if exact:
+        same = nodes.where(F.col(exact).isNotNull()).groupBy(F.col(exact).alias("x")).agg(F.min_by(key, rank).alias("leader"), F.count("*").alias("c")).where("c > 1").select("x", "leader")
+        peeled = materialize(nodes.join(same, F.col(exact) == F.col("x")).select(F.col(key).alias("n"), "leader"))
+        ends = [peeled.select(F.col("n").alias(c)) for c in ("src", "dst")]
+        edges = edges.join(ends[0], "src", "left_anti").join(ends[1], "dst", "left_anti")
+    edges = materialize(edges.select("src", "dst"))
+    state = materialize(first_independent(ranks, edges))
+    both = edges.union(edges.select("dst", "src")).toDF("n", "m").where("n <> m").distinct()
+    best = both.join(state.where("leads").select(F.col("n").alias("m")), "m").join(state.where("not leads").select("n"), "n").join(ranks.select(F.col("n").alias("m"), F.col("r").alias("rm")), "m")
     members = best.groupBy("n").agg(F.min_by("m", "rm").alias("leader"))
     leaders = members.select(F.col("leader").alias("n"), F.col("leader").alias("leader")).distinct()
-    return members.unionByName(leaders).withColumnRenamed("n", key)
+    out = members.unionByName(leaders)
+    return (out.unionByName(peeled) if exact else out).withColumnRenamed("n", key)
 
 
 def exact_groups(df: DataFrame, *, key: str, content: Column, order: Column, by: list[str] | None = None) -> DataFrame:
@@ -147,81 +198,83 @@ def series_picks(df: DataFrame, *, by: list[str], key: str, vector: str, quality
     return out
 
 
-def complete_link_stacks(df: DataFrame, *, by: list[str], key: str, vector: str, threshold: float) -> DataFrame:
-    """First-fit stacks in key order: an item joins the first stack alike to all its members: (by, key, stack)."""
-    import numpy as np
-
-    def stack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        v = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
-        stacks: list[list[int]] = []
-        at = []
-        for i in range(len(v)):
-            k = next((k for k, own in enumerate(stacks) if (v[own] @ v[i]).min() >= threshold), len(stacks))
-            if k == len(stacks):
-                stacks.append([])
-            stacks[k].append(i)
-            at.append(k)
-        out = pdf[[*by, key]].copy()
-        out["stack"] = np.array(at, dtype=np.int32)
-        return out
-
-    kinds = dict(df.dtypes)
-    return df.select(*by, key, vector).groupBy(*by).applyInPandas(stack, ", ".join([*(f"{c} {kinds[c]}" for c in [*by, key]), "stack int"]))
-
-
-def ranked_subset(df: DataFrame, *, by: list[str], key: str, vector: str, rank: str, density: float = 1.0) -> DataFrame:
-    """Novelty-aware choice from each (bounded) scene: .70 rank + .30 novelty, budget by the square root of its size."""
-    import math
-
-    import numpy as np
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([rank, key], ascending=[False, True]).reset_index(drop=True)
-        v = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
-        n, r = len(pdf), pdf[rank].to_numpy(dtype=np.float64)
-        budget, chosen, most = min(n, max(1, math.ceil(math.sqrt(n) * density))), [0], v @ v[0]
-        while len(chosen) < budget:
-            value = 0.7 * r + 0.3 * np.maximum(0, 1 - most)
-            value[chosen] = -np.inf
-            best = int(np.argmax(np.round(value, 12)))
-            chosen.append(best)
-            most = np.maximum(most, v @ v[best])
-        out = pdf.iloc[chosen][[*by, key]].copy()
-        out["place"] = np.arange(1, len(out) + 1, dtype=np.int32)
-        return out
-
-    kinds = dict(df.dtypes)
-    return df.select(*by, key, vector, rank).groupBy(*by).applyInPandas(choose, ", ".join([*(f"{c} {kinds[c]}" for c in [*by, key]), "place int"]))
-
-
 def diversity_demotions(items: DataFrame, edges: DataFrame, *, key: str, rank: str, cap: int = 3) -> DataFrame:
     """(key, kept): an item is kept iff fewer than ``cap`` kept items before it (ascending unique rank) are alike.
 
-    Each round decides the items that the undecided ones before them can't change.
+    Each round decides the items that the open ones before them can't change; these and their edges leave, and kept
+    ones are counted at those they are alike to. With a cap of one this is :func:`first_independent`.
     """
     ranks = items.select(F.col(key).alias("n"), F.col(rank).alias("r"))
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("n", "m").distinct()
-    before = materialize(both.join(ranks, "n").join(ranks.select(F.col("n").alias("m"), F.col("r").alias("rm")), "m").where("rm < r").select("n", "m"))
-    state = materialize(ranks.select("n", F.lit(None).cast("boolean").alias("kept")))
-    while state.where("kept is null").head(1):
-        seen = before.join(state.select(F.col("n").alias("m"), F.col("kept").alias("km")), "m").groupBy("n").agg(F.count_if(F.col("km")).alias("k"), F.count_if(F.col("km").isNull()).alias("u"))
-        k, u = F.coalesce("k", F.lit(0)), F.coalesce("u", F.lit(0))
-        new = F.when(k >= cap, F.lit(False)).when(k + u < cap, F.lit(True))
-        state = materialize(state.join(seen, "n", "left").select("n", F.coalesce("kept", new).alias("kept")))
-    return state.withColumnRenamed("n", key)
-
-
-def disjoint_pairs(pairs: DataFrame, *, most: int, spark: SparkSession | None = None) -> DataFrame:
-    """Pairs in digest order that share no item with an earlier chosen pair, spread over components, at most ``most``."""
+    if cap == 1:
+        leads = first_independent(ranks, edges)
+        return ranks.join(leads, "n", "left").select(F.col("n").alias(key), F.coalesce("leads", F.lit(True)).alias("kept"))
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("n", "m").where("n <> m").distinct()
+    e = materialize(both.join(ranks, "n").join(ranks.select(F.col("n").alias("m"), F.col("r").alias("rm")), "m").where("rm < r").select("n", "m"))
+    left, out = materialize(ranks.select("n", F.lit(0).cast("long").alias("k"))), None
+    while left.head(1):
+        before = e.groupBy("n").agg(F.count("*").alias("u"))
+        k, u = F.col("k"), F.coalesce("u", F.lit(0))
+        seen = left.join(before, "n", "left").select("n", "k", F.when(k >= cap, F.lit(False)).when(k + u < cap, F.lit(True)).alias("kept"))
+        seen = materialize(seen)
+        new = seen.where("kept is not null").select("n", "kept")
+        out = new if out is None else out.unionByName(new)
+        still = seen.where("kept is null").select("n", "k")
+        counts = e.join(new.where("kept").select(F.col("n").alias("m")), "m", "left_semi").groupBy("n").agg(F.count("*").alias("more"))
+        left = materialize(still.join(counts, "n", "left").select("n", (F.col("k") + F.coalesce("more", F.lit(0))).alias("k")))
+        e = materialize(e.join(left.select("n"), "n", "left_semi").join(new.select(F.col("n").alias("m")), "m", "left_anti").select("n", "m"))
+    return (ranks.select("n", F.lit(True).alias("kept")) if out is None else out).withColumnRenamed("n", key)
+
+
+def diversity_rerank(df: DataFrame, *, by: list[str], key: str, vector: str, order: list[str], keep: Column, protected: Column, alike: float = 0.94, distinct: float = 0.65, cap: int = 3) -> DataFrame:
+    """(by, key, value, nearest, similarity, demoted, reason): how much each row adds to its partition's kept rows.
+
+    Kept rows that aren't protected come in descending order of the ``order`` columns and the key. One is demoted if ``cap`` of those taken before
+    it are ``alike``. Its value falls from 100 at a similarity of ``distinct`` to the nearest of them to 0 at 1, and the
+    nearest is named where it is nearer than that; the first of a partition is its anchor. Rows that aren't kept or have no
+    vector have 50, protected ones 100, and neither counts for others.
+    """
+    from gleaner.operators.pairs import cosine_pairs
+    from gleaner.operators.segmented import ranged, scan
+
+    state = F.when(~F.coalesce(keep, F.lit(False)), "other").when(F.coalesce(protected, F.lit(False)), "protected").when(F.coalesce(X.norm(F.col(vector)), F.lit(0.0)) > 1e-8, "open").otherwise("feature_unavailable")
+    rows = materialize(df.withColumn("_state", state).select(*by, F.col(key).alias("k"), F.col(vector).alias("v"), "_state", *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))))
+    own = rows.where("_state = 'open'")
+    ahead = [*(f"_o{i}" for i in range(len(order))), "k"]
+    placed = scan(ranged(own.select(*by, *ahead), by=by, order=ahead), order=ahead, number="up").select(*by, "_by", "k", "up")
+    placed = placed.join(own.groupBy(F.struct(*by).alias("_by")).agg(F.count("*").alias("n")), "_by")
+    placed = materialize(placed.select("_by", "k", (F.col("n") + 1 - F.col("up")).alias("place")))
+    pairs = materialize(cosine_pairs(own, key="k", vector="v", threshold=distinct, by=by))
+    item = placed.select(F.struct("_by", "place").alias("r"), F.struct("_by", "k").alias("n"), "k")
+    ends = pairs.withColumn("_by", F.struct(*by)).select(F.struct("_by", F.col("src").alias("k")).alias("src"), F.struct("_by", F.col("dst").alias("k")).alias("dst"), "cosine")
+    kept = materialize(diversity_demotions(item, ends.where(F.col("cosine") >= alike), key="n", rank="r", cap=cap))
+    both = ends.select(F.col("src").alias("n"), F.col("dst").alias("m"), "cosine").union(ends.select("dst", "src", "cosine"))
+    ranks = item.select("n", "r")
+    before = both.join(kept.where("kept").select(F.col("n").alias("m")), "m").join(ranks, "n").join(ranks.select(F.col("n").alias("m"), F.col("r").alias("rm")), "m").where("rm < r")
+    near = before.groupBy("n").agg(F.max(F.struct("cosine", F.struct(-F.col("rm.place")).alias("first"), "m")).alias("x"))
+    value = F.round(X.clamp((1 - F.col("x.cosine")) / (1 - distinct) * 100, 0.0, 100.0), 2)
+    told = kept.join(near, "n", "left").join(item.select("n", "r"), "n").select(
+        F.col("n._by").alias("_by"), F.col("n.k").alias("k"), F.coalesce(value, F.lit(100.0)).alias("value"), F.col("x.m.k").alias("nearest"), F.round("x.cosine", 4).alias("similarity"), (~F.col("kept")).alias("demoted"),
+        F.when(F.col("r.place") == 1, "semantic_anchor").when(~F.col("kept"), "semantic_scene_limit").otherwise("semantic_distance").alias("reason"),
+    )
+    rest = rows.where("_state <> 'open'").select(
+        F.struct(*by).alias("_by"), "k", F.when(F.col("_state") == "protected", 100.0).otherwise(50.0).alias("value"), F.lit(None).cast(dict(df.dtypes)[key]).alias("nearest"), F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("demoted"),
+        F.when(F.col("_state") != "other", F.col("_state")).alias("reason"),
+    )
+    out = told.unionByName(rest)
+    return out.select(*(F.col("_by")[c].alias(c) for c in by), F.col("k").alias(key), "value", "nearest", "similarity", "demoted", "reason")
+
+
+def disjoint_pairs(pairs: DataFrame, *, most: int) -> DataFrame:
+    """Pairs (src, dst, component) in digest order that share no item with an earlier chosen pair, one of each component in
+    turn, at most ``most``: (component, turn, left, right). The digest also decides the sides."""
     keyed = materialize(pairs.select("src", "dst", "component", F.sha2(F.concat_ws("|", "src", "dst"), 256).alias("digest")))
     ends = keyed.select("digest", F.explode(F.array("src", "dst")).alias("item"))
     clash = ends.join(ends.select(F.col("digest").alias("d2"), "item"), "item").where("digest < d2").select(F.col("digest").alias("src"), F.col("d2").alias("dst")).distinct()
     kept = diversity_demotions(keyed, clash, key="digest", rank="digest", cap=1).where("kept")
-    chosen = keyed.join(kept, "digest").withColumn("turn", F.expr("row_number() over (partition by component order by digest)"))
-    return chosen.orderBy("turn", "digest").limit(most).select("component", "turn", F.when(F.substring("digest", 1, 1) < "8", F.col("src")).otherwise(F.col("dst")).alias("left"), F.when(F.substring("digest", 1, 1) < "8", F.col("dst")).otherwise(F.col("src")).alias("right"))
+    # Only the first of each component can be among the chosen.
+    chosen = keyed.join(kept, "digest").withColumn("turn", F.expr("row_number() over (partition by component order by digest)")).where(F.col("turn") <= most)
+    swap = F.substring("digest", 1, 1) < "8"
+    return chosen.orderBy("turn", "digest").limit(most).select("component", "turn", F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("left"), F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("right"))
 
 
 def member_digest(df: DataFrame, *, by: str, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import expressions as X
 from gleaner.operators.pivots import angle_pairs
 from gleaner.operators.segmented import ranged, scan
-from gleaner.sources.tables import materialize
+from gleaner.sources.tables import materialize, spread
 
 BANDS_64 = (16, 16, 16, 16)
 BANDS_60 = (15, 15, 15, 15)
@@ -58,7 +58,7 @@ def text_signatures(df: DataFrame, *, key: str, text: str) -> DataFrame:
 
     One sum counts two bits, 30 apart: a text has fewer than 2^30 tokens, so the lower count never reaches the upper.
     """
-    tokens = df.select(key, F.explode(F.split(text, " ")).alias("token")).where("token <> ''").withColumn("h", X.token_bits(F.col("token")))
+    tokens = spread(df.select(key, text)).select(key, F.explode(F.split(text, " ")).alias("token")).where("token <> ''").withColumn("h", X.token_bits(F.col("token")))
     both = F.lit((1 << 30) + 1)
     counts = tokens.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(F.shiftright("h", b).bitwiseAND(both)).alias(f"c{b}") for b in range(30)])
     bits = F.lit(0).cast("bigint")
@@ -78,11 +78,21 @@ def signature_pairs(df: DataFrame, *, signature: str, most: int = 10, bands: tup
     if most // len(bands) > 2:
         raise ValueError("a band of the nearest pairs may differ by two bits at most: take more bands or a smaller distance")
     own = materialize(df.select(F.col(signature).alias("s")).where("s is not null").distinct())
-    keyed = own.select("s", F.explode(X.band_keys(F.col("s"), bands)).alias("b"))
-    width = F.get(F.array(*map(F.lit, bands)), F.col("b.band"))
-    probes = keyed.select("s", F.col("b.band").alias("band"), F.explode(X.near_values(F.col("b.value"), width)).alias("value"))
-    other = probes.select(F.col("s").alias("s2"), "band", "value")
+    probes, met = _probes(own, bands), _first_band(bands)
     distance = X.hamming(F.col("s"), F.col("s2"))
+    pairs = probes.join(probes.withColumnRenamed("s", "s2"), ["band", "value"]).where((F.col("s") < F.col("s2")) & (distance <= most) & met)
+    return pairs.select(F.col("s").alias("src"), F.col("s2").alias("dst"), distance.alias("distance"))
+
+
+def _probes(rows: DataFrame, bands: tuple[int, ...]) -> DataFrame:
+    """``rows`` with a signature ``s`` under every (band, value) up to one bit from theirs."""
+    keyed = rows.withColumn("b", F.explode(X.band_keys(F.col("s"), bands)))
+    width = F.get(F.array(*map(F.lit, bands)), F.col("b.band"))
+    return keyed.select(*rows.columns, F.col("b.band").alias("band"), F.explode(X.near_values(F.col("b.value"), width)).alias("value"))
+
+
+def _first_band(bands: tuple[int, ...]) -> Column:
+    """Whether ``s`` and ``s2`` meet here, at (band, value), for the first time."""
     first, earlier, at = F.lit(False), F.lit(True), 0
     for k, w in enumerate(bands):
         part = lambda c: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << w) - 1))  # noqa: B023, E731
@@ -90,8 +100,25 @@ def signature_pairs(df: DataFrame, *, signature: str, most: int = 10, bands: tup
         # Values two bits apart meet at two values; the one that differs from s in the lowest of those bits counts.
         here = part(F.col("s")).bitwiseXOR(F.when(F.bit_count(gap) == 2, gap.bitwiseAND(-gap)).otherwise(F.lit(0).cast("bigint")))
         first, earlier, at = first | (earlier & (F.col("band") == k) & (F.bit_count(gap) <= 2) & (F.col("value") == here)), earlier & (F.bit_count(gap) > 2), at + w
-    met = probes.join(other, ["band", "value"]).where((F.col("s") < F.col("s2")) & (distance <= most) & first)
-    return met.select(F.col("s").alias("src"), F.col("s2").alias("dst"), distance.alias("distance"))
+    return first
+
+
+def representative_pairs_within(df: DataFrame, *, key: str, signature: str, order: list[str], micros: Column, within: int, most: int = 10, bands: tuple[int, ...] = BANDS_64) -> DataFrame:
+    """Those of :func:`representative_pairs` over :func:`signature_pairs` that lie at most ``within`` seconds apart.
+
+    Signatures meet by band, value and time bucket, so pairs that the time rules out are never made: the work grows with the
+    rows and with how many like ones fall in one interval, not with the square of all.
+    """
+    if most // len(bands) > 2:
+        raise ValueError("a band of the nearest pairs may differ by two bits at most: take more bands or a smaller distance")
+    span = within * 1_000_000
+    rows = materialize(df.where(F.col(signature).isNotNull()).select(F.col(key).alias("k"), F.col(signature).alias("s"), micros.alias("t"), F.struct(*order, key).alias("place")).where("t is not null"))
+    first = rows.groupBy("s").agg(F.min_by(F.struct("k", "t"), "place").alias("f")).select("s", "f.k", "f.t")
+    bucket = F.floor(F.col("t") / span)
+    one = _probes(first.withColumn("bucket", bucket), bands)
+    other = _probes(rows.select(F.col("s"), F.col("k").alias("k2"), F.col("t").alias("t2"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")), bands).withColumnRenamed("s", "s2")
+    near = (F.col("s") != F.col("s2")) & (F.abs(F.col("t") - F.col("t2")) <= span) & (X.hamming(F.col("s"), F.col("s2")) <= most) & _first_band(bands)
+    return ordered_pair(one.join(other, ["band", "value", "bucket"]).where(near), "k", "k2").distinct()
 
 
 def equal_key_star(df: DataFrame, *, key: str, on: str, order: list[str]) -> DataFrame:

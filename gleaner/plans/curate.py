@@ -9,6 +9,7 @@ from gleaner.functions import expressions as X
 from gleaner.operators import groups as G
 from gleaner.operators import ordered as W
 from gleaner.operators import rules as R
+from gleaner.operators import scenes as S
 from gleaner.sources.tables import materialize
 
 C = F.col
@@ -37,7 +38,7 @@ def scene_tree(vectors: DataFrame) -> DataFrame:
     """Nodes (layer, node, parent, n) of label, scene and stack, by adaptive scenes and complete-link stacks."""
     scenes = W.semantic_scenes(vectors, vector="embedding", by=["label"], order=["vec_id"], low=-1.0, spread=1.0)
     named = scenes.withColumn("scene_key", F.concat_ws("/", C("label").cast("string"), C("scene").cast("string")))
-    stacks = G.complete_link_stacks(named, by=["scene_key"], key="vec_id", vector="embedding", threshold=0.0)
+    stacks = S.complete_link_stacks(named, by=["scene_key"], key="vec_id", vector="embedding", threshold=0.0)
     full = named.select("label", "scene_key", "vec_id").join(stacks, ["scene_key", "vec_id"])
     ids = F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string"))
     top = full.groupBy(C("label").cast("string").alias("node")).agg(F.count("*").alias("n")).select(F.lit("episode").alias("layer"), "node", F.lit(None).cast("string").alias("parent"), "n")

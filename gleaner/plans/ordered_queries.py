@@ -214,16 +214,53 @@ def grids(spark, d):
     return cells.select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).alias("y"), F.col("f").cast("double").alias("v"))
 
 
-@query("a8_grid_quality", """
+_GX, _GY = "case when dn is not null then rt - v end", "case when rt is not null then dn - v end"
+#: The figures of a grid in SQL, over cells with their neighbours.
+_FIGURES = {
+    "laplacian_variance": "var_pop(rt + lt + dn + up - 4 * v)", "gradient_energy": "avg((rt - v) * (rt - v) + (dn - v) * (dn - v))", "mean": "avg(v)", "spread": "stddev_pop(v)",
+    "dynamic_range": "quantile_cont(v, 0.99) - quantile_cont(v, 0.01)", "edge_density": "avg((sqrt((rt - v) * (rt - v) + (dn - v) * (dn - v)) > 0.08)::int)",
+    "coherence": f"case when avg(pow({_GX}, 2)) + avg(pow({_GY}, 2)) > 1e-12 then sqrt(pow(avg(pow({_GX}, 2)) - avg(pow({_GY}, 2)), 2) + 4 * pow(avg(({_GX}) * ({_GY})), 2)) / (avg(pow({_GX}, 2)) + avg(pow({_GY}, 2))) when avg({_GX}) is not null then 0.0 end",
+    **{f"p{p:02d}": f"quantile_cont(v, {p / 100})" for p in (1, 5, 50, 95, 99)}, "dark_ratio": "avg((v <= 0.01)::int)", "bright_ratio": "avg((v >= 0.99)::int)",
+}
+_FIGURES["entropy"] = """coalesce(list_sum(list_transform(map_values(histogram(least(floor(v * 256), 255)) filter (where v between 0 and 1)), lambda c: -(c::double) * log2(c::double))) / nullif(count(*) filter (where v between 0 and 1), 0)
+ + log2(nullif(count(*) filter (where v between 0 and 1), 0)), 0)"""
+
+
+@query("a8_grid_quality", f"""
 with c as (select vec_id, u.i - 1 as i, embedding[u.i]::double as v from embeddings, (select unnest(generate_series(1, 64)) as i) u),
 n as (select vec_id, v, (i % 8) as x, i // 8 as y, lead(v) over (partition by vec_id, i // 8 order by i % 8) as rt, lag(v) over (partition by vec_id, i // 8 order by i % 8) as lt,
  lead(v) over (partition by vec_id, i % 8 order by i // 8) as dn, lag(v) over (partition by vec_id, i % 8 order by i // 8) as up from c)
-select vec_id, round(var_pop(rt + lt + dn + up - 4 * v), 6) as laplacian_variance, round(avg(case when rt is not null and dn is not null then (rt - v) * (rt - v) + (dn - v) * (dn - v) end), 6) as gradient_energy,
- round(avg(v), 6) as mean, round(stddev_pop(v), 6) as spread, round(quantile_cont(v, 0.99) - quantile_cont(v, 0.01), 6) as dynamic_range from n group by 1""")
+select vec_id, {", ".join(f"round({f}, 6) as {c}" for c, f in _FIGURES.items())} from n group by 1""")
 def a8(spark, d):
     return G.cell_metrics(grids(spark, d), by=["vec_id"]).select("vec_id", *(r6(F.col(c), c) for c in G.METRICS))
 
 
+_LINE = "(bin + 0.5) * step + slope * (x - (w - 1) / 2)"
+
+
+@query("a10_dominant_lines", f"""
+with c as (select vec_id // 64 as scene, vec_id % 64 as y, u.i - 1 as x, embedding[u.i]::double as v from embeddings, (select unnest(generate_series(1, 64)) as i) u),
+s as (select scene, max(y) as h, max(x) as w, greatest(2.0::double, max(y) / 80) as step from c group by 1),
+n as (select c.*, h, w, step, lead(v) over (partition by scene, y order by x) - v as gx, lead(v) over (partition by scene, x order by y) - v as gy from c join s using (scene)),
+m as (select *, sqrt(gx * gx + gy * gy) as g from n where gx is not null and gy is not null and y >= floor(h * 0.2::double) and y < greatest(floor(h * 0.8::double), 1)),
+l as (select scene, greatest(0.025, quantile_cont(g, 0.75) filter (where g > 1e-6)) as least from m group by 1 having count(*) >= 64 and count(*) filter (where g > 1e-6) >= 32),
+t as (select m.*, abs(gy) >= abs(gx) * 0.5 as lv from m join l using (scene) where g >= least),
+a as (select scene, count(*) filter (where lv) as n, sum(g) filter (where lv) as weight, coalesce(sum(g) filter (where abs(gx) > abs(gy) * 1.5), 0) as upright from t group by 1),
+f as (select t.* from t join a using (scene) where lv and a.n >= 32), p as (select unnest(generate_series(-29, 29, 2)) as angle),
+b as (select *, tan(radians(angle)) as slope from f, p), q as (select *, floor((y - slope * (x - (w - 1) / 2)) / step)::int as bin from b),
+v as (select scene, angle, bin, sum(g) as votes from q where bin >= 0 and bin < greatest(1, ceil(h / step) + 1) group by 1, 2, 3),
+k as (select * from (select *, row_number() over (partition by scene order by votes desc, angle, bin) as r from v) where r = 1),
+i as (select scene, count(*) as inliers, count(distinct least(floor(x * 16 / greatest(1, w)), 15)) as cols from (select f.*, k.bin, tan(radians(k.angle)) as slope from f join k using (scene)) where abs(y - ({_LINE})) <= step group by 1),
+r as (select scene, count(*) filter (where gap is null or gap > 2) as lines from (select v.scene, v.bin - lag(v.bin) over (partition by v.scene order by v.bin) as gap from v join k on k.scene = v.scene and k.angle = v.angle where v.votes >= k.votes * 0.35) group by 1),
+o as (select scene, k.angle, round(cols / 16 * least(1.0, votes / greatest(weight, 1e-9) * 2.5) / (1 + 0.65 * greatest(0, lines - 1)) * greatest(0.25, 1 - upright / greatest(weight + upright, 1e-9)), 4) as support
+ from k join i using (scene) join r using (scene) join a using (scene) where inliers >= 24)
+select s.scene, case when support >= 0.08 then o.angle::double end as angle, coalesce(support, 0) as support from s left join o using (scene)""")
+def a10(spark, d):
+    """Each 64 vectors in a row as a grid of 64 by 64 cells."""
+    cells = read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("scene"), (F.col("vec_id") % 64).alias("y"), F.posexplode("embedding").alias("x", "f"))
+    return G.dominant_lines(cells.select("scene", "x", "y", F.col("f").cast("double").alias("v")), by=["scene"])
+
+
 _MARKS = """with m as (select vec_id, u.r as region, abs(embedding[4 * u.r + 1]::double) * 4 as x0, abs(embedding[4 * u.r + 2]::double) * 4 as y0, abs(embedding[4 * u.r + 3]::double) * 5 as w0, abs(embedding[4 * u.r + 4]::double) * 5 as h0
  from embeddings, (select unnest(generate_series(0, 11)) as r) u),
 c as (select vec_id, region, least(1.0, x0) as x, least(1.0, y0) as y, w0, h0 from m where region < 10),
@@ -235,8 +272,7 @@ k as (select * from e where ri - le >= 3 and bo - tp >= 3),
 g as (select vec_id, (u.i - 1) % 8 as x, (u.i - 1) // 8 as y, embedding[u.i]::double as v from embeddings, (select unnest(generate_series(1, 64)) as i) u),
 n as (select g.vec_id, region, area, contacts, v, lead(v) over (partition by g.vec_id, region, g.y order by g.x) as rt, lag(v) over (partition by g.vec_id, region, g.y order by g.x) as lt,
  lead(v) over (partition by g.vec_id, region, g.x order by g.y) as dn, lag(v) over (partition by g.vec_id, region, g.x order by g.y) as up from g join k on g.vec_id = k.vec_id and g.x >= le and g.x < ri and g.y >= tp and g.y < bo),
-q as (select vec_id, region, any_value(area) as area, sqrt(any_value(area)) as wt, any_value(contacts) as contacts, var_pop(rt + lt + dn + up - 4 * v) as laplacian_variance, avg((rt - v) * (rt - v) + (dn - v) * (dn - v)) as gradient_energy,
- avg(v) as mean, stddev_pop(v) as spread, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) as dynamic_range from n group by 1, 2)
+q as (select vec_id, region, any_value(area) as area, sqrt(any_value(area)) as wt, any_value(contacts) as contacts, """ + ", ".join(f"{f} as {c}" for c, f in _FIGURES.items()) + """ from n group by 1, 2)
 select vec_id, count(*) as region_count, round(least(1.0, sum(area)), 6) as coverage, round(least(1.0, sum(wt * least(1.0, contacts / 2)) / sum(wt)), 6) as boundary, """
 
 

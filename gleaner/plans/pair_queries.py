@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import expressions as X
 from gleaner.operators import groups as G
 from gleaner.operators import pairs as J
+from gleaner.operators import scenes as S
 from gleaner.plans.ordered_queries import micros, r6
 from gleaner.plans.registry import query
 from gleaner.sources.tables import materialize, read
@@ -78,16 +79,25 @@ def described(spark: SparkSession, d: str) -> DataFrame:
 LETTERS = "aeinorst"
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Rows near in time, stars of equal content and of equal signatures, and pairs across near signatures.
+def _stars(docs: DataFrame) -> DataFrame:
+    """Rows near in time and stars of equal content and of equal signatures. Documents arrive one a second, by id."""
+    star = J.equal_key_star(docs.where("signature is not null"), key="doc_id", on="signature", order=["n_chars"])
+    soon = J.interval_pairs(docs, key="doc_id", micros=F.col("doc_id") * 1_000_000, within=WINDOW, by=["source"]).select("src", "dst")
+    return soon.union(star).union(J.equal_key_star(docs, key="doc_id", on="h", order=["n_chars"]))
+
 
-    Documents arrive one a second, by id."""
+def candidates(docs: DataFrame) -> DataFrame:
+    """All candidates: rows near in time, stars, and pairs across near signatures, whatever the time between them."""
     sig = docs.where("signature is not null")
     near = J.signature_pairs(sig, signature="signature", bands=J.BANDS_60)
-    star = J.equal_key_star(sig, key="doc_id", on="signature", order=["n_chars"])
-    across = J.representative_pairs(sig, near, key="doc_id", signature="signature", order=["n_chars"])
-    soon = J.interval_pairs(docs, key="doc_id", micros=F.col("doc_id") * 1_000_000, within=WINDOW, by=["source"]).select("src", "dst")
-    return soon.union(star).union(across).union(J.equal_key_star(docs, key="doc_id", on="h", order=["n_chars"])).distinct()
+    return _stars(docs).union(J.representative_pairs(sig, near, key="doc_id", signature="signature", order=["n_chars"])).distinct()
+
+
+def timely_candidates(docs: DataFrame) -> DataFrame:
+    """The candidates that evidence can confirm: across near signatures only those within the time window, as different
+    content further apart never is."""
+    across = J.representative_pairs_within(docs, key="doc_id", signature="signature", order=["n_chars"], micros=F.col("doc_id") * 1_000_000, within=WINDOW, bands=J.BANDS_60)
+    return _stars(docs).union(across).distinct()
 
 
 WINDOW = 120
@@ -110,15 +120,14 @@ def j12(spark, d):
     return candidates(described(spark, d))
 
 
-def confirmed(spark: SparkSession, d: str) -> DataFrame:
+def confirmed(own: DataFrame) -> DataFrame:
     """Candidates that the evidence at hand confirms: content, signature, size, letters, distance in time and bursts.
 
     Texts have one signature, no pixels and no vectors: both distances are the same, the rest is unknown."""
-    own = described(spark, d)
     a, b = own.toDF("src", "o1", "n1", "h1", "l1", "s1"), own.toDF("dst", "o2", "n2", "h2", "l2", "s2")
     c, none = F.col, F.lit(None).cast("double")
     gap, seconds = X.hamming(c("s1"), c("s2")), c("dst") - c("src")
-    cheap = candidates(own).join(a, "src").join(b, "dst").where((c("h1") == c("h2")) | (seconds <= WINDOW))
+    cheap = timely_candidates(own).join(a, "src").join(b, "dst").where((c("h1") == c("h2")) | (seconds <= WINDOW))
     evidence = {
         "same_hash": c("h1") == c("h2"), "phash": gap, "dhash": gap, "aspect": X.aspect_delta(c("n1"), F.lit(1), c("n2"), F.lit(1)), "hist": X.histogram_similarity(c("l1"), c("l2")),
         "mae": none, "xmae": none, "cos": none, "dt": seconds, "burst": (c("o1") == c("o2")) & (seconds <= 8),
@@ -128,19 +137,27 @@ def confirmed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j15_confirmed_pairs", f"with {_CAND} {_OK} select src, dst from ok")
 def j15(spark, d):
-    return confirmed(spark, d)
+    return confirmed(described(spark, d))
 
 
 @query("g1_connected_components", f"""with recursive {_CAND} {_OK}, e as (select src as a, dst as b from ok union select dst, src from ok),
 w(n, m) as (select a, a from e union select w.n, e.b from w join e on e.a = w.m) select n as node, min(m) as component from w group by 1""")
 def g1(spark, d):
-    return G.connected_components(materialize(confirmed(spark, d)))
+    return G.connected_components(materialize(confirmed(described(spark, d))))
+
 
+_EDGES = "e as (select src as a, dst as b from ok union select dst, src from ok)"
 
-@query("g2_leader_split")
+
+@query("g2_leader_split", f"""with recursive {_CAND} {_OK}, {_EDGES}, x as (select sha256(text) as h, min(doc_id) as leader from documents group by 1 having count(*) > 1),
+peeled as (select doc_id, leader from documents join x on sha256(text) = h), f as (select a, b from e where a not in (select doc_id from peeled) and b not in (select doc_id from peeled)),
+n as (select a, list(b) as near, row_number() over (order by a) as k from f group by a),
+s(k, led) as (select 0::bigint, []::bigint[] union all select n.k, case when len(list_intersect(n.near, s.led)) = 0 then list_append(s.led, n.a) else s.led end from s join n on n.k = s.k + 1),
+l as (select led from s order by k desc limit 1), m as (select a as doc_id, list_min(list_intersect(near, led)) as leader from n, l where not list_contains(led, a))
+select doc_id, leader from m union all select distinct leader, leader from m union all select doc_id, leader from peeled""")
 def g2(spark, d):
-    edges = materialize(confirmed(spark, d))
-    return G.leader_split(read(spark, d, "documents").select("doc_id"), edges, key="doc_id", rank="doc_id")
+    own = described(spark, d)
+    return G.leader_split(own, confirmed(own), key="doc_id", rank="doc_id", exact="h")
 
 
 @query("g3_exact_groups", """
@@ -169,10 +186,18 @@ def g6(spark, d):
     return G.series_picks(rows, by=["label"], key="vec_id", vector="embedding", quality="quality", alike=0.3)
 
 
-@query("g8_complete_link_stacks")
+_SCENE = """v as (select vec_id, vec_id // 64 as scene, row_number() over (partition by vec_id // 64 order by vec_id) as p, embedding::double[] as v from embeddings),
+m as (select a.scene, a.p, a.vec_id, list(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) order by b.p) as sim from v a join v b using (scene) group by 1, 2, 3)"""
+
+
+@query("g8_complete_link_stacks", f"""with recursive {_SCENE}, n as (select scene, p, vec_id, list_filter(range(1, p), lambda q: sim[q] >= 0) as near from m),
+s(scene, p, vec_id, stacks, stack) as (select scene, p, vec_id, [[p]], 0::bigint from n where p = 1 union all
+ select scene, p, vec_id, case when spot is null then list_append(stacks, [p]) else list_concat(list_concat(stacks[:spot - 1], [list_append(stacks[spot], p)]), stacks[spot + 1:]) end, coalesce(spot - 1, len(stacks))
+ from (select n.scene, n.p, n.vec_id, s.stacks, nullif(list_position(list_transform(s.stacks, lambda x: len(list_intersect(x, n.near)) = len(x)), true), 0) as spot from s join n on n.scene = s.scene and n.p = s.p + 1))
+select scene, vec_id, stack::integer as stack from s""")
 def g8(spark, d):
     rows = read(spark, d, "embeddings").withColumn("scene", F.floor(F.col("vec_id") / 64))
-    return G.complete_link_stacks(rows, by=["scene"], key="vec_id", vector="embedding", threshold=0.0)
+    return S.complete_link_stacks(rows, by=["scene"], key="vec_id", vector="embedding", threshold=0.0)
 
 
 @query("g9_group_batches", """
@@ -249,22 +274,51 @@ def j20(spark, d):
     return J.preference_products(rows, by=["source"], key="doc_id", label="quality")
 
 
-@query("w20_ranked_subset")
+@query("w20_ranked_subset", f"""with recursive {_SCENE}, c as (select scene, count(*) as n, ceil(sqrt(count(*)))::bigint as budget, list(vec_id order by p) as ids, list((vec_id % 11) / 10.0::double order by p) as rk, list(sim order by p) as sim from m group by 1),
+f as (select *, list_max(list_transform(range(1, n + 1), lambda i: {{'r': rk[i], 'k': i}})).k as first from c),
+s(scene, place, chosen, most) as (select scene, 1::bigint, [first], sim[first] from f union all
+ select scene, place + 1, list_append(chosen, best), list_transform(range(1, n + 1), lambda i: greatest(most[i], sim[best][i])) from (select s.*, f.n, f.sim, list_max(list_transform(list_filter(range(1, f.n + 1), lambda i: not list_contains(s.chosen, i)),
+  lambda i: {{'v': round(0.7 * f.rk[i] + 0.3 * greatest(0, 1 - s.most[i]), 12), 'r': f.rk[i], 'k': i}})).k as best from s join f using (scene) where s.place < f.budget))
+select scene, ids[chosen[place]] as vec_id, place::integer as place from s join c using (scene)""")
 def w20(spark, d):
     rows = read(spark, d, "embeddings").withColumns({"scene": F.floor(F.col("vec_id") / 64), "rank": (F.col("vec_id") % 11) / 10.0})
-    return G.ranked_subset(rows, by=["scene"], key="vec_id", vector="embedding", rank="rank")
+    return S.ranked_subset(rows, by=["scene"], key="vec_id", vector="embedding", rank="rank")
+
 
+_ALIKE = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
+_KEPT = """s(label, k, kept, keep) as (select label, 0::bigint, []::bigint[], null::boolean from n group by 1 union all
+ select n.label, n.k, case when len(list_intersect(n.near, s.kept)) < {cap} then list_append(s.kept, n.vec_id) else s.kept end, len(list_intersect(n.near, s.kept)) < {cap} from s join n on n.label = s.label and n.k = s.k + 1)"""
 
-@query("w21_diversity_demotions")
+
+@query("w21_diversity_demotions", f"""with recursive v as (select vec_id, label, embedding::double[] as v, row_number() over (partition by label order by vec_id) as k from embeddings),
+n as (select a.label, a.k, a.vec_id, coalesce(list(b.vec_id) filter (where b.k < a.k and {_ALIKE} >= 0.2), []) as near from v a join v b using (label) group by 1, 2, 3), {_KEPT.format(cap=2)}
+select vec_id, keep as kept from s join n using (label, k)""")
 def w21(spark, d):
     vectors = read(spark, d, "embeddings")
     edges = J.cosine_pairs(vectors, key="vec_id", vector="embedding", threshold=0.2, by=["label"])
     return G.diversity_demotions(vectors, edges, key="vec_id", rank="vec_id", cap=2)
 
 
-@query("w18_round_robin_pairs")
+@query("w21_diversity_rerank", f"""with recursive v as (select vec_id, label, embedding::double[] as v, row_number() over (partition by label order by vec_id % 7 desc, vec_id desc) as k from embeddings where vec_id % 5 <> 0 and vec_id % 11 <> 0),
+p as (select a.label, a.k, a.vec_id, b.vec_id as other, b.k as ok, {_ALIKE} as sim from v a join v b using (label)),
+n as (select label, k, vec_id, coalesce(list(other) filter (where ok < k and sim >= 0.2), []) as near from p group by 1, 2, 3), {_KEPT.format(cap=2)},
+t as (select s.*, n.vec_id from s join n using (label, k)), near as (select p.vec_id, max(p.sim) as sim, arg_max(p.other, p.sim) as nearest from p join t on t.vec_id = p.other and t.keep where p.ok < p.k and p.sim >= 0.1 group by 1)
+select t.vec_id, round(case when sim is null then 100 else least(greatest((1 - sim) / 0.9 * 100, 0), 100) end, 2) as value, nearest, round(sim, 4) as similarity, not keep as demoted,
+ case when t.k = 1 then 'semantic_anchor' when not keep then 'semantic_scene_limit' else 'semantic_distance' end as reason from t left join near using (vec_id)
+union all select vec_id, case when vec_id % 5 = 0 then 50.0 else 100.0 end, null, null, false, case when vec_id % 5 <> 0 then 'protected' end from embeddings where vec_id % 5 = 0 or vec_id % 11 = 0""")
+def w21_rerank(spark, d):
+    rows = read(spark, d, "embeddings").withColumn("score", F.col("vec_id") % 7)
+    out = G.diversity_rerank(rows, by=["label"], key="vec_id", vector="embedding", order=["score"], keep=F.col("vec_id") % 5 != 0, protected=F.col("vec_id") % 11 == 0, alike=0.2, distinct=0.1, cap=2)
+    return out.drop("label")
+
+
+@query("w18_round_robin_pairs", f"""with recursive {_CAND} {_OK}, {_EDGES}, w(n, m) as (select a, a from e union select w.n, e.b from w join e on e.a = w.m), g as (select n as src, min(m) as component from w group by 1),
+q as (select src, dst, component, sha256(src || '|' || dst) as digest, row_number() over (order by sha256(src || '|' || dst)) as k from ok join g using (src)),
+s(k, used, keep) as (select 0::bigint, []::bigint[], false union all select q.k, case when list_contains(s.used, src) or list_contains(s.used, dst) then s.used else list_concat(s.used, [src, dst]) end, not (list_contains(s.used, src) or list_contains(s.used, dst)) from s join q on q.k = s.k + 1),
+t as (select q.*, row_number() over (partition by component order by digest) as turn from q join s using (k) where keep)
+select component, turn::integer as turn, case when digest[1] < '8' then src else dst end as "left", case when digest[1] < '8' then dst else src end as "right" from (select * from t order by turn, digest limit 12)""")
 def w18(spark, d):
-    edges = materialize(confirmed(spark, d))
+    edges = materialize(confirmed(described(spark, d)))
     parts = G.connected_components(edges).withColumnRenamed("node", "src")
     return G.disjoint_pairs(edges.join(parts, "src"), most=12)
 
@@ -298,14 +352,28 @@ def f3(spark, d):
     return read(spark, d, "embeddings").select("vec_id", X.bits_to_bigint(X.gradient_bits(F.col("embedding"), 8, 8)).alias("bits"))
 
 
-@query("f4_median_signature", """
-with m as (select vec_id, embedding as e, list_median(embedding[2:32]::double[]) as m from embeddings), c as (select vec_id, i, e[i] as v, m from m, (select unnest(generate_series(1, 32)) as i))
-select vec_id, cast(sum(case when v > m then 1::bigint << (32 - i) else 0 end) as bigint) as bits from c group by 1""")
-def f4(spark, d):
-    own = F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double"))
+_SIGNED = "sum(case when v > m then case when i = 0 then -9223372036854775808::hugeint else 1::hugeint << (63 - i)::integer end else 0 end)::bigint as bits"
+
+
+@query("f4_median_signature", f"""
+with m as (select vec_id, embedding as e, list_median(embedding[2:]::double[]) as m from embeddings), c as (select vec_id, i, e[i + 1]::double as v, m from m, (select unnest(generate_series(0, 63)) as i))
+select vec_id, {_SIGNED} from c group by 1""")
+def f4_median(spark, d):
+    own = F.transform("embedding", lambda x: x.cast("double"))
     return read(spark, d, "embeddings").select("vec_id", X.bits_to_bigint(X.median_bits(own)).alias("bits"))
 
 
+@query("f4_cosine_signature", f"""
+with b as (select k, i, (case when k = 0 then sqrt(1 / 8.0) else sqrt(2 / 8.0) end) * cos((2 * i + 1) * k * pi() / 16) as f from (select unnest(generate_series(0, 7)) as k), (select unnest(generate_series(0, 7)) as i)),
+c as (select vec_id, j // 8 as y, j % 8 as x, embedding[j + 1]::double as v from embeddings, (select unnest(generate_series(0, 63)) as j)),
+t as (select vec_id, b.k as p, x, sum(f * v) as v from c join b on b.i = c.y group by 1, 2, 3), d as (select vec_id, p * 8 + b.k as i, sum(f * v) as v from t join b on b.i = t.x group by 1, 2),
+m as (select vec_id, median(v) as m from d where i > 0 group by 1)
+select vec_id, {_SIGNED} from d join m using (vec_id) group by 1""")
+def f4(spark, d):
+    """All 64 components as an 8 by 8 grid."""
+    return read(spark, d, "embeddings").select("vec_id", X.bits_to_bigint(X.cosine_bits(F.col("embedding"), 8)).alias("bits"))
+
+
 @query("f12_haversine", """
 with c as (select c_custkey, (c_custkey % 180) - 90.0::double as lat, (c_custkey * 7 % 360) - 180.0::double as lon from customer),
 h as (select a.c_custkey, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) as h from c a join c b on b.c_custkey = a.c_custkey + 1)
