@@ -35,6 +35,22 @@ def hash_similarity(a: Column, b: Column) -> Column:
     return 1 - hamming(a, b) / 64.0
 
 
+def decode_fields(text: Column, fields: dict[str, str], *, whole: str | None = None) -> Column:
+    """A struct of typed fields of a JSON object's text, by :func:`try_parse_json`; with ``whole``, all of it as that type too.
+
+    Broken text, other values than objects, absent fields and values of another type give null, or the empty array or map.
+    """
+    own = F.try_parse_json(text)
+    held = F.when(F.schema_of_variant(own).startswith("OBJECT"), own)
+
+    def field(path: str, kind: str) -> Column:
+        value = F.try_variant_get(held, path, kind)
+        empty = F.array() if kind.startswith("array") else F.create_map() if kind.startswith("map") else None
+        return value if empty is None else F.coalesce(value, empty.cast(kind))
+
+    return F.struct(*(field(f"$.{name}", kind).alias(name) for name, kind in fields.items()), *([field("$", whole).alias("whole")] if whole else []))
+
+
 def token_bits(token: Column) -> Column:
     """60 hash bits of a token, as a non-negative number."""
     return F.conv(F.substring(F.md5(token), 1, 15), 16, 10).cast("bigint")

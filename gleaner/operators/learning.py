@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import expressions as X
 from gleaner.operators.ordered import midrank_percentile
+from gleaner.operators.segmented import finished, ranged, scan
 from gleaner.sources.tables import materialize
 
 
@@ -24,10 +25,46 @@ def derive_preferences(sources: list[DataFrame]) -> DataFrame:
 
 
 def assign_split(df: DataFrame, *, context: str, every: int = 4) -> DataFrame:
-    """(context, split): whole contexts in digest order, each ``every``-th held out. Contexts are few beside rows."""
-    contexts = df.select(context).distinct()
-    place = F.expr(f"row_number() over (order by sha2({context}, 256))")
-    return contexts.withColumn("split", F.when(place % every == 0, "held_out").otherwise("calibration"))
+    """(context, split): whole contexts in digest order, each ``every``-th held out."""
+    held = F.col("place") % every == 0
+    return _in_digest_order(df.select(context).distinct(), context).select(context, F.when(held, "held_out").otherwise("calibration").alias("split"))
+
+
+def _in_digest_order(contexts: DataFrame, context: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Different contexts numbered by ``place``, with running sums, over all tasks."""
+    rows = contexts.withColumns({"_all": F.lit(0), "_digest": F.sha2(F.col(context).cast("string"), 256)})
+    order = ["_digest", context]
+    return finished(scan(ranged(rows, by=["_all"], order=order), order=order, sums=sums, number="place")).drop("_all", "_digest")
+
+
+def balanced_split(rows: DataFrame, memory: DataFrame, *, context: str, least: int = 3) -> DataFrame:
+    """(context, examples, split) of all contexts: those of ``memory`` (context, examples, split) keep their split for ever.
+
+    A context remembered in both is for calibration. New contexts come in digest order: while fewer than ``least`` examples
+    are for calibration they go there; then the next is held out while fewer contexts are held out than calibrate, and
+    calibrates otherwise. Examples without a context calibrate. ``rows`` has one row for each new example.
+    """
+    known = memory.groupBy(F.col(context).alias("_m")).agg(F.sum("examples").alias("seen"), F.when(F.bool_and(F.col("split") == "held_out"), "held_out").otherwise("calibration").alias("old"))
+    now = rows.groupBy(F.col(context).alias("_n")).agg(F.count("*").alias("more"))
+    own = F.coalesce("_m", "_n")
+    both = known.join(now, F.col("_m").eqNullSafe(F.col("_n")), "full")
+    both = materialize(both.select(own.alias(context), (F.coalesce("seen", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("examples"), F.when(own.isNull(), "calibration").otherwise(F.col("old")).alias("old")))
+    settled = both.where("old is not null")
+    named = settled.where(F.col(context).isNotNull())
+    calibrates = F.col("old") == "calibration"
+    start = settled.agg(F.coalesce(F.sum(F.when(calibrates, F.col("examples"))), F.lit(0)).alias("had"))
+    sides = named.agg(F.count_if(calibrates).alias("c"), F.count_if(~calibrates).alias("h"))
+    new = _in_digest_order(both.where("old is null").select(context, "examples"), context, {"upto": F.col("examples")})
+    new = new.crossJoin(F.broadcast(start)).withColumn("early", F.col("had") + F.col("upto") - F.col("examples") < least)
+    new = materialize(new)
+    lead = new.agg(F.count_if("early").alias("first"))
+    placed = new.crossJoin(F.broadcast(sides)).crossJoin(F.broadcast(lead)).withColumn("j", F.col("place") - F.col("first"))
+    # So many go to the smaller side first; from then on the sides take turns.
+    ahead = F.col("c") + F.col("first") - F.col("h")
+    turn = F.col("j") - F.when(ahead > 0, ahead).otherwise(1 - ahead)
+    held = F.when(turn <= 0, ahead > 0).otherwise(F.when(ahead > 0, turn % 2 == 0).otherwise(turn % 2 == 1))
+    split = F.when(~F.col("early") & held, "held_out").otherwise("calibration")
+    return settled.select(context, "examples", F.col("old").alias("split")).unionByName(placed.select(context, "examples", split.alias("split")))
 
 
 def filter_leakage(pairs: DataFrame, *, left: str, right: str) -> DataFrame:

@@ -285,6 +285,27 @@ def l2(spark, d):
     return assign_split(read(spark, d, "documents"), context="source", every=4)
 
 
+_CONTEXT = "source || '/' || (doc_id % 5)"
+
+
+@query("l2_balanced_split", f"""
+with recursive m as (select {_CONTEXT} as context, count(*) as seen, case when min(doc_id) % 2 = 1 then 'held_out' else 'calibration' end as old from documents where doc_id % 7 = 0 group by 1),
+r as (select {_CONTEXT} as context, count(*) as more from documents where doc_id % 7 <> 0 group by 1),
+b as (select context, coalesce(seen, 0) + coalesce(more, 0) as examples, old from m full join r using (context)),
+n as (select context, examples, row_number() over (order by sha256(context), context) as k from b where old is null),
+s(k, c, h, had, split) as (select 0::bigint, (select count(*) from b where old = 'calibration'), (select count(*) from b where old = 'held_out'), (select coalesce(sum(examples), 0)::bigint from b where old = 'calibration'), 'calibration'
+ union all select k, c + (split = 'calibration')::int, h + (split = 'held_out')::int, had + case when split = 'calibration' then examples else 0 end, split
+ from (select n.k, c, h, had, examples, case when had < 3 or h >= c then 'calibration' else 'held_out' end as split from s join n on n.k = s.k + 1))
+select context, examples, split from n join s using (k) union all select context, examples, old from b where old is not null""")
+def l2_balanced(spark, d):
+    """Contexts of a source and a fifth of the ids; a seventh of the documents is remembered."""
+    from gleaner.operators.learning import balanced_split
+
+    docs = read(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", (C("doc_id") % 5).cast("string")).alias("context"))
+    memory = docs.where("doc_id % 7 = 0").groupBy("context").agg(F.count("*").alias("examples"), F.when(F.min("doc_id") % 2 == 1, "held_out").otherwise("calibration").alias("split"))
+    return balanced_split(docs.where("doc_id % 7 <> 0"), memory, context="context")
+
+
 @query("l3_filter_leakage", """
 with p as (select doc_id as l, doc_id + 1 as r, case when doc_id % 3 = 0 then 'held_out' else 'calibration' end as split from labels where doc_id % 4 <> 1),
 t as (select l as i from p where split = 'calibration' union select r from p where split = 'calibration') select l, r from p where split = 'held_out' and l not in (select i from t) and r not in (select i from t)""")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from gleaner.functions import expressions as X
 from gleaner.operators import relational as T
 from gleaner.plans.ordered_queries import r6
 from gleaner.plans.registry import query
@@ -168,6 +169,53 @@ def p10(spark, d):
     return read(spark, d, "events").select("event_id", parsed.isNotNull().alias("known"))
 
 
+@query("p10_typed_fields", """
+with e as (select event_id, case when event_id % 17 = 0 then left(props, 4) else props end as props from events), j as (select event_id, try_cast(props as json) as j from e)
+select event_id, try_cast(j ->> '$.k' as bigint) as k, coalesce(len(json_keys(j)), 0)::integer as n_fields, coalesce(json_array_length(j -> '$.tags'), 0)::integer as n_tags, coalesce(try_cast(j ->> '$.k' as bigint) > 50, false) as large from j""")
+def p10_fields(spark, d):
+    """Every seventeenth text is cut off: broken text has empty values."""
+    props = F.when(C("event_id") % 17 == 0, F.substring("props", 1, 4)).otherwise(C("props"))
+    own = X.decode_fields(props, {"k": "bigint", "tags": "array<string>"}, whole="map<string,string>")
+    rows = read(spark, d, "events").select("event_id", own.alias("f"))
+    return rows.select("event_id", "f.k", F.size("f.whole").alias("n_fields"), F.size("f.tags").alias("n_tags"), F.coalesce(F.col("f.k") > 50, F.lit(False)).alias("large"))
+
+
+@query("j13_snapshot_drift", """
+with p as (select o_orderkey, o_custkey, o_totalprice, o_orderstatus from orders where o_orderkey % 997 <> 1), c as (select o_orderkey, o_custkey, case when o_orderkey % 1009 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice, o_orderstatus from orders where o_orderkey % 991 <> 2)
+select coalesce(p.o_orderkey, c.o_orderkey) as o_orderkey, case when c.o_orderkey is null then 'missing' when p.o_orderkey is null then 'extra' else 'changed:o_totalprice' end as reasons
+from p full join c on p.o_orderkey = c.o_orderkey where c.o_orderkey is null or p.o_orderkey is null or p.o_totalprice <> c.o_totalprice""")
+def j13_snapshots(spark, d):
+    """Two snapshots of the orders, of which a few rows were added, dropped and changed."""
+    import uuid
+
+    from gleaner.sources import digests
+
+    fields = ["o_custkey", "o_totalprice", "o_orderstatus"]
+    orders = read(spark, d, "orders").select("o_orderkey", *fields)
+    now = orders.where("o_orderkey % 991 <> 2").withColumn("o_totalprice", F.when(C("o_orderkey") % 1009 == 0, C("o_totalprice") + 1).otherwise(C("o_totalprice")))
+    base = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    depth = digests.depth_for(orders.count())
+    digests.write_snapshot(orders.where("o_orderkey % 997 <> 1"), f"{base}/old", key="o_orderkey", fields=fields, depth=depth)
+    digests.write_snapshot(now, f"{base}/new", key="o_orderkey", fields=fields, depth=depth)
+    schema = ", ".join(f"{c} {kind}" for c, kind in orders.dtypes)
+    out = digests.snapshot_drift(spark, f"{base}/old", f"{base}/new", key="o_orderkey", fields=fields, schema=schema)
+    return out.select("o_orderkey", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("u7_sketch_rollup", """select event_type, count(*) as n, round(sum(value), 4) as total, min(value) as least, max(value) as most, true as median_holds, true as users_hold from events group by 1""")
+def u7(spark, d):
+    """Daily sketches rolled up to event types; the estimates are held against the exact figures."""
+    from gleaner.operators import sketches as K
+
+    events = read(spark, d, "events").withColumn("day", F.to_date("ts"))
+    daily = materialize(K.sketched(events, by=["event_type", "day"], value="value", item="user_id"))
+    whole = K.rolled_up(daily, by=["event_type"])
+    told = K.robust_stats(whole, by=["event_type"]).select("event_type", "med", "items")
+    exact = events.join(told, "event_type").groupBy("event_type").agg((F.count_if(C("value") <= C("med")) / F.count("value")).alias("below"), F.count_distinct("user_id").alias("users"), F.first("items").alias("items"))
+    held = exact.select("event_type", (F.abs(C("below") - 0.5) <= 0.02).alias("median_holds"), (F.abs(C("items") - C("users")) <= 0.03 * C("users")).alias("users_hold"))
+    return whole.join(held, "event_type").select("event_type", "n", F.round("total", 4).alias("total"), "least", "most", "median_holds", "users_hold")
+
+
 @query("p11_cards")
 def p11(spark, d):
     return T.card(read(spark, d, "orders"), key="o_orderkey", heavy=["o_totalprice"])
@@ -329,19 +377,20 @@ def _replay(spark, d, keep):
     events = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
     out, mode = keep(events)
     if mode == "update":
-        done = out.writeStream.foreachBatch(lambda b, k: b.write.mode("append").parquet(f"{base}/out")).outputMode("update")
+        # A batch that is repeated replaces itself.
+        done = out.writeStream.foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{base}/out/batch={k}")).outputMode("update")
     else:
         done = out.writeStream.format("parquet").option("path", f"{base}/out").outputMode(mode)
     done.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-@query("st1_latest_decisions", "select user_id, max(event_id) as generation from events group by 1")
+@query("st1_latest_decisions", "select user_id, max(event_id) as generation, arg_max(event_type, event_id) as decision from events group by 1")
 def st1(spark, d):
     from gleaner.streaming.streams import latest_decisions
 
     out = _replay(spark, d, lambda e: (latest_decisions(e, key="user_id", generation="event_id", value="event_type"), "update"))
-    return out.groupBy("user_id").agg(F.max("generation").alias("generation"))
+    return out.groupBy("user_id").agg(F.max("generation").alias("generation"), F.max_by("decision", "generation").alias("decision"))
 
 
 @query("st2_exact_dedup", "select count(distinct event_type || user_id::varchar) as n from events")
