@@ -419,6 +419,34 @@ def st4(spark, d):
     return batch.select("user_id", "n")
 
 
+@query("st4_adaptive_episodes", """
+with b as (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from events), a as (select user_id, epoch_us(ts) as t, event_id % 50 = 0 and epoch_us(ts) < lo + (hi - lo) // 3 - 172800000000 as late from events, b), e as (select user_id, t from a where not late),
+g as (select user_id, t, case when t - lag(t) over (partition by user_id order by t) <= (user_id % 4 + 2) * 3600000000 then 0 else 1 end as n from e), s as (select *, sum(n) over (partition by user_id order by t rows unbounded preceding) as k from g)
+select user_id, min(t) as first, max(t) as last, count(*) as n, 0::bigint as late from s group by user_id, k union all select user_id, null, null, 0, count(*) from a where late group by user_id""")
+def st4_adaptive(spark, d):
+    """The events as a stream of three files; some of the first third's come days late, in the second file, and are dropped."""
+    from gleaner.streaming import streams
+
+    events = read(spark, d, "events").select("event_id", "user_id", C("ts").cast("timestamp").alias("ts"))
+    t = F.unix_micros("ts")
+    lo, hi = events.agg(F.min(t), F.max(t)).first()
+    third = (hi - lo) // 3
+    late = (C("event_id") % 50 == 0) & (t < lo + third - 172_800_000_000)
+    turn = F.when(late, 1).otherwise(F.least(F.floor((t - lo) / third), F.lit(2)))
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    # A row of no user, a year on, lets the watermark pass all others.
+    end = events.limit(1).select(C("event_id"), F.lit(-1).cast("long").alias("user_id"), F.timestamp_micros(F.lit(hi + 31_536_000_000_000)).alias("ts"))
+    for k in range(3):
+        part = events.where(turn == k)
+        (part if k < 2 else part.unionByName(end)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    limits = events.select("user_id").distinct().withColumn("seconds", (C("user_id") % 4 + 2) * 3600)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    out = streams.adaptive_episodes(stream, materialize(limits), time="ts", by="user_id", delay="1 hour")
+    with streams.timed_state(spark):
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out").select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "n", "late")
+
+
 @query("st5_pending", "select event_id from events where user_id not in (select distinct user_id from events where event_type = 'purchase' and user_id % 2 = 0)")
 def st5(spark, d):
     from gleaner.streaming.streams import pending
