@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -36,7 +38,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 #: Rows that go to a Python worker at once while a step is written: whole texts are large, and both sides hold them.
-ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
+
+
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the machine; workers live on from step to step."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, shuffle_partitions, table
+from gleaner.llm.common import materialize, shuffle_partitions, table, trim
 from gleaner.llm.hashing import mix, prefix_sums, stretch_hashes, window_minima
 from gleaner.llm.passages import BATCH_BYTES, text_batches
 
@@ -260,8 +260,10 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
                 if width >= BATCH_BYTES:
                     yield rows
                     rows, width = [], 0
+                    trim()
     if rows:
         yield rows
+    trim()
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

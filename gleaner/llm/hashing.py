@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes hashed at a time; longer stretches without white space are taken whole.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: The longest table of powers that is kept.
+KEPT = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(64).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -22,7 +24,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, PIECE) + 1, base, dtype=np.uint64)
         steps[0] = 1
         known = np.multiply.accumulate(steps)
-        if n <= 4 * PIECE:
+        if n <= KEPT:
             _powers[base] = known
     return known
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import discard, holding, materialize, table
+from gleaner.llm.common import discard, holding, materialize, table, trim
 from gleaner.llm.components import connected_components
 from gleaner.llm.hashing import mix, window_hashes, word_hashes
 from gleaner.llm.passages import text_batches
@@ -32,7 +32,7 @@ from gleaner.llm.passages import text_batches
 GROUPS_FOR_EACH = 8
 LEAST_GROUPS, MOST_GROUPS = 16, 4096
 #: Points in a leaf of the R-tree, children of an inner node, and points of a block.
-LEAF, FANOUT, BLOCK = 32, 8, 2048
+LEAF, FANOUT, BLOCK = 32, 8, 1024
 #: Rounds in which one member of every bucket is compared with the others, before the R-tree takes the rest.
 STAR_ROUNDS = 2
 #: Shingles are counted and ordered by their number of documents if their hash is in the lowest part of all hashes, of
@@ -40,6 +40,8 @@ STAR_ROUNDS = 2
 COUNTED_SHARE = 1.5
 #: Pairs that a task knows to have met before in another bucket.
 KNOWN = 1 << 17
+#: Bytes of text that are shingled at a time.
+TEXTS = 1 << 20
 #: Members of a star that meet its centre in one place.
 STAR = 64
 
@@ -161,7 +163,7 @@ def _signatures(rows: DataFrame, *, width: int) -> DataFrame:
     """(doc_id, text_key, n, sid) of every row: set size and hash of the set (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in text_batches(batches, 2):
+        for some in text_batches(batches, 2, TEXTS):
             sets = shingle_sets([r[2] for r in some], width)
             columns = [[r[0] for r in some], [r[1] for r in some], [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "text_key", "n", "sid"])
@@ -174,7 +176,7 @@ def _sets(rows: DataFrame, *, width: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task: copies elsewhere are told apart below
-        for some in text_batches(batches, 1):
+        for some in text_batches(batches, 1, TEXTS):
             some = [r for r in some if not (r[0] in seen or seen.add(r[0]))]
             sets = [(r[0], s, keys_of(s, num, den)) for r, s in zip(some, shingle_sets([r[1] for r in some], width)) if len(s)]
             columns = [
@@ -235,7 +237,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, *, width: int,
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for some in text_batches(batches, 1):
+        for some in text_batches(batches, 1, TEXTS):
             some = [r for r in some if not (r[0] in seen or seen.add(r[0]))]
             found = [s for s in shingle_sets([r[1] for r in some], width) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "shingles"])
@@ -258,6 +260,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, *, width: int,
                 both = len(np.intersect1d(centre, own, assume_unique=True)) if b is not None else 0
                 good.append(b is not None and den * both >= num * (len(centre) + len(own) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            trim()
 
     links = materialize(ordered.select("a", "cut", "b", "shingles").mapInArrow(link, "a long, b long"), "links")
     discard(wanted, held)
@@ -315,6 +318,7 @@ def _tree_pairs(placed: DataFrame, sets: DataFrame, *, likeliest: bool, num: int
                     yield pairs()
                     unit = []
                 unit.append(row)
+            trim()
         yield pairs()
 
     return rows.mapInArrow(run, "a long, b long").distinct()

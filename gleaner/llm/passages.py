@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, table, total_bytes, with_ids
+from gleaner.llm.common import materialize, table, total_bytes, trim, with_ids
 from gleaner.llm.hashing import window_hashes, word_hashes
 
 #: Bytes of text in a batch, and for each bucket of hashes.
@@ -41,8 +41,8 @@ def _split(bucket: pa.Table) -> tuple[pa.Table, pa.Table]:
     return bucket.filter(asks), bucket.filter(pc.invert(asks)).select(["c", "d"])
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[tuple]]:
-    """Rows as tuples, the text as UTF-8, gathered to about BATCH_BYTES."""
+def text_batches(batches: Iterator[pa.RecordBatch], text: int, size: int = BATCH_BYTES) -> Iterator[list[tuple]]:
+    """Rows as tuples, the text as UTF-8, gathered to about ``size`` bytes."""
     rows: list[tuple] = []
     width = 0
     for batch in batches:
@@ -52,11 +52,13 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[
                 raw = (row[text] or "").encode("utf-8", "surrogatepass")
                 rows.append((*row[:text], raw, *row[text + 1 :]))
                 width += len(raw)
-                if width >= BATCH_BYTES:
+                if width >= size:
                     yield rows
                     rows, width = [], 0
+                    trim()
     if rows:
         yield rows
+    trim()
 
 
 def _record(columns: list[tuple]) -> pa.RecordBatch:
