@@ -265,6 +265,13 @@ def confirm_pair(p: dict[str, Column]) -> Column:
     return out
 
 
+def pair_confidence(p: dict[str, Column]) -> Column:
+    """How sure a confirmed pair is: 1 for equal content, else the better of its signature and its vectors, .75 at least;
+    null for a pair that isn't confirmed."""
+    near = F.greatest(F.lit(0.75), 1 - F.coalesce(p["phash"], F.lit(16)) / 16.0, F.least(F.lit(0.99), F.coalesce(p["cos"], F.lit(0.0))))
+    return F.when(confirm_pair(p), F.when(F.coalesce(p["same_hash"], F.lit(False)), F.lit(1.0)).otherwise(near))
+
+
 def explain_pair(p: dict[str, Column]) -> Column:
     """Generator: one row for each of the ``pair_rules`` that a pair satisfies."""
     return F.explode(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in pair_rules(p)])))

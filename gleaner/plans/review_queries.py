@@ -71,6 +71,11 @@ def f20(spark, d):
     )
 
 
+@query("f20_pair_confidence", f"{_BLEND}, {_evidence_sql('p', 'vec_id, dt, burst')} select vec_id, round(case when {_CONFIRM} then case when same then 1.0 else greatest(0.75, 1 - ph / 16.0::double, least(0.99, cos)) end end, 6) as confidence from ev")
+def f20_confidence(spark, d):
+    return blended(spark, d).select("vec_id", r6(X.pair_confidence(_evidence(C("vec_id") % 40, C("vec_id") % 9 == 0)), "confidence"))
+
+
 @query("u6_explain_pair", f"{_BLEND}, {_evidence_sql('p', 'vec_id, dt, burst')} " + " union all ".join(f"select vec_id, '{name}' as rule from ev where {rule}" for name, rule in _RULES.items()))
 def u6(spark, d):
     return blended(spark, d).select("vec_id", X.explain_pair(_evidence(C("vec_id") % 40, C("vec_id") % 9 == 0)).alias("rule"))

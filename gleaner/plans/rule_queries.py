@@ -71,6 +71,95 @@ def r6q(spark, d):
     return read(spark, d, "lineitem").select(*LINE, F.array_join(R.flags([(n, F.expr(c)) for n, c in _FLAGS]), ",").alias("flags"))
 
 
+#: Figures of an item, as expressions of an order line that both engines read; some are unknown.
+_FIGURES = {
+    "sharpness_rank": "l_discount * 10", "contrast_rank": "l_tax * 12", "overall_rank": "(l_quantity - 1) / 49.0", "laplacian": "l_quantity / 60000.0", "gradient": "l_tax / 200.0", "black": "l_tax * 7", "white": "l_tax * 6",
+    "p05": "1 - l_discount * 5", "p95": "l_discount * 5", "spread": "l_discount", "range": "l_tax * 6", "subject_laplacian": "case when l_linenumber % 3 = 0 then l_quantity / 50000.0 end", "subject_gradient": "case when l_linenumber % 3 = 0 then l_tax / 160.0 end",
+    "subject_coherence": "case when l_linenumber % 2 = 0 then l_discount * 8 end", "subject_black": "case when l_linenumber % 4 = 0 then l_tax * 8 end", "subject_white": "case when l_linenumber = 5 then l_tax * 9 end", "subject_p05": "case when l_linenumber >= 4 then 1 - l_discount * 6 end",
+    "subject_p95": "case when l_linenumber >= 4 then l_discount * 6 end", "faces": "l_linenumber % 2", "face_quality": "case when l_linenumber < 6 then l_tax * 10 end", "tilt": "l_quantity - 25", "tilt_support": "l_discount * 5", "boundary": "l_discount * 10",
+    "boundary_source": "case when l_linenumber > 3 then 'faces' else 'mask' end", "quality": "case when l_linenumber <> 2 then l_quantity / 50.0 end", "mean": "l_discount * 9", "favorite": "l_linenumber = 7", "edited": "l_linestatus = 'F'",
+    "member": "l_returnflag <> 'N'", "leader": "l_linenumber = 1", "exact": "l_tax < 0.03", "margin": "l_discount * 3",
+}
+_BLUR = "(coalesce(subject_laplacian, laplacian) < 0.0004 and coalesce(subject_gradient, gradient) < 0.00025)"
+_TWELVE = [
+    ("relative_low_sharpness", "sharpness_rank <= 0.10"), ("possible_blur", _BLUR), ("motion_blur", f"{_BLUR} and subject_coherence >= 0.45"), ("defocus_blur", f"{_BLUR} and coalesce(subject_coherence < 0.45, true) and subject_laplacian is not null"),
+    ("underexposed", "case when subject_black is not null and subject_p95 is not null then subject_black >= 0.35 and subject_p95 <= 0.35 else black >= 0.35 and p95 <= 0.35 end"),
+    ("overexposed", "case when subject_white is not null and subject_p05 is not null then subject_white >= 0.35 and subject_p05 >= 0.65 else white >= 0.35 and p05 >= 0.65 end"),
+    ("relative_low_contrast", "contrast_rank <= 0.08"), ("low_contrast", "spread < 0.06 and range < 0.25"), ("low_overall", "overall_rank <= 0.05"), ("poor_face_capture", "faces > 0 and face_quality <= 0.20"),
+    ("extreme_horizon", "abs(tilt) >= 12 and tilt_support >= 0.25"), ("blocked_subject", "boundary_source = 'faces' and boundary >= 0.6"),
+]
+_ITEMS = f"with i as (select l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, {', '.join(f'{e} as {name}' for name, e in _FIGURES.items())} from lineitem), f as (select *, list_filter([{', '.join(f'case when {c} then {chr(39)}{n}{chr(39)} end' for n, c in _TWELVE)}], lambda x: x is not null) as raised from i)"
+
+
+def items(spark, d):
+    """Order lines with figures and their flags."""
+    rows = read(spark, d, "lineitem").select(*LINE, "l_quantity", "l_discount", "l_tax", *(F.expr(e).alias(name) for name, e in _FIGURES.items()))
+    return rows.withColumn("raised", R.metric_flags({name: C(name) for name in _FIGURES}))
+
+
+@query("r6_twelve_flags", f"{_ITEMS} select l_orderkey, l_linenumber, array_to_string(raised, ',') as flags from f")
+def r6_all(spark, d):
+    return items(spark, d).select(*LINE, F.array_join("raised", ",").alias("flags"))
+
+
+_HAS = lambda *names: f"len(list_intersect(raised, [{', '.join(repr(n) for n in names)}])) > 0"
+
+
+@query("r11_fallback_selection", f"""{_ITEMS}, p as (select *, coalesce(round_even(quality * 100, 0), 50) as q from f),
+s as (select *, coalesce(round_even(sharpness_rank * 100, 0), q) as sharp, coalesce(round_even(contrast_rank * 100, 0), q) as contrast, coalesce(round_even(overall_rank * 100, 0), q) as overall, greatest(0, round_even(100 - abs(mean - 0.5) * 180, 0)) as exposure,
+ case when {_HAS("possible_blur")} then 18 else 0 end + case when {_HAS("underexposed", "overexposed")} then 18 else 0 end + case when {_HAS("low_contrast")} then 12 else 0 end + case when member and not leader then case when exact then 55 else 28 end else 0 end as penalty,
+ case when favorite then 10 else 0 end + case when edited then 6 else 0 end + case when member and leader then 8 else 0 end + coalesce(round_even(face_quality * 8, 0), 0) as bonus,
+ case when member and leader then 100 when member then greatest(0, round_even(75 - margin * 100, 0)) else 0 end as series_rank from p)
+select l_orderkey, l_linenumber, least(greatest(round_even(q * 0.35 + sharp * 0.25 + contrast * 0.12 + exposure * 0.18 + overall * 0.10 + bonus - penalty, 0), 0), 100)::double as score, exposure::double as exposure, bonus::double as bonus, penalty::double as penalty, series_rank::double as series_rank from s""")
+def r11_full(spark, d):
+    s = R.fallback_score({name: C(name) for name in _FIGURES}, C("raised"), member=C("member"), leader=C("leader"), exact=C("exact"), margin=C("margin"))
+    return items(spark, d).withColumn("s", s).select(*LINE, *(C(f"s.{c}") for c in ("score", "exposure", "bonus", "penalty", "series_rank")))
+
+
+@query("r14_automatic_culling", f"""{_ITEMS}, g as (select *, case when l_linenumber = 7 then list_append(raised, 'favorite_protected') else raised end as every from f)
+select l_orderkey, l_linenumber, case when list_contains(every, 'favorite_protected') then 'keep:protected_or_uncertain' when member and leader then 'keep:series_representative' when l_quantity > 45 then 'reject:confirmed_duplicate_or_defect'
+ when member and not leader and l_linenumber <> 3 and 1 - l_tax >= 0.92 then 'reject:redundant_frame' when {_HAS("motion_blur", "defocus_blur")} then 'reject:visible_blur_candidate'
+ when {_HAS("underexposed", "overexposed")} and list_contains(raised, 'low_contrast') then 'reject:exposure_detail_loss' else 'keep:no_clear_removal_reason' end as state from g""")
+def r14_full(spark, d):
+    every = F.when(C("l_linenumber") == 7, F.array_append("raised", "favorite_protected")).otherwise(C("raised"))
+    s = R.automatic_culling(raised=every, disposition=F.when(C("l_quantity") > 45, "reject").otherwise("keep"), member=C("member"), leader=C("leader"), recommended=C("l_linenumber") == 3, confidence=1 - C("l_tax"))
+    return items(spark, d).select(*LINE, F.concat_ws(":", s["category"], s["reason"]).alias("state"))
+
+
+_PARTS = {"generic": "l_quantity * 2", "composition": "l_discount * 1000", "content": "l_tax * 1250", "moment": "l_linenumber * 14"}
+_STRONG = {"strong_aesthetics": "generic", "strong_composition": "composition", "interesting_subject": "content", "strong_moment": "moment"}
+_IN = lambda names: ", ".join(f"case when list_contains(raised, '{n}') then '{n}' end" for n in names)
+_TOLD = f"""{_ITEMS}, q as (select *, {', '.join(f'({e})::double as {name}' for name, e in _PARTS.items())}, l_quantity - 25 as delta from f),
+t as (select *, list_filter(list_concat([case when delta >= 2 then 'personal_taste_match' end, case when member and leader then 'best_in_series' end], list_concat(list_transform(list_sort([{', '.join(f"{{'v': -{p}, 'k': {k}, 'n': '{name}'}}" for k, (name, p) in enumerate(_STRONG.items()))}]), lambda x: case when x.v <= -60 then x.n end),
+ [case when l_linenumber = 6 then 'utility_image' end, case when {_HAS(*R.DEFECTS)} then 'technical_penalty' end])), lambda x: x is not null)[1:3] as found from q), u as (select *, case when len(found) > 0 then found else ['neutral_baseline'] end as told from t)"""
+
+
+def told(spark, d):
+    """The items with the parts of their score and its reasons."""
+    rows = items(spark, d).withColumns({**{name: F.expr(e).cast("double") for name, e in _PARTS.items()}, "delta": C("l_quantity") - 25})
+    defect = F.arrays_overlap("raised", F.array(*map(F.lit, R.DEFECTS)))
+    return rows.withColumn("told", R.score_reasons(delta=C("delta"), led=C("member") & C("leader"), parts={name: C(p) for name, p in _STRONG.items()}, utility=C("l_linenumber") == 6, penalty=F.when(defect, 12).otherwise(0)))
+
+
+@query("r5_score_reasons", f"{_TOLD} select l_orderkey, l_linenumber, array_to_string(told, ',') as reasons from u")
+def r5_full(spark, d):
+    return told(spark, d).select(*LINE, F.array_join("told", ",").alias("reasons"))
+
+
+@query("r10_decision_reasons", f"""{_TOLD}, w as (select *, case when l_linenumber = 4 then 'defect_review_required' when l_linenumber = 5 then 'model_defect' end as first_code, l_linenumber <> 3 as scored, l_quantity > 12 as keep from u),
+k as (select *, case when first_code = 'defect_review_required' then list_concat([first_code], [{_IN([*R.DEFECTS, 'poor_face_capture'])}])
+ else list_concat([first_code, case when member and leader then 'best_in_series' end], case when scored then list_filter(told, lambda x: x in ('strong_aesthetics', 'strong_composition', 'interesting_subject', 'strong_moment', 'personal_taste_match', 'adds_variety')) else [] end) end as good,
+ list_concat([first_code, {_IN(["possible_blur", "underexposed", "overexposed", "low_contrast", "low_overall", "poor_face_capture", "extreme_horizon", "bad_angle", "blocked_subject"])}], [case when member and not leader then 'weaker_duplicate' end,
+ case when scored and nullif(generic, 0) < 50 then 'weak_aesthetics' end, case when scored and nullif(composition, 0) < 50 then 'weak_composition' end, case when scored and nullif(content, 0) < 50 then 'weak_subject' end, case when scored and nullif(moment, 0) < 50 then 'weak_moment' end,
+ case when scored and delta <= -2 then 'personal_taste_mismatch' end, case when scored and {_HAS(*R.DEFECTS)} then 'technical_penalty' end, 'below_album_cutoff']) as bad from w),
+c as (select *, list_filter(good, lambda x: x is not null) as g, list_filter(bad, lambda x: x is not null) as b from k)
+select l_orderkey, l_linenumber, array_to_string(case when keep then case when len(g) > 0 then g[1:3] else ['above_album_cutoff'] end else b[1:3] end, ',') as reasons from c""")
+def r10_full(spark, d):
+    leading = F.when(C("l_linenumber") == 4, "defect_review_required").when(C("l_linenumber") == 5, "model_defect")
+    own = R.decision_reasons(disposition=F.when(C("l_quantity") > 12, "keep").otherwise("reject"), leading=leading, raised=C("raised"), member=C("member"), leader=C("leader"), told=C("told"), parts={p: C(p) for p in _PARTS}, delta=C("delta"), scored=C("l_linenumber") != 3)
+    return told(spark, d).select(*LINE, F.array_join(own, ",").alias("reasons"))
+
+
 @query("r7_bad_near_duplicate", "select l_orderkey, l_linenumber, l_returnflag in ('N') and 1 - l_discount >= 0.92 and l_linenumber <= 15 and l_tax >= 0.03 and l_quantity < 25 and l_discount <= 0.12 as bad from lineitem")
 def r7(spark, d):
     bad = R.bad_near_duplicate(F.when(C("l_returnflag") == "N", "near"), 1 - C("l_discount"), C("l_linenumber"), C("l_tax") * 4, C("l_quantity") < 25, C("l_discount"), F.lit(9), F.lit(9), F.lit(0.0))
