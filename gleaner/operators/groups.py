@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +107,15 @@ def exact_groups(df: DataFrame, *, key: str, content: Column, order: Column, by:
     return grouped.agg(F.max_by(key, order).alias("leader"), F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("members")).where("n >= 2")
 
 
+def exact_members(df: DataFrame, *, key: str, content: Column, order: Column, by: list[str] | None = None) -> DataFrame:
+    """(by, content, key, leader, n): one row for each member of a bucket of equal content with two members or more. No list
+    of members is made, so a bucket may hold nearly all rows."""
+    by = by or []
+    rows = df.withColumn("content", content).where("content is not null")
+    own = rows.groupBy(F.struct(*by, "content").alias("_own")).agg(F.max_by(key, order).alias("leader"), F.count("*").alias("n")).where("n >= 2")
+    return rows.withColumn("_own", F.struct(*by, "content")).join(own, "_own").select(*by, "content", key, "leader", "n")
+
+
 def group_context(df: DataFrame, *, key: str, by: list[str], quality: str, leader: str) -> DataFrame:
     """Members beside their leader: group size, quality margin and the share of the leader's quality."""
     lead = df.where(F.col(leader)).groupBy(*by).agg(F.min(F.struct(key, quality)).alias("lead"))
@@ -134,29 +140,33 @@ def group_batches(df: DataFrame, *, group: str, limit: int, by: list[str]) -> Da
     """(by, group, piece, n, batch): groups packed in order into batches of at most ``limit`` rows; a group stays whole
     but for one over the limit, which is cut into full pieces and a rest.
 
-    A batch closes where the next piece doesn't fit, so pieces are read in order, with the open batch's size as the only
-    state. Rows with a null in ``by`` or ``group`` form partitions and groups of their own.
+    A batch closes where the next piece doesn't fit. Where the batch that begins at a piece would end is looked up for all
+    pieces at once, in buckets of running sums that hold ``limit`` pieces at most; which pieces do begin a batch follows by
+    doubled jumps from the first one, so a partition of all rows takes as many rounds as its number of batches has digits.
+    Rows with a null in ``by`` or ``group`` form partitions and groups of their own.
     """
+    from gleaner.operators.segmented import ranged, scan
+
     sizes = df.groupBy(*by, group).agg(F.count("*").alias("rows"))
     pieces = sizes.select(*by, group, "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / limit))).alias("piece"))
     pieces = pieces.select(*by, group, "piece", F.least(F.lit(limit).cast("long"), F.col("rows") - F.col("piece") * limit).alias("n"))
-    ordered = pieces.repartition(*by).sortWithinPartitions(*by, group, "piece")
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, fill, batch = None, 0, 0
-        for part in batches:
-            places = []
-            for *key, n in part[[*by, "n"]].astype(object).where(part[[*by, "n"]].notna(), None).itertuples(index=False):
-                if key != own:
-                    own, fill, batch = key, 0, 0
-                if fill + n > limit:
-                    fill, batch = 0, batch + 1
-                fill += n
-                places.append(batch)
-            yield part.assign(batch=places)
-
-    kinds = dict(pieces.dtypes)
-    return ordered.mapInPandas(pack, ", ".join(f"{c} {kinds[c]}" for c in [*by, group, "piece", "n"]) + ", batch long")
+    order = [group, "piece"]
+    rows = materialize(scan(ranged(pieces, by=by, order=order), order=order, sums={"upto": F.col("n")}, number="at"))
+    # The first piece that ends more than the limit after the beginning of this one.
+    ends = rows.select("_by", F.floor((F.col("upto") - 1) / limit).alias("bucket"), F.col("at").alias("to"), F.col("upto").alias("end"))
+    wanted = rows.withColumn("start", F.col("upto") - F.col("n"))
+    wanted = wanted.select("_by", "at", "start", F.explode(F.array(F.floor(F.col("start") / limit) + 1, F.floor(F.col("start") / limit) + 2)).alias("bucket"))
+    met = wanted.join(ends, ["_by", "bucket"]).where(F.col("end") > F.col("start") + limit)
+    jump = materialize(met.groupBy("_by", "at").agg(F.min("to").alias("to")))
+    begins = materialize(rows.where("at = 1").select("_by", "at"))
+    while jump.head(1):
+        more = begins.join(jump, ["_by", "at"]).select("_by", F.col("to").alias("at"))
+        begins = materialize(begins.unionByName(more).distinct())
+        on = jump.select("_by", F.col("at").alias("to"), F.col("to").alias("further"))
+        jump = materialize(jump.join(on, ["_by", "to"]).select("_by", "at", F.col("further").alias("to")))
+    marked = rows.join(begins.withColumn("begins", F.lit(1)), ["_by", "at"], "left").select(*by, group, "piece", "n", "_by", "_range", F.coalesce("begins", F.lit(0)).alias("begins"))
+    counted = scan(marked, order=order, sums={"batch": F.col("begins")})
+    return counted.select(*by, group, "piece", "n", (F.col("batch") - 1).cast("long").alias("batch"))
 
 
 def external_leaders(df: DataFrame, *, by: list[str], key: str, rank: str, confidence: str, least: float = 0.75) -> DataFrame:

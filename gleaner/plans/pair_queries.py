@@ -167,6 +167,12 @@ def g3(spark, d):
     return out.select("content", "leader", "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
+@query("g3_exact_members", """
+with x as (select sha256(text) as content, max(doc_id) as leader, count(*) as n from documents group by 1 having count(*) >= 2) select content, doc_id, leader, n from documents join x on sha256(text) = content""")
+def g3_members(spark, d):
+    return G.exact_members(read(spark, d, "documents"), key="doc_id", content=F.sha2(F.col("text").cast("binary"), 256), order=F.struct("doc_id"))
+
+
 @query("g4_choose_leader", "select l_orderkey, arg_max(l_linenumber, (l_quantity, l_extendedprice, -l_linenumber)) as leader from lineitem group by 1")
 def g4(spark, d):
     return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_quantity", "l_extendedprice", -F.col("l_linenumber"))).alias("leader"))
@@ -274,6 +280,14 @@ def j20(spark, d):
     return J.preference_products(rows, by=["source"], key="doc_id", label="quality")
 
 
+@query("j20_round_preferences", """
+with r as (select l.doc_id, quality, source, l.doc_id // 100 as round from labels l join documents using (doc_id)) select a.source, a.round, a.doc_id as preferred, b.doc_id as other from r a join r b on a.source = b.source and a.round = b.round and a.quality = 1 and b.quality = 0""")
+def j20_rounds(spark, d):
+    """The chosen and the rejected of a round of a hundred documents, as reviewers see them."""
+    rows = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("round", F.floor(F.col("doc_id") / 100))
+    return J.preference_products(rows, by=["source", "round"], key="doc_id", label="quality")
+
+
 @query("w20_ranked_subset", f"""with recursive {_SCENE}, c as (select scene, count(*) as n, ceil(sqrt(count(*)))::bigint as budget, list(vec_id order by p) as ids, list((vec_id % 11) / 10.0::double order by p) as rk, list(sim order by p) as sim from m group by 1),
 f as (select *, list_max(list_transform(range(1, n + 1), lambda i: {{'r': rk[i], 'k': i}})).k as first from c),
 s(scene, place, chosen, most) as (select scene, 1::bigint, [first], sim[first] from f union all

@@ -101,6 +101,49 @@ def s12(spark, d):
     return S.import_rows(spark, rows.where("vec_id % 3 = 0"), path, key=["vec_id"], known=rows, known_key="vec_id")
 
 
+@query("s12_corpus_import", """
+with b as (select doc_id as id, 'd' || doc_id as key from documents where doc_id % 3 <> 0), x as (select 'd' || doc_id as key from documents where doc_id % 2 = 0), m as (select max(id) as last from b),
+n as (select (select last from m) + row_number() over (order by key) as id, key from x where key not in (select key from b)), a as (select * from b union all select * from n),
+l as (select doc_id, quality from labels), q as (select min(id) as id, lo, hi from (select doc_id as id, doc_id as lo, doc_id + 3 as hi from documents where doc_id % 3 <> 0 and doc_id % 5 = 0 and doc_id + 3 in (select doc_id from documents)) group by lo, hi),
+p as (select least(u.id, v.id) as lo, greatest(u.id, v.id) as hi from documents d join a u on u.key = 'd' || d.doc_id join a v on v.key = 'd' || (d.doc_id + 2) where d.doc_id % 2 = 0 and d.doc_id % 3 = 0 and d.doc_id + 2 in (select doc_id from documents)),
+w as (select coalesce((select max(id) from q), 0) + row_number() over (order by lo, hi) as id, lo, hi from p where (lo, hi) not in (select lo, hi from q))
+select 'items' as kind, id, key as text, null::double as value from a
+union all select 'labels', a.id, a.key, quality::double from l join a on a.key = 'd' || l.doc_id where l.doc_id % 3 <> 0 or l.doc_id % 2 = 0
+union all select 'pairs', id, lo || '|' || hi, null from (select * from q union all select * from w)""")
+def s12_import(spark, d):
+    """A corpus of two thirds of the documents takes in an exported one of every second document, under ids of its own."""
+    from gleaner.sources import corpus as K
+
+    docs = read(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), C("doc_id").cast("string")).alias("key"))
+    quality = read(spark, d, "labels").select("doc_id", C("quality").cast("double").alias("value"))
+
+    def corpus(own, ids, step, every):
+        """The documents ``own`` as a corpus with ``ids``, and pairs of each ``every``-th of a third with the one ``step`` further."""
+        there = docs.where(own).withColumn("id", ids)
+        far = docs.select((C("doc_id") - step).alias("doc_id")).join(docs.where(own).select((C("doc_id") - step).alias("doc_id")), "doc_id")
+        pairs = docs.where(own & every).join(far, "doc_id").select(ids.alias("id"), ids.alias("left_id"))
+        shift = docs.where(own & every).join(far, "doc_id").select(ids.alias("left_id"), F.expr(step_sql(ids_sql[step], step)).alias("right_id"))
+        pairs = pairs.join(shift, "left_id").select("id", "left_id", "right_id", C("left_id").alias("preferred_id"))
+        return {
+            "items": there.select("id", "key", F.lit("calibration").alias("split")), "vectors": there.select(C("id").alias("item_id"), F.lit("v1").alias("space"), F.lit(2).alias("size"), F.unhex(F.lit("0000803f00000040")).alias("data")),
+            "labels": there.join(quality, "doc_id").select(C("id").alias("item_id"), F.lit("quality").alias("name"), "value"), "pairs": pairs,
+            "rounds": pairs.select("id", F.concat(F.lit("r"), C("left_id").cast("string")).alias("key"), C("id").alias("pair_id")),
+        }
+
+    ids_sql = {3: "doc_id", 2: "doc_id * 10 + 7"}
+    step_sql = lambda e, step: e.replace("doc_id", f"(doc_id + {step})")
+    base = corpus(C("doc_id") % 3 != 0, F.expr(ids_sql[3]), 3, C("doc_id") % 5 == 0)
+    other = corpus(C("doc_id") % 2 == 0, F.expr(ids_sql[2]), 2, C("doc_id") % 3 == 0)
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    K.export_corpus(other, path)
+    merged, _ = K.import_corpus(base, K.read_corpus(spark, path))
+    items, none = merged["items"], F.lit(None).cast("double")
+    labels = merged["labels"].join(items.select(C("id").alias("item_id"), "key"), "item_id")
+    out = items.select(F.lit("items").alias("kind"), "id", C("key").alias("text"), none.alias("value")).unionByName(labels.select(F.lit("labels").alias("kind"), C("item_id").alias("id"), C("key").alias("text"), "value"))
+    ends = F.concat_ws("|", F.least("left_id", "right_id").cast("string"), F.greatest("left_id", "right_id").cast("string"))
+    return out.unionByName(merged["pairs"].select(F.lit("pairs").alias("kind"), "id", ends.alias("text"), none.alias("value")))
+
+
 @query("s13_export_scores", "select doc_id, quality::double as score, 'labels' as engine, '1' as version from labels")
 def s13(spark, d):
     return S.export_scores(read(spark, d, "labels"), key="doc_id", score="quality", engine="labels", version="1")
