@@ -17,7 +17,7 @@ C = F.col
 
 def curate(lines: DataFrame) -> DataFrame:
     """Scores, thresholds and decisions of order lines, computed before and again after demoting all but the best three of a series."""
-    ranked = W.normalize_metrics(lines, ["l_quantity", "l_extendedprice"], by=["l_orderkey"], quality_of=["l_quantity", "l_extendedprice"])
+    ranked = W.normalize_metrics(lines, ["l_quantity", "l_extendedprice"], by=["l_orderkey"], quality_of=["l_quantity", "l_extendedprice"], bounded=True)
     parts = {"generic": C("quality") * 100, "content": C("l_discount") * 1000, "moment": C("l_tax") * 1000}
     scored = ranked.withColumn("score", R.composite_score(parts, penalty=R.technical_penalty(C("l_quantity") < 3, F.lit(False), F.lit(False)), utility=F.lit(False), delta=F.lit(0.0)))
     scored = materialize(scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "score"))  # read again for both thresholds
