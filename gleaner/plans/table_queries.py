@@ -259,7 +259,8 @@ def u7(spark, d):
     return whole.join(held, "event_type").select("event_type", "n", F.round("total", 4).alias("total"), "least", "most", "median_holds", "users_hold")
 
 
-@query("p11_cards")
+@query("p11_cards", """
+select o_orderkey, to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus, 'o_orderdate': strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g'), 'o_orderpriority': o_orderpriority})::varchar as card from orders""")
 def p11(spark, d):
     return T.card(read(spark, d, "orders"), key="o_orderkey", heavy=["o_totalprice"])
 
