@@ -17,14 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, table
+from gleaner.llm.common import materialize, table, trim
 from gleaner.llm.hashing import prefix_sums, stretch_hashes
 from gleaner.llm.passages import text_batches
 
 #: Partition offsets of 16 bytes are broadcast up to this number; beyond it Spark chooses the join.
 BROADCAST_PARTS = 1_000_000
 #: Characters of plain text that are tokenised at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Latin letters whose lower case is one letter that no normal form changes, ASCII and common white space.
 PLAIN = re.compile(r"[\t\n\r\x20-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
 #: Class of each byte of such a text in lower case: white space, letter, digit or mark. The vocabulary splits between
@@ -47,7 +47,7 @@ class WordEncoder:
     Other texts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -161,6 +161,8 @@ def tokenize(docs: DataFrame, *, tokenizer: str, end_id: int = 2, id_col: str =
             start += int(sizes.sum())
             columns = [pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(begins), pa.array(sizes), pa.array([k for k, _ in some], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "local_start", "n_tokens", "doc_id", "ids"])
+        del encoder
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "part int, local_start long, n_tokens long, doc_id long, ids binary"
@@ -171,7 +173,8 @@ def pack(tokens: DataFrame, *, window: int = 4096) -> DataFrame:
     """Cut :func:`tokenize`'s documents, laid end to end, into windows.
 
     One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary). Every id lies in exactly
-    one piece, every window but the last is full, and a document of any length is cut as often as needed.
+    one piece, every window but the last is full, and a document of any length is cut as often as needed. Whole texts' ids
+    don't go through Python again.
     """
     tokens = materialize(tokens, "tokens")
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
@@ -179,23 +182,14 @@ def pack(tokens: DataFrame, *, window: int = 4096) -> DataFrame:
     bases = totals.select("part", F.expr("sum(total) over (order by part rows unbounded preceding) - total").alias("base"))
     bases = F.broadcast(bases) if totals.count() <= BROADCAST_PARTS else bases
     placed = tokens.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("begin"), "n_tokens", "ids")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, begin, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                at = 0
-                while at < n:
-                    sequence, offset = divmod(begin + at, window)
-                    length = min(window - offset, n - at)
-                    rows.append((doc, at, length, n, sequence, offset, ids[4 * at : 4 * (at + length)]))
-                    at += length
-            if rows:
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names)
-
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    cut = placed.withColumn("sequence_id", F.explode(F.expr(f"sequence(begin div {window}, (begin + n_tokens - 1) div {window})")))
+    first = F.greatest(F.col("begin"), F.col("sequence_id") * window)
+    length = F.least(F.col("begin") + F.col("n_tokens"), (F.col("sequence_id") + 1) * window) - first
+    start = first - F.col("begin")
+    ids = F.substring(F.col("ids"), (4 * start + 1).cast("int"), (4 * length).cast("int"))
+    return cut.select(
+        "doc_id", start.alias("start"), length.alias("length"), F.col("n_tokens").alias("doc_tokens"), "sequence_id", (first - F.col("sequence_id") * window).alias("offset"), ids.alias("ids")
+    )
 
 
 def sequences(pieces: DataFrame, *, window: int = 4096, pad_id: int = 0) -> DataFrame:

@@ -88,3 +88,14 @@ def test_long_plain_texts_are_cut_between_words(monkeypatch):
     monkeypatch.setattr(packing, "PIECE", 64)
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == whole
     assert "".join(packing.cut_after_spaces(texts[0], 64)) == texts[0] and max(map(len, packing.cut_after_spaces(texts[0], 64))) < 80
+
+
+def test_ids_are_cut_without_python(spark):
+    docs = spark.createDataFrame([(7, "word " * 700), (8, None), (9, "a b"), (9, "a b")], "doc_id long, text string").coalesce(1)
+    tokens = tokenize(docs, tokenizer=tokenizer_path())
+    pieces = pack(tokens, window=64)
+    assert "MapInArrow" not in pieces._jdf.queryExecution().toString()
+    laid = np.frombuffer(b"".join(r.ids for r in tokens.collect()), "<u4")
+    rows = sorted(pieces.collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert b"".join(r.ids for r in rows) == laid.tobytes() and [r.length for r in rows if r.doc_id == 8] == [1]
+    assert all(len(r.ids) == 4 * r.length and (r.start + r.length == r.doc_tokens or r.offset + r.length == 64) for r in rows)
