@@ -4,8 +4,9 @@ Test items are indexed once: every term has a posting list, its BM25 contributio
 largest ones of each block of items. Every passage of every training text is a query. Its terms are taken from the least
 largest contribution up: WAND's pivot is the first at which their sum can reach any threshold, and only blocks in the lists
 from there on can hold an answer. The pivot is found once per passage, for many passages at a time, and not moved along
-the lists. The sum of all terms' block maxima then bounds the score of a block's items; only blocks whose bound reaches
-their lowest threshold are scored. What scores above an item's threshold is retrieved, all of it, and verified: the
+the lists. The block maxima of the terms from the pivot on are summed first; with them and all that the others can add, a
+block stays open or not. The sum of all terms' block maxima then bounds the score of a block's items; only blocks whose
+bound reaches their lowest threshold are scored. What scores above an item's threshold is retrieved, all of it, and verified: the
 passage must hold enough of the question and of the answer.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ BLOCK = 16
 INDEX_TERMS = 1 << 20
 #: Block entries or lookups at a time.
 BATCH = 1 << 20
+#: Block entries that are read in the time of one lookup.
+LOOKUP = 4
 K1, B = 1.2, 0.75
 TERM = re.compile(r"[^\W_]+")
 
@@ -46,8 +50,8 @@ def question_and_answer(terms: list[str]) -> tuple[list[str], list[str]]:
 class Index:
     """Postings as sorted keys term * (places for items) + item, block maxima as sorted keys term * blocks + block.
 
-    ``ends[t]``: where the block entries of term t end; ``tops[t]``: its largest contribution. The term after the last
-    one stands for all that no item holds. ``tokens`` are the items' terms, one item after the other, cut at ``cuts``.
+    ``ends[t]``: where the block entries of term t end; ``begins[e]``: where the postings of block entry e begin;
+    ``tops[t]``: a term's largest contribution. The term after the last one stands for all that no item holds. ``tokens`` are the items' terms, one item after the other, cut at ``cuts``.
     """
 
     items: list[int | None]
@@ -58,6 +62,7 @@ class Index:
     weights: np.ndarray
     entries: np.ndarray
     maxima: np.ndarray
+    begins: np.ndarray
     ends: np.ndarray
     tops: np.ndarray
     thresholds: np.ndarray
@@ -91,33 +96,48 @@ def build_index(items: list[tuple[int | None, list[str]]], frequency: dict[str,
     thresholds[: len(split)] = share * np.bincount(item, weights, len(split))
     return Index(
         [k for k, _ in split], tokens, np.concatenate([[0], np.cumsum(lengths)]), vocabulary, postings, weights, entries, maxima,
-        np.searchsorted(entries, np.arange(1, len(vocabulary) + 2) * blocks), tops, thresholds, thresholds.reshape(blocks, BLOCK).min(axis=1),
+        np.append(first, len(postings)), np.searchsorted(entries, np.arange(1, len(vocabulary) + 2) * blocks), tops, thresholds, thresholds.reshape(blocks, BLOCK).min(axis=1),
     )
 
 
 def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which range, place) of all places of ranges of ``n`` places each."""
     which = np.repeat(np.arange(len(n)), n)
-    return which, np.arange(len(which)) - (np.cumsum(n) - n)[which] + first[which]
+    return which, np.arange(len(which)) + (first - np.cumsum(n) + n)[which]
 
 
-def _score(index: Index, rows: np.ndarray, which: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(row, item, score) of the items of some blocks that reach their thresholds."""
+def _score(index: Index, rows: np.ndarray, first: np.ndarray, n: np.ndarray, leading: np.ndarray, rest: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(row, item, score) of the items that reach their thresholds. ``first``, ``n``: the block entries of each term of
+    the rows; ``leading``: whether it stands from the pivot on; ``rest``: what the terms before it can add."""
     blocks = len(index.lowest)
-    keys = rows[which].astype(np.int64) * blocks + block[:, None]
-    at = np.minimum(np.searchsorted(index.entries, keys), len(index.entries) - 1)
-    bound = np.where(index.entries[at] == keys, index.maxima[at], 0).sum(axis=1, dtype=np.float64)
-    good = bound >= index.lowest[block] * 0.9999
-    which, block = which[good], block[good]
-    if not len(which):
+    lowest = np.tile(index.lowest * 0.9999, len(rows))
+    own, column = np.nonzero(leading)
+    pair, at = _ranges(first[own, column], n[own, column])
+    cell = own[pair] * blocks + index.entries[at] % blocks
+    open_ = np.bincount(cell, index.maxima[at], len(lowest)) + np.repeat(rest, blocks) >= lowest
+    # The lists before the pivot are read where they are short, else looked up for the blocks still open.
+    own, column = np.nonzero(~leading & (n > 0))
+    some = np.flatnonzero(open_)
+    if n[own, column].sum() <= LOOKUP * len(some) * rows.shape[1]:
+        pair, more = _ranges(first[own, column], n[own, column])
+        also = own[pair] * blocks + index.entries[more] % blocks
+        held = open_[also]
+    else:
+        keys = rows[some // blocks].astype(np.int64) * blocks + (some % blocks)[:, None]
+        more = np.minimum(np.searchsorted(index.entries, keys), len(index.entries) - 1)
+        also = np.broadcast_to(some[:, None], keys.shape)
+        held = (index.entries[more] == keys) & ~leading[some // blocks]
+    cell, at = np.concatenate([cell, also[held]]), np.concatenate([at, more[held]])
+    good = open_ & (np.bincount(cell, index.maxima[at], len(lowest)) >= lowest)
+    kept = good[cell]
+    cell, at = cell[kept], at[kept]
+    if not len(at):
         return
-    keys = (rows[which].astype(np.int64) * (blocks * BLOCK) + block[:, None] * BLOCK).ravel()
-    first = np.searchsorted(index.postings, keys)
-    pair, at = _ranges(first, np.searchsorted(index.postings, keys + BLOCK) - first)
-    own = pair // rows.shape[1]
-    scores = np.bincount(own * BLOCK + index.postings[at] % BLOCK, index.weights[at], len(which) * BLOCK).reshape(-1, BLOCK)
-    for k, i in zip(*(x.tolist() for x in np.nonzero(scores >= index.thresholds.reshape(-1, BLOCK)[block] * 0.9999))):
-        yield int(which[k]), int(block[k]) * BLOCK + i, float(scores[k, i])
+    pair, at = _ranges(index.begins[at], index.begins[at + 1] - index.begins[at])
+    place, some = np.cumsum(good) - 1, np.flatnonzero(good)
+    scores = np.bincount(place[cell[pair]] * BLOCK + index.postings[at] % BLOCK, index.weights[at], len(some) * BLOCK).reshape(-1, BLOCK)
+    for k, i in zip(*(x.tolist() for x in np.nonzero(scores >= index.thresholds.reshape(-1, BLOCK)[some % blocks] * 0.9999))):
+        yield int(some[k]) // blocks, int(some[k]) % blocks * BLOCK + i, float(scores[k, i])
 
 
 def retrieve(index: Index, ids: np.ndarray, width: int) -> list[tuple[int, int, float]]:
@@ -126,7 +146,7 @@ def retrieve(index: Index, ids: np.ndarray, width: int) -> list[tuple[int, int,
     out: list[tuple[int, int, float]] = []
     none, blocks, least = len(index.tops) - 1, len(index.lowest), index.lowest.min() * 0.9999
     starts = np.arange(0, max(1, len(ids) - width // 2), width // 2)
-    step = max(1, min(512, BATCH // width))
+    step = max(1, min(512, BATCH // width, BATCH // blocks))
     for k in range(0, len(starts), step):
         own = starts[k : k + step]
         at = own[:, None] + np.arange(width)
@@ -138,20 +158,15 @@ def retrieve(index: Index, ids: np.ndarray, width: int) -> list[tuple[int, int,
             continue
         own, rows = own[able], rows[able]
         rows = np.take_along_axis(rows, np.argsort(index.tops[rows], axis=1), axis=1)[:, -max(1, int((rows != none).sum(axis=1).max())) :]
-        tops = index.tops[rows]
-        which, column = np.nonzero((np.cumsum(tops, axis=1, dtype=np.float64) >= least) & (tops > 0))  # from the pivot on
-        term = rows[which, column]
-        first = np.where(term > 0, index.ends[term - 1], 0)
-        n = index.ends[term] - first
-        turn = np.cumsum(np.bincount(which, n, len(own))) // BATCH  # of each passage, whole ones together
+        summed = np.cumsum(index.tops[rows], axis=1, dtype=np.float64)
+        leading = summed >= least  # from the pivot on
+        rest = np.where(leading, 0, summed).max(axis=1)
+        first = np.where(rows > 0, index.ends[rows - 1], 0)
+        n = index.ends[rows] - first
+        turn = np.cumsum(n.sum(axis=1)) // BATCH  # of each passage, whole ones together
         for t in np.unique(turn):
-            here = turn[which] == t
-            pair, at = _ranges(first[here], n[here])
-            open_ = np.unique(which[here][pair] * blocks + index.entries[at] % blocks)
-            size = max(1, BATCH // rows.shape[1])
-            for j in range(0, len(open_), size):
-                some = open_[j : j + size]
-                out += [(int(own[p]), i, x) for p, i, x in _score(index, rows, some // blocks, some % blocks)]
+            here = np.flatnonzero(turn == t)
+            out += [(int(own[here[p]]), i, x) for p, i, x in _score(index, rows[here], first[here], n[here], leading[here], rest[here])]
     return out
 
 
@@ -204,8 +219,7 @@ def find_leaks(
                     terms = terms_of(text or "")
                     if not terms:
                         continue
-                    get, none = index.vocabulary.get, len(index.vocabulary)
-                    ids = np.fromiter((get(t, none) for t in terms), dtype=np.int64, count=len(terms))
+                    ids = np.array(list(map(index.vocabulary.get, terms, repeat(len(index.vocabulary)))), dtype=np.int64)
                     best: dict[int, tuple] = {}
                     for at, item, score in retrieve(index, ids, width):
                         passage = ids[at : at + width].tolist()

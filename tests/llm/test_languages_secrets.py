@@ -207,3 +207,20 @@ def test_items_in_several_indexes_leak_alike(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(decontamination, "INDEX_TERMS", 500)
     assert rows() == want
+
+
+def test_short_lists_are_read_and_long_ones_looked_up_alike(monkeypatch):
+    rng = random.Random(9)
+    items = [(k, [f"w{min(rng.randrange(1, 900), rng.randrange(1, 900))}" for _ in range(rng.randrange(5, 40))] + ["the"]) for k in range(400)]
+    often = Counter(t for _, terms in items for t in set(terms))
+    index = decontamination.build_index(items, often, count=len(items), mean=sum(len(t) for _, t in items) / len(items), share=0.3)
+    ids = np.array([index.vocabulary.get(t, len(index.vocabulary)) for k in range(300) for t in (*items[k][1], "the", "zzz")])
+    searches, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **b: searches.append(len(a[0])) or search(*a, **b))
+    found, counts = [], []
+    for lookup in (1 << 40, 0):
+        monkeypatch.setattr(decontamination, "LOOKUP", lookup)
+        found.append(decontamination.retrieve(index, ids, 80))
+        counts.append(len(searches))
+    assert found[0] == found[1] and len(found[0]) > 300
+    assert counts[0] == 0 < counts[1]
