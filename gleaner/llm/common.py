@@ -42,6 +42,8 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 #: Rows that go to a Python worker at once while a step is written: whole texts are large, and both sides hold them.
 ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
+#: Shuffle files of a step go as soon as it is written, not when the driver happens to collect their handles.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def trim() -> None:
@@ -54,12 +56,14 @@ def trim() -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path, rows = scratch_dir(spark, name), spark.conf.get(ARROW_ROWS)
+    path, rows, cleanup = scratch_dir(spark, name), spark.conf.get(ARROW_ROWS), spark.conf.get(CLEANUP, "false")
     spark.conf.set(ARROW_ROWS, str(min(int(rows), BATCH_ROWS)))
+    spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, rows)
+        spark.conf.set(CLEANUP, cleanup)
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path

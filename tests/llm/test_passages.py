@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from gleaner.llm import common
 from gleaner.llm.passages import op3_block_anchors, remove_repeats
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,3 +49,12 @@ def test_repeated_rows_are_one_document(spark):
     got = sorted((r.doc_id or 0, r.n_removed or 0) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, 0), (1, 50), (1, 50), (2, 50)]
     assert remove_repeats(spark.createDataFrame(rows[:1], "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark, monkeypatch):
+    held = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    monkeypatch.setattr(common, "release", lambda spark: None)  # the driver's collector may be late
+    before, setting = held(), spark.conf.get(common.CLEANUP)
+    rows = common.materialize(spark.range(1000, numPartitions=4).selectExpr("id % 100 as k").groupBy("k").count(), "t")
+    assert not held() - before and spark.conf.get(common.CLEANUP) == setting
+    assert rows.count() == 100
