@@ -103,22 +103,21 @@ def _first_band(bands: tuple[int, ...]) -> Column:
     return first
 
 
-def representative_pairs_within(df: DataFrame, *, key: str, signature: str, order: list[str], micros: Column, within: int, most: int = 10, bands: tuple[int, ...] = BANDS_64) -> DataFrame:
+def representative_pairs_within(df: DataFrame, *, key: str, signature: str, order: list[str], micros: Column, within: int, most: int = 10) -> DataFrame:
     """Those of :func:`representative_pairs` over :func:`signature_pairs` that lie at most ``within`` seconds apart.
 
-    Signatures meet by band, value and time bucket, so pairs that the time rules out are never made: the work grows with the
-    rows and with how many like ones fall in one interval, not with the square of all.
+    Rows meet in time buckets as long as the interval, so pairs that the time rules out are never made: the work grows with the
+    rows and with how many of them fall in one interval, not with the square of all. Both sides are merged, as Spark takes a
+    side for no larger than before its rows were copied to their buckets, and would broadcast it.
     """
-    if most // len(bands) > 2:
-        raise ValueError("a band of the nearest pairs may differ by two bits at most: take more bands or a smaller distance")
     span = within * 1_000_000
     rows = materialize(df.where(F.col(signature).isNotNull()).select(F.col(key).alias("k"), F.col(signature).alias("s"), micros.alias("t"), F.struct(*order, key).alias("place")).where("t is not null"))
     first = rows.groupBy("s").agg(F.min_by(F.struct("k", "t"), "place").alias("f")).select("s", "f.k", "f.t")
     bucket = F.floor(F.col("t") / span)
-    one = _probes(first.withColumn("bucket", bucket), bands)
-    other = _probes(rows.select(F.col("s"), F.col("k").alias("k2"), F.col("t").alias("t2"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")), bands).withColumnRenamed("s", "s2")
-    near = (F.col("s") != F.col("s2")) & (F.abs(F.col("t") - F.col("t2")) <= span) & (X.hamming(F.col("s"), F.col("s2")) <= most) & _first_band(bands)
-    return ordered_pair(one.join(other, ["band", "value", "bucket"]).where(near), "k", "k2").distinct()
+    one = first.withColumn("bucket", bucket)
+    other = rows.select(F.col("s").alias("s2"), F.col("k").alias("k2"), F.col("t").alias("t2"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    near = (F.col("s") != F.col("s2")) & (F.abs(F.col("t") - F.col("t2")) <= span) & (X.hamming(F.col("s"), F.col("s2")) <= most)
+    return ordered_pair(one.join(other.hint("merge"), "bucket").where(near), "k", "k2").distinct()
 
 
 def equal_key_star(df: DataFrame, *, key: str, on: str, order: list[str]) -> DataFrame:

@@ -96,7 +96,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 def timely_candidates(docs: DataFrame) -> DataFrame:
     """The candidates that evidence can confirm: across near signatures only those within the time window, as different
     content further apart never is."""
-    across = J.representative_pairs_within(docs, key="doc_id", signature="signature", order=["n_chars"], micros=F.col("doc_id") * 1_000_000, within=WINDOW, bands=J.BANDS_60)
+    across = J.representative_pairs_within(docs, key="doc_id", signature="signature", order=["n_chars"], micros=F.col("doc_id") * 1_000_000, within=WINDOW)
     return _stars(docs).union(across).distinct()
 
 
