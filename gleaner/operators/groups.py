@@ -284,13 +284,21 @@ def diversity_rerank(df: DataFrame, *, by: list[str], key: str, vector: str, ord
 
 def disjoint_pairs(pairs: DataFrame, *, most: int) -> DataFrame:
     """Pairs (src, dst, component) in digest order that share no item with an earlier chosen pair, one of each component in
-    turn, at most ``most``: (component, turn, left, right). The digest also decides the sides."""
-    keyed = materialize(pairs.select("src", "dst", "component", F.sha2(F.concat_ws("|", "src", "dst"), 256).alias("digest")))
-    ends = keyed.select("digest", F.explode(F.array("src", "dst")).alias("item"))
-    clash = ends.join(ends.select(F.col("digest").alias("d2"), "item"), "item").where("digest < d2").select(F.col("digest").alias("src"), F.col("d2").alias("dst")).distinct()
-    kept = diversity_demotions(keyed, clash, key="digest", rank="digest", cap=1).where("kept")
+    turn, at most ``most``: (component, turn, left, right). The digest also decides the sides.
+
+    Each round chooses the pairs that are the first open ones of both their items; what shares an item with them leaves. No
+    two pairs are compared, so an item may be in nearly all of them; as digests are random, the rounds are few.
+    """
+    left, kept = materialize(pairs.select("src", "dst", "component", F.sha2(F.concat_ws("|", "src", "dst"), 256).alias("digest"))), None
+    while kept is None or left.head(1):
+        first = left.select(F.explode(F.array("src", "dst")).alias("item"), "digest").groupBy("item").agg(F.min("digest").alias("digest"))
+        both = first.groupBy("digest").agg(F.count("*").alias("ends")).where("ends = 2").select("digest")
+        new = materialize(left.join(both, "digest", "left_semi"))
+        kept = new if kept is None else kept.unionByName(new)
+        used = new.select(F.explode(F.array("src", "dst")).alias("item"))
+        left = materialize(left.join(used, F.col("src") == F.col("item"), "left_anti").join(used, F.col("dst") == F.col("item"), "left_anti"))
     # Only the first of each component can be among the chosen.
-    chosen = keyed.join(kept, "digest").withColumn("turn", F.expr("row_number() over (partition by component order by digest)")).where(F.col("turn") <= most)
+    chosen = kept.withColumn("turn", F.expr("row_number() over (partition by component order by digest)")).where(F.col("turn") <= most)
     swap = F.substring("digest", 1, 1) < "8"
     return chosen.orderBy("turn", "digest").limit(most).select("component", "turn", F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("left"), F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("right"))
 
