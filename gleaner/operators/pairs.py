@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import expressions as X
 from gleaner.operators.pivots import angle_pairs
 from gleaner.operators.segmented import ranged, scan
+from gleaner.operators.signatures import near_pairs
 from gleaner.sources.tables import materialize, spread
 
 BANDS_64 = (16, 16, 16, 16)
@@ -104,7 +105,7 @@ def _first_band(bands: tuple[int, ...]) -> Column:
 
 
 def representative_pairs_within(df: DataFrame, *, key: str, signature: str, order: list[str], micros: Column, within: int, most: int = 10) -> DataFrame:
-    """Those of :func:`representative_pairs` over :func:`signature_pairs` that lie at most ``within`` seconds apart.
+    """Those of :func:`representative_pairs` that lie at most ``within`` seconds apart.
 
     Rows meet in time buckets as long as the interval, so pairs that the time rules out are never made: the work grows with the
     rows and with how many of them fall in one interval, not with the square of all. Both sides are merged, as Spark takes a
@@ -126,12 +127,17 @@ def equal_key_star(df: DataFrame, *, key: str, on: str, order: list[str]) -> Dat
     return ordered_pair(df.join(first, on).where(F.col(key) != F.col("first")), "first", key)
 
 
-def representative_pairs(df: DataFrame, near: DataFrame, *, key: str, signature: str, order: list[str]) -> DataFrame:
-    """Pairs across near signatures: each one's first row with all rows of the other; buckets stay linear."""
-    first = df.groupBy(signature).agg(F.min_by(key, F.struct(*order, key)).alias("first"))
-    both = near.select(F.col("src").alias("p"), F.col("dst").alias("q")).union(near.select("dst", "src"))
-    met = both.join(first.withColumnRenamed(signature, "p"), "p").join(df.select(F.col(signature).alias("q"), key), "q")
-    return ordered_pair(met, "first", key).distinct()
+def representative_pairs(df: DataFrame, *, key: str, signature: str, order: list[str], most: int = 10) -> DataFrame:
+    """Pairs across signatures at most ``most`` bits apart: each one's first row with all rows of the other, each pair once;
+    buckets stay linear. ``df`` may have rows of one key and signature several times."""
+    rows = df.where(F.col(signature).isNotNull())
+    return ordered_pair(near_pairs(leading(rows, key=key, signature=signature, order=order), most=most), "k", "k2")
+
+
+def leading(df: DataFrame, *, key: str, signature: str, order: list[str]) -> DataFrame:
+    """(k, s, lead): the rows' keys and signatures, and whether a row is the first of its signature."""
+    first = df.groupBy(F.col(signature).alias("s")).agg(F.min_by(key, F.struct(*order, key)).alias("first"))
+    return df.select(F.col(key).alias("k"), F.col(signature).alias("s")).distinct().join(first, "s").select("k", "s", (F.col("k") == F.col("first")).alias("lead"))
 
 
 def within_group_pairs(df: DataFrame, *, key: str, by: list[str]) -> DataFrame:

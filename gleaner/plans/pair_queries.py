@@ -87,10 +87,16 @@ def _stars(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """All candidates: rows near in time, stars, and pairs across near signatures, whatever the time between them."""
+    """All candidates: rows near in time, stars, and pairs across near signatures, whatever the time between them.
+
+    The last are the most by far, and each is made once: so only the others are made distinct, and those of them that are
+    pairs across near signatures leave."""
     sig = docs.where("signature is not null")
-    near = J.signature_pairs(sig, signature="signature", bands=J.BANDS_60)
-    return _stars(docs).union(J.representative_pairs(sig, near, key="doc_id", signature="signature", order=["n_chars"])).distinct()
+    own = materialize(J.leading(sig, key="doc_id", signature="signature", order=["n_chars"]))
+    a, b = own.toDF("src", "s", "lead"), own.toDF("dst", "s2", "lead2")
+    across = (F.col("s") != F.col("s2")) & (X.hamming(F.col("s"), F.col("s2")) <= 10) & (F.col("lead") | F.col("lead2"))
+    rest = _stars(docs).distinct().join(a, "src", "left").join(b, "dst", "left").where(~F.coalesce(across, F.lit(False))).select("src", "dst")
+    return rest.union(J.representative_pairs(sig, key="doc_id", signature="signature", order=["n_chars"]))
 
 
 def timely_candidates(docs: DataFrame) -> DataFrame:
