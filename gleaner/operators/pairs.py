@@ -72,36 +72,11 @@ def text_signatures(df: DataFrame, *, key: str, text: str) -> DataFrame:
 def signature_pairs(df: DataFrame, *, signature: str, most: int = 10, bands: tuple[int, ...] = BANDS_64) -> DataFrame:
     """All pairs of different signatures at most ``most`` bits apart: (src, dst, distance).
 
-    One of k bands differs by ``most // k`` bits at most. With that at most two, the values one bit from both sides'
-    bands meet; few and wide bands keep chance meetings rare. A pair counts only in its first such band, at one value
-    that both sides reach, so nothing needs to be made distinct. The signatures are written once for both sides.
+    Every block of signatures meets every other (:func:`~gleaner.operators.signatures.near_pairs`), so the pairs don't depend on ``bands``.
     """
-    if most // len(bands) > 2:
-        raise ValueError("a band of the nearest pairs may differ by two bits at most: take more bands or a smaller distance")
-    own = materialize(df.select(F.col(signature).alias("s")).where("s is not null").distinct())
-    probes, met = _probes(own, bands), _first_band(bands)
-    distance = X.hamming(F.col("s"), F.col("s2"))
-    pairs = probes.join(probes.withColumnRenamed("s", "s2"), ["band", "value"]).where((F.col("s") < F.col("s2")) & (distance <= most) & met)
-    return pairs.select(F.col("s").alias("src"), F.col("s2").alias("dst"), distance.alias("distance"))
-
-
-def _probes(rows: DataFrame, bands: tuple[int, ...]) -> DataFrame:
-    """``rows`` with a signature ``s`` under every (band, value) up to one bit from theirs."""
-    keyed = rows.withColumn("b", F.explode(X.band_keys(F.col("s"), bands)))
-    width = F.get(F.array(*map(F.lit, bands)), F.col("b.band"))
-    return keyed.select(*rows.columns, F.col("b.band").alias("band"), F.explode(X.near_values(F.col("b.value"), width)).alias("value"))
-
-
-def _first_band(bands: tuple[int, ...]) -> Column:
-    """Whether ``s`` and ``s2`` meet here, at (band, value), for the first time."""
-    first, earlier, at = F.lit(False), F.lit(True), 0
-    for k, w in enumerate(bands):
-        part = lambda c: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << w) - 1))  # noqa: B023, E731
-        gap = part(F.col("s").bitwiseXOR(F.col("s2")))
-        # Values two bits apart meet at two values; the one that differs from s in the lowest of those bits counts.
-        here = part(F.col("s")).bitwiseXOR(F.when(F.bit_count(gap) == 2, gap.bitwiseAND(-gap)).otherwise(F.lit(0).cast("bigint")))
-        first, earlier, at = first | (earlier & (F.col("band") == k) & (F.bit_count(gap) <= 2) & (F.col("value") == here)), earlier & (F.bit_count(gap) > 2), at + w
-    return first
+    own = df.select(F.col(signature).alias("s")).where("s is not null").distinct()
+    near = near_pairs(own.select(F.col("s").alias("k"), "s", F.lit(True).alias("lead")), most=most)
+    return ordered_pair(near, "k", "k2", "distance").select("src", "dst", "distance")
 
 
 def representative_pairs_within(df: DataFrame, *, key: str, signature: str, order: list[str], micros: Column, within: int, most: int = 10) -> DataFrame:

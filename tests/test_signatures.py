@@ -36,3 +36,12 @@ def test_representatives_meet_all_near_rows_once(spark, monkeypatch, block, give
     want = [(x[0], y[0]) for k, x in enumerate(rows) for y in rows[k + 1 :] if near(x, y)]
     assert sorted((r.src, r.dst) for r in out.collect()) == sorted(want)
     assert len(first) < len(rows) and want
+
+
+def test_no_block_is_broadcast_and_none_is_no_error(spark):
+    frame = spark.createDataFrame(like(random.Random(12), 100), "id string, s long")
+    out = J.signature_pairs(frame, signature="s")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert out.count()
+    assert J.signature_pairs(frame.where("false"), signature="s").collect() == []
