@@ -55,10 +55,15 @@ def exact_dedup(stream: DataFrame, *, time: str, content: str, delay: str) -> Da
 
 
 def interval_pairs(stream: DataFrame, *, time: str, key: str, by: str, seconds: int, delay: str) -> DataFrame:
-    """Stream-stream join of rows of one partition at most so many seconds apart; state goes after that and the delay."""
-    a = stream.select(F.col(by).alias("by"), F.col(key).alias("src"), F.col(time).alias("ta")).withWatermark("ta", delay)
-    b = stream.select(F.col(by).alias("by2"), F.col(key).alias("dst"), F.col(time).alias("tb")).withWatermark("tb", delay)
-    near = F.expr(f"by = by2 and tb >= ta and tb <= ta + interval {seconds} seconds and (tb > ta or src < dst) and src <> dst")
+    """Stream-stream join of rows of one partition at most so many seconds apart; state goes after that and the delay.
+
+    Rows meet in time buckets as long as the interval, the later one in its own and the one before: a row is compared with
+    what the state holds of two intervals, not of the whole partition.
+    """
+    bucket = F.floor(F.unix_micros(time) / (seconds * 1_000_000))
+    a = stream.select(F.col(by).alias("by"), F.col(key).alias("src"), F.col(time).alias("ta"), bucket.alias("bucket")).withWatermark("ta", delay)
+    b = stream.select(F.col(by).alias("by2"), F.col(key).alias("dst"), F.col(time).alias("tb"), F.explode(F.array(bucket, bucket - 1)).alias("bucket2")).withWatermark("tb", delay)
+    near = F.expr(f"by = by2 and bucket = bucket2 and tb >= ta and tb <= ta + interval {seconds} seconds and (tb > ta or src < dst) and src <> dst")
     return a.join(b, near).select(F.col("by").alias(by), F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
