@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.segmented import ranged, scan
+
 
 def pair_precision_recall(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row: precision and recall of (src, dst) pairs. No prediction: precision 1 if there is no truth, else 0;
@@ -33,6 +35,21 @@ def preference_accuracy(pairs: DataFrame, scores: DataFrame, *, key: str, score:
     return pairs.join(a, "preferred").join(b, "other").agg(F.avg(won).alias("accuracy"), F.count("*").alias("pairs"))
 
 
+def preference_accuracy_within(df: DataFrame, *, by: list[str], score: str, label: str) -> DataFrame:
+    """:func:`preference_accuracy` of every chosen row (``label`` 1) against every rejected one (0) of its partition, from the
+    rows of each different score and the rejected ones up to it: the pairs themselves are not made."""
+    c = F.col
+    known = df.where(" and ".join(f"{x} is not null" for x in by)).select(*by, c(score).alias("v"), (c(label) == 1).alias("a"), (c(label) == 0).alias("b"))
+    counts = known.groupBy(*by, "v").agg(F.count_if("a").alias("chosen"), F.count_if("b").alias("rejected"))
+    rows = scan(ranged(counts, by=by, order=["v"]), order=["v"], sums={"upto": c("rejected")})
+    # A null score wins and ties with nothing, and comes first.
+    sizes = counts.groupBy(F.struct(*by).alias("_by")).agg(F.sum("rejected").alias("n"), F.sum(F.when(c("v").isNull(), c("rejected")).otherwise(0)).alias("unknown"))
+    halves = F.when(c("v").isNull(), F.lit(0)).otherwise(c("chosen") * (2 * (c("upto") - c("unknown")) - c("rejected")))
+    wide = lambda x: F.sum(x.cast("decimal(38,0)"))
+    total = rows.join(sizes, "_by").agg(wide(halves).alias("h"), wide(c("chosen") * c("n")).alias("p"))
+    return total.select(F.when(c("p") > 0, c("h").cast("double") / c("p").cast("double") / 2).alias("accuracy"), F.coalesce(c("p").cast("bigint"), F.lit(0).cast("bigint")).alias("pairs"))
+
+
 def top_k_overlap(expected: DataFrame, scores: DataFrame, *, key: str, score: str, k: int) -> DataFrame:
     top = scores.orderBy(F.desc(score), key).limit(k).select(key)
     return top.join(expected.select(key).distinct(), key, "left_semi").agg((F.count("*") / k).alias("overlap"))

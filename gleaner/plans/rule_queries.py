@@ -284,11 +284,9 @@ def e4(spark, d):
 with r as (select doc_id, quality, source, least(n_chars // 500, 4) as s from labels join documents using (doc_id))
 select round(avg(case when a.s > b.s then 1.0 when a.s = b.s then 0.5 else 0.0 end), 6) as accuracy, count(*) as pairs from r a join r b on a.source = b.source and a.quality = 1 and b.quality = 0""")
 def e5(spark, d):
-    from gleaner.operators.pairs import preference_products
-
     docs = read(spark, d, "documents").select("doc_id", "source", F.least(F.floor(C("n_chars") / 500), F.lit(4)).alias("s"))
-    pairs = preference_products(read(spark, d, "labels").join(docs, "doc_id"), by=["source"], key="doc_id", label="quality")
-    return E.preference_accuracy(pairs, docs, key="doc_id", score="s").select(r6(C("accuracy"), "accuracy"), "pairs")
+    rows = read(spark, d, "labels").join(docs, "doc_id")
+    return E.preference_accuracy_within(rows, by=["source"], score="s", label="quality").select(r6(C("accuracy"), "accuracy"), "pairs")
 
 
 @query("e6_top_k_overlap", "select count(*) / 50.0::double as overlap from (select doc_id from documents order by n_chars desc, doc_id limit 50) where doc_id in (select doc_id from labels where quality = 1)")
