@@ -243,6 +243,54 @@ def diversity_demotions(items: DataFrame, edges: DataFrame, *, key: str, rank: s
     return (ranks.select("n", F.lit(True).alias("kept")) if out is None else out).withColumnRenamed("n", key)
 
 
+#: Alike pairs for each row from which on no pair is written (:mod:`gleaner.operators.diversity`).
+MANY_PAIRS = 8
+
+
+def _places(df: DataFrame, *, by: list[str], key: str, order: list[str], descending: bool = False) -> DataFrame:
+    """(_by, k, place): each row's place from 1 in its partition by ``order``; only these columns are put in order."""
+    from gleaner.operators.segmented import ranged, scan
+
+    own = df.select(*by, *(c for c in order if c != "k"), F.col(key).alias("k"))
+    placed = scan(ranged(own, by=by, order=order), order=order, number="up").select("_by", "k", "up")
+    if not descending:
+        return materialize(placed.select("_by", "k", F.col("up").alias("place")))
+    placed = placed.join(df.groupBy(F.struct(*by).alias("_by")).agg(F.count("*").alias("n")), "_by")
+    return materialize(placed.select("_by", "k", (F.col("n") + 1 - F.col("up")).alias("place")))
+
+
+def _in_blocks(df: DataFrame, placed: DataFrame, *, by: list[str], key: str, vector: str) -> DataFrame:
+    from gleaner.operators.diversity import blocks_in_order
+
+    rows = df.select(F.struct(*by).alias("_by"), F.col(key).alias("k"), F.col(vector).alias("v")).join(placed, ["_by", "k"])
+    return blocks_in_order(rows.select(*(F.col("_by")[c].alias(c) for c in by), "k", "place", "v"), by=by)
+
+
+def diverse(df: DataFrame, *, by: list[str], key: str, vector: str, rank: str, alike: float, cap: int) -> DataFrame:
+    """(key, kept): :func:`diversity_demotions` over the pairs of a partition whose cosine reaches ``alike``. Where these are very
+    many they are not written. Rows without a direction are alike to none."""
+    from gleaner.operators import diversity as D
+    from gleaner.operators.pairs import cosine_pairs
+
+    single = dict(df.dtypes)[vector] == "array<float>"
+    blocks = _in_blocks(df, _places(df, by=by, key=key, order=[rank]), by=by, key=key, vector=vector)
+    if D.alike_pairs(blocks, single=single, alike=alike) <= MANY_PAIRS * blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]:
+        return diversity_demotions(df, cosine_pairs(df, key=key, vector=vector, threshold=alike, by=by), key=key, rank=rank, cap=cap)
+    return _kept_or_not(blocks, D.kept_blocks(blocks, single=single, alike=alike, cap=cap), df.select(F.col(key).alias("k"))).withColumnRenamed("k", key)
+
+
+def _kept_or_not(blocks: DataFrame, kept: list[DataFrame], keys: DataFrame) -> DataFrame:
+    """``keys`` (k, ...) with whether they are kept: rows of blocks where ``kept`` has them, all others always. Without
+    ``_by`` the key alone tells."""
+    on = [c for c in keys.columns if c in ("_by", "k")]
+    tell = lambda t: t.select(F.struct(*(F.col("_by")[c].alias(c) for c in t.select("_by.*").columns if c != "_size")).alias("_by"), F.explode("ks").alias("k")).select(*on)
+    yes = tell(kept[0])
+    for more in kept[1:]:
+        yes = yes.unionByName(tell(more))
+    all_rows = tell(blocks).withColumn("_seen", F.lit(True))
+    return keys.join(all_rows, on, "left").join(yes.withColumn("_kept", F.lit(True)), on, "left").select(*keys.columns, (F.col("_seen").isNull() | F.col("_kept").isNotNull()).alias("kept"))
+
+
 def diversity_rerank(df: DataFrame, *, by: list[str], key: str, vector: str, order: list[str], keep: Column, protected: Column, alike: float = 0.94, distinct: float = 0.65, cap: int = 3) -> DataFrame:
     """(by, key, value, nearest, similarity, demoted, reason): how much each row adds to its partition's kept rows.
 

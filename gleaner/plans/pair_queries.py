@@ -315,8 +315,7 @@ n as (select a.label, a.k, a.vec_id, coalesce(list(b.vec_id) filter (where b.k <
 select vec_id, keep as kept from s join n using (label, k)""")
 def w21(spark, d):
     vectors = read(spark, d, "embeddings")
-    edges = J.cosine_pairs(vectors, key="vec_id", vector="embedding", threshold=0.2, by=["label"])
-    return G.diversity_demotions(vectors, edges, key="vec_id", rank="vec_id", cap=2)
+    return G.diverse(vectors, by=["label"], key="vec_id", vector="embedding", rank="vec_id", alike=0.2, cap=2)
 
 
 @query("w21_diversity_rerank", f"""with recursive v as (select vec_id, label, embedding::double[] as v, row_number() over (partition by label order by vec_id % 7 desc, vec_id desc) as k from embeddings where vec_id % 5 <> 0 and vec_id % 11 <> 0),
