@@ -299,24 +299,24 @@ def diversity_rerank(df: DataFrame, *, by: list[str], key: str, vector: str, ord
     nearest is named where it is nearer than that; the first of a partition is its anchor. Rows that aren't kept or have no
     vector have 50, protected ones 100, and neither counts for others.
     """
+    from gleaner.operators import diversity as D
     from gleaner.operators.pairs import cosine_pairs
-    from gleaner.operators.segmented import ranged, scan
 
     state = F.when(~F.coalesce(keep, F.lit(False)), "other").when(F.coalesce(protected, F.lit(False)), "protected").when(F.coalesce(X.norm(F.col(vector)), F.lit(0.0)) > 1e-8, "open").otherwise("feature_unavailable")
     rows = materialize(df.withColumn("_state", state).select(*by, F.col(key).alias("k"), F.col(vector).alias("v"), "_state", *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))))
     own = rows.where("_state = 'open'")
     ahead = [*(f"_o{i}" for i in range(len(order))), "k"]
-    placed = scan(ranged(own.select(*by, *ahead), by=by, order=ahead), order=ahead, number="up").select(*by, "_by", "k", "up")
-    placed = placed.join(own.groupBy(F.struct(*by).alias("_by")).agg(F.count("*").alias("n")), "_by")
-    placed = materialize(placed.select("_by", "k", (F.col("n") + 1 - F.col("up")).alias("place")))
-    pairs = materialize(cosine_pairs(own, key="k", vector="v", threshold=distinct, by=by))
+    placed = _places(own, by=by, key="k", order=ahead, descending=True)
     item = placed.select(F.struct("_by", "place").alias("r"), F.struct("_by", "k").alias("n"), "k")
-    ends = pairs.withColumn("_by", F.struct(*by)).select(F.struct("_by", F.col("src").alias("k")).alias("src"), F.struct("_by", F.col("dst").alias("k")).alias("dst"), "cosine")
-    kept = materialize(diversity_demotions(item, ends.where(F.col("cosine") >= alike), key="n", rank="r", cap=cap))
-    both = ends.select(F.col("src").alias("n"), F.col("dst").alias("m"), "cosine").union(ends.select("dst", "src", "cosine"))
-    ranks = item.select("n", "r")
-    before = both.join(kept.where("kept").select(F.col("n").alias("m")), "m").join(ranks, "n").join(ranks.select(F.col("n").alias("m"), F.col("r").alias("rm")), "m").where("rm < r")
-    near = before.groupBy("n").agg(F.max(F.struct("cosine", F.struct(-F.col("rm.place")).alias("first"), "m")).alias("x"))
+    single = dict(df.dtypes)[vector] == "array<float>"
+    blocks = _in_blocks(own, placed, by=by, key="k", vector="v")
+    if D.alike_pairs(blocks, single=single, alike=distinct) <= MANY_PAIRS * blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]:
+        kept, near = _by_pairs(item, materialize(cosine_pairs(own, key="k", vector="v", threshold=distinct, by=by)), alike=alike, cap=cap)
+    else:
+        found = D.kept_blocks(blocks, single=single, alike=alike, cap=cap)
+        kept = _kept_or_not(blocks, found, placed.select("_by", "k")).select(F.struct("_by", "k").alias("n"), "kept")
+        plain = F.struct(*(F.col("_by")[c].alias(c) for c in by))
+        near = D.nearest_kept(blocks, found, single=single, least=distinct).select(F.struct(plain.alias("_by"), "k").alias("n"), F.struct("x.cosine", "x.first", F.struct(F.col("x.m").alias("k")).alias("m")).alias("x"))
     value = F.round(X.clamp((1 - F.col("x.cosine")) / (1 - distinct) * 100, 0.0, 100.0), 2)
     told = kept.join(near, "n", "left").join(item.select("n", "r"), "n").select(
         F.col("n._by").alias("_by"), F.col("n.k").alias("k"), F.coalesce(value, F.lit(100.0)).alias("value"), F.col("x.m.k").alias("nearest"), F.round("x.cosine", 4).alias("similarity"), (~F.col("kept")).alias("demoted"),
@@ -330,6 +330,17 @@ def diversity_rerank(df: DataFrame, *, by: list[str], key: str, vector: str, ord
     return out.select(*(F.col("_by")[c].alias(c) for c in by), F.col("k").alias(key), "value", "nearest", "similarity", "demoted", "reason")
 
 
+def _by_pairs(item: DataFrame, pairs: DataFrame, *, alike: float, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(n, kept) of all items, and (n, x) of the nearest kept one before them, from all near pairs."""
+    by = [c for c in pairs.columns if c not in ("src", "dst", "cosine")]
+    ends = pairs.withColumn("_by", F.struct(*by)).select(F.struct("_by", F.col("src").alias("k")).alias("src"), F.struct("_by", F.col("dst").alias("k")).alias("dst"), "cosine")
+    kept = materialize(diversity_demotions(item, ends.where(F.col("cosine") >= alike), key="n", rank="r", cap=cap))
+    both = ends.select(F.col("src").alias("n"), F.col("dst").alias("m"), "cosine").union(ends.select("dst", "src", "cosine"))
+    ranks = item.select("n", "r")
+    before = both.join(kept.where("kept").select(F.col("n").alias("m")), "m").join(ranks, "n").join(ranks.select(F.col("n").alias("m"), F.col("r").alias("rm")), "m").where("rm < r")
+    return kept, before.groupBy("n").agg(F.max(F.struct("cosine", F.struct(-F.col("rm.place")).alias("first"), "m")).alias("x"))
+
+
 def disjoint_pairs(pairs: DataFrame, *, most: int) -> DataFrame:
     """Pairs (src, dst, component) in digest order that share no item with an earlier chosen pair, one of each component in
     turn, at most ``most``: (component, turn, left, right). The digest also decides the sides.
