@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import groups as G
 from gleaner.operators import pairs as J
+from gleaner.plans import pair_queries as Q
 
 
 def plan(df):
@@ -42,3 +43,13 @@ def test_disjoint_pairs_compare_no_two_pairs_of_an_item(spark, monkeypatch):
             want.append((own, turn[own], *(p if digest(p) < "8" else p[::-1])))
     assert sorted(tuple(r) for r in out.collect()) == sorted(want)
     assert max(rows) <= len(pairs)
+
+
+def test_edges_of_components_broadcast_no_copies_of_rows(spark):
+    """g1, g2, j15 and w18 begin with these edges."""
+    lines = plan(Q.confirmed(Q.described(spark, "/root/testdata/sf0.001"))).split("Initial Plan")[-1].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for k, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            below = lines[k + 1 : next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))]
+            assert not any("Generate" in y for y in below), "\n".join([x, *below])
